@@ -74,7 +74,7 @@ def with_band(df: DataFrame, order: Order, bands: int | None = None,
     name, up = order[0]
     value = _as_number(df, name, up)
     if value is None:
-        return df.withColumn(BAND, _text_edges(df, name, up, bands).cast("long"))
+        return df.withColumn(BAND, F.coalesce(_text_edges(df, name, up, bands).cast("long"), F.lit(-1).cast("long")))
 
     probs = [i / bands for i in range(1, bands)]
     work = df.withColumn("_v0", value)
@@ -96,7 +96,8 @@ def with_band(df: DataFrame, order: Order, bands: int | None = None,
             work = _bucket(work, "_v1", sorted(set(inner)), [], "_b1")
             sub = F.when(F.col("_v0").isin(*heavy), F.col("_b1").cast("long")).otherwise(F.lit(0))
             band = band * F.lit(2 * bands + 4) + sub
-    return work.withColumn(BAND, band).drop("_v0", "_b0", "_v1", "_b1")
+    # never null, so that no null filter is inferred on one side of the self-join only
+    return work.withColumn(BAND, F.coalesce(band, F.lit(-1).cast("long"))).drop("_v0", "_b0", "_v1", "_b1")
 
 
 def _bucket(df: DataFrame, value: str, edges: list[float], heavy: list[float], out: str) -> DataFrame:
@@ -110,30 +111,41 @@ def _bucket(df: DataFrame, value: str, edges: list[float], heavy: list[float], o
 
 
 def running_totals(rows: DataFrame, keys: Sequence[str], order: Order, sums: dict[str, str],
-                   bands: int | None = None) -> DataFrame:
+                   bands: int | None = None, grouped: bool = True) -> DataFrame:
     """Inclusive running sums of ``sums`` (output name -> input column) per key.
 
     Without keys the running totals are global and the band totals are
     broadcast: there are at most ``2 * bands`` rows of them, whatever the data.
     """
     banded = rows if BAND in rows.columns else with_band(rows, order, bands)
-    return _two_level(banded, keys, sort_columns(order), sums)
+    return _two_level(banded, keys, sort_columns(order), sums, grouped)
 
 
-def _two_level(banded: DataFrame, keys: Sequence[str], by: list[Column], sums: dict[str, str]) -> DataFrame:
+def _two_level(banded: DataFrame, keys: Sequence[str], by: list[Column], sums: dict[str, str],
+               grouped: bool = True) -> DataFrame:
+    """``grouped`` inputs are aggregates, dearer to build than to keep whole: the
+    totals side then reads the very same columns, so Spark reuses one exchange
+    instead of building the input twice. Row inputs keep the two sides apart:
+    the totals side scans only its own columns and combines before its shuffle.
+    """
     keys = list(keys)
     placed = banded.repartition(*keys, BAND)
     inside = Window.partitionBy(*keys, BAND).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
     local = placed.select("*", *[F.sum(c).over(inside).alias(o) for o, c in sums.items()])
-    totals = placed.groupBy(*keys, BAND).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
+    values = [c for c in banded.columns if c not in keys and c != BAND] if grouped else []
+    totals = (placed if grouped else banded).groupBy(*keys, BAND).agg(
+        *[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()], *[F.max(c).alias(f"_m_{c}") for c in values])
     earlier = (Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BAND)
                .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(
         *keys, BAND,
-        *[F.coalesce(F.sum(f"_t_{o}").over(earlier), F.lit(0)).alias(f"_o_{o}") for o in sums])
+        *[F.coalesce(F.sum(f"_t_{o}").over(earlier), F.lit(0)).alias(f"_o_{o}") for o in sums],
+        *[f"_m_{c}" for c in values])
     if not keys:
         offsets = F.broadcast(offsets)
     joined = local.join(offsets, [*keys, BAND])
+    for c in values:  # always true: a band's maximum is null only if all its values are
+        joined = joined.where(F.col(f"_m_{c}").isNotNull() | F.col(c).isNull())
     kept = [c for c in banded.columns if c != BAND]
     return joined.select(*kept, *[(F.col(o) + F.col(f"_o_{o}")).alias(o) for o in sums])
 
@@ -142,7 +154,7 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Order, out: str,
                 bands: int | None = None) -> DataFrame:
     """1-based row number per key; ``order`` should identify the row."""
     return running_totals(df.withColumn("_one", F.lit(1).cast("long")), keys, order,
-                          {out: "_one"}, bands).drop("_one")
+                          {out: "_one"}, bands, grouped=False).drop("_one")
 
 
 def hash_index(df: DataFrame, keys: Sequence[str], identity: Sequence[str], out: str,
@@ -153,10 +165,11 @@ def hash_index(df: DataFrame, keys: Sequence[str], identity: Sequence[str], out:
     """
     bands = band_count(df.sparkSession, 65536)
     hashed = (df.withColumn("_h", hash32(F.lit(salt), *[F.col(c) for c in identity]))
-              .withColumn(BAND, F.floor(F.col("_h").cast("double") / F.lit(4294967296.0) * bands).cast("long"))
+              .withColumn(BAND, F.coalesce(
+                  F.floor(F.col("_h").cast("double") / F.lit(4294967296.0) * bands).cast("long"), F.lit(-1).cast("long")))
               .withColumn("_one", F.lit(1).cast("long")))
     by = [F.col("_h"), *[F.col(c) for c in identity]]
-    return (_two_level(hashed, keys, by, {out: "_one"})
+    return (_two_level(hashed, keys, by, {out: "_one"}, grouped=False)
             .withColumn(out, F.col(out) - 1).drop("_h", "_one"))
 
 

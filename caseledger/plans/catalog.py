@@ -1,6 +1,6 @@
 """Imports every plan module, so that the registry is complete."""
 
-from . import detect  # noqa: F401
+from . import detect, joins, scalars, summaries  # noqa: F401
 from .registry import ORACLES, QUERIES, Tables
 
 __all__ = ["ORACLES", "QUERIES", "Tables"]
