@@ -33,7 +33,9 @@ def top_candidates(candidates: DataFrame, k: int = MAXIMUM_CANDIDATES, order: Or
     partition to ``k`` rows per key before the shuffle, so a hot key sends at
     most ``k`` rows per map task."""
     w = Window.partitionBy(*keys).orderBy(*sort_columns(order))
-    return candidates.withColumn(out, F.row_number().over(w).cast("long")).where(F.col(out) <= k)
+    # the bare row number is filtered, the form the limit is inferred from
+    return (candidates.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+            .withColumn(out, F.col("_rn").cast("long")).drop("_rn"))
 
 
 def match_candidates(candidates: DataFrame, tolerance: float = TOLERANCE_MM) -> DataFrame:
@@ -62,34 +64,47 @@ def case_scores(cases: DataFrame, candidates: DataFrame, threshold: float) -> Da
 
 
 def _score_groups(rows: DataFrame, keys: Sequence[str], label: str, score: str,
-                  weight: str | None = None) -> DataFrame:
+                  weight: str | None = None, scores: DataFrame | None = None) -> DataFrame:
     """One banded row per distinct score with weighted positive and negative counts."""
     w = F.col(weight) if weight else F.lit(1)
     raw = rows.where(F.col(score).isNotNull()).select(
         *keys, F.col(score).alias("_s"), F.when(F.col(label) == 1, w).otherwise(0).cast("long").alias("_p"),
         F.when(F.col(label) == 0, w).otherwise(0).cast("long").alias("_q"))
     grouped = raw.groupBy(*keys, "_s").agg(F.sum("_p").alias("_pos"), F.sum("_q").alias("_neg"))
-    return with_band(grouped, [("_s", False)], source=raw)
+    source = raw if scores is None else scores.select(F.col(score).alias("_s"))
+    return with_band(grouped, [("_s", False)], source=source)
 
 
 def ranking_metrics(rows: DataFrame, keys: Sequence[str] = (), label: str = "label_binary",
-                    score: str = "score", weight: str | None = None) -> DataFrame:
+                    score: str = "score", weight: str | None = None,
+                    scores: DataFrame | None = None) -> DataFrame:
     """ROC AUC with tie correction and step-wise average precision, per key.
 
     ``auc`` is null with one class only, ``average_precision`` without
-    positives. ``weight`` is an integer multiplicity (bootstrap draws).
+    positives. ``weight`` is an integer multiplicity (bootstrap draws), and
+    ``scores`` then the undrawn table with the same score column, from which
+    the bands are taken at a fraction of the cost.
     """
     keys = list(keys)
-    groups = _score_groups(rows, keys, label, score, weight)
+    groups = _score_groups(rows, keys, label, score, weight, scores)
+    out = ranked_sums(groups, keys)
+    return out.select(*keys, "positives", "negatives", "auc", "average_precision")
+
+
+def ranked_sums(groups: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """AUC and average precision of banded score groups (``_s, _pos, _neg``), with
+    the sums of any ``extra`` columns in the same grouping."""
+    keys = list(keys)
     run = running_totals(groups, keys, [("_s", False)], {"_tp": "_pos", "_fp": "_neg"})
     sums = run.groupBy(*keys).agg(
         F.sum("_pos").alias("positives"), F.sum("_neg").alias("negatives"),
         # negatives of a score lose against all positives above it and half of its own
         F.sum(F.col("_neg") * (F.col("_tp") - F.col("_pos") / 2.0)).alias("_area"),
         F.sum(F.when(F.col("_tp") + F.col("_fp") > 0,
-                     F.col("_pos") * F.col("_tp") / (F.col("_tp") + F.col("_fp")))).alias("_steps"))
+                     F.col("_pos") * F.col("_tp") / (F.col("_tp") + F.col("_fp")))).alias("_steps"),
+        *[F.sum(c).alias(c) for c in extra])
     p, n = F.col("positives").cast("double"), F.col("negatives").cast("double")
-    return sums.select(*keys, "positives", "negatives",
+    return sums.select(*keys, "positives", "negatives", *extra,
                        F.when((p > 0) & (n > 0), F.col("_area") / (p * n)).alias("auc"),
                        F.when(p > 0, F.col("_steps") / p).alias("average_precision"))
 

@@ -26,20 +26,23 @@ def evidence_manifest(inventory: DataFrame, role: Column, key: str = "path") ->
     return numbered.select("evidence_order", key, "role", "size_bytes", "sha256")
 
 
-def manifest_hash(manifest: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
-    """One hash of a whole manifest, built as a two-level tree.
-
-    Row hashes are folded into 4096 hash buckets, ordered inside each bucket,
-    and the bucket hashes are folded into one. The result does not depend on
-    partitioning, and no task orders more than one bucket.
+def manifest_hash(manifest: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One hash of a whole manifest, built as a three-level hash tree.
+
+    Row hashes fall into 16**6 leaves by their first six digits, leaves into
+    4096 branches by their first three, branches into the root. Each node
+    hashes its sorted children, so the result does not depend on partitioning;
+    a branch or root has at most 4096 children, a leaf its 16-millionth of the
+    rows.
     """
+    def fold(name: str) -> Column:
+        return F.sha2(F.concat_ws("", F.array_sort(F.collect_list(name))), 256)
+
     row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
-    rows = manifest.select(F.col(order).alias("_o"), row.alias("_h"))
-    buckets = rows.groupBy(F.conv(F.substring("_h", 1, 3), 16, 10).cast("int").alias("_b")).agg(
-        F.sha2(F.concat_ws("", F.array_sort(F.collect_list("_h"))), 256).alias("_h"), F.count(F.lit(1)).alias("_n"))
-    return buckets.agg(
-        F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("_b", "_h"))), lambda x: x["_h"])), 256)
-        .alias("manifest_sha256"), F.sum("_n").alias("rows"))
+    leaves = manifest.select(row.alias("_h")).groupBy(F.substring("_h", 1, 6).alias("_p")).agg(
+        fold("_h").alias("_h"), F.count(F.lit(1)).alias("_n"))
+    branches = leaves.groupBy(F.substring("_p", 1, 3).alias("_p")).agg(fold("_h").alias("_h"), F.sum("_n").alias("_n"))
+    return branches.agg(fold("_h").alias("manifest_sha256"), F.sum("_n").alias("rows"))
 
 
 def chain_check(manifest: DataFrame, inventory: DataFrame, frozen_hash: str | Column, columns: Sequence[str],
@@ -48,7 +51,7 @@ def chain_check(manifest: DataFrame, inventory: DataFrame, frozen_hash: str | Co
     items = integrity(manifest, inventory, key).agg(
         F.count(F.lit(1)).alias("items"),
         F.count_if(~(F.col("exists") & F.col("size_matches") & F.col("hash_matches"))).alias("bad_items"))
-    whole = manifest_hash(manifest, columns, key)
+    whole = manifest_hash(manifest, columns)
     want = frozen_hash if isinstance(frozen_hash, Column) else F.lit(frozen_hash)
     return whole.join(F.broadcast(items)).select(
         "items", "bad_items", (F.col("manifest_sha256") == want).alias("manifest_matches"),

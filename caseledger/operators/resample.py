@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.constants import BOOTSTRAP_REPLICATES, SEED
 from ..functions.scalars import hash32
-from .detection import ranking_metrics
-from .ordering import hash_index
+from .detection import ranked_sums, ranking_metrics
+from .ordering import hash_index, with_band
 
 REPLICATE, WEIGHT = "replicate", "weight"
 
@@ -49,15 +49,28 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 def replicate_metrics(cases: DataFrame, weights: DataFrame, identity: str, means: dict[str, Column],
                       label: str | None = None, score: str | None = None) -> DataFrame:
     """One row per replicate: weighted means and, with ``label`` and ``score``,
-    AUC and average precision."""
-    needed = cases.select(identity, *[c.alias(n) for n, c in means.items()],
-                          *([F.col(label).alias("_label"), F.col(score).alias("_score")] if label else []))
+    AUC and average precision.
+
+    Everything comes from one grouping of the draws by (replicate, score): the
+    ranking metrics accumulate over the scores, the means just add up.
+    """
+    needed = cases.select(identity, *[c.cast("double").alias(n) for n, c in means.items()],
+                          *([F.col(label).alias("_y"), F.col(score).alias("_s")] if label else []))
     drawn = weights.select(REPLICATE, identity, WEIGHT).join(needed, identity)
-    out = drawn.groupBy(REPLICATE).agg(*[weighted_mean(F.col(n), F.col(WEIGHT)).alias(n) for n in means])
-    if label:
-        ranks = ranking_metrics(drawn, [REPLICATE], "_label", "_score", WEIGHT)
-        out = out.join(ranks.select(REPLICATE, "auc", "average_precision"), REPLICATE, "left")
-    return out
+    w = F.col(WEIGHT)
+    sums = {}
+    for n in means:
+        sums[f"_n_{n}"] = F.coalesce(F.sum(F.when(F.col(n).isNotNull(), w)), F.lit(0).cast("long"))
+        sums[f"_s_{n}"] = F.coalesce(F.sum(F.col(n) * w), F.lit(0.0))
+    named = [c.alias(n) for n, c in sums.items()]
+    ratios = [F.when(F.col(f"_n_{n}") > 0, F.col(f"_s_{n}") / F.col(f"_n_{n}")).alias(n) for n in means]
+    if not label:
+        return drawn.groupBy(REPLICATE).agg(*named).select(REPLICATE, *ratios)
+    grouped = drawn.groupBy(REPLICATE, "_s").agg(
+        F.sum(F.when(F.col("_y") == 1, w).otherwise(0)).alias("_pos"),
+        F.sum(F.when(F.col("_y") == 0, w).otherwise(0)).alias("_neg"), *named)
+    banded = with_band(grouped, [("_s", False)], source=needed)
+    return ranked_sums(banded, [REPLICATE], list(sums)).select(REPLICATE, *ratios, "auc", "average_precision")
 
 
 def percentile_intervals(replicates: DataFrame, metrics: Sequence[str], keys: Sequence[str] = (),
@@ -125,14 +138,14 @@ def cluster_differences(paired: DataFrame, cluster: str, first: str, second: str
         return (F.when(F.col("_p") > 0, F.col(f"_l_{arm}") / F.col("_p")) * weights_of[0]
                 + F.col(f"_o_{arm}") / F.col("_n") * weights_of[1])
 
-    def auc_of(arm: str) -> DataFrame:
-        rows = paired.groupBy(cluster, label, F.col(f"{score}_{arm}").alias("_s")).agg(
-            F.count(F.lit(1)).alias("_k"))
-        drawn = weights.join(rows, cluster).select(REPLICATE, F.col(label).alias("_y"), "_s",
-                                                   (F.col("_k") * F.col(WEIGHT)).alias("_w"))
-        return ranking_metrics(drawn, [REPLICATE], "_y", "_s", "_w").select(REPLICATE, F.col("auc").alias(f"_auc_{arm}"))
-
+    # both arms in long form: one ranking job with the arm as a key
+    rows = paired.select(cluster, label, F.explode(F.array(*[
+        F.struct(F.lit(a).alias("arm"), F.col(f"{score}_{a}").alias("s")) for a in (first, second)])).alias("_a")).groupBy(
+        cluster, label, F.col("_a.arm").alias("arm"), F.col("_a.s").alias("_s")).agg(F.count(F.lit(1)).alias("_k"))
+    drawn = weights.join(rows, cluster).select(REPLICATE, "arm", F.col(label).alias("_y"), "_s",
+                                               (F.col("_k") * F.col(WEIGHT)).alias("_w"))
+    auc = ranking_metrics(drawn, [REPLICATE, "arm"], "_y", "_s", "_w", scores=rows).groupBy(REPLICATE).agg(
+        (F.max(F.when(F.col("arm") == first, F.col("auc")))
+         - F.max(F.when(F.col("arm") == second, F.col("auc")))).alias("auc_difference"))
     return (sums.select(REPLICATE, (selection(first) - selection(second)).alias("selection_difference"))
-            .join(auc_of(first), REPLICATE, "left").join(auc_of(second), REPLICATE, "left")
-            .select(REPLICATE, "selection_difference",
-                    (F.col(f"_auc_{first}") - F.col(f"_auc_{second}")).alias("auc_difference")))
+            .join(auc, REPLICATE, "left"))

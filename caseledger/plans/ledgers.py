@@ -396,13 +396,14 @@ def _(t):
 @query("j3_hash_chain", uses="v_payload", sql=f"""
 , r AS (SELECT sha256(path || '|' || (strlen(content) + CASE WHEN {_STALE} THEN 1 ELSE 0 END) || '|' ||
   CASE WHEN {_STALE} THEN '0' ELSE sha256(content) END) AS h FROM v_payload),
-b AS (SELECT substr(h, 1, 3) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY 1)
+lf AS (SELECT substr(h, 1, 6) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY 1),
+b AS (SELECT substr(b, 1, 3) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM lf GROUP BY 1)
 SELECT (SELECT count(*) FROM v_payload) AS items, (SELECT count(*) FROM v_payload WHERE {_STALE}) AS bad_items,
- sha256(string_agg(h, '' ORDER BY b)) AS manifest_sha256, TRUE AS manifest_matches, FALSE AS chain_ok FROM b""")
+ sha256(string_agg(h, '' ORDER BY h)) AS manifest_sha256, TRUE AS manifest_matches, FALSE AS chain_ok FROM b""")
 def _(t):
     inv, manifest = _manifest(t)
     columns = ["path", "size_bytes", "sha256"]
-    frozen = ln.manifest_hash(manifest, columns, "path").select("manifest_sha256")
+    frozen = ln.manifest_hash(manifest, columns).select("manifest_sha256")
     checked = ln.chain_check(manifest.join(F.broadcast(frozen)), inv, F.col("manifest_sha256"), columns)
     return checked.join(F.broadcast(frozen))
 
