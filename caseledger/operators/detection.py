@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.constants import (
     DEPLOYMENT_FP_TARGET, FP_TARGETS, MAXIMUM_CANDIDATES, STANDARD_FP_TARGETS, TOLERANCE_MM,
 )
-from .ordering import Order, exact_percentiles, rank_within, running_totals, sort_columns, with_band
+from .ordering import Order, exact_percentiles, rank_within, running_totals, sort_columns
 
 CANDIDATE_ORDER: Order = (("candidate_score", False), ("candidate_x", True), ("candidate_y", True),
                           ("candidate_z", True))
@@ -64,38 +64,42 @@ def case_scores(cases: DataFrame, candidates: DataFrame, threshold: float) -> Da
 
 
 def _score_groups(rows: DataFrame, keys: Sequence[str], label: str, score: str,
-                  weight: str | None = None, scores: DataFrame | None = None) -> DataFrame:
-    """One banded row per distinct score with weighted positive and negative counts."""
+                  weight: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """One row per distinct score with weighted positive and negative counts, and
+    the ungrouped rows they come from."""
     w = F.col(weight) if weight else F.lit(1)
     raw = rows.where(F.col(score).isNotNull()).select(
         *keys, F.col(score).alias("_s"), F.when(F.col(label) == 1, w).otherwise(0).cast("long").alias("_p"),
         F.when(F.col(label) == 0, w).otherwise(0).cast("long").alias("_q"))
-    grouped = raw.groupBy(*keys, "_s").agg(F.sum("_p").alias("_pos"), F.sum("_q").alias("_neg"))
-    source = raw if scores is None else scores.select(F.col(score).alias("_s"))
-    return with_band(grouped, [("_s", False)], source=source)
+    return raw.groupBy(*keys, "_s").agg(F.sum("_p").alias("_pos"), F.sum("_q").alias("_neg")), raw
 
 
 def ranking_metrics(rows: DataFrame, keys: Sequence[str] = (), label: str = "label_binary",
                     score: str = "score", weight: str | None = None,
-                    scores: DataFrame | None = None) -> DataFrame:
+                    undrawn: DataFrame | None = None) -> DataFrame:
     """ROC AUC with tie correction and step-wise average precision, per key.
 
     ``auc`` is null with one class only, ``average_precision`` without
     positives. ``weight`` is an integer multiplicity (bootstrap draws), and
-    ``scores`` then the undrawn table with the same score column, from which
-    the bands are taken at a fraction of the cost.
+    ``undrawn`` then the table behind the draws, whose row count bounds the
+    score groups of one key.
     """
     keys = list(keys)
-    groups = _score_groups(rows, keys, label, score, weight, scores)
-    out = ranked_sums(groups, keys)
+    groups, raw = _score_groups(rows, keys, label, score, weight)
+    if undrawn is None:
+        out = ranked_sums(groups, raw, keys)
+    else:
+        out = ranked_sums(groups, undrawn.select(F.col(score).alias("_s")), keys, rows_per_key=undrawn.count())
     return out.select(*keys, "positives", "negatives", "auc", "average_precision")
 
 
-def ranked_sums(groups: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
-    """AUC and average precision of banded score groups (``_s, _pos, _neg``), with
-    the sums of any ``extra`` columns in the same grouping."""
+def ranked_sums(groups: DataFrame, raw: DataFrame | None, keys: Sequence[str],
+                extra: Sequence[str] = (), rows_per_key: int | None = None) -> DataFrame:
+    """AUC and average precision of score groups (``_s, _pos, _neg``), with the
+    sums of any ``extra`` columns in the same grouping."""
     keys = list(keys)
-    run = running_totals(groups, keys, [("_s", False)], {"_tp": "_pos", "_fp": "_neg"})
+    run = running_totals(groups, keys, [("_s", False)], {"_tp": "_pos", "_fp": "_neg"}, source=raw,
+                         rows_per_key=rows_per_key)
     sums = run.groupBy(*keys).agg(
         F.sum("_pos").alias("positives"), F.sum("_neg").alias("negatives"),
         # negatives of a score lose against all positives above it and half of its own
@@ -115,8 +119,9 @@ def roc_curve(rows: DataFrame, label: str = "label_binary", score: str = "score"
     Neighbouring points come from an equi-join on the position, so no window
     spans the whole curve.
     """
-    groups = _score_groups(rows, [], label, score).withColumn("_one", F.lit(1).cast("long"))
-    run = running_totals(groups, [], [("_s", False)], {"_tp": "_pos", "_fp": "_neg", "_i": "_one"})
+    groups, raw = _score_groups(rows, [], label, score)
+    run = running_totals(groups.withColumn("_one", F.lit(1).cast("long")), [], [("_s", False)],
+                         {"_tp": "_pos", "_fp": "_neg", "_i": "_one"}, source=raw)
     points = run.select("_i", "_tp", "_fp", F.col("_s").cast("double").alias("threshold"))
     step = points.join(
         run.select((F.col("_i") - 1).alias("_i"), F.col("_pos").alias("_dp"), F.col("_neg").alias("_dn")),
@@ -159,8 +164,7 @@ def froc_curve(truth: DataFrame, sizes: DataFrame, keys: Sequence[str] = ()) ->
 
 
 def _froc(grouped: DataFrame, raw: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
-    run = running_totals(with_band(grouped, [("threshold", False)], source=raw), keys,
-                         [("threshold", False)], {"tp": "_tp", "fp": "_fp"})
+    run = running_totals(grouped, keys, [("threshold", False)], {"tp": "_tp", "fp": "_fp"}, source=raw)
     best = raw.groupBy(*keys).agg(F.max("threshold").alias("_best"))
     top = sizes.join(best, keys, "left") if keys else sizes.join(F.broadcast(best))
     origin = top.select(*keys, F.coalesce(F.col("_best") + 1e-6, F.lit(1.0)).alias("threshold"),

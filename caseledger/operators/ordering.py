@@ -1,7 +1,7 @@
 """Ranks, running totals and exact quantiles that never need one big task.
 
 A window over a hot key, or over no key, sorts everything it covers in one
-task. Here rows are first cut into *bands*: consecutive slices of the sort
+task. Here the rows of hot keys are first cut into *bands*: consecutive slices of the sort
 order of about equal size. A window then runs inside ``(key, band)``, the band
 totals (a few rows per key) are accumulated in a second small window, and the
 two are added. A value that alone fills a band is cut further by the next sort
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from ..functions.scalars import hash32
 
 BAND = "_band"
+HOT_ROWS = 2_000_000  # rows of one key that a single task may sort
 Order = Sequence[tuple[str, bool]]  # (column, ascending)
 
 _NUMERIC = (T.NumericType, T.BooleanType)
@@ -110,15 +111,54 @@ def _bucket(df: DataFrame, value: str, edges: list[float], heavy: list[float], o
     return Bucketizer(splits=splits, inputCol=value, outputCol=out, handleInvalid="keep").transform(df)
 
 
+def hot_keys(rows: DataFrame, keys: Sequence[str], most_rows: int) -> DataFrame | None:
+    """Keys with more than ``most_rows`` rows, or None when there are none.
+
+    One pass over the key columns with map-side combine. The limit is raised to
+    a ten-thousandth of the table where that is more, so at most 10,000 keys
+    come back: a proven bound for the broadcast that splits them off.
+    """
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = counts.agg(F.sum("_n"), F.max("_n")).first()
+    limit = max(most_rows, (sizes[0] or 0) // 10_000)
+    if (sizes[1] or 0) <= limit:
+        return None
+    found = counts.where(F.col("_n") > limit).drop("_n").collect()
+    return rows.sparkSession.createDataFrame(found, counts.drop("_n").schema)
+
+
 def running_totals(rows: DataFrame, keys: Sequence[str], order: Order, sums: dict[str, str],
-                   bands: int | None = None, grouped: bool = True) -> DataFrame:
+                   bands: int | None = None, grouped: bool = True, source: DataFrame | None = None,
+                   hot_rows: int = HOT_ROWS, rows_per_key: int | None = None) -> DataFrame:
     """Inclusive running sums of ``sums`` (output name -> input column) per key.
 
-    Without keys the running totals are global and the band totals are
-    broadcast: there are at most ``2 * bands`` rows of them, whatever the data.
+    Keys of ordinary size use one plain window. Keys above ``hot_rows`` rows are
+    split off and go through bands; without keys everything does, and the band
+    totals are broadcast, at most ``2 * bands`` rows whatever the data.
+    ``source`` is the ungrouped input of aggregated ``rows``, if there is one:
+    sizes and band edges are then read from it without a shuffle. A caller that
+    knows an upper bound of ``rows_per_key`` spares the size pass.
     """
-    banded = rows if BAND in rows.columns else with_band(rows, order, bands)
-    return _two_level(banded, keys, sort_columns(order), sums, grouped)
+    keys = list(keys)
+    by = sort_columns(order)
+    if not keys:
+        return _two_level(with_band(rows, order, bands, source), keys, by, sums, grouped)
+    if rows_per_key is not None:
+        if rows_per_key <= hot_rows:
+            return _plain(rows, keys, by, sums)
+        return _two_level(with_band(rows, order, bands, source), keys, by, sums, grouped)
+    hot = hot_keys(rows if source is None else source, keys, hot_rows)
+    if hot is None:
+        return _plain(rows, keys, by, sums)
+    cold = _plain(rows.join(F.broadcast(hot), keys, "left_anti"), keys, by, sums)
+    split = rows.join(F.broadcast(hot), keys, "left_semi")
+    seen = None if source is None else source.join(F.broadcast(hot), keys, "left_semi")
+    return cold.unionByName(_two_level(with_band(split, order, bands, seen), keys, by, sums, grouped))
+
+
+def _plain(rows: DataFrame, keys: list[str], by: list[Column], sums: dict[str, str]) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("*", *[F.sum(c).over(w).alias(o) for o, c in sums.items()])
 
 
 def _two_level(banded: DataFrame, keys: Sequence[str], by: list[Column], sums: dict[str, str],
@@ -151,10 +191,10 @@ def _two_level(banded: DataFrame, keys: Sequence[str], by: list[Column], sums: d
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], order: Order, out: str,
-                bands: int | None = None) -> DataFrame:
+                bands: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """1-based row number per key; ``order`` should identify the row."""
     return running_totals(df.withColumn("_one", F.lit(1).cast("long")), keys, order,
-                          {out: "_one"}, bands, grouped=False).drop("_one")
+                          {out: "_one"}, bands, grouped=False, hot_rows=hot_rows).drop("_one")
 
 
 def hash_index(df: DataFrame, keys: Sequence[str], identity: Sequence[str], out: str,
@@ -174,7 +214,8 @@ def hash_index(df: DataFrame, keys: Sequence[str], identity: Sequence[str], out:
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                      out: str = "percentile_value", bands: int | None = None) -> DataFrame:
+                      out: str = "percentile_value", bands: int | None = None,
+                      hot_rows: int = HOT_ROWS) -> DataFrame:
     """Exact linearly interpolated percentiles: rows ``(keys, p, out)``.
 
     Works on distinct values with counts, so it neither buffers a group nor
@@ -183,8 +224,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
     keys = list(keys)
     raw = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     counts = raw.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    placed = running_totals(with_band(counts, [("_v", True)], bands, source=raw), keys,
-                            [("_v", True)], {"_cum": "_n"})
+    placed = running_totals(counts, keys, [("_v", True)], {"_cum": "_n"}, bands, source=raw, hot_rows=hot_rows)
     size = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     joined = placed.join(size, keys) if keys else placed.join(F.broadcast(size))
     spots = F.array(*[

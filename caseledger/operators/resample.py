@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.constants import BOOTSTRAP_REPLICATES, SEED
 from ..functions.scalars import hash32
 from .detection import ranked_sums, ranking_metrics
-from .ordering import hash_index, with_band
+from .ordering import hash_index
 
 REPLICATE, WEIGHT = "replicate", "weight"
 
@@ -69,8 +69,9 @@ def replicate_metrics(cases: DataFrame, weights: DataFrame, identity: str, means
     grouped = drawn.groupBy(REPLICATE, "_s").agg(
         F.sum(F.when(F.col("_y") == 1, w).otherwise(0)).alias("_pos"),
         F.sum(F.when(F.col("_y") == 0, w).otherwise(0)).alias("_neg"), *named)
-    banded = with_band(grouped, [("_s", False)], source=needed)
-    return ranked_sums(banded, [REPLICATE], list(sums)).select(REPLICATE, *ratios, "auc", "average_precision")
+    # a replicate has at most as many score groups as the undrawn table has rows
+    return ranked_sums(grouped, needed, [REPLICATE], list(sums), rows_per_key=needed.count()).select(
+        REPLICATE, *ratios, "auc", "average_precision")
 
 
 def percentile_intervals(replicates: DataFrame, metrics: Sequence[str], keys: Sequence[str] = (),
@@ -144,7 +145,7 @@ def cluster_differences(paired: DataFrame, cluster: str, first: str, second: str
         cluster, label, F.col("_a.arm").alias("arm"), F.col("_a.s").alias("_s")).agg(F.count(F.lit(1)).alias("_k"))
     drawn = weights.join(rows, cluster).select(REPLICATE, "arm", F.col(label).alias("_y"), "_s",
                                                (F.col("_k") * F.col(WEIGHT)).alias("_w"))
-    auc = ranking_metrics(drawn, [REPLICATE, "arm"], "_y", "_s", "_w", scores=rows).groupBy(REPLICATE).agg(
+    auc = ranking_metrics(drawn, [REPLICATE, "arm"], "_y", "_s", "_w", undrawn=rows).groupBy(REPLICATE).agg(
         (F.max(F.when(F.col("arm") == first, F.col("auc")))
          - F.max(F.when(F.col("arm") == second, F.col("auc")))).alias("auc_difference"))
     return (sums.select(REPLICATE, (selection(first) - selection(second)).alias("selection_difference"))

@@ -127,6 +127,14 @@ def within_radius(seeds: DataFrame, radius: float, spacing: Sequence[float]) ->
     return d
 
 
+def near_reference(probes: DataFrame, references: DataFrame, identity: str, radius: float,
+                   spacing: Sequence[float] = k.SPACING_MM) -> DataFrame:
+    """Probes within ``radius`` mm of a reference voxel of their study. For few probes
+    in large volumes; :func:`within_radius` serves when all voxels are asked for."""
+    return nearest_distance(probes, references, identity, spacing, radius).where(
+        F.col("reference_distance_mm").isNotNull()).drop("reference_distance_mm")
+
+
 def anatomical_gate(voxels: DataFrame, seed: Column, radius: float = k.GATE_MARGIN_MM,
                     spacing: Sequence[float] = k.SPACING_MM) -> DataFrame:
     """Voxels within the radius of a seed voxel; a study without seeds passes whole."""
@@ -137,7 +145,8 @@ def anatomical_gate(voxels: DataFrame, seed: Column, radius: float = k.GATE_MARG
 
 
 def nearest_distance(probes: DataFrame, references: DataFrame, identity: str,
-                     spacing: Sequence[float] = k.SPACING_MM, levels: int = 4, factor: int = 4) -> DataFrame:
+                     spacing: Sequence[float] = k.SPACING_MM, limit: float | None = None, levels: int = 4,
+                     factor: int = 4) -> DataFrame:
     """Exact distance in mm from each probe to the nearest reference voxel of its study.
 
     A pyramid of occupied cells (edges 4, 16, 64, 256 voxels) is searched from
@@ -145,7 +154,8 @@ def nearest_distance(probes: DataFrame, references: DataFrame, identity: str,
     another cell's farthest possible point are dropped, and only the rest are
     opened. Each step is an equi-join on (study, cell), so probes and voxels of
     a crowded study spread over cells and no probe meets all voxels. Studies
-    without references give null.
+    without references give null, and so do distances above ``limit`` if one is
+    given: such probes leave the search as soon as their bounds show it.
     """
     refs = references.select(*VOXEL).distinct()
 
@@ -170,7 +180,8 @@ def nearest_distance(probes: DataFrame, references: DataFrame, identity: str,
             gap = F.greatest(lo - p, p - hi, F.lit(0.0)) * s
             span = F.greatest(F.abs(p - lo), F.abs(hi - p)) * s
             nearest, farthest = nearest + gap * gap, farthest + span * span
-        return df.withColumn("_near", nearest).withColumn("_far", farthest)
+        out = df.withColumn("_near", nearest).withColumn("_far", farthest)
+        return out if limit is None else out.where(F.col("_near") <= limit * limit + 1e-9)
 
     frontier = bounded(base.join(pyramid[levels], "study_id"))
     for level in range(levels - 1, -1, -1):
@@ -375,9 +386,10 @@ def generate_candidates(voxels: DataFrame, lesion: str = "p_lesion", organ: str
     """
     peaks = detect_peaks(voxels, lesion, [sigma_mm / s for s in spacing], filter_sizes(radius_mm, spacing), minimum)
     seeds = voxels.where(F.col(organ) >= gate_probability).select(*VOXEL)
-    near = peaks.join(within_radius(seeds, gate_margin, spacing), VOXEL, "left_semi")
+    peaks = cut_lineage(peaks.withColumn("_id", F.concat_ws("/", *VOXEL)))
+    near = near_reference(peaks, seeds, "_id", gate_margin, spacing)
     free = peaks.join(seeds.select("study_id").distinct(), "study_id", "left_anti")
-    gated = cut_lineage(near.unionByName(free))
+    gated = cut_lineage(near.unionByName(free).drop("_id"))
     marked = gated.join(connected_plateaus(gated), VOXEL)
     best = plateau_peaks(marked, "candidate_score").select(
         "study_id", *[F.col(a).alias(f"candidate_{a}") for a in AXES], "candidate_score", "candidate_raw_probability")

@@ -45,8 +45,8 @@ def _(t):
 @query("c12_radius_gate_large_volume", uses="v_points v_probe", sql=f"""
 SELECT DISTINCT a.study_id, a.x, a.y, a.z FROM v_probe a JOIN v_points b ON a.study_id = b.study_id AND {_DIST} <= 5.0""")
 def _(t):
-    near = vo.within_radius(v.v_points(t), 5.0, k.SPACING_MM)
-    return v.v_probe(t).select(*vo.VOXEL).distinct().join(near, vo.VOXEL, "left_semi")
+    probes = v.v_probe(t).select(*vo.VOXEL).distinct().withColumn("_id", F.concat_ws("/", *vo.VOXEL))
+    return vo.near_reference(probes, v.v_points(t), "_id", 5.0).drop("_id")
 
 
 @query("d10_dice_overlap", uses="v_volume", doubles="organ_dice lesion_dice", sql="""
