@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.constants import BOOTSTRAP_REPLICATES, SEED
 from ..functions.scalars import hash32
+from ..session import spread
 from .detection import ranked_sums, ranking_metrics
 from .ordering import hash_index
 
@@ -33,7 +34,7 @@ def draw_weights(units: DataFrame, strata: Sequence[str], identity: str,
     slots = (numbered.select(*strata, "_i").join(sizes, strata) if strata
              else numbered.select("_i").join(F.broadcast(sizes)))
     label = F.concat_ws("|", *[F.col(c).cast("string") for c in strata]) if strata else F.lit("all")
-    each = slots.select(*strata, "_i", "_n", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"))).alias(REPLICATE))
+    each = spread(slots, "_i").select(*strata, "_i", "_n", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"))).alias(REPLICATE))
     drawn = each.select(*strata, REPLICATE,
                         (hash32(F.lit(seed), F.col(REPLICATE), label, F.col("_i")) % F.col("_n")).alias("_i"))
     counts = drawn.groupBy(REPLICATE, *strata, "_i").agg(F.count(F.lit(1)).alias(WEIGHT))

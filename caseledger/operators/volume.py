@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import constants as k
 from ..functions.scalars import clamp
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .detection import match_candidates, top_candidates
 
 AXES = ("x", "y", "z")
@@ -157,18 +157,18 @@ def nearest_distance(probes: DataFrame, references: DataFrame, identity: str,
     without references give null, and so do distances above ``limit`` if one is
     given: such probes leave the search as soon as their bounds show it.
     """
-    refs = references.select(*VOXEL).distinct()
+    refs = references.select(*VOXEL)
 
-    def cell(c: Column) -> Column:
-        return F.floor(c / factor).cast("int")
+    def cell(c: Column, level: int) -> Column:
+        return F.floor(c / factor ** level).cast("int")
 
-    # level 0: voxels; level i: occupied cells with the tight box of their content
+    # level 0: voxels; level i: occupied cells with the tight box of their content.
+    # Each level is one map-side aggregate over the voxels; repeats do no harm.
     pyramid = [refs.select("study_id", *[F.col(a).alias(f"c_{a}") for a in AXES],
                            *[F.col(a).alias(f"lo_{a}") for a in AXES], *[F.col(a).alias(f"hi_{a}") for a in AXES])]
-    for _ in range(levels):
-        below = pyramid[-1]
-        pyramid.append(below.groupBy("study_id", *[cell(F.col(f"c_{a}")).alias(f"c_{a}") for a in AXES]).agg(
-            *[F.min(f"lo_{a}").alias(f"lo_{a}") for a in AXES], *[F.max(f"hi_{a}").alias(f"hi_{a}") for a in AXES]))
+    for level in range(1, levels + 1):
+        pyramid.append(refs.groupBy("study_id", *[cell(F.col(a), level).alias(f"c_{a}") for a in AXES]).agg(
+            *[F.min(a).alias(f"lo_{a}") for a in AXES], *[F.max(a).alias(f"hi_{a}") for a in AXES]))
 
     base = probes.select(identity, "study_id", *[F.col(a).cast("double").alias(f"p_{a}") for a in AXES])
     point = [f"p_{a}" for a in AXES]
@@ -189,7 +189,7 @@ def nearest_distance(probes: DataFrame, references: DataFrame, identity: str,
         reach = F.min("_far").over(Window.partitionBy(identity))
         kept = frontier.withColumn("_reach", reach).where(F.col("_near") <= F.col("_reach") + 1e-9)
         opened = kept.select(identity, "study_id", *point, *[F.col(f"c_{a}").alias(f"up_{a}") for a in AXES])
-        children = pyramid[level].select("*", *[cell(F.col(f"c_{a}")).alias(f"up_{a}") for a in AXES])
+        children = pyramid[level].select("*", *[cell(F.col(f"c_{a}"), 1).alias(f"up_{a}") for a in AXES])
         frontier = bounded(opened.join(children, ["study_id", *[f"up_{a}" for a in AXES]]))
     best = frontier.groupBy(identity).agg(F.sqrt(F.min("_near")).alias("reference_distance_mm"))
     return probes.join(best, identity, "left")
@@ -485,7 +485,7 @@ def regrid_to_canvas(voxels: DataFrame, geometry: DataFrame, value: str, out: st
 def crop_grid(crops: DataFrame, shape: Sequence[int], carry: Sequence[str]) -> DataFrame:
     """All voxels ``o_x, o_y, o_z`` of each study's crop grid, spread by slab first."""
     df = crops.select("study_id", *carry, F.explode(F.sequence(F.lit(0), F.lit(shape[0] - 1))).alias("o_x"))
-    df = df.repartition("study_id", "o_x")
+    df = spread(df, "study_id", "o_x")
     for a, n in zip("yz", shape[1:]):
         df = df.withColumn(f"o_{a}", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return df

@@ -55,3 +55,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partitions into the full number of shuffle partitions.
+
+    Used right before rows are multiplied (replicates, grid points): adaptive
+    execution merges partitions by their present bytes and cannot see the rows
+    to come, but it leaves a partition count that was asked for alone.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *columns)
