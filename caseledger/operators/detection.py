@@ -122,13 +122,10 @@ def roc_curve(rows: DataFrame, label: str = "label_binary", score: str = "score"
     groups, raw = _score_groups(rows, [], label, score)
     run = running_totals(groups.withColumn("_one", F.lit(1).cast("long")), [], [("_s", False)],
                          {"_tp": "_pos", "_fp": "_neg", "_i": "_one"}, source=raw)
-    points = run.select("_i", "_tp", "_fp", F.col("_s").cast("double").alias("threshold"))
-    step = points.join(
-        run.select((F.col("_i") - 1).alias("_i"), F.col("_pos").alias("_dp"), F.col("_neg").alias("_dn")),
-        "_i", "left").join(
-        run.select("_i", F.col("_pos").alias("_up"), F.col("_neg").alias("_un")), "_i")
-    # a point stays when the step before it and the step after it differ, or at the end
-    kept = step.where(F.col("_dp").isNull() | (F.col("_dp") != F.col("_up")) | (F.col("_dn") != F.col("_un")))
+    following = run.select((F.col("_i") - 1).alias("_i"), F.col("_pos").alias("_dp"), F.col("_neg").alias("_dn"))
+    step = run.withColumn("threshold", F.col("_s").cast("double")).join(following, "_i", "left")
+    # a point stays when the step into it and the step out of it differ, or at the end
+    kept = step.where(F.col("_dp").isNull() | (F.col("_dp") != F.col("_pos")) | (F.col("_dn") != F.col("_neg")))
     ends = run.agg(F.max("_tp").alias("_P"), F.max("_fp").alias("_N"))
     start = ends.select(F.lit(0).cast("long").alias("_tp"), F.lit(0).cast("long").alias("_fp"),
                         F.lit(float("inf")).alias("threshold"))

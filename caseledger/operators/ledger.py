@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.constants import IMPROVEMENT_MARGIN
-from .ordering import BAND, with_band
+from ..session import cut_lineage
+from .ordering import BAND, rank_within, with_band
 
 
 def validated_done(ledger: DataFrame, locks: DataFrame, inventory: DataFrame,
@@ -43,21 +44,41 @@ def run_state(target: Column, completed: Column, errors: Column) -> Column:
 
 
 def best_so_far(history: DataFrame, key: str = "arm", order: str = "epoch", score: str = "score",
-                margin: float = IMPROVEMENT_MARGIN) -> DataFrame:
+                margin: float = IMPROVEMENT_MARGIN, fold_rows: int = 1_000_000) -> DataFrame:
     """Improvements per arm: ``(arm, epoch, score)`` of every new best.
 
     A score counts only if it beats the *last accepted* best by more than
     ``margin``, so the chain depends on its own past. An accepted score always
     exceeds every score before it; those records are found with banded running
-    maxima first, spread over tasks, and only they enter the ordered fold.
+    maxima first, spread over tasks, and only they enter the ordered fold. An
+    arm with more than ``fold_rows`` records is folded in consecutive chunks,
+    each starting from the best the one before it left.
     """
-    records = _running_records(history, key, order, score)
-    rows = records.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(score).alias("s"))))
-                                    .alias("_r"))
-    empty = F.slice(F.col("_r"), 1, 1)
-    chain = F.aggregate(
-        F.slice(F.col("_r"), 2, F.greatest(F.size("_r") - 1, F.lit(0))), empty,
-        lambda acc, x: F.when(x["s"] > F.element_at(acc, -1)["s"] + margin, F.array_append(acc, x)).otherwise(acc))
+    records = cut_lineage(_running_records(history, key, order, score))
+    longest = records.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    if longest <= fold_rows:
+        return _fold(records, None, key, order, score, margin)
+    chunked = cut_lineage(rank_within(records, [key], [(order, True)], "_n").withColumn(
+        "_chunk", F.floor((F.col("_n") - 1) / fold_rows)).drop("_n"))
+    gains = None
+    for chunk in range(-(-longest // fold_rows)):
+        last = None if gains is None else gains.groupBy(key).agg(F.max(score).alias("_best"))
+        found = cut_lineage(_fold(chunked.where(F.col("_chunk") == chunk), last, key, order, score, margin))
+        gains = found if gains is None else gains.unionByName(found)
+    return gains
+
+
+def _fold(records: DataFrame, last: DataFrame | None, key: str, order: str, score: str, margin: float) -> DataFrame:
+    """Accepted records in order, starting from ``last`` (one ``_best`` per key)."""
+    rows = records.groupBy(key).agg(F.array_sort(F.collect_list(
+        F.struct(F.col(order).alias("o"), F.col(score).cast("double").alias("s")))).alias("_r"))
+    rows = rows.withColumn("_best", F.lit(None).cast("double")) if last is None else rows.join(last, key, "left")
+
+    def step(acc, x):
+        best = F.when(F.size(acc) > 0, F.get(acc, F.size(acc) - 1)["s"]).otherwise(F.col("_best"))
+        return F.when(best.isNull() | (x["s"] > best + margin), F.array_append(acc, x)).otherwise(acc)
+
+    chain = F.aggregate("_r", F.slice("_r", 1, 0), step)
     return rows.select(key, F.explode(chain).alias("_c")).select(
         key, F.col("_c.o").alias(order), F.col("_c.s").alias(score))
 

@@ -80,6 +80,18 @@ def write_version(df: DataFrame, base: str, partition_by: Sequence[str] = ()) ->
     return path
 
 
+def write_volumes(voxels: DataFrame, base: str, buckets: int = 16) -> str:
+    """Volumes by hash bucket of the study, ready for bucket-pruned scans.
+
+    Ranges over (bucket, study, slice) keep each task inside few buckets, so
+    there are about as many files as tasks, and they cut a very large bucket or
+    study into as many tasks as it needs.
+    """
+    bucket = F.pmod(F.xxhash64("study_id"), F.lit(buckets)).cast("int")
+    placed = voxels.withColumn("bucket", bucket).repartitionByRange("bucket", "study_id", "z")
+    return write_version(placed.sortWithinPartitions("bucket", "study_id", "z", "y", "x"), base, ["bucket"])
+
+
 def latest_version(spark: SparkSession, base: str) -> str | None:
     """Newest complete version below ``base``, by its success marker."""
     jvm = spark.sparkContext._jvm

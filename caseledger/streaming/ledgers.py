@@ -35,12 +35,13 @@ def run_ledger(stream: DataFrame, out: str, version: Sequence[str],
     go to the error ledger and the run continues.
     """
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = process(batch)
+        rows = process(batch).persist()
+        good = rows
         if problem is not None:
-            rows, bad = split_good_bad(rows, problem)
+            good, bad = split_good_bad(rows, problem)
             bad.write.mode("overwrite").parquet(f"{out}/errors/batch={batch_id}")
-        newest = keep_last(rows, key, version)
-        newest.write.mode("overwrite").parquet(f"{out}/ledger/batch={batch_id}")
+        keep_last(good, key, version).write.mode("overwrite").parquet(f"{out}/ledger/batch={batch_id}")
+        rows.unpersist()
 
     query = (stream.writeStream.foreachBatch(one_batch).option("checkpointLocation", f"{out}/checkpoint")
              .trigger(availableNow=True).start())

@@ -124,10 +124,12 @@ def test_stable_integer_matches_its_definition(spark):
     assert got == want
 
 
-def test_best_so_far_margin_depends_on_the_path(spark):
+@pytest.mark.parametrize("fold_rows", [1_000_000, 3])
+def test_best_so_far_margin_depends_on_the_path(spark, fold_rows):
     # each step is below the margin, so none but the first and a clear jump counts
     rows = [("a", e, 0.5 + e * 4e-7) for e in range(5)] + [("a", 9, 0.6), ("a", 10, 0.6000005), ("b", 1, 0.3), ("b", 2, 0.2)]
-    got = {(r.arm, r.epoch) for r in lg.best_so_far(frame(spark, rows, "arm string, epoch long, score double")).collect()}
+    got = {(r.arm, r.epoch) for r in lg.best_so_far(frame(spark, rows, "arm string, epoch long, score double"),
+                                                     fold_rows=fold_rows).collect()}
     assert got == {("a", 0), ("a", 3), ("a", 9), ("b", 1)}
 
 
