@@ -129,20 +129,22 @@ def hot_keys(rows: DataFrame, keys: Sequence[str], most_rows: int) -> DataFrame
 
 def running_totals(rows: DataFrame, keys: Sequence[str], order: Order, sums: dict[str, str],
                    bands: int | None = None, grouped: bool = True, source: DataFrame | None = None,
-                   hot_rows: int = HOT_ROWS, rows_per_key: int | None = None) -> DataFrame:
+                   hot_rows: int | None = None, rows_per_key: int | None = None) -> DataFrame:
     """Inclusive running sums of ``sums`` (output name -> input column) per key.
 
-    Keys of ordinary size use one plain window. Keys above ``hot_rows`` rows are
-    split off and go through bands; without keys everything does, and the band
-    totals are broadcast, at most ``2 * bands`` rows whatever the data.
+    Keys of ordinary size use one plain window, and so does a whole table of at
+    most ``hot_rows`` rows. Keys above that are split off and go through bands;
+    a larger table without keys does as a whole, and its band totals are
+    broadcast, at most ``2 * bands`` rows whatever the data.
     ``source`` is the ungrouped input of aggregated ``rows``, if there is one:
     sizes and band edges are then read from it without a shuffle. A caller that
     knows an upper bound of ``rows_per_key`` spares the size pass.
     """
     keys = list(keys)
     by = sort_columns(order)
-    if not keys:
-        return _two_level(with_band(rows, order, bands, source), keys, by, sums, grouped)
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    if not keys and rows_per_key is None:
+        rows_per_key = (rows if source is None else source).count()
     if rows_per_key is not None:
         if rows_per_key <= hot_rows:
             return _plain(rows, keys, by, sums)
@@ -157,7 +159,7 @@ def running_totals(rows: DataFrame, keys: Sequence[str], order: Order, sums: dic
 
 
 def _plain(rows: DataFrame, keys: list[str], by: list[Column], sums: dict[str, str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
     return rows.select("*", *[F.sum(c).over(w).alias(o) for o, c in sums.items()])
 
 
@@ -191,7 +193,7 @@ def _two_level(banded: DataFrame, keys: Sequence[str], by: list[Column], sums: d
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], order: Order, out: str,
-                bands: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                bands: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """1-based row number per key; ``order`` should identify the row."""
     return running_totals(df.withColumn("_one", F.lit(1).cast("long")), keys, order,
                           {out: "_one"}, bands, grouped=False, hot_rows=hot_rows).drop("_one")
@@ -215,7 +217,7 @@ def hash_index(df: DataFrame, keys: Sequence[str], identity: Sequence[str], out:
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
                       out: str = "percentile_value", bands: int | None = None,
-                      hot_rows: int = HOT_ROWS) -> DataFrame:
+                      hot_rows: int | None = None) -> DataFrame:
     """Exact linearly interpolated percentiles: rows ``(keys, p, out)``.
 
     Works on distinct values with counts, so it neither buffers a group nor

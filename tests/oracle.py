@@ -1,6 +1,9 @@
 """Runs registered queries against their SQL twins in DuckDB.
 
-    python tests/oracle.py [--sf DIR] [name or prefix ...]
+    python tests/oracle.py [--sf DIR] [--hot ROWS] [name or prefix ...]
+
+``--hot`` lowers the row count above which keys are split, so that small tables
+take the path of large ones.
 """
 
 from __future__ import annotations
@@ -69,11 +72,14 @@ def compare(spark, con, name, sf_dir, queries, oracles) -> str:
 
 def main(argv):
     from __spark_entry__ import oracle_sql, queries
+    from caseledger.operators import ordering
     from caseledger.session import build_session
 
     sf = "/root/testdata/sf0.01"
     if argv[:1] == ["--sf"]:
         sf, argv = argv[1], argv[2:]
+    if argv[:1] == ["--hot"]:
+        ordering.HOT_ROWS, argv = int(argv[1]), argv[2:]
     spark = build_session("oracle", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("OFF")

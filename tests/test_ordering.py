@@ -39,18 +39,20 @@ def test_heavy_value_is_cut_by_the_next_column(skewed):
     assert all(x.b <= y.a for x, y in zip(ends, ends[1:]))
 
 
-def test_global_running_totals(skewed):
+@pytest.mark.parametrize("hot_rows", [100, 10**9])
+def test_global_running_totals(skewed, hot_rows):
     rows, df = skewed
     got = {r.i: r.t for r in od.running_totals(df.withColumn("one", F.lit(1).cast("long")), [],
-                                               [("v", False), ("i", True)], {"t": "one"}).collect()}
+                                               [("v", False), ("i", True)], {"t": "one"}, hot_rows=hot_rows).collect()}
     order = sorted(rows, key=lambda r: (-r[1], r[2]))
     assert got == {r[2]: n for n, r in enumerate(order, 1)}
 
 
-def test_text_order(spark):
+@pytest.mark.parametrize("hot_rows", [10, 10**9])
+def test_text_order(spark, hot_rows):
     names = [f"dir/{c}{i}" for c in "zab" for i in range(40)] + ["é", "Z"]
     df = spark.createDataFrame([(n,) for n in names], "p string").repartition(5)
-    got = {r.p: r.n for r in od.rank_within(df, [], [("p", True)], "n").collect()}
+    got = {r.p: r.n for r in od.rank_within(df, [], [("p", True)], "n", hot_rows=hot_rows).collect()}
     assert got == {n: i for i, n in enumerate(sorted(names, key=lambda s: s.encode()), 1)}
 
 
@@ -78,7 +80,7 @@ def test_band_input_is_read_once(spark):
     """Both sides of the banded join share one exchange."""
     raw = spark.range(5000).select((F.col("id") % 7).alias("k"), (F.col("id") % 501).cast("double").alias("s"))
     grouped = raw.groupBy("k", "s").agg(F.count("*").alias("n"))
-    out = od.running_totals(grouped, [], [("s", True)], {"t": "n"}, source=raw)
+    out = od.running_totals(grouped, [], [("s", True)], {"t": "n"}, source=raw, hot_rows=10)
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "ReusedExchange" in plan

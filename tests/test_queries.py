@@ -18,6 +18,20 @@ def test_query_equals_sql(spark, con, sf, name):
     assert compare(spark, con, name, sf, QUERIES, ORACLES) == ""
 
 
+RANKED = ["d15_masked_intensity", "d18_roc_auc", "d19_average_precision", "d20_roc_curve", "d21_froc_curve", "d22_operating_points",
+          "d29_source_separated_table", "d33_localiser_error_metrics", "d34_stratified_bootstrap", "d8_exact_percentiles",
+          "e1_rank_within_case", "e2_running_totals_global", "e9_evidence_order"]
+
+
+@pytest.mark.parametrize("name", RANKED)
+def test_query_equals_sql_when_everything_is_hot(spark, con, sf, name, monkeypatch):
+    """The same queries, forced through the bands that large tables take."""
+    from caseledger.operators import ordering
+
+    monkeypatch.setattr(ordering, "HOT_ROWS", 4)
+    assert compare(spark, con, name, sf, QUERIES, ORACLES) == ""
+
+
 def test_entry(spark):
     assert entry(spark).count() == 6
 
