@@ -81,7 +81,8 @@ def main(argv):
     if argv[:1] == ["--hot"]:
         ordering.HOT_ROWS, argv = int(argv[1]), argv[2:]
     spark = build_session("oracle", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
+        "spark.sql.shuffle.partitions": os.environ.get("ORACLE_PARTITIONS", "8"), "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("OFF")
     con, q, o, bad = duck(sf), queries(), oracle_sql(), []
     for name in q:
