@@ -250,8 +250,11 @@ def locked_metrics(truth: DataFrame, scored_cases: DataFrame, threshold: float |
     hits = above.groupBy("study_id").agg(
         F.sum(F.col("is_true_positive_candidate").cast("long")).alias("_tp"),
         F.sum(F.col("is_false_positive_candidate").cast("long")).alias("_fp"))
-    per_case = scored_cases.join(hits, "study_id", "left").withColumn("_tp", F.coalesce("_tp", F.lit(0))) \
-        .withColumn("_fp", F.coalesce("_fp", F.lit(0)))
+    return _locked(scored_cases.join(hits, "study_id", "left"), t, keys)
+
+
+def _locked(per_case: DataFrame, t: Column, keys: Sequence[str]) -> DataFrame:
+    per_case = per_case.withColumn("_tp", F.coalesce("_tp", F.lit(0))).withColumn("_fp", F.coalesce("_fp", F.lit(0)))
     pos, neg = F.col("label_binary") == 1, F.col("label_binary") == 0
     out = per_case.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_cases"), F.sum(pos.cast("long")).alias("n_refs"),
@@ -267,6 +270,20 @@ def locked_metrics(truth: DataFrame, scored_cases: DataFrame, threshold: float |
         _rate(F.col("_localized"), F.col("n_refs")).alias("localization_sensitivity"))
 
 
+def locked_from_distances(candidates: DataFrame, scored_cases: DataFrame, threshold: float,
+                          keys: Sequence[str] = (), tolerance: float = TOLERANCE_MM) -> DataFrame:
+    """:func:`locked_metrics` of unmatched candidates: a study has its one true
+    positive above the threshold if its best score within tolerance is; the rest
+    above the threshold is false. One map-side aggregate per study."""
+    inside = F.coalesce(F.col("reference_distance_mm") <= tolerance, F.lit(False))
+    hits = candidates.groupBy("study_id").agg(
+        F.max(F.when(inside, F.col("candidate_score"))).alias("_best"),
+        F.count_if(F.col("candidate_score") >= threshold).alias("_above"))
+    won = F.coalesce((F.col("_best") >= threshold).cast("long"), F.lit(0).cast("long"))
+    counted = hits.select("study_id", won.alias("_tp"), (F.col("_above") - won).alias("_fp"))
+    return _locked(scored_cases.join(counted, "study_id", "left"), F.lit(float(threshold)), keys)
+
+
 def score_order_violations(ranked: DataFrame, tolerance: float = 1e-7) -> DataFrame:
     """Studies whose scores rise with the rank. Neighbours meet by an equi-join on
     ``(study, rank)``: evenly spread even for a study with very many candidates."""

@@ -129,7 +129,8 @@ def hot_keys(rows: DataFrame, keys: Sequence[str], most_rows: int) -> DataFrame
 
 def running_totals(rows: DataFrame, keys: Sequence[str], order: Order, sums: dict[str, str],
                    bands: int | None = None, grouped: bool = True, source: DataFrame | None = None,
-                   hot_rows: int | None = None, rows_per_key: int | None = None) -> DataFrame:
+                   hot_rows: int | None = None, rows_per_key: int | None = None,
+                   grand: dict[str, str] | None = None) -> DataFrame:
     """Inclusive running sums of ``sums`` (output name -> input column) per key.
 
     Keys of ordinary size use one plain window, and so does a whole table of at
@@ -138,7 +139,9 @@ def running_totals(rows: DataFrame, keys: Sequence[str], order: Order, sums: dic
     broadcast, at most ``2 * bands`` rows whatever the data.
     ``source`` is the ungrouped input of aggregated ``rows``, if there is one:
     sizes and band edges are then read from it without a shuffle. A caller that
-    knows an upper bound of ``rows_per_key`` spares the size pass.
+    knows an upper bound of ``rows_per_key`` spares the size pass. ``grand``
+    (output name -> input column, one of those summed) adds each key's total
+    without another join.
     """
     keys = list(keys)
     by = sort_columns(order)
@@ -147,24 +150,27 @@ def running_totals(rows: DataFrame, keys: Sequence[str], order: Order, sums: dic
         rows_per_key = (rows if source is None else source).count()
     if rows_per_key is not None:
         if rows_per_key <= hot_rows:
-            return _plain(rows, keys, by, sums)
-        return _two_level(with_band(rows, order, bands, source), keys, by, sums, grouped)
+            return _plain(rows, keys, by, sums, grand)
+        return _two_level(with_band(rows, order, bands, source), keys, by, sums, grouped, grand)
     hot = hot_keys(rows if source is None else source, keys, hot_rows)
     if hot is None:
-        return _plain(rows, keys, by, sums)
-    cold = _plain(rows.join(F.broadcast(hot), keys, "left_anti"), keys, by, sums)
+        return _plain(rows, keys, by, sums, grand)
+    cold = _plain(rows.join(F.broadcast(hot), keys, "left_anti"), keys, by, sums, grand)
     split = rows.join(F.broadcast(hot), keys, "left_semi")
     seen = None if source is None else source.join(F.broadcast(hot), keys, "left_semi")
-    return cold.unionByName(_two_level(with_band(split, order, bands, seen), keys, by, sums, grouped))
+    return cold.unionByName(_two_level(with_band(split, order, bands, seen), keys, by, sums, grouped, grand))
 
 
-def _plain(rows: DataFrame, keys: list[str], by: list[Column], sums: dict[str, str]) -> DataFrame:
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("*", *[F.sum(c).over(w).alias(o) for o, c in sums.items()])
+def _plain(rows: DataFrame, keys: list[str], by: list[Column], sums: dict[str, str],
+           grand: dict[str, str] | None = None) -> DataFrame:
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    w = whole.orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("*", *[F.sum(c).over(w).alias(o) for o, c in sums.items()],
+                       *[F.sum(c).over(whole).alias(o) for o, c in (grand or {}).items()])
 
 
 def _two_level(banded: DataFrame, keys: Sequence[str], by: list[Column], sums: dict[str, str],
-               grouped: bool = True) -> DataFrame:
+               grouped: bool = True, grand: dict[str, str] | None = None) -> DataFrame:
     """``grouped`` inputs are aggregates, dearer to build than to keep whole: the
     totals side then reads the very same columns, so Spark reuses one exchange
     instead of building the input twice. Row inputs keep the two sides apart:
@@ -177,11 +183,14 @@ def _two_level(banded: DataFrame, keys: Sequence[str], by: list[Column], sums: d
     values = [c for c in banded.columns if c not in keys and c != BAND] if grouped else []
     totals = (placed if grouped else banded).groupBy(*keys, BAND).agg(
         *[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()], *[F.max(c).alias(f"_m_{c}") for c in values])
-    earlier = (Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BAND)
-               .rowsBetween(Window.unboundedPreceding, -1))
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    earlier = whole.orderBy(BAND).rowsBetween(Window.unboundedPreceding, -1)
+    by_input = {c: o for o, c in sums.items()}
+    grand = grand or {}
     offsets = totals.select(
         *keys, BAND,
         *[F.coalesce(F.sum(f"_t_{o}").over(earlier), F.lit(0)).alias(f"_o_{o}") for o in sums],
+        *[F.sum(f"_t_{by_input[c]}").over(whole).alias(o) for o, c in grand.items()],
         *[f"_m_{c}" for c in values])
     if not keys:
         offsets = F.broadcast(offsets)
@@ -189,7 +198,7 @@ def _two_level(banded: DataFrame, keys: Sequence[str], by: list[Column], sums: d
     for c in values:  # always true: a band's maximum is null only if all its values are
         joined = joined.where(F.col(f"_m_{c}").isNotNull() | F.col(c).isNull())
     kept = [c for c in banded.columns if c != BAND]
-    return joined.select(*kept, *[(F.col(o) + F.col(f"_o_{o}")).alias(o) for o in sums])
+    return joined.select(*kept, *[(F.col(o) + F.col(f"_o_{o}")).alias(o) for o in sums], *grand)
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], order: Order, out: str,
@@ -200,8 +209,9 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Order, out: str,
 
 
 def hash_index(df: DataFrame, keys: Sequence[str], identity: Sequence[str], out: str,
-               salt: str = "") -> DataFrame:
-    """Dense 0-based index per key in stable-hash order of ``identity``.
+               salt: str = "", size: str | None = None) -> DataFrame:
+    """Dense 0-based index per key in stable-hash order of ``identity``, and on
+    request the ``size`` of the key beside it.
 
     The hash is uniform, so its leading bits are the bands: no quantile pass.
     """
@@ -211,7 +221,7 @@ def hash_index(df: DataFrame, keys: Sequence[str], identity: Sequence[str], out:
                   F.floor(F.col("_h").cast("double") / F.lit(4294967296.0) * bands).cast("long"), F.lit(-1).cast("long")))
               .withColumn("_one", F.lit(1).cast("long")))
     by = [F.col("_h"), *[F.col(c) for c in identity]]
-    return (_two_level(hashed, keys, by, {out: "_one"}, grouped=False)
+    return (_two_level(hashed, keys, by, {out: "_one"}, grouped=False, grand={size: "_one"} if size else None)
             .withColumn(out, F.col(out) - 1).drop("_h", "_one"))
 
 
@@ -226,9 +236,8 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
     keys = list(keys)
     raw = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     counts = raw.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    placed = running_totals(counts, keys, [("_v", True)], {"_cum": "_n"}, bands, source=raw, hot_rows=hot_rows)
-    size = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    joined = placed.join(size, keys) if keys else placed.join(F.broadcast(size))
+    joined = running_totals(counts, keys, [("_v", True)], {"_cum": "_n"}, bands, source=raw, hot_rows=hot_rows,
+                            grand={"_size": "_n"})
     spots = F.array(*[
         F.struct(F.lit(float(p)).alias("p"), (F.lit(float(p)) * (F.col("_size") - 1)).alias("pos"))
         for p in probs])

@@ -29,10 +29,8 @@ def draw_weights(units: DataFrame, strata: Sequence[str], identity: str,
     Without strata the whole table is one stratum.
     """
     strata = list(strata)
-    numbered = hash_index(units.select(*strata, identity), strata, [identity], "_i")
-    sizes = units.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
-    slots = (numbered.select(*strata, "_i").join(sizes, strata) if strata
-             else numbered.select("_i").join(F.broadcast(sizes)))
+    slots = hash_index(units.select(*strata, identity), strata, [identity], "_i", size="_n")
+    numbered = slots.drop("_n")
     label = F.concat_ws("|", *[F.col(c).cast("string") for c in strata]) if strata else F.lit("all")
     each = spread(slots, "_i").select(*strata, "_i", "_n", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"))).alias(REPLICATE))
     drawn = each.select(*strata, REPLICATE,

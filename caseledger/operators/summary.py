@@ -83,22 +83,13 @@ def source_table(cases: DataFrame, candidates: DataFrame, threshold: float) -> D
     sizes = det.cohort_sizes(cases, key)
     froc = det.mean_froc_sensitivity(
         det.operating_points(det.froc_from_distances(tagged, sizes, keys=key), keys=key), key)
-    inside = F.coalesce(F.col("reference_distance_mm") <= 5.0, F.lit(False))
-    hits = tagged.groupBy("source_group", "study_id").agg(
-        F.max(F.when(inside, F.col("candidate_score"))).alias("_best"),
-        F.count_if(F.col("candidate_score") >= threshold).alias("_above"))
-    won = (F.col("_best") >= threshold).cast("long")
-    locked = hits.groupBy("source_group").agg(
-        F.sum(F.coalesce(won, F.lit(0))).alias("_tp"), F.sum("_above").alias("_above"))
-    out = (case_means(cases, key).join(ranks, key, "left").join(froc, key, "left").join(locked, key, "left"))
-    has = F.col("positive_cases") > 0
-    tp = F.coalesce("_tp", F.lit(0))
+    locked = det.locked_from_distances(candidates, cases, threshold, key).select(
+        "source_group", "lesion_sensitivity", "fp_per_case")
+    out = case_means(cases, key).join(ranks, key, "left").join(froc, key, "left").join(locked, key, "left")
     return out.select(
         "source_group", "cases", "positive_cases", "negative_cases", "auc", "average_precision", "mean_organ_dice",
-        "mean_lesion_dice", "lesion_presence",
-        F.when(has, tp / F.col("positive_cases")).alias("lesion_sensitivity"),
-        ((F.coalesce("_above", F.lit(0)) - tp) / F.col("cases")).alias("fp_per_case"),
-        "negative_specificity", F.when(has, F.col("mean_froc_sensitivity")).alias("mean_froc_sensitivity"))
+        "mean_lesion_dice", "lesion_presence", "lesion_sensitivity", "fp_per_case", "negative_specificity",
+        F.when(F.col("positive_cases") > 0, F.col("mean_froc_sensitivity")).alias("mean_froc_sensitivity"))
 
 
 def pooled(cases: DataFrame, column: str, members: Sequence[str], name: str, out: str = "cohort") -> DataFrame:

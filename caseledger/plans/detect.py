@@ -186,7 +186,7 @@ def _(t):
 LOCKED_DOUBLES = "lesion_sensitivity fp_per_case negative_specificity localization_sensitivity"
 
 
-@query("d25_locked_threshold_metrics", uses=CV, doubles=LOCKED_DOUBLES, sql=TRUTH_SQL + """, per AS (
+LOCKED_SQL = TRUTH_SQL + """, per AS (
  SELECT c.study_id, c.source_group, c.label_binary, coalesce(max(candidate_score), 0) AS best,
   count(*) FILTER (WHERE tp AND candidate_score >= 0.9::DOUBLE) AS tp,
   count(*) FILTER (WHERE NOT tp AND candidate_score >= 0.9::DOUBLE) AS fp
@@ -197,8 +197,18 @@ SELECT source_group, count(*) AS n_cases, CAST(sum(label_binary) AS BIGINT) AS n
  CAST(sum(fp) AS DOUBLE) / count(*) AS fp_per_case,
  avg(CASE WHEN label_binary = 0 THEN CASE WHEN best < 0.9::DOUBLE THEN 1.0::DOUBLE ELSE 0 END END) AS negative_specificity,
  avg(CASE WHEN label_binary = 1 THEN CASE WHEN tp > 0 THEN 1.0::DOUBLE ELSE 0 END END) AS localization_sensitivity
-FROM per GROUP BY 1""")
+FROM per GROUP BY 1"""
+
+
+@query("d25_locked_threshold_metrics", uses=CV, doubles=LOCKED_DOUBLES, sql=LOCKED_SQL)
+def _(t):
+    scored = det.case_scores(v.v_cohort(t), v.v_candidate(t), THRESHOLD)
+    return det.locked_from_distances(v.v_candidate(t), scored, THRESHOLD, ["source_group"])
+
+
+@query("d25_locked_metrics_from_ledger", uses=CV, doubles=LOCKED_DOUBLES, sql=LOCKED_SQL)
 def _(t):
+    """The same metrics from a stored truth ledger."""
     scored = det.case_scores(v.v_cohort(t), v.v_candidate(t), THRESHOLD)
     return det.locked_metrics(truth(t), scored, THRESHOLD, ["source_group"])
 
