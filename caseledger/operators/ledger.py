@@ -21,9 +21,9 @@ def validated_done(ledger: DataFrame, locks: DataFrame, inventory: DataFrame,
     """
     have = inventory.select(*key, F.col("sha256").alias("_sha"), F.col("payload_rows").alias("_rows"))
     lock = locks.select(F.col("signature").alias("_sig"), F.col("threshold").alias("_thr"))
-    agrees = ((F.col("sha256") == F.col("_sha")) & (F.col("payload_rows") == F.col("_rows"))
-              & (F.col("signature") == F.col("_sig")) & (F.abs(F.col("threshold") - F.col("_thr")) <= 1e-12))
-    return ledger.join(have, list(key)).join(F.broadcast(lock)).where(agrees).select(*key).distinct()
+    locked = (F.col("signature") == F.col("_sig")) & (F.abs(F.col("threshold") - F.col("_thr")) <= 1e-12)
+    stored = (F.col("sha256") == F.col("_sha")) & (F.col("payload_rows") == F.col("_rows"))
+    return ledger.join(have, list(key)).where(stored).join(lock, locked).select(*key).distinct()
 
 
 def upsert(ledger: DataFrame, new: DataFrame, key: Sequence[str] = ("study_id",)) -> DataFrame:
@@ -44,7 +44,7 @@ def run_state(target: Column, completed: Column, errors: Column) -> Column:
 
 
 def best_so_far(history: DataFrame, key: str = "arm", order: str = "epoch", score: str = "score",
-                margin: float = IMPROVEMENT_MARGIN, fold_rows: int = 1_000_000) -> DataFrame:
+                margin: float = IMPROVEMENT_MARGIN, fold_rows: int = 20_000) -> DataFrame:
     """Improvements per arm: ``(arm, epoch, score)`` of every new best.
 
     A score counts only if it beats the *last accepted* best by more than

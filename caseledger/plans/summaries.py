@@ -369,6 +369,23 @@ def _(t):
         rs.weighted_mean(F.col("organ_dice"), F.col("weight")).alias("mean_organ_dice"))
 
 
+@query("d38_percentile_interval_lenient", uses="v_case", doubles="lower upper", sql=draws_sql(
+    "v_case", "study_id", "source_group", "source_group") + """
+, per AS (SELECT source_group, r, sum(w * organ_dice) / sum(w) AS o, CASE WHEN source_group <> 'P' THEN
+ sum(w * lesion_dice) / sum(w) FILTER (WHERE label_binary = 1) END AS l FROM w JOIN v_case USING (study_id) GROUP BY 1, 2)
+SELECT source_group, 'mean_organ_dice' AS metric, quantile_cont(o, 0.025) AS lower, quantile_cont(o, 0.975) AS upper, count(o) AS used FROM per GROUP BY 1
+UNION ALL SELECT source_group, 'mean_lesion_dice', quantile_cont(l, 0.025), quantile_cont(l, 0.975), count(l) FROM per GROUP BY 1""")
+def _(t):
+    """A source read as negative-only has no lesion metric in any replicate: null bounds, none used."""
+    cases = v.v_case(t).select("study_id", "organ_dice", F.when(
+        (F.col("label_binary") == 1) & (F.col("source_group") != "P"), F.col("lesion_dice")).alias("lesion_dice"))
+    weights = rs.draw_weights(v.v_cohort(t), ["source_group"], "study_id", REPLICATES)
+    per = weights.join(cases, "study_id").groupBy("source_group", "replicate").agg(
+        rs.weighted_mean(F.col("organ_dice"), F.col("weight")).alias("mean_organ_dice"),
+        rs.weighted_mean(F.col("lesion_dice"), F.col("weight")).alias("mean_lesion_dice"))
+    return rs.percentile_intervals(per, ["mean_organ_dice", "mean_lesion_dice"], ["source_group"])
+
+
 @query("d36_cluster_bootstrap_difference", uses="v_arm_case", doubles="selection_difference auc_difference", sql="""
 , pt AS (SELECT DISTINCT patient_id FROM v_arm_case)""" + draws_sql("pt", "patient_id", "", "'all'") + """
 , z AS (SELECT r, arm, 0.7::DOUBLE * sum(w * lesion_dice) FILTER (WHERE label_binary = 1) / sum(w) FILTER (WHERE label_binary = 1)
