@@ -2,11 +2,10 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from caseledger.plans.catalog import ORACLES, QUERIES
 from oracle import compare, duck
 
-QUERIES, ORACLES = queries(), oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def con(sf):
