@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import cut_lineage, fresh_path
 
@@ -26,7 +30,22 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a context: they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_caseledger_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[2]
+    name = f"{os.path.realpath(tempfile.mkdtemp(prefix='spark-ship-'))}/caseledger.zip"  # served as long as the context lives
+    with zipfile.ZipFile(name, "w") as bundle:
+        for source in sorted((top / "caseledger").rglob("*.py")):
+            bundle.write(source, source.relative_to(top))
+    context.addPyFile(name)
+    context._caseledger_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -91,3 +110,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 def list_array(values: pa.Array, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def numbered(df: DataFrame, name: str, *order: str, number: str = "position") -> DataFrame:
+    """``df`` with each row's place, from 0, in ascending order of columns. Rows are dealt
+    by range; only the row count of each partition reaches the driver."""
+    kept = saved(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
+    base, bases = 0, [F.lit(-1)]
+    for part, n in sorted((r[0], r[1]) for r in kept.groupBy("_part").count().collect()):
+        bases += [F.lit(part), F.lit(base)]
+        base += n
+    start = F.create_map(*bases[1:])[F.col("_part")] if len(bases) > 1 else F.lit(0)
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return kept.withColumn(number, (start + nth - 1).cast("long")).drop("_part")
