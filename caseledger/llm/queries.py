@@ -1,6 +1,6 @@
 """Imports every operator module, so that the registry is complete."""
 
-from . import exact_dedup, mixing, sharding, token_files  # noqa: F401
+from . import exact_dedup, mixing, sharding, token_files, warc  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
