@@ -9,6 +9,7 @@ into the whole corpus. Readers memory-map the files.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -22,8 +23,10 @@ from .files import mapped, new_name, opened
 from .words import text_buffers
 
 #: Distinct words whose ids a worker remembers before it starts anew, and bytes of text encoded at a time.
-REMEMBERED, STRIDE = 500_000, 4 << 20
+REMEMBERED, STRIDE = 600_000, 4 << 20
 NO_ID = -(1 << 63)
+#: Marks that end words often; none is part of a contraction, letter, digit or special token with letters.
+MARKS = ",.!?;:%$&*#|"
 
 MANIFEST = "part int, first long, file string, n_docs long, n_tokens long, width int"
 
@@ -40,16 +43,42 @@ class WordEncoder:
 
         self.model = Tokenizer.from_file(path)
         self.width = 2 if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.word_end = np.array([(self.model.id_to_token(i) or "").endswith("</w>") for i in range(self.model.get_vocab_size(with_added_tokens=True))])
         self._forget()
 
     def _forget(self):
-        self.seen, self.flat, self.starts, self.size = {}, np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), 0
+        self.seen, self.ids = {}, {}
+        self.flat, self.starts, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), 0
+
+    def _pieces(self, word: bytes) -> tuple[str, ...]:
+        """A word as texts whose ids, one after another, are the word's. Letters and a tail
+        of marks are split anyway, and ASCII letters are lower-cased anyway."""
+        text = word.decode("utf-8")
+        core = text.rstrip(MARKS)
+        if not core.isalpha():
+            return (text,)
+        if core.isascii():
+            core = core.lower()
+        return (core,) if len(core) == len(text) else (core, text[len(core):])
 
     def _learn(self, words: set[bytes]):
+        """Letters-only pieces are encoded together, joined by spaces: each ends with the
+        one id of its that carries the end-of-word mark."""
         words = list(words)
-        ids = [e.ids for e in self.model.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)]
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        more = np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum()))
+        pieces = [self._pieces(w) for w in words]
+        unknown = list({p for x in pieces for p in x}.difference(self.ids))
+        plain = [p for p in unknown if p.isalpha() and p.lower().isalpha()]
+        got = self.model.encode_batch_fast([" ".join(plain[i:i + 256]) for i in range(0, len(plain), 256)], add_special_tokens=False)
+        flat = np.fromiter(itertools.chain.from_iterable(e.ids for e in got), np.uint32)
+        ends = (np.flatnonzero(self.word_end[flat]) + 1).tolist() if len(flat) else []
+        if len(ends) != len(plain):
+            raise ValueError("the vocabulary does not end each word with an end-of-word id")
+        self.ids.update(zip(plain, (flat[a:b] for a, b in zip([0, *ends], ends))))
+        other = [p for p in unknown if p not in self.ids]
+        self.ids.update(zip(other, (np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(other, add_special_tokens=False))))
+        parts = [self.ids[p] for x in pieces for p in x]
+        lens = np.fromiter((sum(len(self.ids[p]) for p in x) for x in pieces), np.int64, len(pieces))
+        more = np.concatenate(parts)
         if self.size + len(more) > len(self.flat):
             self.flat = np.concatenate([self.flat[:self.size], more, np.zeros(self.size + len(more), np.uint32)])
         else:
