@@ -1,6 +1,6 @@
 """Imports every operator module, so that the registry is complete."""
 
-from . import exact_dedup, jaccard_join, mixing, sharding, token_files, toxicity, warc  # noqa: F401
+from . import exact_dedup, jaccard_join, mixing, sentencepieces, sharding, token_files, toxicity, warc  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
