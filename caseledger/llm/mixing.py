@@ -28,7 +28,7 @@ UNIT = 1 << 30
 BRACKET = (1 / 16, 1 / 2, 15 / 16)
 CUTS = 1 + len(BRACKET)
 #: Rows of a (source, size) cell that are ranked together.
-RANK_ROWS = 4096
+RANK_ROWS = 512
 
 
 def n_words(text: str = "text"):
