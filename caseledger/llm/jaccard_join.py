@@ -373,6 +373,14 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def drop_near_copies(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """``docs`` with one document of each component, that with the smallest doc_id, all
+    columns as they were. Texts without words and rows without a doc_id all stay."""
+    verdict = jaccard_components(docs, width, num, den)
+    gone = verdict.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
 @query("op3_jaccard_join")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

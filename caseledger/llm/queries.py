@@ -1,6 +1,7 @@
 """Imports every operator module, so that the registry is complete."""
 
-from . import embedding_dedup, exact_dedup, jaccard_join, mixing, sentencepieces, sharding, token_files, toxicity, warc  # noqa: F401
+from . import embedding_dedup, exact_dedup, html_text, jaccard_join, mixing  # noqa: F401
+from . import sentencepieces, sharding, token_files, toxicity, warc  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
