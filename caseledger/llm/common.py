@@ -64,6 +64,14 @@ def filled(text: str = "text"):
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def spare(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` begins with."""
+    prefix = "_x"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "x"
+    return prefix
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (node, smallest node of its component) of a graph given as edges."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -108,6 +116,13 @@ def components(edges: DataFrame) -> DataFrame:
         .union(e.select("v", "v").distinct())
 
 
+def few(batches, rows: int = 1024):
+    """The batches in parts of so many rows, so that what a task makes of a part stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def list_array(values: pa.Array, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 

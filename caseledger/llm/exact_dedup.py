@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import cut_lineage
-from .common import list_array, query, table
+from .common import few, filled, list_array, query, spare, table
 from .words import SLICE, text_buffers
 
 #: Bytes of the shortest and longest chunk (a text's last may be shorter), and the
@@ -66,7 +66,7 @@ def _hashes(data: np.ndarray, cuts: np.ndarray, bits: int) -> np.ndarray:
 
 def _recipes(bits: int):
     def run(batches):
-        for batch in batches:
+        for batch in few(batches):
             data, offs = text_buffers(batch.column(1))
             cuts, counts = chunk_bounds(data, offs)
             view, at = memoryview(data), offs.tolist()
@@ -79,7 +79,7 @@ def _recipes(bits: int):
 
 def _chunks(bits: int):
     def run(batches):
-        for batch in batches:
+        for batch in few(batches):
             data, offs = text_buffers(batch.column(1))
             cuts, counts = chunk_bounds(data, offs)
             chunk = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
@@ -139,10 +139,11 @@ def _with_ordinals(recipes: DataFrame, chunks: DataFrame, shared: DataFrame) ->
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all its columns as they were."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    marked = docs.withColumn("_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    return marked.join(kept, marked["doc_id"].eqNullSafe(kept["_kept_id"]) & (marked["_sha"] == kept["_kept_sha"]), "left_semi") \
-        .dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    own = spare(docs)
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias(own + "id"), F.col("text_sha256").alias(own + "sha"))
+    marked = docs.withColumn(own, F.sha2(filled(), 256))
+    return marked.join(kept, marked["doc_id"].eqNullSafe(kept[own + "id"]) & (marked[own] == kept[own + "sha"]), "left_semi") \
+        .dropDuplicates(["doc_id", own]).drop(own)
 
 
 @query("op1_exact_dedup", """

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage
-from .common import components, filled, forest, list_array, query, saved, table
+from .common import components, few, filled, forest, list_array, query, saved, table
 from .words import mix, text_buffers, words
 
 #: Documents whose shingles say which are frequent (they only set the order), how many are
@@ -78,7 +78,7 @@ def signature_bits(s: np.ndarray) -> bytes:
 
 def _sampled(modulo: int, width: int):
     def run(batches):
-        for batch in batches:
+        for batch in few(batches):
             data, offs = text_buffers(batch.column(0))
             sets = shingle_sets(data, offs, width)
             u, c = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
@@ -89,7 +89,7 @@ def _sampled(modulo: int, width: int):
 
 def _slim(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in few(batches):
             data, offs = text_buffers(batch.column(1))
             sets = shingle_sets(data, offs, width)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
@@ -100,7 +100,7 @@ def _slim(width: int):
 
 def _signatures(width: int, num: int, den: int, frequent: np.ndarray):
     def run(batches):
-        for batch in batches:
+        for batch in few(batches):
             data, offs = text_buffers(batch.column(1))
             sets = shingle_sets(data, offs, width)
             own = [i for i, s in enumerate(sets) if len(s)]

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import cut_lineage
-from .common import filled, numbered, query, saved, table
+from .common import filled, numbered, query, saved, spare, table
 
 MOST_COPIES = 3
 #: Weights of sources in code-point order, repeated.
@@ -150,15 +150,17 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 def repeat_mixed(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as often as the mix takes it, all columns as they were.
     Rows that share doc_id, source and size share their copies out among themselves."""
-    take = mix(docs).groupBy("doc_id", _key("source").alias("key"), "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")) \
-        .select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("size").alias("_s"), "copies", "rows") \
-        .withColumnsRenamed({"copies": "_copies", "rows": "_rows"})
-    marked = docs.withColumns({"_key": _key("source"), "_size": n_words()})
-    both = marked.join(take, marked["doc_id"].eqNullSafe(take["_id"]) & (F.col("_key") == F.col("_k")) & (F.col("_size") == F.col("_s")))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_key", "_size").orderBy("text"))
-    each = F.floor(F.col("_copies") / F.col("_rows")) + F.when(nth <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    return both.withColumn("_each", each).where("_each > 0") \
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each").cast("int")))).select(*docs.columns)
+    own = spare(docs)
+    name = {c: own + c for c in ("id", "k", "s", "copies", "rows", "key", "size", "each", "copy")}
+    take = mix(docs).groupBy("doc_id", _key("source").alias("key"), "size").agg(F.sum("copies").alias(name["copies"]), F.count("*").alias(name["rows"])) \
+        .withColumnsRenamed({"doc_id": name["id"], "key": name["k"], "size": name["s"]})
+    marked = docs.withColumns({name["key"]: _key("source"), name["size"]: n_words()})
+    both = marked.join(take, marked["doc_id"].eqNullSafe(take[name["id"]]) & (F.col(name["key"]) == F.col(name["k"])) & (F.col(name["size"]) == F.col(name["s"])))
+    nth = F.row_number().over(Window.partitionBy("doc_id", name["key"], name["size"]).orderBy("text"))
+    copies, rows = F.col(name["copies"]), F.col(name["rows"])
+    each = F.floor(copies / rows) + F.when(nth <= copies % rows, 1).otherwise(0)
+    return both.withColumn(name["each"], each.cast("int")).where(F.col(name["each"]) > 0) \
+        .withColumn(name["copy"], F.explode(F.sequence(F.lit(1), F.col(name["each"])))).select(*docs.columns)
 
 
 @query("op2_mixing")

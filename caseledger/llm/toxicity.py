@@ -180,7 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, do
     posterior = label_model(fires, np.array([r["toxic"] for r in got]))
     weights = fit_classifier(fires, posterior)
     unseen = fires.sum(0) == 0
-    weights[:-1][unseen] = np.concatenate([np.full(len(voters), 5.0), np.full(len(PATTERNS), 0.0)])[unseen]  # never met: as stated
+    stated = max(5.0, 2.0 - weights[-1])  # an insult that the sample doesn't hold still speaks
+    weights[:-1][unseen] = np.concatenate([np.full(len(voters), stated), np.full(len(PATTERNS), 0.0)])[unseen]
     return voters, weights
 
 
