@@ -22,7 +22,7 @@ from .common import filled, list_array, query, table
 from .words import _power, mix, text_buffers
 
 #: Distinct words a worker remembers before it starts anew; texts encoded at a time; words of one length at a time.
-REMEMBERED, STRIDE, TOGETHER = 400_000, 2048, 20_000
+REMEMBERED, STRIDE, TOGETHER = 400_000, 1024, 10_000
 
 _STEP, _BACK = np.uint64(0xD6E8FEB86659FD93), np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 _NEVER = 1 << 40
@@ -73,6 +73,8 @@ class Pieces:
         # runs of spaces merge last: their pieces by length, from the left, as merging takes them
         self.runs = {t: i for t, i in ids.items() if not t.strip("▁")}
         self.known = {t for t in ids if len(t) == 1}
+        # neighbours that no piece holds are never merged: a word falls apart between them
+        self.pairs = {t[k:k + 2] for t in ids for k in range(len(t) - 1)}
         mine = [t for t in ids if t not in set(dead) and (t.strip("▁") or t == "▁")]
         self.longest = max(map(len, mine))
         hashes = np.array([self.hash_of(t) for t in mine], np.uint64)
@@ -122,7 +124,7 @@ class Pieces:
             x, y = np.where(first, self.right[x], x), np.where(first, y, self.left[y])
         return ok
 
-    def segment(self, parts: list[str]) -> list[np.ndarray]:
+    def segment(self, parts: list[str]) -> list[tuple[int, ...]]:
         """Ids of each part, made of known characters, ▁ at most in front."""
         out: list = [None] * len(parts)
         by_length: dict[int, list[int]] = {}
@@ -136,7 +138,7 @@ class Pieces:
                     out[i] = ids
         return out
 
-    def _viterbi(self, parts: list[str], length: int) -> list[np.ndarray]:
+    def _viterbi(self, parts: list[str], length: int) -> list[tuple[int, ...]]:
         n = len(parts)
         codes = mix(np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(7)).reshape(n, length)
         total = np.zeros((n, length + 1), np.uint64)
@@ -169,7 +171,7 @@ class Pieces:
             chain.append(np.where(live, best[rows, at], -1))
             at = at - np.where(live, span[rows, at], 0)
         grid = np.stack(chain[::-1], axis=1)
-        return [row[row >= 0] for row in grid]
+        return [tuple(i for i in row if i >= 0) for row in grid.tolist()]
 
     def run_of(self, length: int) -> list[int]:
         """Ids of so many spaces: merges of equal rank, leftmost first."""
@@ -187,35 +189,44 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self.seen, self.flat, self.starts, self.size = {}, np.zeros(1 << 16, np.int32), np.zeros(1, np.int64), 0
+        self.seen, self.parts = {}, {}
+        self.flat, self.starts, self.size = np.zeros(0, np.int32), np.zeros(1, np.int64), 0
+
+    def _split(self, word: str) -> list[str | bytes]:
+        """▁ and a word as parts that are segmented apart; characters that no piece has as bytes."""
+        known, pairs, out, held = self.pieces.known, self.pieces.pairs, [], "▁"
+        for c in word:
+            if c not in known:
+                if held:
+                    out.append(held)
+                out.append(c.encode("utf-8"))
+                held = ""
+            elif held and held[-1] + c not in pairs:
+                out.append(held)
+                held = c
+            else:
+                held += c
+        if held:
+            out.append(held)
+        return out
 
     def _learn(self, units: list[str]):
-        """A unit is a word with the spaces before it but one; its characters that no piece
-        has become bytes, and what is between them is segmented."""
-        p, parts, plans = self.pieces, {}, []
-        for u in units:
-            word = u.lstrip(" ")
-            plan, held = [], "▁"
-            for c in word:
-                if c in p.known:
-                    held += c
-                else:
-                    plan += [held] if held else []
-                    plan.append(c.encode("utf-8"))
-                    held = ""
-            plan += [held] if held else []
-            parts.update((x, None) for x in plan if isinstance(x, str))
-            plans.append((len(u) - len(word), plan))
-        names = list(parts)
-        parts = dict(zip(names, (x.tolist() for x in p.segment(names))))
+        """Ids of units: words with the spaces before them but one."""
+        p = self.pieces
+        words = [u.lstrip(" ") for u in units]
+        plans = [self._split(w) for w in words]
+        unknown = list({x for plan in plans for x in plan if isinstance(x, str)}.difference(self.parts))
+        self.parts.update(zip(unknown, p.segment(unknown)))
         ids, lens = [], []
-        for spaces, plan in plans:
-            mine = [i for x in plan for i in (parts[x] if isinstance(x, str) else p.byte[list(x)].tolist())]
-            if spaces:
+        for u, w, plan in zip(units, words, plans):
+            mine = []
+            for x in plan:
+                mine += self.parts[x] if isinstance(x, str) else p.byte[list(x)].tolist()
+            if spaces := len(u) - len(w):
                 mine = p.run_of(spaces + 1) + mine[1:] if mine[0] == p.space else p.run_of(spaces) + mine
             ids += mine
             lens.append(len(mine))
-        self.flat = np.concatenate([self.flat[:self.size], np.array(ids, np.int32)])
+        self.flat = np.concatenate([self.flat, np.array(ids, np.int32)])
         self.starts = np.concatenate([self.starts, self.size + np.cumsum(lens)])
         self.size = len(self.flat)
         self.seen.update(zip(units, range(len(self.seen), len(self.seen) + len(units))))
@@ -307,6 +318,16 @@ def _decode(pieces):
     return run
 
 
+def chained(*steps):
+    """Steps over batches as one."""
+    def run(batches):
+        for step in steps:
+            batches = step(batches)
+        return batches
+
+    return run
+
+
 def load_pieces(spark: SparkSession, path: str):
     """The vocabulary at every executor: its size is that of the vocabulary, not of the texts."""
     return spark.sparkContext.broadcast(Pieces(path))
@@ -351,5 +372,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pieces = load_pieces(spark, public_tokenizers.path("piece_bpe_32k.model"))
     docs = table(spark, sf_dir, "documents").select("doc_id", filled().alias("text")).withColumn("crc", F.crc32(F.encode(F.regexp_replace("text", "▁", " "), "UTF-8")).cast("long"))
-    ids = encode(docs, pieces, keep=("doc_id", "crc"))
-    return decode(ids, pieces, keep=("doc_id", "crc")).mapInArrow(_crc, "doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long, round_trip boolean")
+    # encoding, decoding and digests in one Python worker a task
+    return docs.select("doc_id", "crc", "text").mapInArrow(chained(_encode(pieces), _decode(pieces), _crc),
+                                                           "doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long, round_trip boolean")
