@@ -20,6 +20,7 @@ from ..functions.scalars import hash32
 
 BAND = "_band"
 HOT_ROWS = 2_000_000  # rows of one key that a single task may sort
+LAST = 1 << 60  # band of null, which sorts last whatever the direction
 Order = Sequence[tuple[str, bool]]  # (column, ascending)
 
 _NUMERIC = (T.NumericType, T.BooleanType)
@@ -75,7 +76,7 @@ def with_band(df: DataFrame, order: Order, bands: int | None = None,
     name, up = order[0]
     value = _as_number(df, name, up)
     if value is None:
-        return df.withColumn(BAND, F.coalesce(_text_edges(df, name, up, bands).cast("long"), F.lit(-1).cast("long")))
+        return df.withColumn(BAND, F.coalesce(_text_edges(df, name, up, bands).cast("long"), F.lit(LAST)))
 
     probs = [i / bands for i in range(1, bands)]
     work = df.withColumn("_v0", value)
@@ -86,19 +87,24 @@ def with_band(df: DataFrame, order: Order, bands: int | None = None,
     heavy = sorted({v for i, v in enumerate(found) if i and found[i - 1] == v})
     work = _bucket(work, "_v0", distinct, heavy, "_b0")
     band = F.col("_b0").cast("long")
+    inner_last = F.lit(2 * bands + 3)
 
     if heavy and len(order) > 1:
         tied = work.where(F.col("_v0").isin(*heavy))
         second = _as_number(df, order[1][0], order[1][1])
         if second is not None:
             work = work.withColumn("_v1", second)
-            inner = tied.withColumn("_v1", second).where(F.col("_v1").isNotNull()).agg(
+            inner = tied.withColumn("_v1", second).where(F.col("_v1").isNotNull() & ~F.isnan("_v1")).agg(
                 F.percentile_approx("_v1", probs, 4 * bands)).first()[0] or []
             work = _bucket(work, "_v1", sorted(set(inner)), [], "_b1")
-            sub = F.when(F.col("_v0").isin(*heavy), F.col("_b1").cast("long")).otherwise(F.lit(0))
-            band = band * F.lit(2 * bands + 4) + sub
+            # as the sort says: null last, NaN above every number
+            inside = (F.when(F.col("_v1").isNull(), inner_last).when(F.isnan("_v1"), inner_last - 1 if order[1][1] else F.lit(0))
+                      .otherwise(F.col("_b1").cast("long") + 1))
+            sub = F.when(F.col("_v0").isin(*heavy), inside).otherwise(F.lit(0))
+            band = band * F.lit(2 * bands + 6) + sub
     # never null, so that no null filter is inferred on one side of the self-join only
-    return work.withColumn(BAND, F.coalesce(band, F.lit(-1).cast("long"))).drop("_v0", "_b0", "_v1", "_b1")
+    band = F.when(F.col("_v0").isNull(), F.lit(LAST)).when(F.isnan("_v0"), F.lit(LAST - 1 if up else -1)).otherwise(band)
+    return work.withColumn(BAND, band.cast("long")).drop("_v0", "_b0", "_v1", "_b1")
 
 
 def _bucket(df: DataFrame, value: str, edges: list[float], heavy: list[float], out: str) -> DataFrame:
@@ -111,20 +117,24 @@ def _bucket(df: DataFrame, value: str, edges: list[float], heavy: list[float], o
     return Bucketizer(splits=splits, inputCol=value, outputCol=out, handleInvalid="keep").transform(df)
 
 
+KEY = "_key"
+
+
+def keyed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds the keys as one struct: it is never null, and equal where all keys are equal or both null."""
+    return rows.withColumn(KEY, F.struct(*keys))
+
+
 def hot_keys(rows: DataFrame, keys: Sequence[str], most_rows: int) -> DataFrame | None:
-    """Keys with more than ``most_rows`` rows, or None when there are none.
+    """Keys (as ``_key``) with more than ``most_rows`` rows, or None when there are none.
 
-    One pass over the key columns with map-side combine. The limit is raised to
-    a ten-thousandth of the table where that is more, so at most 10,000 keys
-    come back: a proven bound for the broadcast that splits them off.
+    One pass over the key columns with map-side combine. The keys stay a table:
+    there is no bound of their number, so Spark chooses how to join them.
     """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = counts.agg(F.sum("_n"), F.max("_n")).first()
-    limit = max(most_rows, (sizes[0] or 0) // 10_000)
-    if (sizes[1] or 0) <= limit:
+    counts = keyed(rows, keys).groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
+    if (counts.agg(F.max("_n")).first()[0] or 0) <= most_rows:
         return None
-    found = counts.where(F.col("_n") > limit).drop("_n").collect()
-    return rows.sparkSession.createDataFrame(found, counts.drop("_n").schema)
+    return counts.where(F.col("_n") > most_rows).drop("_n")
 
 
 def running_totals(rows: DataFrame, keys: Sequence[str], order: Order, sums: dict[str, str],
@@ -135,8 +145,8 @@ def running_totals(rows: DataFrame, keys: Sequence[str], order: Order, sums: dic
 
     Keys of ordinary size use one plain window, and so does a whole table of at
     most ``hot_rows`` rows. Keys above that are split off and go through bands;
-    a larger table without keys does as a whole, and its band totals are
-    broadcast, at most ``2 * bands`` rows whatever the data.
+    a larger table without keys does as a whole. Both ways place null last and
+    NaN above every number, and a null key is a key like any other.
     ``source`` is the ungrouped input of aggregated ``rows``, if there is one:
     sizes and band edges are then read from it without a shuffle. A caller that
     knows an upper bound of ``rows_per_key`` spares the size pass. ``grand``
@@ -155,9 +165,9 @@ def running_totals(rows: DataFrame, keys: Sequence[str], order: Order, sums: dic
     hot = hot_keys(rows if source is None else source, keys, hot_rows)
     if hot is None:
         return _plain(rows, keys, by, sums, grand)
-    cold = _plain(rows.join(F.broadcast(hot), keys, "left_anti"), keys, by, sums, grand)
-    split = rows.join(F.broadcast(hot), keys, "left_semi")
-    seen = None if source is None else source.join(F.broadcast(hot), keys, "left_semi")
+    cold = _plain(keyed(rows, keys).join(hot, KEY, "left_anti").drop(KEY), keys, by, sums, grand)
+    split = keyed(rows, keys).join(hot, KEY, "left_semi").drop(KEY)
+    seen = None if source is None else keyed(source, keys).join(hot, KEY, "left_semi").drop(KEY)
     return cold.unionByName(_two_level(with_band(split, order, bands, seen), keys, by, sums, grouped, grand))
 
 
@@ -176,28 +186,28 @@ def _two_level(banded: DataFrame, keys: Sequence[str], by: list[Column], sums: d
     instead of building the input twice. Row inputs keep the two sides apart:
     the totals side scans only its own columns and combines before its shuffle.
     """
-    keys = list(keys)
-    placed = banded.repartition(*keys, BAND)
-    inside = Window.partitionBy(*keys, BAND).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    kept = [c for c in banded.columns if c != BAND]
+    by_key = [KEY] if keys else []
+    values = [c for c in kept if c not in keys] if grouped else []
+    if keys:
+        banded = keyed(banded, keys)
+    placed = banded.repartition(*by_key, BAND)
+    inside = Window.partitionBy(*by_key, BAND).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
     local = placed.select("*", *[F.sum(c).over(inside).alias(o) for o, c in sums.items()])
-    values = [c for c in banded.columns if c not in keys and c != BAND] if grouped else []
-    totals = (placed if grouped else banded).groupBy(*keys, BAND).agg(
+    totals = (placed if grouped else banded).groupBy(*by_key, BAND).agg(
         *[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()], *[F.max(c).alias(f"_m_{c}") for c in values])
-    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    whole = Window.partitionBy(*(by_key or [F.lit(0)]))
     earlier = whole.orderBy(BAND).rowsBetween(Window.unboundedPreceding, -1)
     by_input = {c: o for o, c in sums.items()}
     grand = grand or {}
     offsets = totals.select(
-        *keys, BAND,
+        *by_key, BAND,
         *[F.coalesce(F.sum(f"_t_{o}").over(earlier), F.lit(0)).alias(f"_o_{o}") for o in sums],
         *[F.sum(f"_t_{by_input[c]}").over(whole).alias(o) for o, c in grand.items()],
         *[f"_m_{c}" for c in values])
-    if not keys:
-        offsets = F.broadcast(offsets)
-    joined = local.join(offsets, [*keys, BAND])
+    joined = local.join(offsets, [*by_key, BAND])
     for c in values:  # always true: a band's maximum is null only if all its values are
         joined = joined.where(F.col(f"_m_{c}").isNotNull() | F.col(c).isNull())
-    kept = [c for c in banded.columns if c != BAND]
     return joined.select(*kept, *[(F.col(o) + F.col(f"_o_{o}")).alias(o) for o in sums], *grand)
 
 

@@ -16,7 +16,7 @@ from ..functions.constants import BOOTSTRAP_REPLICATES, SEED
 from ..functions.scalars import hash32
 from ..session import spread
 from .detection import ranked_sums, ranking_metrics
-from .ordering import hash_index
+from .ordering import KEY, hash_index, keyed
 
 REPLICATE, WEIGHT = "replicate", "weight"
 
@@ -36,7 +36,11 @@ def draw_weights(units: DataFrame, strata: Sequence[str], identity: str,
     drawn = each.select(*strata, REPLICATE,
                         (hash32(F.lit(seed), F.col(REPLICATE), label, F.col("_i")) % F.col("_n")).alias("_i"))
     counts = drawn.groupBy(REPLICATE, *strata, "_i").agg(F.count(F.lit(1)).alias(WEIGHT))
-    return counts.join(numbered, [*strata, "_i"]).select(REPLICATE, *strata, identity, WEIGHT)
+    if not strata:
+        return counts.join(numbered, "_i").select(REPLICATE, identity, WEIGHT)
+    # a null stratum is a stratum: keys are compared as structs
+    return (keyed(counts, strata).drop(*strata).join(keyed(numbered, strata), [KEY, "_i"])
+            .select(REPLICATE, *strata, identity, WEIGHT))
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -105,10 +109,13 @@ def mean_interval(rows: DataFrame, keys: Sequence[str], identity: str, value: st
     usable = rows.where(F.col(value).isNotNull() & ~F.isnan(value))
     point = usable.groupBy(*keys).agg(F.avg(value).alias("mean"))
     weights = draw_weights(usable, keys, identity, replicates, seed)
-    drawn = weights.join(usable.select(*keys, identity, value), [*keys, identity])
+    unit = [*keys, identity]
+    drawn = keyed(weights, unit).join(keyed(usable, unit).select(KEY, value), KEY)
     per = drawn.groupBy(*keys, REPLICATE).agg(weighted_mean(F.col(value), F.col(WEIGHT)).alias("mean_value"))
     band = percentile_intervals(per, ["mean_value"], keys).drop("metric", "used")
-    return point.join(band, keys, "left") if keys else point.join(F.broadcast(band))
+    if not keys:
+        return point.join(F.broadcast(band))  # one row
+    return keyed(point, keys).join(keyed(band, keys).drop(*keys), KEY, "left").drop(KEY)
 
 
 def cluster_differences(paired: DataFrame, cluster: str, first: str, second: str, lesion: str, organ: str,

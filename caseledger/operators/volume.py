@@ -30,7 +30,8 @@ def along_axis(voxels: DataFrame, axis: str, carry: Sequence[str],
     """Applies array functions to every line of ``axis``.
 
     ``outputs`` map a name to a function of the carried value arrays (ordered by
-    the axis coordinate, which must run 0..n-1 without gaps) giving an array.
+    the axis coordinate) giving an array. Coordinates must run 0..n-1, each once:
+    a line with a gap fails the query, as its values would move.
     Per-study constants may ride along in ``keys``.
     """
     others = [a for a in AXES if a != axis]
@@ -40,6 +41,10 @@ def along_axis(voxels: DataFrame, axis: str, carry: Sequence[str],
     def member(name: str) -> Column:
         return F.transform("_line", lambda s: s[name])
 
+    at = member(axis)
+    whole = (F.element_at(at, 1) == 0) & (F.element_at(at, -1) == F.size("_line") - 1)
+    message = F.concat(F.lit(f"a line along {axis} has a gap in study "), F.coalesce(F.col("study_id").cast("string"), F.lit("null")))
+    lines = lines.withColumn("_line", F.when(whole & (F.size(F.array_distinct(at)) == F.size("_line")), F.col("_line")).otherwise(F.raise_error(message)))
     step = lines.select(*keys, *others, *[member(c).alias(f"_in_{c}") for c in carry])
     seen = {c: F.col(f"_in_{c}") for c in carry}
     for name, fn in outputs.items():  # later outputs may use earlier ones
@@ -297,10 +302,10 @@ def voxel_code() -> Column:
     return (F.col("x").cast("long") * _SHIFT + F.col("y")) * _SHIFT + F.col("z")
 
 
-def connected_plateaus(peaks: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_plateaus(peaks: DataFrame) -> DataFrame:
     """26-connected components of peak voxels: adds ``plateau``, the smallest voxel code.
 
-    Alternates large-star and small-star joins until nothing changes, which
+    Alternates large-star and small-star joins until the edges are stars, which
     takes a logarithmic number of rounds even for a component as long as a
     volume. Each round is checkpointed to reliable storage, so lineage stays
     short and a lost executor costs one round.
@@ -313,20 +318,20 @@ def connected_plateaus(peaks: DataFrame, most_rounds: int = 60) -> DataFrame:
                           (F.col("z") + F.col("_o.m")).alias("z"), F.col("_u").alias("_w"))
     # edges point from the larger code to the smaller
     edges = cut_lineage(nodes.join(ahead, VOXEL).select("study_id", F.col("_u").alias("u"), F.col("_w").alias("v")))
-    before = None
-    for _ in range(most_rounds):
+    while not _settled(edges):
         edges = cut_lineage(_small_star(_large_star(edges)))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("study_id", "u", "v"), F.lit(1 << 40)))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select("study_id", F.col("u").alias("_u"), F.col("v").alias("plateau"))
     return (nodes.join(roots, ["study_id", "_u"], "left")
             .withColumn("plateau", F.coalesce("plateau", "_u")).drop("_u"))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: each voxel has one parent, and no parent has one."""
+    twice = edges.groupBy("study_id", "u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("study_id", "u")
+    parents = edges.select("study_id", F.col("v").alias("u")).distinct()
+    return twice.union(edges.select("study_id", "u").join(parents, ["study_id", "u"], "left_semi")).isEmpty()
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours of a node are linked to the smallest node around it."""
     both = edges.unionByName(edges.select("study_id", F.col("v").alias("u"), F.col("u").alias("v")))
@@ -518,7 +523,15 @@ def regrid_to_crop(voxels: DataFrame, crops: DataFrame, matrix: str, source_shap
                           *[(F.floor(f"_c{a}") + F.col(f"_k.{s}")).cast("int").alias(a) for a, s in zip(AXES, "ijm")])
     got = wanted.where((F.col("_w") > 0) | F.col("_near")).join(voxels.select(*VOXEL, linear, nearest), VOXEL)
     sums = got.groupBy("study_id", "o_x", "o_y", "o_z").agg(
-        F.sum(F.col("_w") * F.col(linear)).alias(linear), F.max(F.when(F.col("_near"), F.col(nearest))).alias(nearest))
+        F.sum(F.col("_w") * F.col(linear)).alias(linear), F.max(F.when(F.col("_near"), F.col(nearest))).alias(nearest),
+        F.count(F.lit(1)).alias("_found"))
+    # every asked voxel comes back; a neighbour that the source lacks fails the query
+    complete = (F.col("_found") == F.col("_asked"))
+    asked_for = wanted.where((F.col("_w") > 0) | F.col("_near")).groupBy("study_id", "o_x", "o_y", "o_z").agg(F.count(F.lit(1)).alias("_asked"))
+    lacking = F.raise_error(F.concat(F.lit("the source lacks a voxel that a crop needs in study "), F.col("study_id").cast("string")))
+    sums = (asked_for.join(sums, ["study_id", "o_x", "o_y", "o_z"], "left")
+            .withColumn(linear, F.when(complete, F.col(linear)).otherwise(lacking.cast("double")))
+            .select("study_id", "o_x", "o_y", "o_z", linear, nearest))
     # voxels outside the source never enter the join
     empty = placed.where(~F.col("_in")).select("study_id", "o_x", "o_y", "o_z", F.lit(float(outside)).alias(linear),
                                                F.lit(0).alias(nearest))
@@ -527,74 +540,74 @@ def regrid_to_crop(voxels: DataFrame, crops: DataFrame, matrix: str, source_shap
 
 # ---- quality ------------------------------------------------------------------------------------
 
+def _numbers(values: Column, n: int) -> Column:
+    """``n`` finite numbers."""
+    return (F.size(values) == n) & F.forall(values, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def _within(a: Column, b, tolerance: float) -> Column:
+    return F.abs(a - b) <= tolerance + tolerance * F.abs(F.lit(b) if not isinstance(b, Column) else b)
+
+
+def voxel_facts(voxels: DataFrame, hu: tuple[float, float]) -> DataFrame:
+    """What one pass over the voxels says of a study's two arrays."""
+    ct, label = F.col("ct").cast("double"), F.col("label").cast("double")
+    return voxels.groupBy("study_id").agg(
+        *[F.count(c).alias(f"n_{c}") for c in ("ct", "label")],
+        *[f(a).alias(f"{n}_{a}") for a in AXES for n, f in (("from", F.min), ("to", F.max))],
+        *[F.bool_and(c == F.rint(c)).alias(f"whole_{n}") for n, c in (("ct", ct), ("label", label))],
+        *[F.bool_and(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))).alias(f"finite_{n}") for n, c in (("ct", ct), ("label", label))],
+        F.bool_and(ct.between(*hu)).alias("in_window"), F.bool_and(F.col("label").isin(*k.LABEL_CODES)).alias("known_codes"),
+        F.bool_and(label.between(0, 255)).alias("byte_codes"),
+        F.count_if(F.col("label") == k.LESION).alias("lesion_now"), F.count_if(F.col("label") == k.ORGAN).alias("organ_now"))
+
+
 def volume_quality(voxels: DataFrame, ledger: DataFrame, shape: Sequence[int], spacing: Sequence[float],
                    hu: tuple[float, float] = (k.HU_LOW, k.HU_HIGH)) -> DataFrame:
-    """27 named checks per case from one pass over the voxels and one ledger row.
+    """27 checks per case in long form: study_id, area, check, passed.
 
-    ``ledger`` carries the stored and expected values; see the check names.
+    Areas: ``payload`` (the arrays themselves), ``header`` (what the record says of
+    its file), ``geometry`` (its affine) and ``counts`` (what it says of the
+    labels). ``ledger`` carries stored and expected values. A check on a
+    missing value does not pass; a case without voxels fails its array checks.
     """
     from .geometry import axis_lengths, determinant, mat, orientation_code
 
-    lesion, organ = F.col("label") == k.LESION, F.col("label") == k.ORGAN
-    whole = lambda c: F.coalesce(F.bool_and(c), F.lit(False))
-    seen = voxels.groupBy("study_id").agg(
-        F.count("ct").alias("_n_ct"), F.count("label").alias("_n_label"),
-        *[F.min(a).alias(f"_lo_{a}") for a in AXES], *[F.max(a).alias(f"_hi_{a}") for a in AXES],
-        whole(F.col("ct") == F.rint("ct")).alias("_ct_int"),
-        whole((F.col("label") == F.rint(F.col("label").cast("double"))) & F.col("label").between(0, 255)).alias("_label_int"),
-        whole(~F.isnan(F.col("ct").cast("double")) & (F.abs("ct") < float("inf"))).alias("_ct_finite"),
-        whole(F.col("label").isNotNull()).alias("_label_finite"),
-        F.min("ct").alias("_min"), F.max("ct").alias("_max"),
-        whole(F.col("label").isin(*k.LABEL_CODES)).alias("_allowed"),
-        F.count_if(lesion).alias("_lesion"), F.count_if(organ).alias("_organ"))
-    j = ledger.join(seen, "study_id", "left")
-    m = mat("crop_affine")
-    finite = lambda c, n: F.coalesce((F.size(c) == n) & F.forall(c, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-    near = lambda a, b, tol: F.abs(a - b) <= tol + tol * F.abs(b)
-    flat = F.flatten("crop_affine")
-    cells = shape[0] * shape[1] * shape[2]
-    grid = F.lit(True)
+    c, m, flat = F.col, mat("crop_affine"), F.flatten("crop_affine")
+    filled = F.lit(True)
     for a, n in zip(AXES, shape):
-        grid = grid & (F.col(f"_lo_{a}") == 0) & (F.col(f"_hi_{a}") == n - 1)
-    lengths = axis_lengths(m)
-    affine_spacing, stored_spacing = F.lit(True), F.size("crop_spacing") == 3
-    for i in range(3):
-        affine_spacing = affine_spacing & near(lengths[i], F.lit(float(spacing[i])), 1e-6)
-        stored_spacing = stored_spacing & near(F.get("crop_spacing", F.lit(i)), F.lit(float(spacing[i])), 1e-6)
-    col = F.col
-    union = lambda kind: (col(f"{kind}_union") == col(f"{kind}_lesion") + col(f"{kind}_organ"))
-    positive = col("label_binary") == 1
-    checks = {
-        "size_matches": col("stored_size") == col("expected_size"),
-        "hash_matches": col("stored_sha256") == col("expected_sha256"),
-        "key_set_exact": F.array_sort("payload_keys") == F.array_sort("expected_keys"),
-        "ct_shape": grid & (col("_n_ct") == cells), "label_shape": grid & (col("_n_label") == cells),
-        "ct_integer": col("_ct_int"), "label_integer": col("_label_int"),
-        "ct_finite": col("_ct_finite"), "label_finite": col("_label_finite"),
-        "intensity_in_window": (col("_min") >= hu[0]) & (col("_max") <= hu[1]),
-        "labels_allowed": col("_allowed"),
-        "affine_shape": (F.size("crop_affine") == 4) & (F.size(flat) == 16), "affine_finite": finite(flat, 16),
-        "affine_nonsingular": F.abs(determinant(m)) > 1e-8, "affine_spacing": affine_spacing,
-        "stored_spacing": stored_spacing, "orientation": orientation_code(m) == "LPS",
-        "center_matches": finite(col("stored_center"), 3) & (F.array_max(F.zip_with(
-            "stored_center", "expected_center", lambda a, b: F.abs(a - b))) <= 1e-5),
-        "world_center_finite": finite(col("world_center"), 3),
-        "metadata_matches": (col("stored_partition") == col("locked_partition")) & (col("stored_label") == col("diagnostic_label")),
-        "lesion_count_matches": col("_lesion") == col("crop_lesion"),
-        "organ_count_matches": col("_organ") == col("crop_organ"),
-        "union_count_matches": (col("_lesion") + col("_organ")) == col("crop_union"),
-        "coverage_matches": (F.abs(ratio_or(col("inside_lesion"), col("full_lesion"), 1.0) - col("lesion_coverage")) <= 1e-12)
-        & (F.abs(ratio_or(col("inside_organ"), col("full_organ"), 0.0) - col("organ_coverage")) <= 1e-12),
-        "containment_counts": (col("inside_lesion") <= col("full_lesion")) & (col("inside_organ") > 0)
-        & (col("inside_organ") <= col("full_organ")) & union("full") & union("inside"),
-        "lesion_consistency": F.when(positive, (col("full_lesion") > 0) & (col("_lesion") > 0))
-        .otherwise((col("full_lesion") == 0) & (col("_lesion") == 0)),
-        "organ_present": (col("full_organ") > 0) & (col("_organ") > 0)}
-    every = F.lit(True)
-    named = []
-    for name, c in checks.items():
-        named.append(F.coalesce(c, F.lit(False)).alias(name))
-    out = j.select("study_id", *named)
-    for name in checks:
-        every = every & col(name)
-    return out.withColumn("all_checks_pass", every)
+        filled = filled & (c(f"from_{a}") == 0) & (c(f"to_{a}") == n - 1)
+    cells = math.prod(shape)
+    edges, recorded = F.lit(True), F.size("crop_spacing") == 3
+    for i, want in enumerate(spacing):
+        edges = edges & _within(axis_lengths(m)[i], float(want), 1e-6)
+        recorded = recorded & _within(F.get("crop_spacing", F.lit(i)), float(want), 1e-6)
+    apart = F.array_max(F.zip_with("stored_center", "expected_center", lambda a, b: F.abs(a - b)))
+    sick = c("label_binary") == 1
+    adds_up = [c(f"{kind}_lesion") + c(f"{kind}_organ") == c(f"{kind}_union") for kind in ("full", "inside")]
+    areas = {
+        "payload": [
+            *((f"{n}_fills_grid", filled & (c(f"n_{n}") == cells)) for n in ("ct", "label")),
+            *((f"{n}_finite", c(f"finite_{n}")) for n in ("ct", "label")),
+            ("ct_whole_numbers", c("whole_ct")), ("ct_in_window", c("in_window")),
+            ("label_whole_numbers", c("whole_label") & c("byte_codes")), ("label_known_codes", c("known_codes"))],
+        "header": [
+            ("members", F.array_sort("expected_keys") == F.array_sort("payload_keys")), ("digest", c("expected_sha256") == c("stored_sha256")),
+            ("bytes", c("expected_size") == c("stored_size")), ("centre", _numbers(c("stored_center"), 3) & (apart <= 1e-5)),
+            ("partition_and_diagnosis", (c("locked_partition") == c("stored_partition")) & (c("diagnostic_label") == c("stored_label")))],
+        "geometry": [
+            ("axes_lps", orientation_code(m) == "LPS"), ("voxel_edges", edges), ("recorded_edges", recorded),
+            ("four_by_four", (F.size(flat) == 16) & (F.size("crop_affine") == 4)), ("finite", _numbers(flat, 16)),
+            ("invertible", F.abs(determinant(m)) > 1e-8), ("world_centre", _numbers(c("world_center"), 3))],
+        "counts": [
+            ("organ_present", (c("organ_now") > 0) & (c("full_organ") > 0)),
+            ("lesion_as_diagnosed", F.when(sick, (c("lesion_now") > 0) & (c("full_lesion") > 0)).otherwise(c("lesion_now") + c("full_lesion") == 0)),
+            ("recount_both", c("lesion_now") + c("organ_now") == c("crop_union")),
+            ("recount_lesion", c("lesion_now") == c("crop_lesion")), ("recount_organ", c("organ_now") == c("crop_organ")),
+            ("inside_is_part", (c("inside_organ") > 0) & (c("inside_organ") <= c("full_organ")) & (c("inside_lesion") <= c("full_lesion")) & adds_up[0] & adds_up[1]),
+            ("coverage", (F.abs(ratio_or(c("inside_organ"), c("full_organ"), 0.0) - c("organ_coverage")) <= 1e-12)
+             & (F.abs(ratio_or(c("inside_lesion"), c("full_lesion"), 1.0) - c("lesion_coverage")) <= 1e-12))]}
+    rows = [F.struct(F.lit(area).alias("area"), F.lit(name).alias("check"), F.coalesce(test, F.lit(False)).alias("passed"))
+            for area, tests in areas.items() for name, test in tests]
+    both = ledger.join(voxel_facts(voxels, hu), "study_id", "left")
+    return both.select("study_id", F.explode(F.array(*rows)).alias("r")).select("study_id", "r.*")

@@ -32,8 +32,8 @@ def build_session(app: str = "caseledger", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for checkpoints and ledgers.
 
-    A folder of our own is made only where the session names none (local runs
-    and tests); executors on other machines could not read that one.
+    A folder of our own is made only where the session names none (local masters
+    only); executors on other machines could not read that one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -43,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(own)
     return own
