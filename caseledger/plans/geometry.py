@@ -137,6 +137,8 @@ def _cov_sql(c, f):
 
 _F1, _M1 = _cov_sql("c{a}", ("60.0::DOUBLE", "60.0::DOUBLE", "60.0::DOUBLE"))
 _F2, _M2 = _cov_sql("c{a}", ("30.0::DOUBLE", "40.0::DOUBLE", "20.0::DOUBLE"))
+_F4, _M4 = _cov_sql("c{a}", ("90.0::DOUBLE", "90.0::DOUBLE", "90.0::DOUBLE"))
+_F5, _M5 = _cov_sql("(({a}0 + {a}1) / 2)", ("60.0::DOUBLE", "60.0::DOUBLE", "60.0::DOUBLE"))
 _F3, _M3 = _cov_sql("(({a}0 + {a}1) / 2)", ("90.0::DOUBLE", "90.0::DOUBLE", "90.0::DOUBLE"))
 
 
@@ -149,13 +151,15 @@ def _(t):
 
 @query("h8_policy_comparison", uses="v_box", doubles="containment mean_fraction worst_margin", sql=f"""
 , p AS (SELECT 'learned' AS policy, {_M1} AS m, {_F1} AS f FROM v_box UNION ALL SELECT 'small', {_M2}, {_F2} FROM v_box
- UNION ALL SELECT 'oracle', {_M3}, {_F3} FROM v_box)
+ UNION ALL SELECT 'oracle', {_M3}, {_F3} FROM v_box UNION ALL SELECT 'large', {_M4}, {_F4} FROM v_box
+ UNION ALL SELECT 'oracle_fixed', {_M5}, {_F5} FROM v_box)
 SELECT policy, count(*) AS cases, avg((m >= -1e-6::DOUBLE)::INT) AS containment, avg(f) AS mean_fraction, min(m) AS worst_margin FROM p GROUP BY 1""")
 def _(t):
     lo, hi = g.vec("box_min"), g.vec("box_max")
     middle = [(a + b) / 2 for a, b in zip(lo, hi)]
     policies = {"learned": (g.vec("center"), g.lits((60, 60, 60))), "small": (g.vec("center"), g.lits((30, 40, 20))),
-                "oracle": (middle, g.lits((90, 90, 90)))}
+                "oracle": (middle, g.lits((90, 90, 90))), "large": (g.vec("center"), g.lits((90, 90, 90))),
+                "oracle_fixed": (middle, g.lits((60, 60, 60)))}
     long = g.compare_policies(v.v_box(t), policies, lo, hi, g.vec("spacing"), ["study_id"])
     return long.groupBy("policy").agg(
         F.count(F.lit(1)).alias("cases"), F.avg(F.col("fully_contained").cast("double")).alias("containment"),

@@ -99,10 +99,10 @@ def _(t):
 
 @query("c10_exactly_one_lookup", sql="""
 SELECT CAST(p_partkey AS VARCHAR) AS study_id, p_name, p_retailprice FROM part
-WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')""", doubles="p_retailprice")
+WHERE p_partkey IN (SELECT l_partkey FROM lineitem)""", doubles="p_retailprice")
 def _(t):
     frame = t("part").select(F.col("p_partkey").cast("string").alias("study_id"), "p_name", "p_retailprice")
-    ids = t("lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").cast("string").alias("study_id"))
+    ids = t("lineitem").select(F.col("l_partkey").cast("string").alias("study_id"))
     return j.exactly_one(frame, ids)
 
 

@@ -191,13 +191,13 @@ def _(t):
 def _sized(t):
     mm = s.equivalent_diameter(F.col("lesion_voxels"))
     pos = v.v_case(t).where("label_binary = 1").withColumn("diameter_mm", mm).withColumn("size_group", s.size_group(mm))
-    return sm.pooled(pos, "source_group", ["F", "O"], "F_PLUS_O")
+    return sm.pooled(pos, "source_group", ["F", "O", "P"], "F_O_P")
 
 
 _SIZED_SQL = """
-, d AS (SELECT *, cbrt(lesion_voxels * 3.125::DOUBLE * 6 / pi()) AS mm FROM v_case WHERE label_binary = 1 AND source_group IN ('F','O')),
+, d AS (SELECT *, cbrt(lesion_voxels * 3.125::DOUBLE * 6 / pi()) AS mm FROM v_case WHERE label_binary = 1),
 sized AS (SELECT *, CASE WHEN mm <= 20 THEN 'small_<=20mm' WHEN mm <= 40 THEN 'medium_>20-40mm' ELSE 'large_>40mm' END AS size_group,
- unnest([source_group, 'F_PLUS_O']) AS cohort FROM d)"""
+ unnest([source_group, 'F_O_P']) AS cohort FROM d)"""
 
 
 @query("d30_lesion_size_strata", uses="v_case",
@@ -205,20 +205,20 @@ sized AS (SELECT *, CASE WHEN mm <= 20 THEN 'small_<=20mm' WHEN mm <= 40 THEN 'm
 SELECT cohort, size_group, count(mm) AS cases, count(*) FILTER (WHERE annotation_type = 'manual') AS manual_cases,
  count(*) FILTER (WHERE annotation_type = 'automatic') AS automatic_cases, min(mm) AS minimum_mm, median(mm) AS median_mm,
  max(mm) AS maximum_mm, avg(lesion_dice) AS mean_lesion_dice, avg(lesion_localized::INT) AS localization_sensitivity
-FROM (SELECT * FROM (SELECT unnest(['F','O','F_PLUS_O']) AS cohort) , (SELECT unnest(['small_<=20mm','medium_>20-40mm','large_>40mm']) AS size_group))
+FROM (SELECT * FROM (SELECT unnest(['F','O','P','F_O_P']) AS cohort) , (SELECT unnest(['small_<=20mm','medium_>20-40mm','large_>40mm']) AS size_group))
 LEFT JOIN sized USING (cohort, size_group) GROUP BY 1, 2""")
 def _(t):
-    return sm.size_strata(_sized(t), ["F", "O", "F_PLUS_O"])
+    return sm.size_strata(_sized(t), ["F", "O", "P", "F_O_P"])
 
 
 @query("d31_manual_only_table", uses="v_case", doubles="mean_organ_dice mean_lesion_dice localization_sensitivity", sql="""
 SELECT cohort, count(*) AS cases, avg(organ_dice) AS mean_organ_dice, avg(lesion_dice) AS mean_lesion_dice,
  avg(lesion_localized::INT) AS localization_sensitivity
-FROM (SELECT *, unnest([source_group, 'F_PLUS_O']) AS cohort FROM v_case
-      WHERE annotation_type = 'manual' AND label_binary = 1 AND source_group IN ('F','O')) GROUP BY 1""")
+FROM (SELECT *, unnest([source_group, 'F_O_P']) AS cohort FROM v_case
+      WHERE annotation_type = 'manual' AND label_binary = 1) GROUP BY 1""")
 def _(t):
     manual = v.v_case(t).where("annotation_type = 'manual' AND label_binary = 1")
-    return sm.pooled(manual, "source_group", ["F", "O"], "F_PLUS_O").groupBy("cohort").agg(
+    return sm.pooled(manual, "source_group", ["F", "O", "P"], "F_O_P").groupBy("cohort").agg(
         F.count(F.lit(1)).alias("cases"), F.avg("organ_dice").alias("mean_organ_dice"),
         F.avg("lesion_dice").alias("mean_lesion_dice"),
         F.avg(F.col("lesion_localized").cast("double")).alias("localization_sensitivity"))

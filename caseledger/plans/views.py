@@ -118,8 +118,7 @@ def v_points(t: Tables) -> DataFrame:
     return t("lineitem").select(
         F.col("l_suppkey").cast("string").alias("study_id"), (F.col("l_partkey") % 60).cast("int").alias("x"),
         (F.col("l_orderkey") % 48).cast("int").alias("y"),
-        (F.col("l_linenumber") * 4 + F.col("l_orderkey") % 4).cast("int").alias("z"),
-        F.col("l_returnflag").alias("flag")).where("flag = 'R'").drop("flag").distinct()
+        (F.col("l_linenumber") * 4 + F.col("l_orderkey") % 4).cast("int").alias("z")).distinct()
 
 
 def v_probe(t: Tables) -> DataFrame:

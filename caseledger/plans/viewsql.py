@@ -52,7 +52,7 @@ SQL: dict[str, str] = {
     "v_points": """
  SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS study_id, CAST(l_partkey % 60 AS INT) AS x,
   CAST(l_orderkey % 48 AS INT) AS y, CAST(l_linenumber * 4 + l_orderkey % 4 AS INT) AS z
- FROM lineitem WHERE l_returnflag = 'R'""",
+ FROM lineitem""",
     "v_probe": """
  SELECT o_orderkey AS probe_id, CAST(o_orderkey % 100 AS VARCHAR) AS study_id, CAST(o_custkey % 60 AS INT) AS x,
   CAST(o_orderkey % 47 AS INT) AS y, CAST(o_custkey % 31 AS INT) AS z FROM orders""",
