@@ -45,17 +45,22 @@ def manifest_hash(manifest: DataFrame, columns: Sequence[str]) -> DataFrame:
     return branches.agg(fold("_h").alias("manifest_sha256"), F.sum("_n").alias("rows"))
 
 
-def chain_check(manifest: DataFrame, inventory: DataFrame, frozen_hash: str | Column, columns: Sequence[str],
+def chain_check(manifest: DataFrame, inventory: DataFrame, frozen: str | DataFrame, columns: Sequence[str],
                 key: str = "path") -> DataFrame:
-    """The manifest hash equals the frozen one, and every listed file still agrees."""
+    """The manifest hash equals the frozen one, and every listed file still agrees.
+
+    ``frozen`` is a hash, or a table with one row and the column ``frozen_sha256``."""
     items = integrity(manifest, inventory, key).agg(
         F.count(F.lit(1)).alias("items"),
         F.count_if(~(F.col("exists") & F.col("size_matches") & F.col("hash_matches"))).alias("bad_items"))
     whole = manifest_hash(manifest, columns)
-    want = frozen_hash if isinstance(frozen_hash, Column) else F.lit(frozen_hash)
+    if isinstance(frozen, DataFrame):
+        whole = whole.join(F.broadcast(frozen.select("frozen_sha256")))  # one row
+    else:
+        whole = whole.withColumn("frozen_sha256", F.lit(frozen))
+    same = F.col("manifest_sha256") == F.col("frozen_sha256")
     return whole.join(F.broadcast(items)).select(
-        "items", "bad_items", (F.col("manifest_sha256") == want).alias("manifest_matches"),
-        ((F.col("manifest_sha256") == want) & (F.col("bad_items") == 0)).alias("chain_ok"))
+        "items", "bad_items", "manifest_sha256", same.alias("manifest_matches"), (same & (F.col("bad_items") == 0)).alias("chain_ok"))
 
 
 def frozen_manifest(ledger: DataFrame, qc: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -392,19 +392,26 @@ def _(t):
                                      ("largest lesion", "largest", "<=", 1e9)])
 
 
+def _tree_sql(name, row):
+    """Three levels of hashes over ``row``: the last table of ``name`` holds one root."""
+    return f"""{name}0 AS (SELECT sha256({row}) AS h FROM v_payload),
+{name}1 AS (SELECT substr(h, 1, 6) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM {name}0 GROUP BY 1),
+{name}2 AS (SELECT substr(b, 1, 3) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM {name}1 GROUP BY 1),
+{name} AS (SELECT sha256(string_agg(h, '' ORDER BY h)) AS h FROM {name}2)"""
+
+
 @query("j3_hash_chain", uses="v_payload", sql=f"""
-, r AS (SELECT sha256(path || '|' || (strlen(content) + CASE WHEN {_STALE} THEN 1 ELSE 0 END) || '|' ||
-  CASE WHEN {_STALE} THEN '0' ELSE sha256(content) END) AS h FROM v_payload),
-lf AS (SELECT substr(h, 1, 6) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY 1),
-b AS (SELECT substr(b, 1, 3) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM lf GROUP BY 1)
-SELECT (SELECT count(*) FROM v_payload) AS items, (SELECT count(*) FROM v_payload WHERE {_STALE}) AS bad_items,
- sha256(string_agg(h, '' ORDER BY h)) AS manifest_sha256, TRUE AS manifest_matches, FALSE AS chain_ok FROM b""")
+, {_tree_sql("listed", f"path || '|' || (strlen(content) + CASE WHEN {_STALE} THEN 1 ELSE 0 END) || '|' || CASE WHEN {_STALE} THEN '0' ELSE sha256(content) END")},
+{_tree_sql("frozen", "path || '|' || strlen(content) || '|' || sha256(content)")},
+n AS (SELECT count(*) AS items, count(*) FILTER (WHERE {_STALE}) AS bad_items FROM v_payload)
+SELECT items, bad_items, listed.h AS manifest_sha256, listed.h = frozen.h AS manifest_matches, listed.h = frozen.h AND bad_items = 0 AS chain_ok
+FROM n, listed, frozen""")
 def _(t):
+    """The hash was frozen before some records of the manifest went stale."""
     inv, manifest = _manifest(t)
     columns = ["path", "size_bytes", "sha256"]
-    frozen = ln.manifest_hash(manifest, columns).select("manifest_sha256")
-    checked = ln.chain_check(manifest.join(F.broadcast(frozen)), inv, F.col("manifest_sha256"), columns)
-    return checked.join(F.broadcast(frozen))
+    frozen = ln.manifest_hash(inv, columns).select(F.col("manifest_sha256").alias("frozen_sha256"))
+    return ln.chain_check(manifest, inv, frozen, columns)
 
 
 @query("j4_constant_agreement", sql="""
