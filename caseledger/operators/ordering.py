@@ -104,7 +104,7 @@ def with_band(df: DataFrame, order: Order, bands: int | None = None,
             band = band * F.lit(2 * bands + 6) + sub
     # never null, so that no null filter is inferred on one side of the self-join only
     band = F.when(F.col("_v0").isNull(), F.lit(LAST)).when(F.isnan("_v0"), F.lit(LAST - 1 if up else -1)).otherwise(band)
-    return work.withColumn(BAND, band.cast("long")).drop("_v0", "_b0", "_v1", "_b1")
+    return work.withColumn(BAND, F.coalesce(band.cast("long"), F.lit(LAST))).drop("_v0", "_b0", "_v1", "_b1")
 
 
 def _bucket(df: DataFrame, value: str, edges: list[float], heavy: list[float], out: str) -> DataFrame:
