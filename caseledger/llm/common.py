@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -14,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import cut_lineage, fresh_path
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -31,8 +37,11 @@ def query(name: str, sql: str | None = None):
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a context: they need not have it installed."""
+    """Sends this package to the executors, once a context: they need not have it installed.
+    Texts can be long, so Arrow batches are made short where the session has Spark's default."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(context, "_caseledger_shipped", False):
         return
     top = Path(__file__).resolve().parents[2]
@@ -116,6 +125,14 @@ def components(edges: DataFrame) -> DataFrame:
         .union(e.select("v", "v").distinct())
 
 
+def tidy() -> None:
+    """Gives memory that a task no longer needs back to the system: Spark keeps its worker."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def few(batches, rows: int = 1024):
     """The batches in parts of so many rows, so that what a task makes of a part stays small."""
     for batch in batches:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import filled, list_array, query, table
+from .common import filled, list_array, query, table, tidy
 from .words import _power, mix, text_buffers
 
 #: Distinct words a worker remembers before it starts anew; texts encoded at a time; words of one length at a time.
@@ -282,7 +282,7 @@ _encoders: dict = {}
 
 
 def _encoder(pieces) -> Encoder:
-    """One per worker and vocabulary, so that words stay known from task to task."""
+    """One per worker and vocabulary; its words are forgotten at a task's end."""
     key = pieces.value.path
     if key not in _encoders:
         _encoders[key] = Encoder(pieces.value)
@@ -299,6 +299,9 @@ def _encode(pieces):
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], list_array(pa.array(ids, pa.int32()), np.concatenate([[0], np.cumsum(lens)]))],
                                                  [*part.schema.names[:-1], "ids"])
 
+        model._forget()
+        tidy()
+
     return run
 
 

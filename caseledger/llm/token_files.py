@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage, fresh_path
-from .common import filled, query, table
+from .common import filled, query, table, tidy
 from .files import mapped, new_name, opened
 from .words import text_buffers
 
@@ -140,6 +140,8 @@ def _write(folder: str, vocabulary: str, end: int):
                 n_tokens += len(ids)
                 at = to
             n_docs += len(doc_ids)
+        model._forget()
+        tidy()
         if where is not None:
             for f in (ids_file, len_file, doc_file):
                 f.close()

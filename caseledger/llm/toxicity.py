@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import filled, query, table
+from .common import few, filled, query, table
 
 #: Labelled training rows that are read for fitting, those of least hash; voters kept; held-out remainder.
 SAMPLE_ROWS, MOST_VOTERS, HELD_OUT = 20_000, 256, 2
@@ -74,7 +74,7 @@ def _places(voters: list[str]) -> tuple[dict[str, int], dict[int, dict[str, int]
 
 def _toxic_counts(batches):
     seen = Counter()
-    for batch in batches:
+    for batch in few(batches, 512):
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if label:
                 seen.update(signs(text))
@@ -84,7 +84,7 @@ def _toxic_counts(batches):
 def _clean_counts(wanted: set[str]):
     def run(batches):
         seen = Counter()
-        for batch in batches:
+        for batch in few(batches, 512):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not label:
                     seen.update(signs(text) & wanted)
@@ -95,7 +95,7 @@ def _clean_counts(wanted: set[str]):
 
 def _fire(words, stems):
     def run(batches):
-        for batch in batches:
+        for batch in few(batches, 512):
             fired = [sorted(votes(t, words, stems)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(fired, pa.list_(pa.int32())), batch.column(1)], ["fired", "toxic"])
 
@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, do
 
 def _score(words, stems, weights):
     def run(batches):
-        for batch in batches:
+        for batch in few(batches, 512):
             z = [weights[-1] + sum(weights[i] for i in votes(t, words, stems)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30))))], ["doc_id", "score"])
 
@@ -210,7 +210,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 def _keep_clean(words, stems, weights, threshold, at):
     def run(batches):
-        for batch in batches:
+        for batch in few(batches, 512):
             z = [weights[-1] + sum(weights[i] for i in votes(t or "", words, stems)) for t in batch.column(at).to_pylist()]
             keep = 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30))) < threshold
             yield batch.filter(pa.array(keep))
