@@ -102,26 +102,28 @@ def _fire(words, stems):
     return run
 
 
-def label_model(fires: np.ndarray, gold: np.ndarray, rounds: int = 50) -> np.ndarray:
+def label_model(fires: np.ndarray, gold: np.ndarray, copies: np.ndarray, rounds: int = 50) -> np.ndarray:
     """Posterior that each text is toxic. ``fires``: texts x voters; ``gold``: the
-    annotator's vote. Voters are independent given the label but for repetition: a
-    voter's evidence is divided by the number of voters it almost always fires with."""
-    n, m = fires.shape
+    annotator's vote; ``copies``: how many texts vote so. Voters are independent given
+    the label but for repetition: a voter's evidence is divided by the number of voters
+    it almost always fires with."""
+    n = copies.sum()
     q = np.where(gold == 1, 0.95, 0.05)
-    total = fires.sum(0)
-    both = fires.T @ fires
+    counted = fires * copies[:, None]
+    total = counted.sum(0)
+    both = counted.T @ fires
     near = both / np.maximum(np.maximum(total[:, None], total[None, :]), 1) > 0.8  # fire together, whatever the label
     share = 1 / np.maximum(near.sum(1), 1)
     for _ in range(rounds):
-        pi = np.clip(q.mean(), 1e-4, 1 - 1e-4)
-        # one pseudo-text that fires half the time at the voter's own rate
+        ones, zeros = q * copies, (1 - q) * copies
+        pi = np.clip(ones.sum() / n, 1e-4, 1 - 1e-4)
+        # one pseudo-text that fires at the voter's own rate
         rate = (total + 0.5) / (n + 1)
-        alpha = (fires.T @ q + rate) / (q.sum() + 1)
-        beta = (fires.T @ (1 - q) + rate * 0.1) / ((1 - q).sum() + 1)
-        alpha, beta = np.clip(alpha, 1e-6, 1 - 1e-6), np.clip(beta, 1e-6, 1 - 1e-6)
+        alpha = np.clip((fires.T @ ones + rate) / (ones.sum() + 1), 1e-6, 1 - 1e-6)
+        beta = np.clip((fires.T @ zeros + rate * 0.1) / (zeros.sum() + 1), 1e-6, 1 - 1e-6)
         on, off = np.log(alpha / beta) * share, np.log((1 - alpha) / (1 - beta)) * share
-        right1 = np.clip((q @ gold + 9) / (q.sum() + 10), 0.6, 0.99)  # the annotator
-        right0 = np.clip(((1 - q) @ (1 - gold) + 9) / ((1 - q).sum() + 10), 0.6, 0.999)
+        right1 = np.clip((ones @ gold + 9) / (ones.sum() + 10), 0.6, 0.99)  # the annotator
+        right0 = np.clip((zeros @ (1 - gold) + 9) / (zeros.sum() + 10), 0.6, 0.999)
         z = np.log(pi / (1 - pi)) + fires @ on + (1 - fires) @ off
         z += np.where(gold == 1, np.log(right1 / (1 - right0)), np.log((1 - right1) / right0))
         new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -131,14 +133,14 @@ def label_model(fires: np.ndarray, gold: np.ndarray, rounds: int = 50) -> np.nda
     return q
 
 
-def fit_classifier(fires: np.ndarray, target: np.ndarray, penalty: float = 0.3, rounds: int = 40) -> np.ndarray:
+def fit_classifier(fires: np.ndarray, target: np.ndarray, copies: np.ndarray, penalty: float = 0.3, rounds: int = 40) -> np.ndarray:
     """Logistic weights (the last is the intercept) by Newton steps on soft labels."""
     x = np.column_stack([fires, np.ones(len(fires))])
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
     ridge[-1] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9), x.T @ (target - p) - ridge * w)
+        step = np.linalg.solve((x * (p * (1 - p) * copies)[:, None]).T @ x + np.diag(ridge + 1e-9), x.T @ ((target - p) * copies) - ridge * w)
         w += step * min(1, 4 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-6:
             break
@@ -174,11 +176,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, do
     voters = [*dict.fromkeys([*good, *seeds])]
     words, stems = _places(voters)
     got = rows.mapInArrow(_fire(words, stems), "fired array<int>, toxic int").orderBy("toxic", "fired").collect()  # at most sample_rows short lists
-    fires = np.zeros((len(got), len(voters) + len(PATTERNS)))
-    for i, r in enumerate(got):
-        fires[i, r["fired"]] = 1
-    posterior = label_model(fires, np.array([r["toxic"] for r in got]))
-    weights = fit_classifier(fires, posterior)
+    alike = Counter((r["toxic"], *r["fired"]) for r in got)  # texts that vote alike count once, with their number
+    fires, copies = np.zeros((len(alike), len(voters) + len(PATTERNS))), np.array(list(alike.values()), float)
+    for i, (_, *fired) in enumerate(alike):
+        fires[i, fired] = 1
+    posterior = label_model(fires, np.array([key[0] for key in alike]), copies)
+    weights = fit_classifier(fires, posterior, copies)
     unseen = fires.sum(0) == 0
     stated = max(5.0, 2.0 - weights[-1])  # an insult that the sample doesn't hold still speaks
     weights[:-1][unseen] = np.concatenate([np.full(len(voters), stated), np.full(len(PATTERNS), 0.0)])[unseen]
