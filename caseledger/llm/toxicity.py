@@ -10,7 +10,6 @@ Its posteriors train a logistic classifier on the votes, which scores every text
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
