@@ -2,9 +2,10 @@
 
 Equal vectors are one class. Classes are dealt to shards by hash, a graph is built
 over each shard and stored in the shared folder, and every class is searched in
-every shard. A sample of classes compared with all vectors measures the recall of
-the links; beams are widened until it suffices. Similarities of what is found are
-recomputed in double precision, and links are united to components.
+every shard. Blocks of classes compared with all vectors measure the recall of the
+links; beams are widened until it suffices, and all vectors are compared where it
+never does or where too few links are met to tell. Similarities of what is found
+are recomputed in double precision, and links are united to components.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from .hnsw import Graph
 
 #: Fewest shards; most vectors of a shard (more vectors make more shards).
 SHARDS, SHARD_ROWS = 8, 250_000
-#: Classes of the recall audit, the recall it must reach, and the first beam.
+#: Classes of a block of the recall audit, the recall it must reach, and the first beam.
 AUDITED, RECALL, BEAM = 512, 0.98, 24
+#: Groups of linked classes the audit must meet, and how many times the blocks so far it takes next.
+GROUPS, GROWTH = 256, 4
 #: Room for the single precision of the search.
 SLACK = 1e-5
 BLOCK = 8192
@@ -90,15 +93,50 @@ def _pairs(path: str, shards, dims: int, least: float, beam: int):
     return run
 
 
-def _brute(sample, dims: int, least: float):
+def _bucket(path: str, bucket: int, dims: int):
+    """(numbers, vectors) of an audit block; None if it holds nothing."""
+    from pyarrow import fs
+
+    where, at = opened(f"{path}/bucket={bucket}")
+    if where.get_file_info(at).type == fs.FileType.NotFound:
+        return None
+    files = [f.path for f in where.get_file_info(fs.FileSelector(at)) if f.path.endswith(".parquet")]
+    rows = pa.concat_tables([pq.ParquetFile(where.open_input_file(f)).read(["no", "v"]) for f in files])
+    return np.array(rows.column("no"), np.int64), _matrix(rows.column("v"), dims)
+
+
+def _brute(path: str, buckets, dims: int, least: float):
+    """All links (a, b) between given vectors (no, v, bucket) and those of audit blocks, each once:
+    a pair of two blocks is met from the later one."""
+    def hits(no: np.ndarray, v: np.ndarray, bucket: np.ndarray):
+        for k in buckets:
+            held = _bucket(path, k, dims) if (bucket >= k).any() else None
+            if held is None:
+                continue
+            names, own = held
+            later = np.flatnonzero(bucket >= k)
+            for lo in range(0, len(later), 1024):
+                mine = later[lo:lo + 1024]
+                sims = v[mine] @ own.T
+                i, j = np.nonzero(sims >= least - 1e-9)
+                close = np.flatnonzero(sims[i, j] < least + 1e-9)  # as the search sums them
+                ok = np.ones(len(i), bool)
+                ok[close] = np.einsum("ij,ij->i", v[mine[i[close]]], own[j[close]]) >= least
+                i, j = mine[i[ok]], j[ok]
+                a, b = no[i], names[j]
+                ok = (bucket[i] > k) | (a < b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok])], ["a", "b"])
+
     def run(batches):
-        no, v = sample.value
+        held, n = [], 0
         for batch in batches:
-            own, mine = np.array(batch.column(0), np.int64), _matrix(batch.column(1), dims)
-            for lo in range(0, len(own), 4096):
-                i, j = np.nonzero(v @ mine[lo:lo + 4096].T >= least)
-                a, b = no[i], own[lo + j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[a != b]), pa.array(np.maximum(a, b)[a != b])], ["a", "b"])
+            held.append((np.array(batch.column(0), np.int64), _matrix(batch.column(1), dims), np.array(batch.column(2), np.int64)))
+            n += batch.num_rows
+            if n >= BLOCK:
+                yield from hits(*(np.concatenate(x) for x in zip(*held)))
+                held, n = [], 0
+        if n:
+            yield from hits(*(np.concatenate(x) for x in zip(*held)))
 
     return run
 
@@ -116,38 +154,64 @@ def _forests(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
 
+def _audit(dealt: DataFrame, lo: int, hi: int, dims: int, least: float, spread: int) -> DataFrame:
+    """Links (a, b) of blocks ``lo`` to ``hi`` with all vectors, but for those with earlier blocks."""
+    path = fresh_path(dealt.sparkSession, "audit")
+    dealt.where((F.col("bucket") >= lo) & (F.col("bucket") < hi)).repartition("bucket").write.partitionBy("bucket").parquet(path)
+    return cut_lineage(dealt.where(F.col("bucket") >= lo).repartition(spread).mapInArrow(_brute(path, range(lo, hi), dims, least), "a long, b long"))
+
+
+def _ends(links: DataFrame, count: str) -> DataFrame:
+    return links.select(F.col("a").alias("no")).union(links.select("b")).groupBy("no").agg(F.count("*").alias(count))
+
+
+def _groups(audited: DataFrame, true: DataFrame) -> DataFrame:
+    """(no, wanted, component) of the audited classes that have links."""
+    joined = components(cut_lineage(true.mapInArrow(_forests, "a long, b long")))
+    return cut_lineage(_ends(true, "wanted").join(audited.select("no"), "no", "left_semi").join(joined.withColumnRenamed("id", "no"), "no"))
+
+
 def links_of(classes: DataFrame, dims: int, least: float) -> tuple[DataFrame, float]:
-    """(links (a, b), a < b, of classes (no, v, copies); recall of the audit). Every class is searched in every shard."""
+    """(links (a, b), a < b, of classes (no, v, copies); recall of the audit). Every class is searched in every shard.
+
+    The audit compares blocks of classes, dealt by a hash of the vector, with all vectors
+    until it has met GROUPS groups of linked classes. Recall is the mean over groups of the
+    mean over their audited classes, so that a large group weighs no more than a pair. Where
+    all vectors come to be audited, or the widest beam fails, links are those of the comparison.
+    """
     spark = classes.sparkSession
     total = classes.count()
+    spread = max(spark.sparkContext.defaultParallelism, -(-total // BLOCK))
+    buckets = max(1, -(-total // AUDITED))
+    dealt = classes.select("no", "v", F.pmod(F.xxhash64("v"), F.lit(buckets)).cast("int").alias("bucket"))
+    true, done = None, 0
+    while True:
+        to = min(buckets, max(1, GROWTH * done))
+        more = _audit(dealt, done, to, dims, least, spread)
+        true, done = more if true is None else true.union(more), to
+        if done == buckets:
+            return true, 1.0
+        groups = _groups(dealt.where(F.col("bucket") < done), true)
+        if groups.select("component").distinct().count() >= GROUPS:
+            break
     shards = max(SHARDS, -(-total // SHARD_ROWS))
     path = fresh_path(spark, "graphs")
-    classes.select("no", "v", F.pmod(F.xxhash64("no"), F.lit(shards)).cast("int").alias("shard")).groupBy("shard") \
-        .applyInArrow(_build(dims), "shard int, no binary, vectors binary, links array<binary>, entry long").write.partitionBy("shard").parquet(path)
-    audit = classes.select("no", "v").orderBy(F.xxhash64("no"), "no").limit(AUDITED)
-    rows = audit.collect()  # at most AUDITED vectors
-    held = (np.array([r["no"] for r in rows], np.int64), _matrix(pa.array([list(r["v"]) for r in rows], pa.list_(pa.float64())), dims) if rows else np.zeros((0, dims)))
-    sample = spark.sparkContext.broadcast(held)
-    true = cut_lineage(classes.select("no", "v").mapInArrow(_brute(sample, dims, least), "a long, b long").distinct())
-    wanted, beam = true.count(), BEAM
+    sharded = classes.select("no", "v", F.pmod(F.xxhash64("no"), F.lit(shards)).cast("int").alias("shard"))
+    sharded.groupBy("shard").applyInArrow(_build(dims), "shard int, no binary, vectors binary, links array<binary>, entry long").write.partitionBy("shard").parquet(path)
+    widest = sharded.groupBy("shard").count().agg(F.max("count")).first()[0]
+    linked = cut_lineage(dealt.select("no", "v").join(groups.select("no"), "no", "left_semi").repartition(spark.sparkContext.defaultParallelism))
+    beam = BEAM
     while True:
-        # the audited vectors, a task per shard
-        def one(batches, beam=beam):
-            for batch in batches:
-                for shard in batch.column(0).to_pylist():
-                    no, v = sample.value
-                    yield from _pairs(path, [shard], dims, least, beam)([pa.RecordBatch.from_arrays(
-                        [pa.array(no), pa.array(v.tolist(), pa.list_(pa.float64()))], ["no", "v"])]) if len(no) else ()
-
-        found = spark.range(shards).repartition(shards).mapInArrow(one, "a long, b long").distinct()
-        got = found.join(true, ["a", "b"], "left_semi").count() if wanted else 0
-        recall = got / wanted if wanted else 1.0
-        if recall >= RECALL or beam >= SHARD_ROWS:
+        found = linked.mapInArrow(_pairs(path, range(shards), dims, least, beam), "a long, b long").distinct()
+        got = _ends(found.join(true, ["a", "b"], "left_semi"), "got")
+        recall = groups.join(got, "no", "left").groupBy("component").agg(F.avg(F.coalesce("got", F.lit(0)) / F.col("wanted")).alias("r")).agg(F.avg("r")).first()[0]
+        if recall >= RECALL:
             break
+        if beam >= widest:
+            return true.union(_audit(dealt, done, buckets, dims, least, spread)), 1.0
         beam *= 2
-    spread = max(spark.sparkContext.defaultParallelism, -(-total // BLOCK))
     all_pairs = classes.select("no", "v").repartition(spread).mapInArrow(_pairs(path, range(shards), dims, least, beam), "a long, b long")
-    return all_pairs.distinct(), recall
+    return all_pairs.union(true).distinct(), recall
 
 
 def embedding_links(vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -293,6 +294,41 @@ def test_embedding_links(spark):
     assert embedding_dedup.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def lossy(kept):
+    """A search that finds only links of classes which have more than ``kept``."""
+    whole = embedding_dedup._pairs
+
+    def pairs(*a):
+        run = whole(*a)
+
+        def few(batches):
+            for batch in run(batches):
+                ends = collections.Counter([*batch.column(0).to_pylist(), *batch.column(1).to_pylist()])
+                at = [i for i, (x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())) if max(ends[x], ends[y]) > kept]
+                yield batch.take(pa.array(at, pa.int64()))
+
+        return few
+
+    return pairs
+
+
+@pytest.mark.parametrize("hot,pairs,alone,audited,groups", [(150, 40, 60, 32, 8), (0, 1, 400, 16, 8), (0, 120, 40, 64, 8)])
+@pytest.mark.parametrize("found", [True, False])
+def test_embedding_audit(spark, monkeypatch, hot, pairs, alone, audited, groups, found):
+    """Links of small groups beside a large one, and a rare pair, are found even if the graphs miss them."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(pairs + alone + 1, 48))
+    v = np.concatenate([base[0] + rng.normal(size=(hot, 48)) * 0.1, base[1:], base[1:pairs + 1] + rng.normal(size=(pairs, 48)) * 0.1])
+    monkeypatch.setattr(embedding_dedup, "AUDITED", audited)
+    monkeypatch.setattr(embedding_dedup, "GROUPS", groups, raising=False)
+    if not found:
+        monkeypatch.setattr(embedding_dedup, "_pairs", lossy(4))
+    got = embedding_dedup.embedding_links(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()
+    m = v / np.linalg.norm(v, axis=1)[:, None]
+    want = (m @ m.T >= 0.9).sum(1) - 1
+    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(want.tolist())) and want[-1] > 0
+
+
 NASTY = ["a  b   c", "  x", " " * 37, "日本 語  日\n  \n\tx", "aaaaaaaaaaaaaa", "a▁▁b", "ﬁ \U0001F600 z", "    def f(x):\n        return x", "1234 don't we'll STOP!!! <|endoftext|>x",
          "İstanbul ΟΔΟΣ. é ́", "x y　z\x1cq", "it's,'s 'S it'S;", "Thing### thing%%% é,é", "́", "a" * 3000]
 
