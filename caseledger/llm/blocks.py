@@ -11,10 +11,18 @@ import numpy as np
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small "
                     "span strike strong sub sup time tt u var wbr").split())
-UNREAD = "script|style|title|template|noscript|textarea|select|svg|math|iframe|object|canvas|audio|video"
+MATH = frozenset(("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt "
+                  "mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation annotation-xml").split())
+INLINE |= MATH
+#: These end a block only where they hold text: an icon within a sentence doesn't.
+EMBEDDED = frozenset(("svg template noscript textarea select iframe object canvas audio video source track param "
+                      "g defs symbol use path rect circle ellipse line polyline polygon text tspan textpath desc metadata lineargradient "
+                      "radialgradient stop clippath mask pattern marker filter image view switch foreignobject").split())
+#: What these hold is no markup and no text of the page.
+RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in ("script", "style", "title")}
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({UNREAD})\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
     r"|<(/?)([a-z][a-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-z][a-z0-9:-]*+)([^>]*+)>|<[!?][^>]*+>|([^<]++|<)", re.I | re.S)
 NAMED = re.compile(r"(class|id|role|data-keep)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[^\W\d_]+")
@@ -40,35 +48,43 @@ def _marks(attributes: str) -> tuple[tuple[str, ...], int | None]:
 
 def leaf_blocks(page: str) -> list[Block]:
     """Texts between block boundaries, in page order, character references decoded and
-    white space made one space. A path names the open elements and their class, id and role words."""
+    white space made one space. A path names the open elements and their class, id and role words.
+    Only comments and what script, style and title hold are no text."""
     stack: list[tuple[str, tuple[str, ...], int | None]] = []
     out: list[Block] = []
     held: list[str] = []
     size = linked = 0
+    around = None  # the stack of the held text, once an embedded element followed it
 
     def flush():
-        nonlocal size, linked
+        nonlocal size, linked, around
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
                 path, keep = [], -1
-                for name, marks, flag in stack:
+                for name, marks, flag in stack if around is None else around:
                     path.append(name)
                     path += ["." + m for m in marks]
                     keep = keep if flag is None else flag
                 out.append(Block(tuple(path), text, linked / max(size, 1), keep))
             held.clear()
-        size = linked = 0
+        size, linked, around = 0, 0, None
 
-    for m in TOKEN.finditer(page):
-        text = m[8]
+    at = 0
+    while m := TOKEN.match(page, at):
+        at = m.end()
+        text = m[7]
         if text is not None:
+            if around is not None and not text.isspace():
+                if [id(s) for s in around if s[0] in EMBEDDED] != [id(s) for s in stack if s[0] in EMBEDDED]:
+                    flush()
+                around = None
             held.append(text)
             size += len(text)
             if any(s[0] == "a" for s in stack):
                 linked += len(text)
             continue
-        name = m[3] or m[6]
+        name = m[2] or m[5]
         if name is None:
             continue
         name = name.lower()
@@ -76,23 +92,30 @@ def leaf_blocks(page: str) -> list[Block]:
             if name == "br":
                 held.append(" ")
                 continue
-            flush()
-        if m[2] or m[5]:
+            if name in EMBEDDED:
+                around = list(stack) if held and around is None else around
+            elif name not in RAW:
+                flush()
+        attributes = m[3] or m[6] or ""
+        closed = attributes.rstrip().endswith("/")
+        if m[1] or m[4]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
                     break
+        elif name in RAW and not (closed and any(s[0] in ("svg", "math") for s in stack)):
+            end = RAW[name].search(page, at)
+            at = end.end() if end else len(page)
         elif name not in VOID:
-            if name not in INLINE:  # a block ends an open paragraph, and an item its like
+            if name not in INLINE and name not in EMBEDDED:  # a block ends an open paragraph, and an item its like
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == "p" or stack[k][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
                         del stack[k:]
                         break
                     if stack[k][0] not in INLINE:
                         break
-            attributes = m[4] or m[7] or ""
             marks, keep = _marks(attributes) if "=" in attributes else ((), None)
-            if not attributes.rstrip().endswith("/") or name in INLINE:
+            if not closed or name in INLINE and name not in MATH:
                 stack.append((name, marks, keep))
     flush()
     return out

@@ -203,6 +203,27 @@ def test_html(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page,want", [
+    ('<p>a</p><svg class="i"/><p>rest</p>', ["a", "rest"]),
+    ("<p>a</p><svg-icon></svg-icon><p>b</p><video-player>c</video-player><select-menu><p>d</p></select-menu>", ["a", "b", "c", "d"]),
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold <math/> here</p><p>b</p>", ["Let x=2 hold here", "b"]),
+    ("<p>a</p><svg><title>T</title><style/><text>in</text></svg><p>b</p>", ["a", "in", "b"]),
+    ("<p>a</p><object data=x>o</object><audio>u</audio><video>v</video><noscript><p>n</p></noscript><select><option>s<option>t</select><p>b</p>", list("aouvnstb")),
+    ("<p>a</p><svg><text>t</text><p>b</p>", ["a", "t", "b"]),
+    ("<p>a <svg><g><path d=''/></g></svg> b<script>no</script> c <video><source src=x>d</video><video>e</video> f<p>g<style>no</style>", ["a b c", "d", "e", "f", "g"]),
+    ("<p>a</p><iframe src=x><p>b</p><canvas>c</canvas><template>d</template><textarea>e</textarea><p>f</p>", list("abcdef")),
+    ("<p>a</p><script-box>b</script-box><script x='>'>if (a</script-box>) <p>no</p></SCRIPT ><title\n>no</title><style>no</style><p>c</p>", list("abc")),
+    ("<p>a</p><!--><p>b</p><!-- <p>no</p> --!><p>c</p><script>no<p>no</p>", list("abc"))])
+def test_leaf_blocks_read_all_text(page, want):
+    assert [b.text for b in html_text.leaf_blocks(page)] == want
+
+
+def test_html_beyond_icons(spark):
+    page = PAGE.replace("<h1>", '<svg class="i"/><svg-icon name="x"></svg-icon><h1>').replace("<p>Second", "<p>As <math><mi>x</mi></math> says.</p><video-player></video-player><p>Second")
+    got = html_text.extract_text(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first()["text"]
+    assert got == "A title\nOne two <3 bold line\nAs x says.\nSecond paragraph of the text.\nThird © paragraph."
+
+
 def test_labeller_gradients():
     pages = [[b for b in html_text.leaf_blocks(PAGE)]]
     f, model = html_text.Features(pages), html_text.Labeller(1)
