@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage
-from .common import components, few, filled, forest, list_array, query, saved, table
+from .common import components, few, filled, forest, list_array, query, saved, spare, table
 from .words import mix, text_buffers, words
 
 #: Documents whose shingles say which are frequent (they only set the order), how many are
@@ -374,11 +374,17 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
 
 
 def drop_near_copies(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest doc_id, all
-    columns as they were. Texts without words and rows without a doc_id all stay."""
-    verdict = jaccard_components(docs, width, num, den)
-    gone = verdict.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """``docs`` with one row of each component, that with the smallest doc_id, all columns
+    as they were. A null doc_id counts as larger than any other; among rows that share
+    one, that whose text has the smallest SHA-256 stays. Texts without words all stay."""
+    own = spare(docs)
+    order = [own + "null", "doc_id", own + "sha"]
+    # numbers of rows rise with these
+    rows = saved(docs.withColumn(order[0], F.col("doc_id").isNull()).withColumn(order[2], F.sha2(filled(), 256))
+                 .repartitionByRange(*order).sortWithinPartitions(*order).withColumn(own, F.monotonically_increasing_id()).drop(order[0], order[2]), "rows")
+    verdict = jaccard_components(rows.select(F.col(own).alias("doc_id"), "text"), width, num, den)
+    gone = verdict.where("doc_id <> component_id").select(F.col("doc_id").alias(own + "gone"))
+    return rows.join(gone, rows[own] == gone[own + "gone"], "left_anti").drop(own)
 
 
 @query("op3_jaccard_join")

@@ -164,6 +164,20 @@ def test_jaccard(docs, none, monkeypatch, width, num, small):
         assert jaccard_join.jaccard_components(none).count() == 0
 
 
+def test_drop_near_copies_of_shared_ids(spark):
+    """Rows go one by one: an unrelated text stays though its id is a near copy's."""
+    texts = [" ".join(f"{c}{i}" for i in range(80)) for c in "abcde"]
+    a, b, c, d, e = ((t, t + " more") for t in texts)
+    rows = [(1, a[0]), (2, a[1]), (2, b[0]), (3, c[0]), (3, c[1]), (None, d[0]), (None, d[1]), (None, e[0]), (9, e[1]), (5, ""), (5, None)]
+    got = jaccard_join.drop_near_copies(spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _x long"), 5, 80)
+    first = [min(x, key=lambda t: hashlib.sha256(t.encode()).hexdigest()) for x in (c, d)]
+    want = [(1, a[0]), (2, b[0]), (3, first[0]), (None, first[1]), (9, e[1]), (5, ""), (5, None)]
+    assert got.columns == ["doc_id", "text", "_x"]
+    got = got.collect()
+    assert {(r[0], r[1]) for r in got} == set(want) and len(got) == len(want)
+    assert all(rows[r["_x"]] == (r[0], r[1]) for r in got)
+
+
 def test_trees_find_what_all_pairs_find():
     rng = np.random.default_rng(4)
     base = [np.unique(rng.integers(0, 2**63, 200).astype(np.uint64)) for _ in range(6)]
