@@ -329,39 +329,47 @@ def test_embedding_links(spark):
     assert embedding_dedup.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
-def lossy(kept):
-    """A search that finds only links of classes which have more than ``kept``."""
-    whole = embedding_dedup._pairs
+def blind(column):
+    """An audit in which the graphs find no links of audited classes, or no probe's source."""
+    whole = embedding_dedup._audit
 
-    def pairs(*a):
+    def audit(*a):
         run = whole(*a)
 
-        def few(batches):
+        def nothing(batches):
             for batch in run(batches):
-                ends = collections.Counter([*batch.column(0).to_pylist(), *batch.column(1).to_pylist()])
-                at = [i for i, (x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())) if max(ends[x], ends[y]) > kept]
-                yield batch.take(pa.array(at, pa.int64()))
+                at = batch.schema.get_field_index(column)
+                yield batch.set_column(at, column, pa.array([0] * batch.num_rows, pa.int64()))
 
-        return few
+        return nothing
 
-    return pairs
+    return audit
 
 
-@pytest.mark.parametrize("hot,pairs,alone,audited,groups", [(150, 40, 60, 32, 8), (0, 1, 400, 16, 8), (0, 120, 40, 64, 8)])
-@pytest.mark.parametrize("found", [True, False])
-def test_embedding_audit(spark, monkeypatch, hot, pairs, alone, audited, groups, found):
-    """Links of small groups beside a large one, and a rare pair, are found even if the graphs miss them."""
+@pytest.mark.parametrize("hot,pairs,alone", [(150, 40, 60), (0, 1, 400), (0, 120, 40), (0, 0, 300)])
+@pytest.mark.parametrize("fails", [None, "others", "met"])
+def test_embedding_audit(spark, monkeypatch, hot, pairs, alone, fails):
+    """Links of small groups beside a large one, and a rare pair, are found; a graph that
+    misses them, or only its probes where a table has no links, leads to the comparison."""
     rng = np.random.default_rng(7)
     base = rng.normal(size=(pairs + alone + 1, 48))
     v = np.concatenate([base[0] + rng.normal(size=(hot, 48)) * 0.1, base[1:], base[1:pairs + 1] + rng.normal(size=(pairs, 48)) * 0.1])
-    monkeypatch.setattr(embedding_dedup, "AUDITED", audited)
-    monkeypatch.setattr(embedding_dedup, "GROUPS", groups, raising=False)
-    if not found:
-        monkeypatch.setattr(embedding_dedup, "_pairs", lossy(4))
+    compared = []
+    exact = embedding_dedup.exact_links
+    monkeypatch.setattr(embedding_dedup, "exact_links", lambda *a: compared.append(1) or exact(*a))
+    if fails:
+        monkeypatch.setattr(embedding_dedup, "_audit", blind(fails))
     got = embedding_dedup.embedding_links(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()
     m = v / np.linalg.norm(v, axis=1)[:, None]
     want = (m @ m.T >= 0.9).sum(1) - 1
-    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(want.tolist())) and want[-1] > 0
+    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(want.tolist()))
+    assert bool(compared) == (fails == "met" or fails == "others" and hot + pairs > 0)  # else the graphs have answered
+
+
+def test_embedding_columns_may_clash(spark):
+    rows = [(i, [1.0, float(i % 2)], 1, "a", 2.0, [3.0]) for i in range(6)]
+    got = embedding_dedup.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, no long, shard string, copies double, v array<double>")).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got} == {(i, 2, i % 2, i < 2) for i in range(6)}
 
 
 NASTY = ["a  b   c", "  x", " " * 37, "日本 語  日\n  \n\tx", "aaaaaaaaaaaaaa", "a▁▁b", "ﬁ \U0001F600 z", "    def f(x):\n        return x", "1234 don't we'll STOP!!! <|endoftext|>x",
