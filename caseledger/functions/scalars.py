@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .constants import (
     HU_CENTER, HU_HALF_WIDTH, HU_HIGH, HU_LOW, LABEL_CODES, PROBABILITY_LEVELS, SIZE_BINS_MM,
@@ -83,6 +83,38 @@ def hash32(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
 
 
+def hash_halves(*parts: Column) -> tuple[Column, Column]:
+    """First and second 32 bits of the MD5 of the joined parts, as non-negative longs."""
+    digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
+    return tuple(F.conv(F.substring(digest, at, 8), 16, 10).cast("long") for at in (1, 9))
+
+
+def mix32(df: DataFrame, x: Column, out: str) -> DataFrame:
+    """Adds ``out``, a 32-bit value spread over all its bits, in 64-bit arithmetic that
+    can't overflow. Each step is a column of its own, so none is computed twice."""
+    kept = df.columns
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x45D9F3B), (16, 1)):
+        df = df.withColumn(f"{out}_x", x)
+        here = F.col(f"{out}_x")
+        x = (here.bitwiseXOR(F.shiftright(here, shift)) * F.lit(factor)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return df.select(*kept, x.alias(out))
+
+
+BILLION = 1_000_000_000
+
+
+def billionths(x: Column) -> Column:
+    """A measure as a whole number of billionths (null for NaN), whose sums are exact in
+    whatever order rows are added. A long holds the sum of 9e9 values of one."""
+    x = x.cast("double")
+    return F.when(~F.isnan(x), F.round(x * F.lit(float(BILLION))).cast("long"))
+
+
+def steady_mean(x: Column) -> Column:
+    """Mean, to a billionth, that doesn't depend on the order of rows; null without values."""
+    return F.sum(billionths(x)) / F.count(billionths(x)) / F.lit(BILLION)
+
+
 def hash_uniform(*parts: Column) -> Column:
     """Deterministic uniform value in [0, 1)."""
     return hash32(*parts).cast("double") / F.lit(4294967296.0)

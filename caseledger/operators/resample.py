@@ -1,46 +1,110 @@
-"""Bootstrap as joins and weighted aggregates.
-
-Row number ``i`` of a stratum is also draw slot ``i``: its draw is a hash of
-(seed, replicate, stratum, i) modulo the stratum size. Draws collapse to
-multiplicities at once, and every metric is a weighted aggregate per replicate,
-so a replicate is never materialised as rows and never sits in one task.
+"""Bootstrap without rows of unit x replicate in a shuffle.
+
+A replicate draws, in each stratum of n units, n units with replacement. How often
+each is drawn is decided where the unit lies: first every unit takes a Poisson number
+of draws, from a hash of itself and the replicate, at a rate a little below one.
+Given their sum, such numbers are distributed as that many draws with replacement;
+the draws that are still missing, some sqrt(n) of n, are dealt out one by one to hashed
+places. Units carry the columns that a metric needs, so a metric is one aggregation of
+rows that are made in the same task, combined before the shuffle. Only the missing draws
+are joined to units.
+
+Should a replicate's Poisson numbers exceed n (six standard deviations), all of its
+draws are dealt out instead, which leaves the distribution what it is.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.constants import BOOTSTRAP_REPLICATES, SEED
-from ..functions.scalars import hash32
-from ..session import spread
-from .detection import ranked_sums, ranking_metrics
+from ..functions.scalars import BILLION, billionths, hash_halves, mix32
+from ..session import cut_lineage, spread
+from .detection import ranked_sums
 from .ordering import KEY, hash_index, keyed
 
 REPLICATE, WEIGHT = "replicate", "weight"
 
+#: A stratum of SLACK**2 * 4**k units or more takes Poisson draws at the rate 1 - 2**-k, k up to LEVELS.
+SLACK, LEVELS = 6, 14
+#: Most Poisson draws of a unit that 32 bits can tell.
+MOST = 12
+_STEP, _MASK = 2654435769, 0xFFFFFFFF
+
+
+def least_units(level: int) -> int:
+    """Units of the smallest stratum that draws at a level."""
+    return SLACK * SLACK * 4 ** level
+
+
+def poisson_limits(level: int) -> list[int]:
+    """For counts 0, 1, ..: the 32-bit hashes from which on a unit is drawn more often."""
+    rate = 1 - 0.5 ** level
+    if not rate:
+        return [1 << 32] * MOST
+    term, total, out = math.exp(-rate), 0.0, []
+    for j in range(MOST):
+        total += term
+        term *= rate / (j + 1)
+        out.append(min(round(total * 2 ** 32), 1 << 32))
+    return out
+
+
+def _replicates(df: DataFrame, replicates: int, seed: int, *kept: str) -> DataFrame:
+    """Each row once per replicate, with the replicate's hash ``__k``."""
+    each = df.select(*kept, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"))).alias(REPLICATE))
+    return mix32(each, (F.col(REPLICATE) * F.lit(_STEP) + F.lit(seed & _MASK)).bitwiseAND(F.lit(_MASK)), "__k")
+
 
 def draw_weights(units: DataFrame, strata: Sequence[str], identity: str,
                  replicates: int = BOOTSTRAP_REPLICATES, seed: int = SEED) -> DataFrame:
-    """Multiplicity of each drawn unit: ``(replicate, strata, identity, weight)``.
+    """How often each unit is drawn: ``(replicate, weight)`` and all columns of ``units``.
 
-    Sampling with replacement inside each stratum, as many draws as units.
-    Without strata the whole table is one stratum.
+    Sampling with replacement inside each stratum, as many draws as units. Without
+    strata the whole table is one stratum; a null stratum is a stratum. A unit may
+    have two rows of one replicate, whose weights add up, and rows of weight 0.
     """
-    strata = list(strata)
-    slots = hash_index(units.select(*strata, identity), strata, [identity], "_i", size="_n")
-    numbered = slots.drop("_n")
+    strata, columns = list(strata), units.columns
     label = F.concat_ws("|", *[F.col(c).cast("string") for c in strata]) if strata else F.lit("all")
-    each = spread(slots, "_i").select(*strata, "_i", "_n", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"))).alias(REPLICATE))
-    drawn = each.select(*strata, REPLICATE,
-                        (hash32(F.lit(seed), F.col(REPLICATE), label, F.col("_i")) % F.col("_n")).alias("_i"))
-    counts = drawn.groupBy(REPLICATE, *strata, "_i").agg(F.count(F.lit(1)).alias(WEIGHT))
-    if not strata:
-        return counts.join(numbered, "_i").select(REPLICATE, identity, WEIGHT)
-    # a null stratum is a stratum: keys are compared as structs
-    return (keyed(counts, strata).drop(*strata).join(keyed(numbered, strata), [KEY, "_i"])
-            .select(REPLICATE, *strata, identity, WEIGHT))
+    first, second = hash_halves(F.lit(seed), label, F.col(identity))
+    level = sum((F.when(F.col("__n") >= least_units(k), 1).otherwise(0) for k in range(1, LEVELS + 1)), F.lit(0))
+    limits = [f"__l{j}" for j in range(MOST)]
+    slots = hash_index(units, strata, [identity], "__i", size="__n").withColumn("__level", level + 1).select(
+        *columns, "__i", "__n", first.alias("__a"), second.alias("__b"),
+        *[F.element_at(F.array(*[F.lit(poisson_limits(k)[j]).cast("long") for k in range(LEVELS + 1)]), F.col("__level")).alias(c) for j, c in enumerate(limits)])
+    slots = cut_lineage(slots)
+    numbered = keyed(slots, strata) if strata else slots.withColumn(KEY, F.lit(0))
+
+    def local(*kept: str) -> DataFrame:
+        """Units with their Poisson draws, made beside them."""
+        some = spread(numbered.where(F.col(limits[0]) < F.lit(1 << 32)), "__i")
+        rows = _replicates(some, replicates, seed, *kept, KEY, "__a", "__b", *limits)
+        rows = mix32(rows, (F.col("__a") + F.col("__k")).bitwiseAND(F.lit(_MASK)), "__h")
+        rows = mix32(rows, F.col("__h").bitwiseXOR(F.col("__b")), "__u")
+        count = sum((F.when(F.col("__u") >= F.col(c), 1).otherwise(0) for c in limits), F.lit(0)).cast("long")
+        # no filter on the weight: pushed down, it would unfold all steps of the hash
+        return rows.select(*kept, KEY, REPLICATE, count.alias(WEIGHT))
+
+    sizes = numbered.groupBy(KEY).agg(F.count(F.lit(1)).alias("__n"))
+    taken = local().groupBy(KEY, REPLICATE).agg(F.sum(WEIGHT).alias("__t"))
+    missing = cut_lineage(_replicates(sizes, replicates, seed, KEY, "__n").join(taken, [KEY, REPLICATE], "left")
+                          .withColumn("__t", F.coalesce("__t", F.lit(0).cast("long"))))
+    over = F.col("__t") > F.col("__n")
+    drawn = local(*columns).join(missing.where(over).select(KEY, REPLICATE), [KEY, REPLICATE], "left_anti")
+    # what is missing, one row a draw
+    left = missing.withColumn("__m", F.when(over, F.col("__n")).otherwise(F.col("__n") - F.col("__t"))).where("__m > 0").select(
+        KEY, REPLICATE, "__n", "__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__m"))).alias("__j"))
+    left = mix32(left, (F.col("__j") * F.lit(_STEP) + F.col("__k")).bitwiseAND(F.lit(_MASK)), "__h")
+    left = mix32(left, F.col("__h").bitwiseXOR(F.col("__k")), "__u")
+    left = mix32(left, (F.col("__u") + F.lit(1)).bitwiseAND(F.lit(_MASK)), "__v")
+    # 62 bits, so that places are even for any number of units
+    place = (F.col("__h").bitwiseAND(F.lit(0x3FFFFFFF)) * F.lit(1 << 32) + F.col("__v")) % F.col("__n")
+    dealt = cut_lineage(left.select(KEY, REPLICATE, place.alias("__i")).groupBy(KEY, "__i", REPLICATE).agg(F.count(F.lit(1)).alias(WEIGHT)))
+    added = dealt.join(numbered.select(KEY, "__i", *columns), [KEY, "__i"])
+    return drawn.select(REPLICATE, WEIGHT, *columns).unionByName(added.select(REPLICATE, WEIGHT, *columns))
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -49,22 +113,23 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return F.when(total > 0, F.sum(value * weight) / total)
 
 
-def replicate_metrics(cases: DataFrame, weights: DataFrame, identity: str, means: dict[str, Column],
-                      label: str | None = None, score: str | None = None) -> DataFrame:
+def replicate_metrics(cases: DataFrame, strata: Sequence[str], identity: str, means: dict[str, Column],
+                      label: str | None = None, score: str | None = None, replicates: int = BOOTSTRAP_REPLICATES,
+                      seed: int = SEED) -> DataFrame:
     """One row per replicate: weighted means and, with ``label`` and ``score``,
     AUC and average precision.
 
     Everything comes from one grouping of the draws by (replicate, score): the
     ranking metrics accumulate over the scores, the means just add up.
     """
-    needed = cases.select(identity, *[c.cast("double").alias(n) for n, c in means.items()],
+    needed = cases.select(*dict.fromkeys([*strata, identity]), *[c.alias(f"_v_{n}") for n, c in means.items()],
                           *([F.col(label).alias("_y"), F.col(score).alias("_s")] if label else []))
-    drawn = weights.select(REPLICATE, identity, WEIGHT).join(needed, identity)
+    drawn = draw_weights(needed, strata, identity, replicates, seed)
     w = F.col(WEIGHT)
     sums = {}
     for n in means:
-        sums[f"_n_{n}"] = F.coalesce(F.sum(F.when(F.col(n).isNotNull(), w)), F.lit(0).cast("long"))
-        sums[f"_s_{n}"] = F.coalesce(F.sum(F.col(n) * w), F.lit(0.0))
+        sums[f"_n_{n}"] = F.coalesce(F.sum(F.when(F.col(f"_v_{n}").isNotNull(), w)), F.lit(0).cast("long"))
+        sums[f"_s_{n}"] = F.coalesce(F.sum(F.col(f"_v_{n}") * w), F.lit(0))
     named = [c.alias(n) for n, c in sums.items()]
     ratios = [F.when(F.col(f"_n_{n}") > 0, F.col(f"_s_{n}") / F.col(f"_n_{n}")).alias(n) for n in means]
     if not label:
@@ -72,8 +137,8 @@ def replicate_metrics(cases: DataFrame, weights: DataFrame, identity: str, means
     grouped = drawn.groupBy(REPLICATE, "_s").agg(
         F.sum(F.when(F.col("_y") == 1, w).otherwise(0)).alias("_pos"),
         F.sum(F.when(F.col("_y") == 0, w).otherwise(0)).alias("_neg"), *named)
-    # a replicate has at most as many score groups as the undrawn table has rows
-    return ranked_sums(grouped, needed, [REPLICATE], list(sums), rows_per_key=needed.count()).select(
+    # a replicate has at most as many score groups as the undrawn table has scores
+    return ranked_sums(grouped, None, [REPLICATE], list(sums), rows_per_key=needed.select("_s").distinct().count()).select(
         REPLICATE, *ratios, "auc", "average_precision")
 
 
@@ -103,19 +168,38 @@ def mean_interval(rows: DataFrame, keys: Sequence[str], identity: str, value: st
                   replicates: int = BOOTSTRAP_REPLICATES, seed: int = SEED) -> DataFrame:
     """Mean of one column per group with its bootstrap interval; null for empty groups.
 
-    Serves proportions as well (a 0/1 column).
+    Serves proportions as well (a 0/1 column). Each group is a stratum of its own.
+    """
+    return mean_intervals(rows, keys, identity, {"": F.col(value)}, replicates, seed)
+
+
+def mean_intervals(rows: DataFrame, keys: Sequence[str], identity: str, values: dict[str, Column],
+                   replicates: int = BOOTSTRAP_REPLICATES, seed: int = SEED, within: Sequence[str] = ()) -> DataFrame:
+    """For each named value its mean per group and the limits of its interval: columns
+    ``mean``, ``lower``, ``upper``, behind the name and an underscore where it has one.
+
+    ``within`` names columns that divide a group into strata, each of which is drawn to its
+    own size; without, a group is drawn as a whole. All values share their draws; a null or NaN value leaves its row out of that value's
+    mean in every replicate. Means do not depend on the order of rows (``steady_mean``).
     """
     keys = list(keys)
-    usable = rows.where(F.col(value).isNotNull() & ~F.isnan(value))
-    point = usable.groupBy(*keys).agg(F.avg(value).alias("mean"))
-    weights = draw_weights(usable, keys, identity, replicates, seed)
-    unit = [*keys, identity]
-    drawn = keyed(weights, unit).join(keyed(usable, unit).select(KEY, value), KEY)
-    per = drawn.groupBy(*keys, REPLICATE).agg(weighted_mean(F.col(value), F.col(WEIGHT)).alias("mean_value"))
-    band = percentile_intervals(per, ["mean_value"], keys).drop("metric", "used")
-    if not keys:
-        return point.join(F.broadcast(band))  # one row
-    return keyed(point, keys).join(keyed(band, keys).drop(*keys), KEY, "left").drop(KEY)
+    strata = [*keys, *within]
+    usable = rows.select(*dict.fromkeys([*strata, identity]), *[billionths(c).alias(f"_v{i}") for i, c in enumerate(values.values())])
+    point = usable.groupBy(*keys).agg(*[_ratio(F.sum(f"_v{i}"), F.count(f"_v{i}")).alias(f"_p{i}") for i in range(len(values))])
+    w = F.col(WEIGHT)
+    per = draw_weights(usable, strata, identity, replicates, seed).groupBy(*keys, REPLICATE).agg(
+        *[_ratio(F.sum(F.col(f"_v{i}") * w), F.sum(F.when(F.col(f"_v{i}").isNotNull(), w))).alias(f"_m{i}") for i in range(len(values))])
+    bands = per.groupBy(*keys).agg(*[F.percentile(f"_m{i}", F.array(F.lit(0.025), F.lit(0.975))).alias(f"_q{i}") for i in range(len(values))])
+    joined = keyed(point, keys).join(keyed(bands, keys).drop(*keys), KEY, "left") if keys else point.join(F.broadcast(bands))  # one row
+    named = []
+    for i, name in enumerate(values):
+        dash = f"{name}_" if name else ""
+        named += [F.col(f"_p{i}").alias(f"{dash}mean"), F.col(f"_q{i}")[0].alias(f"{dash}lower"), F.col(f"_q{i}")[1].alias(f"{dash}upper")]
+    return joined.select(*keys, *named)
+
+
+def _ratio(total: Column, count: Column) -> Column:
+    return F.when(count > 0, total / count / F.lit(BILLION))
 
 
 def cluster_differences(paired: DataFrame, cluster: str, first: str, second: str, lesion: str, organ: str,
@@ -123,35 +207,34 @@ def cluster_differences(paired: DataFrame, cluster: str, first: str, second: str
                         seed: int = SEED, weights_of: tuple[float, float] = (0.7, 0.3)) -> DataFrame:
     """Patient bootstrap of ``first - second``: selection score and AUC per replicate.
 
-    Patients are drawn, and all rows of a patient follow. Overlap sums are
-    reduced to one row per patient before the join with the draws; the AUC keeps
-    one row per (patient, label, score). An AUC undefined on either side gives
-    a null difference, which the interval leaves out.
+    Patients are drawn, and all rows of a patient follow. A patient is one row: sums of
+    overlap per arm, and a histogram of (arm, label, score) that is as long as the patient
+    has rows. An AUC undefined on either side gives a null difference, which the interval
+    leaves out.
     """
-    patients = paired.select(cluster).distinct()
-    weights = draw_weights(patients, [], cluster, replicates, seed)
     pos = F.col(label) == 1
     cols = {}
     for arm in (first, second):
-        cols[f"_l_{arm}"] = F.sum(F.when(pos, F.col(f"{lesion}_{arm}")))
-        cols[f"_o_{arm}"] = F.sum(f"{organ}_{arm}")
-    per = paired.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"), F.sum(pos.cast("long")).alias("_p"),
-                                      *[c.alias(n) for n, c in cols.items()])
-    sums = weights.join(per, cluster).groupBy(REPLICATE).agg(
-        *[F.sum(F.coalesce(F.col(c), F.lit(0.0)) * F.col(WEIGHT)).alias(c) for c in cols],
-        F.sum(F.col("_n") * F.col(WEIGHT)).alias("_n"), F.sum(F.col("_p") * F.col(WEIGHT)).alias("_p"))
+        cols[f"_l_{arm}"] = F.sum(F.when(pos, billionths(F.col(f"{lesion}_{arm}"))))
+        cols[f"_o_{arm}"] = F.sum(billionths(F.col(f"{organ}_{arm}")))
+    arms = F.array(*[F.struct(F.lit(a).alias("arm"), F.col(label).alias("y"), F.col(f"{score}_{a}").alias("s")) for a in (first, second)])
+    patients = paired.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"), F.sum(pos.cast("long")).alias("_p"),
+                                           F.flatten(F.collect_list(arms)).alias("_scores"), *[c.alias(n) for n, c in cols.items()])
+    drawn = draw_weights(patients, [], cluster, replicates, seed)
+    w = F.col(WEIGHT)
+    sums = drawn.groupBy(REPLICATE).agg(
+        *[F.sum(F.coalesce(F.col(c), F.lit(0).cast("long")) * w).alias(c) for c in cols],
+        F.sum(F.col("_n") * w).alias("_n"), F.sum(F.col("_p") * w).alias("_p"))
 
     def selection(arm: str) -> Column:
-        return (F.when(F.col("_p") > 0, F.col(f"_l_{arm}") / F.col("_p")) * weights_of[0]
-                + F.col(f"_o_{arm}") / F.col("_n") * weights_of[1])
-
-    # both arms in long form: one ranking job with the arm as a key
-    rows = paired.select(cluster, label, F.explode(F.array(*[
-        F.struct(F.lit(a).alias("arm"), F.col(f"{score}_{a}").alias("s")) for a in (first, second)])).alias("_a")).groupBy(
-        cluster, label, F.col("_a.arm").alias("arm"), F.col("_a.s").alias("_s")).agg(F.count(F.lit(1)).alias("_k"))
-    drawn = weights.join(rows, cluster).select(REPLICATE, "arm", F.col(label).alias("_y"), "_s",
-                                               (F.col("_k") * F.col(WEIGHT)).alias("_w"))
-    auc = ranking_metrics(drawn, [REPLICATE, "arm"], "_y", "_s", "_w", undrawn=rows).groupBy(REPLICATE).agg(
+        return (_ratio(F.col(f"_l_{arm}"), F.col("_p")) * weights_of[0] + _ratio(F.col(f"_o_{arm}"), F.col("_n")) * weights_of[1])
+
+    rows = drawn.select(REPLICATE, WEIGHT, F.explode("_scores").alias("_x"))
+    grouped = rows.groupBy(REPLICATE, F.col("_x.arm").alias("arm"), F.col("_x.s").alias("_s")).agg(
+        F.sum(F.when(F.col("_x.y") == 1, w).otherwise(0)).alias("_pos"), F.sum(F.when(F.col("_x.y") == 0, w).otherwise(0)).alias("_neg"))
+    scores = paired.select(F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(f"{score}_{a}").alias("s")) for a in (first, second)])).alias("x"))
+    most = scores.select("x.arm", "x.s").distinct().groupBy("arm").count().agg(F.max("count")).first()[0] or 0
+    auc = ranked_sums(grouped, None, [REPLICATE, "arm"], rows_per_key=most).groupBy(REPLICATE).agg(
         (F.max(F.when(F.col("arm") == first, F.col("auc")))
          - F.max(F.when(F.col("arm") == second, F.col("auc")))).alias("auc_difference"))
     return (sums.select(REPLICATE, (selection(first) - selection(second)).alias("selection_difference"))

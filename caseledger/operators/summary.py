@@ -6,14 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.constants import LESION_WEIGHT, ORGAN_WEIGHT, SIZE_GROUPS
+from ..functions.constants import BOOTSTRAP_REPLICATES, LESION_WEIGHT, ORGAN_WEIGHT, SEED, SIZE_GROUPS
+from ..functions.scalars import steady_mean
 from . import detection as det
 from .ordering import exact_percentiles
+from .resample import mean_intervals
 
 
 def conditional_mean(value: Column, when: Column) -> Column:
     """Mean over the rows where ``when`` holds; null when there are none."""
-    return F.avg(F.when(when, value.cast("double")))
+    return steady_mean(F.when(when, value.cast("double")))
 
 
 def scoped(df: DataFrame, scopes: dict[str, Column]) -> DataFrame:
@@ -60,9 +62,9 @@ def case_means(cases: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return cases.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("cases"), F.sum(pos.cast("long")).alias("positive_cases"),
         F.sum(neg.cast("long")).alias("negative_cases"),
-        F.avg("organ_dice").alias("mean_organ_dice"),
+        steady_mean(F.col("organ_dice")).alias("mean_organ_dice"),
         conditional_mean(F.col("lesion_dice"), pos).alias("mean_lesion_dice"),
-        F.avg(F.col("target_present").cast("double")).alias("organ_presence"),
+        steady_mean(F.col("target_present").cast("double")).alias("organ_presence"),
         conditional_mean(F.col("target_present"), pos).alias("lesion_presence"),
         conditional_mean(F.col("lesion_localized"), pos).alias("localization_sensitivity"),
         conditional_mean(~F.col("case_positive"), neg).alias("negative_specificity"))
@@ -98,9 +100,14 @@ def pooled(cases: DataFrame, column: str, members: Sequence[str], name: str, out
         out, F.explode(F.array(F.col(column), F.lit(name))))
 
 
-def size_strata(cases: DataFrame, cohorts: Sequence[str], diameter: str = "diameter_mm",
-                group: str = "size_group") -> DataFrame:
-    """Every cohort x size class, also empty ones: counts, diameters, overlap, sensitivity."""
+def _with_limits(names: dict[str, Column]) -> list[Column]:
+    return [F.col(f"{n}_{part}").alias(n if part == "mean" else f"{n}_{part}") for n in names for part in ("mean", "lower", "upper")]
+
+
+def size_strata(cases: DataFrame, cohorts: Sequence[str], diameter: str = "diameter_mm", group: str = "size_group",
+                identity: str = "study_id", replicates: int = BOOTSTRAP_REPLICATES, seed: int = SEED) -> DataFrame:
+    """Every cohort x size class, also empty ones: counts, diameters, overlap and sensitivity
+    with the limits of their bootstrap intervals (null for a class without cases)."""
     spark = cases.sparkSession
     frame = spark.createDataFrame([(c, g) for c in cohorts for g in SIZE_GROUPS], f"cohort string, {group} string")
     keys = ["cohort", group]
@@ -108,21 +115,30 @@ def size_strata(cases: DataFrame, cohorts: Sequence[str], diameter: str = "diame
         F.count(F.lit(1)).alias("cases"),
         F.count_if(F.col("annotation_type") == "manual").alias("manual_cases"),
         F.count_if(F.col("annotation_type") == "automatic").alias("automatic_cases"),
-        F.min(diameter).alias("minimum_mm"), F.max(diameter).alias("maximum_mm"),
-        F.avg("lesion_dice").alias("mean_lesion_dice"),
-        F.avg(F.col("lesion_localized").cast("double")).alias("localization_sensitivity"))
+        F.min(diameter).alias("minimum_mm"), F.max(diameter).alias("maximum_mm"))
     medians = det.median_of(cases, keys, diameter, "median_mm")
-    out = frame.join(stats, keys, "left").join(medians, keys, "left")
+    values = {"mean_lesion_dice": F.col("lesion_dice"), "localization_sensitivity": F.col("lesion_localized").cast("double")}
+    limits = mean_intervals(cases, keys, identity, values, replicates, seed).select(*keys, *_with_limits(values))
+    out = frame.join(stats, keys, "left").join(medians, keys, "left").join(limits, keys, "left")
     counts = ["cases", "manual_cases", "automatic_cases"]
     return out.select(*[F.coalesce(c, F.lit(0)).alias(c) if c in counts else F.col(c) for c in out.columns])
 
 
+def manual_table(cases: DataFrame, identity: str = "study_id", replicates: int = BOOTSTRAP_REPLICATES, seed: int = SEED) -> DataFrame:
+    """Per cohort of manually annotated positive cases: overlaps and sensitivity with the
+    limits of their bootstrap intervals."""
+    values = {"mean_organ_dice": F.col("organ_dice"), "mean_lesion_dice": F.col("lesion_dice"),
+              "localization_sensitivity": F.col("lesion_localized").cast("double")}
+    counts = cases.groupBy("cohort").agg(F.count(F.lit(1)).alias("cases"))
+    return counts.join(mean_intervals(cases, ["cohort"], identity, values, replicates, seed).select("cohort", *_with_limits(values)), "cohort", "left")
+
+
 def arm_summary(arms: DataFrame) -> DataFrame:
     """Per arm: overlap, median lesion overlap, ranking metrics and selection score."""
     pos = F.col("label_binary") == 1
     means = arms.groupBy("arm").agg(
         F.count(F.lit(1)).alias("cases"), F.sum(pos.cast("long")).alias("positive_cases"),
-        F.min("best_epoch").alias("best_epoch"), F.avg("organ_dice").alias("mean_organ_dice"),
+        F.min("best_epoch").alias("best_epoch"), steady_mean(F.col("organ_dice")).alias("mean_organ_dice"),
         conditional_mean(F.col("lesion_dice"), pos).alias("mean_lesion_dice"))
     medians = det.median_of(arms.where(pos), ["arm"], "lesion_dice", "median_lesion_dice")
     ranks = det.ranking_metrics(arms, ["arm"], score="case_score").select("arm", "auc", "average_precision")

@@ -6,15 +6,15 @@ from pyspark.sql import functions as F, types as T
 
 from ..functions import constants as k, parsing as p, scalars as s
 from ..functions.scalars import hash32
-from ..operators import contracts as ct, detection as det, joins as j, ledger as lg, lineage as ln, sampling as sa
+from ..operators import contracts as ct, detection as det, joins as j, ledger as lg, lineage as ln, resample as rs, sampling as sa
 from ..operators import summary as sm
 from ..session import fresh_path
 from ..sources import files as fl, tables as tb
 from ..streaming import ledgers as st
 from . import views as v
 from .detect import CURVE_SQL, curve
+from .drawsql import REPLICATES, drawn_mean, draws_sql, exact, hash_sql, mean_sql
 from .registry import query
-from .summaries import _hash
 
 VERSION = ["completed_at", "seq"]
 _LAST = """, last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY completed_at DESC, seq DESC) AS r
@@ -269,14 +269,14 @@ def _(t):
 
 
 @query("f7_class_balanced_epoch", uses="v_cohort", sql=f"""
-, pos AS (SELECT study_id, row_number() OVER (ORDER BY {_hash("'|' || study_id")}, study_id) - 1 AS i, count(*) OVER () AS n
+, pos AS (SELECT study_id, row_number() OVER (ORDER BY {hash_sql("'|' || study_id")}, study_id) - 1 AS i, count(*) OVER () AS n
  FROM v_cohort WHERE label_binary = 1),
-slots AS (SELECT s, {_hash("'20260728|samples|3|' || s")} AS h FROM (SELECT unnest(range(688)) AS s)),
+slots AS (SELECT s, {hash_sql("'20260728|samples|3|' || s")} AS h FROM (SELECT unnest(range(688)) AS s)),
 pick AS (SELECT 'p' || s AS slot, study_id, 1 AS label_binary FROM slots JOIN pos ON i = h % n),
 neg AS (SELECT 'n' || study_id AS slot, study_id, 0 AS label_binary FROM v_cohort WHERE label_binary = 0
- ORDER BY {_hash("'20260728|samples|3|' || study_id")}, study_id LIMIT 688),
+ ORDER BY {hash_sql("'20260728|samples|3|' || study_id")}, study_id LIMIT 688),
 both_ AS (SELECT * FROM pick UNION ALL SELECT * FROM neg)
-SELECT slot, study_id, label_binary, row_number() OVER (ORDER BY {_hash("'20260728|order|3|' || slot")}, slot) AS slot_order FROM both_""")
+SELECT slot, study_id, label_binary, row_number() OVER (ORDER BY {hash_sql("'20260728|order|3|' || slot")}, slot) AS slot_order FROM both_""")
 def _(t):
     return sa.balanced_epoch(v.v_cohort(t), 3, 688)
 
@@ -462,8 +462,8 @@ def _(t):
     return ln.access_audit(ledger, ["touched_labels", "touched_masks"])
 
 
-_LONG_SQL = """, m AS (SELECT source_group AS cohort, count(*) AS cases, avg(organ_dice) AS mean_organ_dice,
- avg(lesion_dice) AS mean_lesion_dice, avg(lesion_localized::INT) FILTER (WHERE label_binary = 1) AS localization_sensitivity,
+_LONG_SQL = f""", m AS (SELECT source_group AS cohort, count(*) AS cases, {mean_sql('organ_dice')} AS mean_organ_dice,
+ {mean_sql('lesion_dice')} AS mean_lesion_dice, avg(lesion_localized::INT) FILTER (WHERE label_binary = 1) AS localization_sensitivity,
  count(*) FILTER (WHERE label_binary = 1) AS positive_cases FROM v_case GROUP BY 1),
 long AS (SELECT cohort, cases, metric, value FROM m UNPIVOT (value FOR metric IN (mean_organ_dice, mean_lesion_dice, localization_sensitivity)))"""
 
@@ -488,25 +488,59 @@ def _(t):
     return wide.join(share, "cohort")
 
 
-@query("j11_interval_union", uses="v_case", doubles="lower upper", sql="""
-SELECT source_group AS cohort, 'organ_dice' AS metric, quantile_cont(organ_dice, 0.025) AS lower, quantile_cont(organ_dice, 0.975) AS upper
-FROM v_case GROUP BY 1""")
-def _(t):
-    from ..operators.ordering import exact_percentiles
-
-    def interval(source):
-        q = exact_percentiles(v.v_case(t).where(F.col("source_group") == source), [], "organ_dice", [0.025, 0.975])
-        pick = lambda x: F.max(F.when(F.col("p") == x, F.col("percentile_value")))
-        return q.agg(F.lit("organ_dice").alias("metric"), pick(0.025).alias("lower"), pick(0.975).alias("upper"))
-    return ln.stacked({source: interval(source) for source in ("F", "O", "P")})
-
-
-@query("j12_froc_long_by_cohort", uses="v_cohort v_candidate", doubles="fp_per_case sensitivity", sql=CURVE_SQL + """
-SELECT 'ALL_CASES' AS cohort, threshold >= 0.5::DOUBLE AS upper_half, fp_per_case, sensitivity FROM curve
-UNION ALL SELECT 'ALL_CASES_HIGH', TRUE, fp_per_case, sensitivity FROM curve WHERE threshold >= 0.5::DOUBLE""")
-def _(t):
-    c = curve(t).select((F.col("threshold") >= 0.5).alias("upper_half"), "fp_per_case", "sensitivity")
-    return ln.stacked({"ALL_CASES": c, "ALL_CASES_HIGH": c.where("upper_half")})
+_COHORTS = {"F": ["F"], "EXTERNAL_COMBINED": ["O", "P"]}
+
+
+def _cohort_intervals_sql() -> str:
+    parts = []
+    for i, (cohort, sources) in enumerate(_COHORTS.items()):
+        listed = ", ".join(f"'{x}'" for x in sources)
+        text = f""", bc{i} AS (SELECT study_id, label_binary, {exact('organ_dice')} AS od, {exact('lesion_dice')} AS ld FROM v_case WHERE source_group IN ({listed}))"""
+        text += draws_sql(f"bc{i}", "study_id", "label_binary", "label_binary", "label_binary, od, ld", f"w{i}")
+        parts.append((cohort, i, text))
+    own = f""", zs AS (SELECT study_id, source_group, {exact('organ_dice')} AS od FROM v_case WHERE source_group IN ('O', 'P'))""" + draws_sql(
+        "zs", "study_id", "source_group", "source_group", "source_group, od", "ws")
+    per = [f"SELECT '{c}' AS cohort, metric, x FROM (SELECT r, {drawn_mean('od')} AS mean_organ_dice, {drawn_mean('ld')} AS mean_lesion_dice FROM w{i} GROUP BY 1) UNPIVOT (x FOR metric IN (mean_organ_dice, mean_lesion_dice))" for c, i, _ in parts]
+    per.append(f"SELECT source_group, 'mean_organ_dice', {drawn_mean('od')} FROM ws GROUP BY source_group, r")
+    return "".join(t for _, _, t in parts) + own + ", long AS (" + " UNION ALL ".join(per) + """)
+SELECT cohort, metric, quantile_cont(x, 0.025) AS lower, quantile_cont(x, 0.975) AS upper, count(*) AS used FROM long GROUP BY 1, 2"""
+
+
+@query("j11_interval_union", uses="v_case", doubles="lower upper", sql=_cohort_intervals_sql())
+def _(t):
+    """The interval tables of the internal cohort, of all external sources together (both
+    stratified by diagnosis) and of each external source, one below the other."""
+    cases, bn = v.v_case(t), s.billionths
+    metrics = {"mean_organ_dice": bn(F.col("organ_dice")), "mean_lesion_dice": bn(F.col("lesion_dice"))}
+    tables = {}
+    for cohort, sources in _COHORTS.items():
+        own = rs.replicate_metrics(cases.where(F.col("source_group").isin(sources)), ["label_binary"], "study_id", metrics, replicates=REPLICATES)
+        tables[cohort] = rs.percentile_intervals(own.withColumns({m: F.col(m) / s.BILLION for m in metrics}), list(metrics))
+    each = cases.where("source_group IN ('O', 'P')").select("study_id", "source_group", bn(F.col("organ_dice")).alias("od"))
+    per = rs.draw_weights(each, ["source_group"], "study_id", REPLICATES).groupBy("source_group", "replicate").agg(
+        (rs.weighted_mean(F.col("od"), F.col("weight")) / s.BILLION).alias("mean_organ_dice"))
+    own = rs.percentile_intervals(per, ["mean_organ_dice"], ["source_group"]).withColumnRenamed("source_group", "cohort")
+    return ln.stacked(tables).unionByName(own)
+
+
+@query("j12_froc_long_by_cohort", uses="v_cohort v_candidate", doubles="achieved_fp_per_case sensitivity threshold", sql="""
+, cd AS (SELECT source_group AS cohort, c.* FROM v_candidate c JOIN v_cohort USING (study_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY candidate_score DESC, candidate_x, candidate_y, candidate_z, shipped, reference_distance_mm) AS k FROM cd),
+tr AS (SELECT *, coalesce(reference_distance_mm <= 5 AND k = min(CASE WHEN reference_distance_mm <= 5 THEN k END) OVER (PARTITION BY study_id), FALSE) AS hit FROM rk),
+sz AS (SELECT source_group AS cohort, count(*) AS n, sum(label_binary) AS p FROM v_cohort GROUP BY 1),
+st AS (SELECT DISTINCT cohort, candidate_score AS threshold, CAST(sum(hit::INT) OVER o AS BIGINT) AS tp, CAST(sum(1 - hit::INT) OVER o AS BIGINT) AS fp
+  FROM tr WINDOW o AS (PARTITION BY cohort ORDER BY candidate_score DESC)),
+cv AS (SELECT cohort, threshold, tp, fp, tp::DOUBLE / p AS sensitivity, fp::DOUBLE / n AS f FROM (SELECT * FROM st UNION ALL
+  SELECT cohort, max(threshold) + 1e-6::DOUBLE, 0, 0 FROM st GROUP BY 1) JOIN sz USING (cohort))
+SELECT cohort, target, f AS achieved_fp_per_case, sensitivity, threshold, tp, fp FROM (
+ SELECT *, row_number() OVER (PARTITION BY cohort, target ORDER BY sensitivity DESC, f DESC, threshold DESC) AS r
+ FROM cv, (SELECT unnest([0.25, 0.5, 1, 2, 4, 8]::DOUBLE[]) AS target) WHERE f <= target + 1e-12::DOUBLE) WHERE r = 1""")
+def _(t):
+    """A curve per cohort, read at the standard targets, in long form."""
+    key = ["cohort"]
+    cohort = v.v_cohort(t).withColumnRenamed("source_group", "cohort")
+    tagged = v.v_candidate(t).join(cohort.select("study_id", "cohort"), "study_id")
+    return det.operating_points(det.froc_from_distances(tagged, det.cohort_sizes(cohort, key), keys=key), keys=key)
 
 
 @query("j13_frozen_manifest", uses="v_case", sql="""

@@ -9,6 +9,7 @@ from ..operators import contracts as ct, detection as det, resample as rs, summa
 from ..operators.ordering import exact_percentiles
 from . import views as v
 from .detect import CURVE_SQL, THRESHOLD
+from .drawsql import REPLICATES, draws_sql, drawn_mean, exact, mean_sql
 from .registry import query
 
 
@@ -108,10 +109,10 @@ SUMMARY_METRICS = ["auc", "average_precision", "mean_organ_dice", "median_organ_
  g AS (SELECT maximum_candidate_score AS s, sum(label_binary) AS p, count(*) AS n FROM v_case GROUP BY 1),
  apx AS (SELECT sum(p::DOUBLE * tp::DOUBLE / seen::DOUBLE) / sum(p) AS ap FROM (SELECT p, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS seen FROM g))
 SELECT 'auc' AS metric, auc AS value FROM pairs UNION ALL SELECT 'average_precision', ap FROM apx
-UNION ALL SELECT 'mean_organ_dice', avg(organ_dice) FROM v_case
+UNION ALL SELECT 'mean_organ_dice', """ + mean_sql('organ_dice') + """ FROM v_case
 UNION ALL SELECT 'median_organ_dice', median(organ_dice) FROM v_case
 UNION ALL SELECT 'organ_presence', avg(target_present::INT) FROM v_case
-UNION ALL SELECT 'mean_lesion_dice', avg(lesion_dice) FROM v_case WHERE label_binary = 1
+UNION ALL SELECT 'mean_lesion_dice', """ + mean_sql('lesion_dice') + """ FROM v_case WHERE label_binary = 1
 UNION ALL SELECT 'median_lesion_dice', median(lesion_dice) FROM v_case WHERE label_binary = 1
 UNION ALL SELECT 'lesion_presence', avg(target_present::INT) FROM v_case WHERE label_binary = 1
 UNION ALL SELECT 'locked_threshold', 0.9::DOUBLE
@@ -136,10 +137,10 @@ def _(t):
     return sm.metric_rows(one.withColumn("locked_threshold", F.lit(THRESHOLD)), SUMMARY_METRICS)
 
 
-@query("d28_subgroup_table", uses="v_case", doubles="mean_organ_dice mean_lesion_dice localization_sensitivity negative_specificity", sql="""
+@query("d28_subgroup_table", uses="v_case", doubles="mean_organ_dice mean_lesion_dice localization_sensitivity negative_specificity", sql=f"""
 SELECT 'annotation_type=' || annotation_type AS subgroup, count(*) AS cases, count(*) FILTER (WHERE label_binary = 1) AS positive_cases,
- count(*) FILTER (WHERE label_binary = 0) AS negative_cases, avg(organ_dice) AS mean_organ_dice,
- avg(lesion_dice) FILTER (WHERE label_binary = 1) AS mean_lesion_dice,
+ count(*) FILTER (WHERE label_binary = 0) AS negative_cases, {mean_sql('organ_dice')} AS mean_organ_dice,
+ {mean_sql('lesion_dice', 'label_binary = 1')} AS mean_lesion_dice,
  avg(lesion_localized::INT) FILTER (WHERE label_binary = 1) AS localization_sensitivity,
  avg(1 - case_positive::INT) FILTER (WHERE label_binary = 0) AS negative_specificity FROM v_case GROUP BY 1""")
 def _(t):
@@ -170,7 +171,7 @@ rk AS (SELECT source_group, CASE WHEN max(pp) > 0 AND max(qq) > 0 THEN sum(q * (
   CASE WHEN max(pp) > 0 THEN sum(p::DOUBLE * tp::DOUBLE / (tp + fp)::DOUBLE) / max(pp) END AS ap FROM w2 GROUP BY 1)
 SELECT cs.source_group, count(*) AS cases, count(*) FILTER (WHERE label_binary = 1) AS positive_cases,
  count(*) FILTER (WHERE label_binary = 0) AS negative_cases, any_value(auc) AS auc, any_value(ap) AS average_precision,
- avg(organ_dice) AS mean_organ_dice, avg(lesion_dice) FILTER (WHERE label_binary = 1) AS mean_lesion_dice,
+ """ + mean_sql('organ_dice') + """ AS mean_organ_dice, """ + mean_sql('lesion_dice', 'label_binary = 1') + """ AS mean_lesion_dice,
  avg(target_present::INT) FILTER (WHERE label_binary = 1) AS lesion_presence,
  (SELECT count(*) FROM tr WHERE tp AND candidate_score >= 0.9::DOUBLE AND tr.source_group = cs.source_group)::DOUBLE
   / nullif(sum(label_binary), 0) AS lesion_sensitivity,
@@ -200,33 +201,44 @@ sized AS (SELECT *, CASE WHEN mm <= 20 THEN 'small_<=20mm' WHEN mm <= 40 THEN 'm
  unnest([source_group, 'F_O_P']) AS cohort FROM d)"""
 
 
+_SIZED_DRAWS = _SIZED_SQL + f"""
+, z AS (SELECT cohort || '|' || size_group AS stratum, study_id, {exact('lesion_dice')} AS ld, {exact('lesion_localized::INT')} AS lo FROM sized)""" + draws_sql(
+    "z", "study_id", "stratum", "stratum", "stratum, ld, lo") + f"""
+, per AS (SELECT stratum, r, {drawn_mean('ld')} AS d, {drawn_mean('lo')} AS l FROM w GROUP BY 1, 2),
+lim AS (SELECT stratum, quantile_cont(d, 0.025) AS d0, quantile_cont(d, 0.975) AS d1, quantile_cont(l, 0.025) AS l0, quantile_cont(l, 0.975) AS l1 FROM per GROUP BY 1)"""
+
+
 @query("d30_lesion_size_strata", uses="v_case",
-       doubles="minimum_mm median_mm maximum_mm mean_lesion_dice localization_sensitivity", sql=_SIZED_SQL + """
+       doubles="minimum_mm median_mm maximum_mm mean_lesion_dice mean_lesion_dice_lower mean_lesion_dice_upper localization_sensitivity "
+               "localization_sensitivity_lower localization_sensitivity_upper", sql=_SIZED_DRAWS + f"""
 SELECT cohort, size_group, count(mm) AS cases, count(*) FILTER (WHERE annotation_type = 'manual') AS manual_cases,
  count(*) FILTER (WHERE annotation_type = 'automatic') AS automatic_cases, min(mm) AS minimum_mm, median(mm) AS median_mm,
- max(mm) AS maximum_mm, avg(lesion_dice) AS mean_lesion_dice, avg(lesion_localized::INT) AS localization_sensitivity
+ max(mm) AS maximum_mm, {mean_sql('lesion_dice')} AS mean_lesion_dice, any_value(d0) AS mean_lesion_dice_lower, any_value(d1) AS mean_lesion_dice_upper,
+ {mean_sql('lesion_localized::INT')} AS localization_sensitivity, any_value(l0) AS localization_sensitivity_lower, any_value(l1) AS localization_sensitivity_upper
 FROM (SELECT * FROM (SELECT unnest(['F','O','P','F_O_P']) AS cohort) , (SELECT unnest(['small_<=20mm','medium_>20-40mm','large_>40mm']) AS size_group))
-LEFT JOIN sized USING (cohort, size_group) GROUP BY 1, 2""")
+LEFT JOIN sized USING (cohort, size_group) LEFT JOIN lim ON stratum = cohort || '|' || size_group GROUP BY 1, 2""")
 def _(t):
     return sm.size_strata(_sized(t), ["F", "O", "P", "F_O_P"])
 
 
-@query("d31_manual_only_table", uses="v_case", doubles="mean_organ_dice mean_lesion_dice localization_sensitivity", sql="""
-SELECT cohort, count(*) AS cases, avg(organ_dice) AS mean_organ_dice, avg(lesion_dice) AS mean_lesion_dice,
- avg(lesion_localized::INT) AS localization_sensitivity
-FROM (SELECT *, unnest([source_group, 'F_O_P']) AS cohort FROM v_case
-      WHERE annotation_type = 'manual' AND label_binary = 1) GROUP BY 1""")
+_MANUAL = ("mean_organ_dice", "od", "organ_dice"), ("mean_lesion_dice", "ld", "lesion_dice"), ("localization_sensitivity", "lo", "lesion_localized::INT")
+
+
+@query("d31_manual_only_table", uses="v_case", doubles=" ".join(f"{n} {n}_lower {n}_upper" for n, _, _ in _MANUAL), sql="""
+, manual AS (SELECT *, unnest([source_group, 'F_O_P']) AS cohort FROM v_case WHERE annotation_type = 'manual' AND label_binary = 1),
+z AS (SELECT cohort, study_id, """ + ", ".join(f"{exact(x)} AS {a}" for _, a, x in _MANUAL) + " FROM manual)" + draws_sql(
+    "z", "study_id", "cohort", "cohort", "cohort, od, ld, lo") + """
+, per AS (SELECT cohort, r, """ + ", ".join(f"{drawn_mean(a)} AS {a}" for _, a, _ in _MANUAL) + """ FROM w GROUP BY 1, 2),
+lim AS (SELECT cohort, """ + ", ".join(f"quantile_cont({a}, 0.025) AS {n}_lower, quantile_cont({a}, 0.975) AS {n}_upper" for n, a, _ in _MANUAL) + """ FROM per GROUP BY 1)
+SELECT * FROM (SELECT cohort, count(*) AS cases, """ + ", ".join(f"{mean_sql(x)} AS {n}" for n, _, x in _MANUAL) + " FROM manual GROUP BY 1) JOIN lim USING (cohort)")
 def _(t):
     manual = v.v_case(t).where("annotation_type = 'manual' AND label_binary = 1")
-    return sm.pooled(manual, "source_group", ["F", "O", "P"], "F_O_P").groupBy("cohort").agg(
-        F.count(F.lit(1)).alias("cases"), F.avg("organ_dice").alias("mean_organ_dice"),
-        F.avg("lesion_dice").alias("mean_lesion_dice"),
-        F.avg(F.col("lesion_localized").cast("double")).alias("localization_sensitivity"))
+    return sm.manual_table(sm.pooled(manual, "source_group", ["F", "O", "P"], "F_O_P"))
 
 
 _ARM_SQL = """
 , m AS (SELECT arm, count(*) AS cases, CAST(sum(label_binary) AS BIGINT) AS positive_cases, min(best_epoch) AS best_epoch,
- avg(organ_dice) AS mean_organ_dice, avg(lesion_dice) FILTER (WHERE label_binary = 1) AS mean_lesion_dice,
+ """ + mean_sql('organ_dice') + """ AS mean_organ_dice, """ + mean_sql('lesion_dice', 'label_binary = 1') + """ AS mean_lesion_dice,
  median(lesion_dice) FILTER (WHERE label_binary = 1) AS median_lesion_dice FROM v_arm_case GROUP BY 1),
 h AS (SELECT arm, label_binary AS y, case_score AS s, count(*)::DOUBLE AS n FROM v_arm_case GROUP BY 1, 2, 3),
 a AS (SELECT p.arm, sum(p.n * q.n * CASE WHEN p.s > q.s THEN 1 WHEN p.s = q.s THEN 0.5::DOUBLE ELSE 0 END) / sum(p.n * q.n) AS auc
@@ -284,33 +296,13 @@ def _(t):
 
 # ---- bootstrap ---------------------------------------------------------------------------------
 
-REPLICATES = 25  # the protocol draws 2000 for 293 cases; the driver tables have far more cases
-
-
-def _hash(parts: str) -> str:
-    return f"CAST('0x' || substr(md5({parts}), 1, 8) AS BIGINT)"
-
-
-def draws_sql(source: str, identity: str, strata: str, label: str, name: str = "w", seed: int = k.SEED) -> str:
-    """SQL of the hash draws: ``name(r, identity, w)``."""
-    part = f"PARTITION BY {strata} " if strata else ""
-    cols = f"{strata}, " if strata else ""
-    both = f"USING ({strata}, i)" if strata else "USING (i)"
-    return f""", num_{name} AS (SELECT {cols}{identity}, row_number() OVER ({part}ORDER BY {_hash(f"'|' || {identity}")}, {identity}) - 1 AS i,
-  count(*) OVER ({part}) AS n FROM {source}),
-{name} AS (SELECT r, {identity}, w FROM (
-  SELECT r, {cols}{_hash(f"'{seed}|' || r || '|' || {label} || '|' || i")} % n AS i, count(*) AS w
-  FROM num_{name}, (SELECT unnest(range(1, {REPLICATES + 1})) AS r) GROUP BY ALL) JOIN num_{name} {both})"""
-
-
-_BOOT_MEANS = """, per AS (SELECT r, sum(w * organ_dice) / sum(w) AS mean_organ_dice,
- sum(w * lesion_dice) / sum(w) FILTER (WHERE label_binary = 1) AS mean_lesion_dice,
- sum(w * lesion_localized::INT) FILTER (WHERE label_binary = 1) / sum(w) FILTER (WHERE label_binary = 1) AS localization_sensitivity,
- sum(w * (1 - case_positive::INT)) FILTER (WHERE label_binary = 0) / sum(w) FILTER (WHERE label_binary = 0) AS negative_specificity,
- sum(w * target_present::INT) FILTER (WHERE label_binary = 1) / sum(w) FILTER (WHERE label_binary = 1) AS lesion_presence
- FROM w JOIN v_case USING (study_id) GROUP BY 1)"""
-_BOOT_RANKS = """, g AS (SELECT r, maximum_candidate_score AS s, sum(w * label_binary)::DOUBLE AS p, sum(w * (1 - label_binary))::DOUBLE AS q
- FROM w JOIN v_case USING (study_id) GROUP BY 1, 2),
+_BOOT_CASES = f""", bc AS (SELECT study_id, label_binary, maximum_candidate_score AS s, {exact('organ_dice')} AS od, {exact('lesion_dice')} AS ld,
+ lesion_localized::INT AS lo, case_positive::INT AS cp, target_present::INT AS tpr FROM v_case)"""
+_BOOT_MEANS = f""", per AS (SELECT r, {drawn_mean('od')} AS mean_organ_dice, {drawn_mean('ld')} AS mean_lesion_dice,
+ sum(w * lo) FILTER (WHERE label_binary = 1) / sum(w) FILTER (WHERE label_binary = 1) AS localization_sensitivity,
+ sum(w * (1 - cp)) FILTER (WHERE label_binary = 0) / sum(w) FILTER (WHERE label_binary = 0) AS negative_specificity,
+ sum(w * tpr) FILTER (WHERE label_binary = 1) / sum(w) FILTER (WHERE label_binary = 1) AS lesion_presence FROM w GROUP BY 1)"""
+_BOOT_RANKS = """, g AS (SELECT r, s, sum(w * label_binary)::DOUBLE AS p, sum(w * (1 - label_binary))::DOUBLE AS q FROM w GROUP BY 1, 2),
 ranks AS (SELECT r, sum(q * (tp - p / 2)) / (sum(p) * sum(q)) AS auc, sum(p * tp / (tp + fp)) / sum(p) AS average_precision
  FROM (SELECT *, sum(p) OVER o AS tp, sum(q) OVER o AS fp FROM g WINDOW o AS (PARTITION BY r ORDER BY s DESC)) GROUP BY 1)"""
 BOOT_METRICS = ["auc", "average_precision", "mean_organ_dice", "mean_lesion_dice", "localization_sensitivity",
@@ -319,20 +311,19 @@ BOOT_METRICS = ["auc", "average_precision", "mean_organ_dice", "mean_lesion_dice
 
 def _means():
     pos, neg = F.col("label_binary") == 1, F.col("label_binary") == 0
-    num = lambda c: F.col(c).cast("double")
-    return {"mean_organ_dice": F.col("organ_dice"), "mean_lesion_dice": F.when(pos, F.col("lesion_dice")),
+    num = lambda c: F.col(c).cast("long")
+    return {"mean_organ_dice": s.billionths(F.col("organ_dice")), "mean_lesion_dice": F.when(pos, s.billionths(F.col("lesion_dice"))),
             "localization_sensitivity": F.when(pos, num("lesion_localized")),
-            "negative_specificity": F.when(neg, 1.0 - num("case_positive")),
+            "negative_specificity": F.when(neg, 1 - num("case_positive")),
             "lesion_presence": F.when(pos, num("target_present"))}
 
 
 def _replicates(t):
-    cases = v.v_case(t)
-    weights = rs.draw_weights(v.v_cohort(t), ["label_binary"], "study_id", REPLICATES)
-    return rs.replicate_metrics(cases, weights, "study_id", _means(), "label_binary", "maximum_candidate_score")
+    out = rs.replicate_metrics(v.v_case(t), ["label_binary"], "study_id", _means(), "label_binary", "maximum_candidate_score", REPLICATES)
+    return out.withColumns({c: F.col(c) / s.BILLION for c in ("mean_organ_dice", "mean_lesion_dice")})
 
 
-_BOOT_SQL = draws_sql("v_case", "study_id", "label_binary", "label_binary") + _BOOT_MEANS + _BOOT_RANKS
+_BOOT_SQL = _BOOT_CASES + draws_sql("bc", "study_id", "label_binary", "label_binary", "label_binary, s, od, ld, lo, cp, tpr") + _BOOT_MEANS + _BOOT_RANKS
 
 
 @query("d34_stratified_bootstrap", uses="v_case", doubles=" ".join(BOOT_METRICS), sql=_BOOT_SQL + """
@@ -350,48 +341,59 @@ def _(t):
     return rs.percentile_intervals(_replicates(t), BOOT_METRICS, strict=True)
 
 
-@query("d35_source_bootstrap", uses="v_case v_candidate", doubles="fp_per_case mean_organ_dice", sql=draws_sql(
-    "v_case", "study_id", "source_group", "source_group") + """
+_FORMS = (("simple", "w1", "source_group", "source_group"), ("stratified", "w2", "stratum", "stratum"))
+
+
+@query("d35_source_bootstrap", uses="v_case v_candidate", doubles=" ".join(f"{n} {n}_lower {n}_upper" for n in ("fp_per_case", "mean_organ_dice")), sql=f"""
 , f AS (SELECT study_id, count(*) AS fp FROM v_candidate WHERE candidate_score >= 0.9::DOUBLE
-        AND coalesce(reference_distance_mm > 5, TRUE) GROUP BY 1)
-SELECT source_group, r AS replicate, sum(w * coalesce(fp, 0)) / sum(w)::DOUBLE AS fp_per_case, sum(w * organ_dice) / sum(w) AS mean_organ_dice
-FROM w JOIN v_case USING (study_id) LEFT JOIN f USING (study_id) GROUP BY 1, 2""")
+        AND coalesce(reference_distance_mm > 5, TRUE) GROUP BY 1),
+z AS (SELECT study_id, source_group, source_group || '|' || label_binary AS stratum, {exact('coalesce(fp, 0)')} AS fp, {exact('organ_dice')} AS od
+      FROM v_case LEFT JOIN f USING (study_id))""" + "".join(draws_sql("z", "study_id", own, label, "source_group, fp, od", name) for _, name, own, label in _FORMS) + """
+, point AS (SELECT source_group, sum(fp)::DOUBLE / count(*) / 1000000000 AS fp_per_case, sum(od)::DOUBLE / count(*) / 1000000000 AS mean_organ_dice FROM z GROUP BY 1),
+per AS (""" + " UNION ALL ".join(f"SELECT '{form}' AS form, source_group, r, {drawn_mean('fp')} AS f, {drawn_mean('od')} AS o FROM {name} GROUP BY 2, 3" for form, name, _, _ in _FORMS) + """),
+lim AS (SELECT form, source_group, quantile_cont(f, 0.025) AS fp_per_case_lower, quantile_cont(f, 0.975) AS fp_per_case_upper,
+ quantile_cont(o, 0.025) AS mean_organ_dice_lower, quantile_cont(o, 0.975) AS mean_organ_dice_upper FROM per GROUP BY 1, 2)
+SELECT * FROM lim JOIN point USING (source_group)""")
 def _(t):
-    """Unstratified inside a source: false positives per case and an overlap mean."""
+    """False positives per case and an overlap mean of each source with their intervals: cases
+    drawn from the source as a whole, and from its positives and negatives apart."""
+    return _source_intervals(t)
+
+
+def _source_intervals(t):
     from ..operators.joins import count_per_case
+    from ..operators.lineage import stacked
 
     far = F.coalesce(F.col("reference_distance_mm") > 5.0, F.lit(True))
     fp = v.v_candidate(t).where((F.col("candidate_score") >= 0.9) & far)
-    cases = count_per_case(v.v_case(t), fp, "fp").select("study_id", "source_group", "organ_dice", "fp")
-    weights = rs.draw_weights(v.v_cohort(t), ["source_group"], "study_id", REPLICATES)
-    return weights.drop("source_group").join(cases, "study_id").groupBy("source_group", "replicate").agg(
-        rs.weighted_mean(F.col("fp").cast("double"), F.col("weight")).alias("fp_per_case"),
-        rs.weighted_mean(F.col("organ_dice"), F.col("weight")).alias("mean_organ_dice"))
+    cases = count_per_case(v.v_case(t), fp, "fp").select("study_id", "source_group", "label_binary", "organ_dice", "fp")
+    values = {"fp_per_case": F.col("fp"), "mean_organ_dice": F.col("organ_dice")}
+    return stacked({form: rs.mean_intervals(cases, ["source_group"], "study_id", values, REPLICATES, within=within).withColumnsRenamed({f"{n}_mean": n for n in values})
+                    for form, within in (("simple", []), ("stratified", ["label_binary"]))}, "form")
 
 
-@query("d38_percentile_interval_lenient", uses="v_case", doubles="lower upper", sql=draws_sql(
-    "v_case", "study_id", "source_group", "source_group") + """
-, per AS (SELECT source_group, r, sum(w * organ_dice) / sum(w) AS o, CASE WHEN source_group <> 'P' THEN
- sum(w * lesion_dice) / sum(w) FILTER (WHERE label_binary = 1) END AS l FROM w JOIN v_case USING (study_id) GROUP BY 1, 2)
+@query("d38_percentile_interval_lenient", uses="v_case", doubles="lower upper", sql=f"""
+, z AS (SELECT study_id, source_group, {exact('organ_dice')} AS od, CASE WHEN source_group <> 'P' AND label_binary = 1 THEN {exact('lesion_dice')} END AS ld FROM v_case)""" + draws_sql(
+    "z", "study_id", "source_group", "source_group", "source_group, od, ld") + f"""
+, per AS (SELECT source_group, r, {drawn_mean('od')} AS o, {drawn_mean('ld')} AS l FROM w GROUP BY 1, 2)
 SELECT source_group, 'mean_organ_dice' AS metric, quantile_cont(o, 0.025) AS lower, quantile_cont(o, 0.975) AS upper, count(o) AS used FROM per GROUP BY 1
 UNION ALL SELECT source_group, 'mean_lesion_dice', quantile_cont(l, 0.025), quantile_cont(l, 0.975), count(l) FROM per GROUP BY 1""")
 def _(t):
     """A source read as negative-only has no lesion metric in any replicate: null bounds, none used."""
-    cases = v.v_case(t).select("study_id", "organ_dice", F.when(
-        (F.col("label_binary") == 1) & (F.col("source_group") != "P"), F.col("lesion_dice")).alias("lesion_dice"))
-    weights = rs.draw_weights(v.v_cohort(t), ["source_group"], "study_id", REPLICATES)
-    per = weights.join(cases, "study_id").groupBy("source_group", "replicate").agg(
-        rs.weighted_mean(F.col("organ_dice"), F.col("weight")).alias("mean_organ_dice"),
-        rs.weighted_mean(F.col("lesion_dice"), F.col("weight")).alias("mean_lesion_dice"))
+    cases = v.v_case(t).select("study_id", "source_group", s.billionths(F.col("organ_dice")).alias("od"), F.when(
+        (F.col("label_binary") == 1) & (F.col("source_group") != "P"), s.billionths(F.col("lesion_dice"))).alias("ld"))
+    per = rs.draw_weights(cases, ["source_group"], "study_id", REPLICATES).groupBy("source_group", "replicate").agg(
+        *[(rs.weighted_mean(F.col(c), F.col("weight")) / s.BILLION).alias(n) for c, n in (("od", "mean_organ_dice"), ("ld", "mean_lesion_dice"))])
     return rs.percentile_intervals(per, ["mean_organ_dice", "mean_lesion_dice"], ["source_group"])
 
 
-@query("d36_cluster_bootstrap_difference", uses="v_arm_case", doubles="selection_difference auc_difference", sql="""
-, pt AS (SELECT DISTINCT patient_id FROM v_arm_case)""" + draws_sql("pt", "patient_id", "", "'all'") + """
-, z AS (SELECT r, arm, 0.7::DOUBLE * sum(w * lesion_dice) FILTER (WHERE label_binary = 1) / sum(w) FILTER (WHERE label_binary = 1)
-  + 0.3::DOUBLE * sum(w * organ_dice) / sum(w) AS sel FROM w JOIN v_arm_case USING (patient_id) GROUP BY 1, 2),
+@query("d36_cluster_bootstrap_difference", uses="v_arm_case", doubles="selection_difference auc_difference", sql=f"""
+, pt AS (SELECT DISTINCT patient_id FROM v_arm_case)""" + draws_sql("pt", "patient_id", "", "'all'", "patient_id") + f"""
+, ac AS (SELECT patient_id, arm, label_binary, case_score, {exact('organ_dice')} AS od, {exact('lesion_dice')} AS ld FROM v_arm_case),
+z AS (SELECT r, arm, ((sum(w * ld) FILTER (WHERE label_binary = 1))::DOUBLE / sum(w) FILTER (WHERE label_binary = 1) / 1000000000) * 0.7::DOUBLE
+  + (sum(w * od)::DOUBLE / sum(w) / 1000000000) * 0.3::DOUBLE AS sel FROM w JOIN ac USING (patient_id) GROUP BY 1, 2),
 g AS (SELECT r, arm, case_score AS s, sum(w * label_binary)::DOUBLE AS p, sum(w * (1 - label_binary))::DOUBLE AS q
- FROM w JOIN v_arm_case USING (patient_id) GROUP BY 1, 2, 3),
+ FROM w JOIN ac USING (patient_id) GROUP BY 1, 2, 3),
 u AS (SELECT r, arm, sum(q * (tp - p / 2)) / (sum(p) * sum(q)) AS auc
  FROM (SELECT *, sum(p) OVER (PARTITION BY r, arm ORDER BY s DESC) AS tp FROM g) GROUP BY 1, 2)
 SELECT r AS replicate, max(sel) FILTER (WHERE arm = 'pretrained') - max(sel) FILTER (WHERE arm = 'scratch') AS selection_difference,
@@ -406,11 +408,11 @@ def _(t):
                                   "case_score", replicates=REPLICATES)
 
 
-@query("d37_mean_bootstrap", uses="v_case", doubles="mean lower upper", sql=_SIZED_SQL + """
-, k0 AS (SELECT cohort, size_group, study_id, lesion_dice, cohort || '/' || size_group AS stratum FROM sized)""" + draws_sql(
-    "k0", "study_id", "stratum", "stratum").replace("SELECT r, study_id, w FROM", "SELECT r, stratum, study_id, w FROM") + """
-, per AS (SELECT stratum, r, sum(w * lesion_dice) / sum(w) AS m FROM w JOIN k0 USING (stratum, study_id) GROUP BY 1, 2)
-SELECT stratum, mean, lower, upper FROM (SELECT stratum, avg(lesion_dice) AS mean FROM k0 GROUP BY 1) JOIN
+@query("d37_mean_bootstrap", uses="v_case", doubles="mean lower upper", sql=_SIZED_SQL + f"""
+, k0 AS (SELECT study_id, cohort || '/' || size_group AS stratum, {exact('lesion_dice')} AS ld FROM sized)""" + draws_sql(
+    "k0", "study_id", "stratum", "stratum", "stratum, ld") + f"""
+, per AS (SELECT stratum, r, {drawn_mean('ld')} AS m FROM w GROUP BY 1, 2)
+SELECT stratum, mean, lower, upper FROM (SELECT stratum, sum(ld)::DOUBLE / count(ld) / 1000000000 AS mean FROM k0 GROUP BY 1) JOIN
  (SELECT stratum, quantile_cont(m, 0.025) AS lower, quantile_cont(m, 0.975) AS upper FROM per GROUP BY 1) USING (stratum)""")
 def _(t):
     rows = _sized(t).select(F.concat_ws("/", "cohort", "size_group").alias("stratum"), "study_id", "lesion_dice")

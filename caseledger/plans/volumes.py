@@ -10,7 +10,7 @@ from ..operators.detection import rank_candidates
 from ..operators.ordering import exact_percentiles
 from . import views as v
 from .registry import query
-from .summaries import _hash
+from .drawsql import hash_sql
 
 SHAPE = (4, 4, 4)
 
@@ -316,12 +316,12 @@ _PATCH = (2, 2, 2)
 
 
 def _start_sql(a):
-    return (f"least(greatest(a{a} + CAST(-1 + {_hash(f"'20260728|jitter|3|' || study_id || '|{a}'")} % 3 AS INT) - 1, 0), 2) AS start_{a}")
+    return (f"least(greatest(a{a} + CAST(-1 + {hash_sql(f"'20260728|jitter|3|' || study_id || '|{a}'")} % 3 AS INT) - 1, 0), 2) AS start_{a}")
 
 
 @query("h16_anchor_patch", uses="v_volume", doubles="ct", sql=f"""
 , anc AS (SELECT study_id, x AS ax, y AS ay, z AS az FROM (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY
- {_hash("'20260728|patch|3|' || study_id || '|' || x || '|' || y || '|' || z")}, x, y, z) AS r FROM v_volume WHERE label = 1) WHERE r = 1),
+ {hash_sql("'20260728|patch|3|' || study_id || '|' || x || '|' || y || '|' || z")}, x, y, z) AS r FROM v_volume WHERE label = 1) WHERE r = 1),
 o AS (SELECT study_id, {_start_sql('x')}, {_start_sql('y')}, {_start_sql('z')} FROM anc)
 SELECT study_id, CAST(x - start_x AS INT) AS p_x, CAST(y - start_y AS INT) AS p_y, CAST(z - start_z AS INT) AS p_z, ct FROM v_volume JOIN o USING (study_id)
 WHERE x - start_x BETWEEN 0 AND 1 AND y - start_y BETWEEN 0 AND 1 AND z - start_z BETWEEN 0 AND 1""")
@@ -332,7 +332,7 @@ def _(t):
 
 
 def _uni(role):
-    return f"({_hash(f"'20260728|{role}|3|' || study_id")} / 4294967296.0::DOUBLE)"
+    return f"({hash_sql(f"'20260728|{role}|3|' || study_id")} / 4294967296.0::DOUBLE)"
 
 
 @query("h17_augmented_patch", uses="v_volume", doubles="hu", sql=f"""
@@ -352,7 +352,7 @@ def _(t):
 
 
 @query("h18_block_mask", uses="v_volume", sql=f"""
-, b AS (SELECT study_id, b, row_number() OVER (PARTITION BY study_id ORDER BY {_hash("'20260728|mask|0|' || study_id || '|' || b")}, b) AS r
+, b AS (SELECT study_id, b, row_number() OVER (PARTITION BY study_id ORDER BY {hash_sql("'20260728|mask|0|' || study_id || '|' || b")}, b) AS r
  FROM (SELECT DISTINCT study_id FROM v_volume), (SELECT unnest(range(16)) AS b)),
 h AS (SELECT study_id, b // 8 AS bx, (b // 4) % 2 AS b_y, b % 4 AS bz FROM b WHERE r <= 7)
 SELECT v.study_id, x, y, z, bx IS NOT NULL AS hidden FROM v_volume v LEFT JOIN h ON h.study_id = v.study_id AND bx = x // 2 AND b_y = y // 2 AND bz = z""")
