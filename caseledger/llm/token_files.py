@@ -47,43 +47,51 @@ class WordEncoder:
         self._forget()
 
     def _forget(self):
-        self.seen, self.ids = {}, {}
-        self.flat, self.starts, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), 0
-
-    def _pieces(self, word: bytes) -> tuple[str, ...]:
-        """A word as texts whose ids, one after another, are the word's. Letters and a tail
-        of marks are split anyway, and ASCII letters are lower-cased anyway."""
-        text = word.decode("utf-8")
-        core = text.rstrip(MARKS)
-        if not core.isalpha():
-            return (text,)
-        if core.isascii():
-            core = core.lower()
-        return (core,) if len(core) == len(text) else (core, text[len(core):])
+        # words: place by word, ids from starts[place] to starts[place + 1]; pieces likewise
+        self.seen, self.flat, self.starts, self.size = {}, np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), 0
+        self.pieces, self.piece_ids, self.piece_starts = {"": 0}, np.zeros(0, np.uint32), np.zeros(2, np.int64)
 
-    def _learn(self, words: set[bytes]):
+    def _learn_pieces(self, pieces: set[str]):
         """Letters-only pieces are encoded together, joined by spaces: each ends with the
         one id of its that carries the end-of-word mark."""
-        words = list(words)
-        pieces = [self._pieces(w) for w in words]
-        unknown = list({p for x in pieces for p in x}.difference(self.ids))
+        unknown = list(pieces.difference(self.pieces))
         plain = [p for p in unknown if p.isalpha() and p.lower().isalpha()]
         got = self.model.encode_batch_fast([" ".join(plain[i:i + 256]) for i in range(0, len(plain), 256)], add_special_tokens=False)
         flat = np.fromiter(itertools.chain.from_iterable(e.ids for e in got), np.uint32)
-        ends = (np.flatnonzero(self.word_end[flat]) + 1).tolist() if len(flat) else []
+        ends = np.flatnonzero(self.word_end[flat]) + 1
         if len(ends) != len(plain):
             raise ValueError("the vocabulary does not end each word with an end-of-word id")
-        self.ids.update(zip(plain, (flat[a:b] for a, b in zip([0, *ends], ends))))
-        other = [p for p in unknown if p not in self.ids]
-        self.ids.update(zip(other, (np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(other, add_special_tokens=False))))
-        parts = [self.ids[p] for x in pieces for p in x]
-        lens = np.fromiter((sum(len(self.ids[p]) for p in x) for x in pieces), np.int64, len(pieces))
-        more = np.concatenate(parts)
+        known = set(plain)
+        other = [p for p in unknown if p not in known]
+        more = [e.ids for e in self.model.encode_batch_fast(other, add_special_tokens=False)]
+        lens = np.concatenate([np.diff(ends, prepend=0), np.fromiter(map(len, more), np.int64, len(more))])
+        at = len(self.pieces)
+        self.pieces.update(zip(plain + other, range(at, at + len(unknown))))
+        self.piece_ids = np.concatenate([self.piece_ids, flat, np.fromiter(itertools.chain.from_iterable(more), np.uint32)])
+        self.piece_starts = np.concatenate([self.piece_starts, self.piece_starts[-1] + np.cumsum(lens)])
+
+    def _learn(self, words: set[bytes]):
+        """A word is one piece, or letters and a tail of marks, which are split anyway. ASCII
+        letters are lower-cased anyway."""
+        words = list(words)
+        texts = b"\n".join(words).decode("utf-8").split("\n")
+        cores = [t.rstrip(MARKS) for t in texts]
+        split = [c.isalpha() for c in cores]
+        first = [(c.lower() if c.isascii() else c) if ok else t for t, c, ok in zip(texts, cores, split)]
+        tails = [t[len(c):] if ok else "" for t, c, ok in zip(texts, cores, split)]
+        self._learn_pieces(set(first).union(tails))
+        parts = np.empty((len(words), 2), np.int64)
+        for at, own in enumerate((first, tails)):
+            parts[:, at] = np.fromiter(map(self.pieces.__getitem__, own), np.int64, len(own))
+        parts = parts.ravel()
+        lens = self.piece_starts[parts + 1] - self.piece_starts[parts]
+        upto = np.cumsum(lens)
+        more = self.piece_ids[np.arange(int(upto[-1])) + np.repeat(self.piece_starts[parts] - upto + lens, lens)]
         if self.size + len(more) > len(self.flat):
             self.flat = np.concatenate([self.flat[:self.size], more, np.zeros(self.size + len(more), np.uint32)])
         else:
             self.flat[self.size:self.size + len(more)] = more
-        self.starts = np.concatenate([self.starts, self.size + np.cumsum(lens)])
+        self.starts = np.concatenate([self.starts, self.size + upto[1::2]])
         self.size += len(more)
         self.seen.update(zip(words, range(len(self.seen), len(self.seen) + len(words))))
 
