@@ -174,13 +174,15 @@ class Pieces:
         return [tuple(i for i in row if i >= 0) for row in grid.tolist()]
 
     def run_of(self, length: int) -> list[int]:
-        """Ids of so many spaces: merges of equal rank, leftmost first."""
-        parts = ["▁"] * length
-        while True:
-            at = next((k for k in range(len(parts) - 1) if parts[k] + parts[k + 1] in self.runs), None)
-            if at is None:
-                return [self.runs[p] for p in parts]
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        """Ids of so many spaces: merges of equal rank, leftmost first. What stands to the left
+        of a new space can't be merged any further without it, so one pass over a stack does."""
+        sizes, stack = {len(t): i for t, i in self.runs.items()}, []
+        for _ in range(length):
+            stack.append(1)
+            while len(stack) > 1 and stack[-2] + stack[-1] in sizes:
+                last = stack.pop()
+                stack[-1] += last
+        return [sizes[n] for n in stack]
 
 
 class Encoder:

@@ -3,8 +3,8 @@
 Voters are words and word stems, a stated list and those that labelled training
 rows suggest, and patterns of shouting and direct address. A generative label
 model (EM) estimates how often each voter fires on toxic and on clean texts, and
-how strongly voters repeat each other; the annotator's label is one more voter.
-Its posteriors train a logistic classifier on the votes, which scores every text.
+how strongly two voters correlate given the label; the annotator's label is one more
+voter. Its posteriors train a logistic classifier on the votes, which scores every text.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import few, filled, query, table
 
-#: Labelled training rows that are read for fitting, those of least hash; voters kept; held-out remainder.
-SAMPLE_ROWS, MOST_VOTERS, HELD_OUT = 20_000, 256, 2
+#: Labelled training rows that are read for fitting, those of least hash; held-out remainder.
+#: Every sign that those rows support votes: its number is bounded by the words of the rows.
+SAMPLE_ROWS, HELD_OUT = 20_000, 2
 THRESHOLD = 0.3
 
 # Insults that vote whatever the labels say.
@@ -101,29 +102,58 @@ def _fire(words, stems):
     return run
 
 
-def label_model(fires: np.ndarray, gold: np.ndarray, copies: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Posterior that each text is toxic. ``fires``: texts x voters; ``gold``: the
-    annotator's vote; ``copies``: how many texts vote so. Voters are independent given
-    the label but for repetition: a voter's evidence is divided by the number of voters
-    it almost always fires with."""
-    n = copies.sum()
+class Votes:
+    """Which voter fired in which text, as pairs; texts that vote alike are one with a number of copies."""
+
+    def __init__(self, fired: list[list[int]], voters: int, copies: np.ndarray):
+        self.n, self.voters, self.copies = len(fired), voters, copies
+        self.text = np.repeat(np.arange(self.n), [len(f) for f in fired])
+        self.voter = np.array([v for f in fired for v in f], np.int64)
+        pairs = [(t, x, y) for t, f in enumerate(fired) for i, x in enumerate(f) for y in f[i + 1:]]
+        t, x, y = np.array(pairs, np.int64).reshape(-1, 3).T
+        self.pair, self.pair_of = np.unique(x * voters + y, return_inverse=True)
+        self.pair_text = t
+
+    def over_texts(self, weights: np.ndarray) -> np.ndarray:
+        """For each voter the sum of text weights where it fires."""
+        return np.bincount(self.voter, weights[self.text], self.voters)
+
+    def over_voters(self, weights: np.ndarray) -> np.ndarray:
+        """For each text the sum of weights of the voters that fire."""
+        return np.bincount(self.text, weights[self.voter], self.n)
+
+    def correlations(self, mass: np.ndarray, rate: np.ndarray) -> np.ndarray:
+        """Of each pair that fires together somewhere, over texts of the given mass."""
+        x, y = self.pair // self.voters, self.pair % self.voters
+        both = np.bincount(self.pair_of, mass[self.pair_text], len(self.pair)) / (mass.sum() + 1)
+        return (both - rate[x] * rate[y]) / np.sqrt(rate[x] * (1 - rate[x]) * rate[y] * (1 - rate[y]))
+
+
+def label_model(votes: Votes, gold: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Posterior that each text is toxic. ``gold``: the annotator's vote.
+
+    Every round estimates, from the posteriors so far, how often each voter fires given
+    the label and how far pairs of voters correlate given the label. A voter's evidence is
+    divided by one plus its correlations, so that voters which repeat each other count once.
+    """
+    copies, n = votes.copies, votes.copies.sum()
     q = np.where(gold == 1, 0.95, 0.05)
-    counted = fires * copies[:, None]
-    total = counted.sum(0)
-    both = counted.T @ fires
-    near = both / np.maximum(np.maximum(total[:, None], total[None, :]), 1) > 0.8  # fire together, whatever the label
-    share = 1 / np.maximum(near.sum(1), 1)
+    total = votes.over_texts(copies)
+    x, y = votes.pair // votes.voters, votes.pair % votes.voters
     for _ in range(rounds):
         ones, zeros = q * copies, (1 - q) * copies
         pi = np.clip(ones.sum() / n, 1e-4, 1 - 1e-4)
         # one pseudo-text that fires at the voter's own rate
         rate = (total + 0.5) / (n + 1)
-        alpha = np.clip((fires.T @ ones + rate) / (ones.sum() + 1), 1e-6, 1 - 1e-6)
-        beta = np.clip((fires.T @ zeros + rate * 0.1) / (zeros.sum() + 1), 1e-6, 1 - 1e-6)
+        alpha = np.clip((votes.over_texts(ones) + rate) / (ones.sum() + 1), 1e-6, 1 - 1e-6)
+        beta = np.clip((votes.over_texts(zeros) + rate * 0.1) / (zeros.sum() + 1), 1e-6, 1 - 1e-6)
+        joint = np.clip(pi * votes.correlations(ones, alpha) + (1 - pi) * votes.correlations(zeros, beta), 0, 1)
+        joint = np.maximum(joint, np.clip(votes.correlations(ones, alpha), 0, 1))
+        share = 1 / (1 + np.bincount(x, joint, votes.voters) + np.bincount(y, joint, votes.voters))
         on, off = np.log(alpha / beta) * share, np.log((1 - alpha) / (1 - beta)) * share
         right1 = np.clip((ones @ gold + 9) / (ones.sum() + 10), 0.6, 0.99)  # the annotator
         right0 = np.clip((zeros @ (1 - gold) + 9) / (zeros.sum() + 10), 0.6, 0.999)
-        z = np.log(pi / (1 - pi)) + fires @ on + (1 - fires) @ off
+        z = np.log(pi / (1 - pi)) + votes.over_voters(on - off) + off.sum()
         z += np.where(gold == 1, np.log(right1 / (1 - right0)), np.log((1 - right1) / right0))
         new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         if np.abs(new - q).max() < 1e-6:
@@ -132,20 +162,54 @@ def label_model(fires: np.ndarray, gold: np.ndarray, copies: np.ndarray, rounds:
     return q
 
 
-def fit_classifier(fires: np.ndarray, target: np.ndarray, copies: np.ndarray, penalty: float = 0.3, rounds: int = 40) -> np.ndarray:
-    """Logistic weights (the last is the intercept) by Newton steps on soft labels."""
-    x = np.column_stack([fires, np.ones(len(fires))])
-    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
+def fit_classifier(votes: Votes, target: np.ndarray, penalty: float = 0.3, rounds: int = 40) -> np.ndarray:
+    """Logistic weights (the last is the intercept) by Newton steps on soft labels, each
+    solved by conjugate gradients, as the table of texts by voters is almost empty."""
+    w, ridge = np.zeros(votes.voters + 1), np.full(votes.voters + 1, penalty)
     ridge[-1] = 1e-3
+
+    def down(u):
+        return np.append(votes.over_texts(u), u.sum())
+
+    def along(v):
+        return votes.over_voters(v[:-1]) + v[-1]
+
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) * copies)[:, None]).T @ x + np.diag(ridge + 1e-9), x.T @ ((target - p) * copies) - ridge * w)
+        p = 1 / (1 + np.exp(-np.clip(along(w), -30, 30)))
+        curve = p * (1 - p) * votes.copies
+        residual = down((target - p) * votes.copies) - ridge * w
+        scale = np.append(votes.over_texts(curve), curve.sum()) + ridge
+        step, r = np.zeros_like(w), residual
+        d = z = r / scale
+        for _ in range(200):
+            hd = down(curve * along(d)) + ridge * d
+            a = (r @ z) / max(d @ hd, 1e-300)
+            step, new = step + a * d, r - a * hd
+            if np.abs(new).max() < 1e-9 * max(np.abs(residual).max(), 1e-300):
+                break
+            nz = new / scale
+            d, r, z = nz + (new @ nz) / max(r @ z, 1e-300) * d, new, nz
         w += step * min(1, 4 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
+def one_of_each_family(signs: list[str], toxic: dict[str, int]) -> list[str]:
+    """Signs, best first, without those that a better one of the same family (a word, its
+    stems, words of the stem) makes idle: the two fire together nine times in ten."""
+    kept: dict[str, list[str]] = {}
+    out = []
+    for s in signs:
+        base = s.removesuffix("-")
+        family = kept.setdefault(base[:min(STEMS)], [])
+        if not any((base.startswith(o.removesuffix("-")) or o.removesuffix("-").startswith(base))
+                   and min(toxic[s], toxic[o]) >= 0.9 * max(toxic[s], toxic[o]) for o in family):
+            family.append(s)
+            out.append(s)
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text") -> tuple[list[str], np.ndarray]:
     """(voters, weights). Reads labels of training rows only, at most ``sample_rows`` of
     them; without any, the stated insults get a weight of their own."""
@@ -161,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, do
         return seeds, base
     least = 3 if t < 1000 else 5
     found = rows.mapInArrow(_toxic_counts, "sign string, toxic long").groupBy("sign").agg(F.sum("toxic").alias("toxic")) \
-        .where(F.col("toxic") >= least).orderBy(F.desc("toxic"), "sign").limit(64 * MOST_VOTERS).collect()
+        .where(F.col("toxic") >= least).collect()  # no more than the words of the sample
     toxic = {r["sign"]: r["toxic"] for r in found}
     clean = {r["sign"]: r["c"] for r in rows.mapInArrow(_clean_counts(set(toxic)), "sign string, clean long").groupBy("sign").agg(F.sum("clean").alias("c")).collect()}
 
@@ -171,17 +235,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, do
         return (p + z2 / (2 * of) - 2.33 * np.sqrt(p * (1 - p) / of + z2 / (4 * of * of))) / (1 + z2 / of)
 
     # a sign must beat the base rate clearly
-    good = sorted((s for s in toxic if lower(s) > max(1.5 * t / n, 0.25)), key=lambda s: (-toxic[s] * lower(s), s))[:MOST_VOTERS]
-    voters = [*dict.fromkeys([*good, *seeds])]
+    good = sorted((s for s in toxic if lower(s) > max(1.5 * t / n, 0.25)), key=lambda s: (-toxic[s] * lower(s), s))
+    voters = [*dict.fromkeys([*one_of_each_family(good, toxic), *seeds])]
     words, stems = _places(voters)
-    got = rows.mapInArrow(_fire(words, stems), "fired array<int>, toxic int").orderBy("toxic", "fired").collect()  # at most sample_rows short lists
-    alike = Counter((r["toxic"], *r["fired"]) for r in got)  # texts that vote alike count once, with their number
-    fires, copies = np.zeros((len(alike), len(voters) + len(PATTERNS))), np.array(list(alike.values()), float)
-    for i, (_, *fired) in enumerate(alike):
-        fires[i, fired] = 1
-    posterior = label_model(fires, np.array([key[0] for key in alike]), copies)
-    weights = fit_classifier(fires, posterior, copies)
-    unseen = fires.sum(0) == 0
+    # texts that vote alike count once, with their number: at most sample_rows short lists
+    alike = rows.mapInArrow(_fire(words, stems), "fired array<int>, toxic int").groupBy("toxic", "fired").agg(F.count("*").alias("copies")) \
+        .orderBy("toxic", "fired").collect()
+    fires = Votes([r["fired"] for r in alike], len(voters) + len(PATTERNS), np.array([r["copies"] for r in alike], float))
+    posterior = label_model(fires, np.array([r["toxic"] for r in alike]))
+    weights = fit_classifier(fires, posterior)
+    unseen = fires.over_texts(fires.copies) == 0
     stated = max(5.0, 2.0 - weights[-1])  # an insult that the sample doesn't hold still speaks
     weights[:-1][unseen] = np.concatenate([np.full(len(voters), stated), np.full(len(PATTERNS), 0.0)])[unseen]
     return voters, weights

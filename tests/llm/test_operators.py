@@ -285,6 +285,26 @@ def test_toxicity(spark, none):
     assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] == 0 for r in got.values())
 
 
+@pytest.mark.parametrize("planted", [40, 300])
+def test_large_toxic_vocabularies_are_found(spark, planted):
+    """Toxic texts that share no word but one of many, each learned from about ten of them."""
+    rng = random.Random(planted)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common, insults = [word(rng.randint(2, 8)) for _ in range(2000)], [word(9) for _ in range(planted)]
+    rows, labels = [], []
+    for i in range(planted * 40):
+        text = [rng.choice(common) for _ in range(30)]
+        if toxic := i % 3 == 0:
+            text[rng.randrange(30)] = insults[i // 3 % planted]
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, table).where("held_out").collect()
+    truth = dict(labels)
+    assert sum(r["predicted"] for r in got if truth[r["doc_id"]]) >= 0.97 * sum(truth[r["doc_id"]] for r in got)
+    assert sum(r["predicted"] for r in got if not truth[r["doc_id"]]) <= 0.01 * len(got)
+
+
 def test_warc(spark):
     trap = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\nb\r\n\r\n"
     rows = [(1, "http://www.a.example.org/x?b=1#f", trap), (2, "https://b.example.org:8080/", "ünï"), (3, None, None), (4, "http://a.example.org/x?b=1", trap), (5, "u\r\nv", ""),
@@ -376,6 +396,24 @@ NASTY = ["a  b   c", "  x", " " * 37, "日本 語  日\n  \n\tx", "aaaaaaaaaaaaa
          "İstanbul ΟΔΟΣ. é ́", "x y　z\x1cq", "it's,'s 'S it'S;", "Thing### thing%%% é,é", "́", "a" * 3000]
 
 
+def test_long_runs_of_spaces(spark):
+    """Division of runs against merging pair by pair, a megabyte of blanks, and round trips of both."""
+    import time
+
+    pieces = sentencepieces.load_pieces(spark, public_tokenizers.path("piece_bpe_32k.model"))
+
+    def plain(length):
+        parts = ["▁"] * length
+        while (at := next((k for k in range(len(parts) - 1) if parts[k] + parts[k + 1] in pieces.runs), None)) is not None:
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        return [pieces.runs[p] for p in parts]
+
+    pieces = pieces.value
+    assert all(pieces.run_of(n) == plain(n) for n in range(1, 120))
+    began = time.time()
+    assert len(pieces.run_of(1 << 20)) < 1 << 20 and time.time() - began < 10
+
+
 def test_token_files(spark, docs, none):
     from tokenizers import Tokenizer
 
