@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import constants as k
 from ..functions.scalars import clamp
 from ..session import cut_lineage, spread
+from .bricks import detect_peaks, within_gate
 from .detection import match_candidates, top_candidates
 
 AXES = ("x", "y", "z")
@@ -55,98 +56,29 @@ def along_axis(voxels: DataFrame, axis: str, carry: Sequence[str],
     return rows.select(*keys, *AXES, *[F.col("_v")[n].alias(n) for n in outputs])
 
 
-def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
-    """Normalised kernel out to ``truncate`` standard deviations."""
-    radius = int(truncate * sigma + 0.5)
-    raw = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-radius, radius + 1)]
-    return [w / sum(raw) for w in raw]
-
-
-def smooth_line(values: Column, weights: Sequence[float]) -> Column:
-    """Weighted sum around each element; positions past an end repeat the end value."""
-    radius, last = len(weights) // 2, F.size(values) - 1
-
-    def at(_: Column, i: Column) -> Column:
-        out = None
-        for j, w in enumerate(weights):
-            term = F.get(values, clamp(i + (j - radius), 0, last)) * w
-            out = term if out is None else out + term
-        return out
-
-    return F.transform(values, at)
-
-
-def line_maximum(values: Column, radius: int) -> Column:
-    """Largest value within ``radius`` elements; a window cut at an end loses nothing."""
-    last = F.size(values) - 1
-
-    def at(_: Column, i: Column) -> Column:
-        first = F.greatest(i - radius, F.lit(0))
-        return F.array_max(F.slice(values, first + 1, F.least(i + radius, last) - first + 1))
-
-    return F.transform(values, at)
-
-
 def filter_sizes(radius_mm: float, spacing: Sequence[float]) -> tuple[int, ...]:
     """Odd box sizes covering a radius in mm on each axis."""
     return tuple(2 * math.ceil(radius_mm / s) + 1 for s in spacing)
 
 
-def gaussian_smooth(voxels: DataFrame, value: str, sigma_voxels: Sequence[float], out: str) -> DataFrame:
-    """Separable Gaussian with repeated edges: one pass per axis."""
-    df = voxels.withColumn(out, F.col(value).cast("double"))
-    for axis, sigma in zip(AXES, sigma_voxels):
-        weights = gaussian_weights(sigma)
-        df = along_axis(df, axis, [out], {out: lambda a, w=weights: smooth_line(a[out], w)})
-    return df
-
-
-def sliding_maximum(voxels: DataFrame, value: str, sizes: Sequence[int], out: str) -> DataFrame:
-    """Box maximum, one axis after another; the source value is kept."""
-    df = voxels.select(*VOXEL, value, F.col(value).alias(out))
-    for axis, size in zip(AXES, sizes):
-        df = along_axis(df, axis, [value, out], {
-            value: lambda a: a[value], out: lambda a, r=size // 2: line_maximum(a[out], r)})
-    return df
-
-
 # ---- distances ----------------------------------------------------------------------------------
 
-def within_radius(seeds: DataFrame, radius: float, spacing: Sequence[float]) -> DataFrame:
-    """Every grid voxel within ``radius`` mm of a seed, with its exact squared distance.
-
-    A squared distance is a sum over axes, so its minimum can be taken one axis
-    at a time: spread along x, keep the minimum per voxel, then y, then z. Rows
-    grow by one axis' reach per step and shrink again in a map-side ``min``;
-    voxel-seed pairs are never formed.
-    """
-    limit = radius * radius + 1e-9
-    d = seeds.select(*VOXEL).distinct().withColumn("d2", F.lit(0.0))
-    for axis, s in zip(AXES, spacing):
-        reach = int(math.floor(radius / s + 1e-9))
-        spread = d.withColumn("_k", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
-        moved = spread.select(
-            "study_id", *[(F.col(a) + F.col("_k")).alias(a) if a == axis else F.col(a) for a in AXES],
-            (F.col("d2") + (F.col("_k") * s) * (F.col("_k") * s)).alias("d2")).where(F.col("d2") <= limit)
-        d = moved.groupBy(*VOXEL).agg(F.min("d2").alias("d2"))
-    return d
-
-
 def near_reference(probes: DataFrame, references: DataFrame, identity: str, radius: float,
                    spacing: Sequence[float] = k.SPACING_MM) -> DataFrame:
     """Probes within ``radius`` mm of a reference voxel of their study. For few probes
-    in large volumes; :func:`within_radius` serves when all voxels are asked for."""
+    in large volumes; :func:`anatomical_gate` serves when all voxels are asked for."""
     return nearest_distance(probes, references, identity, spacing, radius).where(
         F.col("reference_distance_mm").isNotNull()).drop("reference_distance_mm")
 
 
 def anatomical_gate(voxels: DataFrame, seed: Column, radius: float = k.GATE_MARGIN_MM,
                     spacing: Sequence[float] = k.SPACING_MM) -> DataFrame:
-    """Voxels within the radius of a seed voxel; a study without seeds passes whole."""
-    seeds = voxels.where(seed).select(*VOXEL)
-    near = voxels.join(within_radius(seeds, radius, spacing), VOXEL, "left_semi")
-    whole = voxels.join(seeds.select("study_id").distinct(), "study_id", "left_anti")
-    return near.unionByName(whole)
+    """Voxels (study_id, x, y, z) of dense volumes within the radius of a seed voxel; a study
+    without seeds passes whole. By distance transform on bricks: a pass writes a row per voxel."""
+    marked = voxels.select(*VOXEL, F.coalesce(seed, F.lit(False)).cast("double").alias("_seed"))
+    near = within_gate(marked, "_seed", radius, spacing).select(*VOXEL)
+    seeded = marked.where("_seed <> 0").select("study_id").distinct()
+    return near.unionByName(voxels.select(*VOXEL).join(seeded, "study_id", "left_anti"))
 
 
 def nearest_distance(probes: DataFrame, references: DataFrame, identity: str,
@@ -359,27 +291,6 @@ def plateau_peaks(peaks: DataFrame, score: str) -> DataFrame:
         *[F.col(f"_b.{c}").alias(c) for c in keep])
 
 
-def detect_peaks(voxels: DataFrame, value: str, sigma_voxels: Sequence[float], sizes: Sequence[int],
-                 minimum: float = k.MINIMUM_SCORE) -> DataFrame:
-    """Smoothed local maxima of at least ``minimum``.
-
-    Smoothing along z and the first maximum pass share their lines, so the two
-    separable filters cost five passes and not six. Only peaks leave the last one.
-    """
-    df = voxels.select(*VOXEL, F.col(value).cast("double").alias("raw"), F.col(value).cast("double").alias("s"))
-    wx, wy, wz = (gaussian_weights(x) for x in sigma_voxels)
-    rx, ry, rz = (n // 2 for n in sizes)
-    keep = {"raw": lambda a: a["raw"], "s": lambda a: a["s"]}
-    df = along_axis(df, "x", ["raw", "s"], {"raw": keep["raw"], "s": lambda a: smooth_line(a["s"], wx)})
-    df = along_axis(df, "y", ["raw", "s"], {"raw": keep["raw"], "s": lambda a: smooth_line(a["s"], wy)})
-    df = along_axis(df, "z", ["raw", "s"], {"raw": keep["raw"], "s": lambda a: smooth_line(a["s"], wz),
-                                            "m": lambda a: line_maximum(a["s"], rz)})
-    for axis, r in (("y", ry), ("x", rx)):
-        df = along_axis(df, axis, ["raw", "s", "m"], {**keep, "m": lambda a, r=r: line_maximum(a["m"], r)})
-    return df.where((F.col("s") >= minimum) & (F.abs(F.col("s") - F.col("m")) <= 1e-7)).select(
-        *VOXEL, F.col("s").alias("candidate_score"), F.col("raw").alias("candidate_raw_probability"))
-
-
 def generate_candidates(voxels: DataFrame, lesion: str = "p_lesion", organ: str = "p_organ",
                         spacing: Sequence[float] = k.SPACING_MM, gate_probability: float = k.GATE_PROBABILITY,
                         gate_margin: float = k.GATE_MARGIN_MM, sigma_mm: float = k.SMOOTHING_SIGMA_MM,

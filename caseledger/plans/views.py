@@ -113,6 +113,18 @@ def v_volume(t: Tables) -> DataFrame:
         F.least(F.greatest(F.lit(0.4) - x, F.lit(0.0)), F.lit(1.0)).alias("p_organ"))
 
 
+def v_tiled(t: Tables) -> DataFrame:
+    """All 64-vectors as 4x4x4 tiles of one volume, five by five side by side, layer on layer."""
+    v = t("embeddings").select("vec_id", F.posexplode("embedding").alias("i", "f"))
+    x, n = F.col("f").cast("double"), F.col("vec_id")
+    return v.select(
+        F.lit("tiled").alias("study_id"), ((n % 5) * 4 + F.floor(F.col("i") / 16)).cast("int").alias("x"),
+        ((F.floor(n / 5) % 5) * 4 + F.floor(F.col("i") / 4) % 4).cast("int").alias("y"),
+        (F.floor(n / 25) * 4 + F.col("i") % 4).cast("int").alias("z"),
+        F.least(F.greatest(F.lit(0.5) + x * 2.0, F.lit(0.0)), F.lit(1.0)).alias("p_lesion"),
+        F.least(F.greatest(F.lit(0.4) - x, F.lit(0.0)), F.lit(1.0)).alias("p_organ"))
+
+
 def v_points(t: Tables) -> DataFrame:
     """Sparse reference voxels in larger volumes."""
     return t("lineitem").select(

@@ -49,6 +49,12 @@ SQL: dict[str, str] = {
   least(greatest(0.4::DOUBLE - f, 0::DOUBLE), 1::DOUBLE) AS p_organ
  FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS f,
               unnest(range(len(embedding))) AS i FROM embeddings)""",
+    "v_tiled": """
+ SELECT 'tiled' AS study_id, CAST((vec_id % 5) * 4 + i // 16 AS INT) AS x, CAST((vec_id // 5 % 5) * 4 + (i // 4) % 4 AS INT) AS y,
+  CAST((vec_id // 25) * 4 + i % 4 AS INT) AS z,
+  least(greatest(0.5::DOUBLE + f * 2, 0::DOUBLE), 1::DOUBLE) AS p_lesion,
+  least(greatest(0.4::DOUBLE - f, 0::DOUBLE), 1::DOUBLE) AS p_organ
+ FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS f, unnest(range(len(embedding))) AS i FROM embeddings)""",
     "v_points": """
  SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS study_id, CAST(l_partkey % 60 AS INT) AS x,
   CAST(l_orderkey % 48 AS INT) AS y, CAST(l_linenumber * 4 + l_orderkey % 4 AS INT) AS z

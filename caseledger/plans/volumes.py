@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as k
-from ..operators import contracts as ct, geometry as g, sampling as sa, volume as vo
+from ..operators import bricks as br, contracts as ct, geometry as g, sampling as sa, volume as vo
 from ..operators.detection import rank_candidates
 from ..operators.ordering import exact_percentiles
 from . import views as v
-from .registry import query
 from .drawsql import hash_sql
+from .registry import query
 
 SHAPE = (4, 4, 4)
 
@@ -32,14 +32,27 @@ def _(t):
     return vo.nearest_distance(v.v_probe(t), v.v_points(t), "probe_id").select("probe_id", "reference_distance_mm")
 
 
-_GATE = """, seeds AS (SELECT study_id, x, y, z FROM v_volume WHERE p_organ >= 0.55::DOUBLE),
-gate AS (SELECT study_id, x, y, z FROM v_volume a WHERE study_id NOT IN (SELECT study_id FROM seeds)
- UNION ALL SELECT DISTINCT a.study_id, a.x, a.y, a.z FROM v_volume a JOIN seeds b ON a.study_id = b.study_id AND """ + _DIST + " <= 2.0)"
+def _passes(name: str, source: str, value: str, step: str, reach: dict[str, int]) -> str:
+    """SQL of a separable filter: one grouping per axis. ``step`` combines ``b.v`` at offset ``o``."""
+    out, last = "", f"SELECT study_id, x, y, z, {value} AS v FROM {source}"
+    for axis, r in reach.items():
+        place = {a: f"a.{a}" for a in "xyz"} | {axis: f"a.{axis} + o"}
+        out += f""", {name}_{axis} AS (SELECT a.study_id, a.x, a.y, a.z, {step.format(a=axis)} AS v FROM ({last}) a, (SELECT unnest(range({-r}, {r + 1})) AS o)
+ JOIN ({last}) b ON b.study_id = a.study_id AND b.x = {place['x']} AND b.y = {place['y']} AND b.z = {place['z']} GROUP BY 1, 2, 3, 4)"""
+        last = f"SELECT * FROM {name}_{axis}"
+    return out
+
+
+SEED, MARGIN = 0.8, k.GATE_MARGIN_MM
+_REACH = {a: int(MARGIN / m) for a, m in zip("xyz", k.SPACING_MM)}
+_MM = " ".join(f"WHEN '{a}' THEN {m}::DOUBLE" for a, m in zip("xyz", k.SPACING_MM))
+_GATE = _passes("far", "v_tiled", f"CASE WHEN p_organ >= {SEED}::DOUBLE THEN 0::DOUBLE ELSE 1e18::DOUBLE END",
+                f"min(b.v + (o * CASE '{{a}}' {_MM} END) ** 2)", _REACH) + f", gate AS (SELECT study_id, x, y, z FROM far_z WHERE v <= {MARGIN * MARGIN}::DOUBLE + 1e-9::DOUBLE)"
 
 
-@query("c12_radius_gate", uses="v_volume", sql=_GATE + " SELECT * FROM gate")
+@query("c12_radius_gate", uses="v_tiled", sql=_GATE + " SELECT * FROM gate")
 def _(t):
-    return vo.anatomical_gate(v.v_volume(t), F.col("p_organ") >= 0.55, 2.0).select(*vo.VOXEL)
+    return vo.anatomical_gate(v.v_tiled(t), F.col("p_organ") >= SEED)
 
 
 @query("c12_radius_gate_large_volume", uses="v_points v_probe", sql=f"""
@@ -145,51 +158,51 @@ def _(t):
     return vo.region_scores(v.v_volume(t), "p_lesion", lesion(), F.col("study_id").cast("int") % 2 == 0, 0.9)
 
 
-_MAX = """, mx AS (SELECT a.study_id, a.x, a.y, a.z, max(b.{v}) AS m FROM {t} a JOIN {t} b ON a.study_id = b.study_id
- AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1 GROUP BY 1, 2, 3, 4)"""
+_SIZES = dict(zip("xyz", vo.filter_sizes(k.PEAK_RADIUS_MM, k.SPACING_MM)))
 
 
-@query("e8_sliding_maximum", uses="v_volume", doubles="local_maximum", sql=_MAX.format(v="p_lesion", t="v_volume") + """
-SELECT study_id, x, y, z, m AS local_maximum FROM mx""")
+@query("e8_sliding_maximum", uses="v_tiled", doubles="local_maximum", sql=_passes("mx", "v_tiled", "p_lesion", "max(b.v)", {a: n // 2 for a, n in _SIZES.items()}) + """
+SELECT study_id, x, y, z, v AS local_maximum FROM mx_z""")
 def _(t):
-    return vo.sliding_maximum(v.v_volume(t), "p_lesion", (3, 3, 3), "local_maximum").select(*vo.VOXEL, "local_maximum")
+    return br.sliding_maximum(v.v_tiled(t), "p_lesion", tuple(_SIZES.values()), "local_maximum").drop("p_lesion")
 
 
-SIGMA_MM = 0.625
+_SIGMA = [k.SMOOTHING_SIGMA_MM / s for s in k.SPACING_MM]
 
 
-def _weights_sql(name, sigma):
-    r = int(4 * sigma + 0.5)
-    return f"""{name} AS (SELECT o, exp(-0.5::DOUBLE * (o / {sigma}::DOUBLE) ** 2) / (SELECT sum(exp(-0.5::DOUBLE * (i / {sigma}::DOUBLE) ** 2))
- FROM (SELECT unnest(range({-r}, {r + 1})) AS i)) AS w FROM (SELECT unnest(range({-r}, {r + 1})) AS o))"""
+def _smooth_sql() -> str:
+    """Separable smoothing; a place past an end takes the end's value."""
+    out, last = ", ends AS (SELECT study_id, max(x) AS x, max(y) AS y, max(z) AS z FROM v_tiled GROUP BY 1)", "SELECT study_id, x, y, z, p_lesion AS v FROM v_tiled"
+    for axis, sigma in zip("xyz", _SIGMA):
+        weights = br.gaussian_weights(sigma)
+        listed = ", ".join(f"({i - len(weights) // 2}, {w!r}::DOUBLE)" for i, w in enumerate(weights))
+        place = {a: f"a.{a}" for a in "xyz"} | {axis: f"least(greatest(a.{axis} + o, 0), e.{axis})"}
+        out += f""", sm_{axis} AS (SELECT a.study_id, a.x, a.y, a.z, sum(w * b.v) AS v FROM ({last}) a JOIN ends e USING (study_id), (VALUES {listed}) k(o, w)
+ JOIN ({last}) b ON b.study_id = a.study_id AND b.x = {place['x']} AND b.y = {place['y']} AND b.z = {place['z']} GROUP BY 1, 2, 3, 4)"""
+        last = f"SELECT * FROM sm_{axis}"
+    return out
 
 
-_SMOOTH = f""", {_weights_sql('wx', SIGMA_MM / 1.25)}, {_weights_sql('wz', SIGMA_MM / 2.0)},
-ask AS (SELECT study_id, x, y, z, least(greatest(x + a.o, 0), 3) AS sx, least(greatest(y + b.o, 0), 3) AS sy, least(greatest(z + c.o, 0), 3) AS sz,
- a.w * b.w * c.w AS w FROM v_volume, wx a, wx b, wz c),
-sm AS (SELECT k.study_id, k.x, k.y, k.z, sum(k.w * s.p_lesion) AS s FROM ask k JOIN v_volume s ON s.study_id = k.study_id AND s.x = sx AND s.y = sy AND s.z = sz
- GROUP BY 1, 2, 3, 4)"""
-_SIGMA = [SIGMA_MM / s for s in k.SPACING_MM]
+_SMOOTH = _smooth_sql()
 
 
-@query("h19_gaussian_smoothing", uses="v_volume", doubles="smooth", sql=_SMOOTH + " SELECT study_id, x, y, z, s AS smooth FROM sm")
+@query("h19_gaussian_smoothing", uses="v_tiled", doubles="smooth", sql=_SMOOTH + " SELECT study_id, x, y, z, v AS smooth FROM sm_z")
 def _(t):
-    return vo.gaussian_smooth(v.v_volume(t), "p_lesion", _SIGMA, "smooth")
+    return br.gaussian_smooth(v.v_tiled(t), "p_lesion", _SIGMA, "smooth")
 
 
-_PEAKS = _SMOOTH + _MAX.format(v="s", t="sm") + """, peaks AS (SELECT study_id, x, y, z, s FROM sm JOIN mx USING (study_id, x, y, z)
- WHERE s >= 0.01::DOUBLE AND abs(s - m) <= 1e-7::DOUBLE)"""
+_PEAKS = _SMOOTH + _passes("mx", "sm_z", "v", "max(b.v)", {a: n // 2 for a, n in _SIZES.items()}) + """, peaks AS (
+ SELECT s.study_id, s.x, s.y, s.z, s.v AS s FROM sm_z s JOIN mx_z m USING (study_id, x, y, z) WHERE s.v >= 0.01::DOUBLE AND abs(s.v - m.v) <= 1e-7::DOUBLE)"""
 
 
-@query("h20_peak_detection", uses="v_volume", doubles="candidate_score", sql=_PEAKS + """
+@query("h20_peak_detection", uses="v_tiled", doubles="candidate_score", sql=_PEAKS + """
 SELECT study_id, x, y, z, s AS candidate_score FROM peaks""")
 def _(t):
-    return vo.detect_peaks(v.v_volume(t), "p_lesion", _SIGMA, vo.filter_sizes(1.25, k.SPACING_MM)).drop(
-        "candidate_raw_probability")
+    return br.detect_peaks(v.v_tiled(t), "p_lesion", _SIGMA, tuple(_SIZES.values()), k.MINIMUM_SCORE).drop("candidate_raw_probability")
 
 
-def _components(source: str) -> str:
-    return f""", e AS (SELECT a.study_id, a.x * 16 + a.y * 4 + a.z AS u, b.x * 16 + b.y * 4 + b.z AS w FROM {source} a JOIN {source} b ON a.study_id = b.study_id
+def _components(source: str, side: str = "4") -> str:
+    return f""", e AS (SELECT a.study_id, (a.x * {side} + a.y) * {side} + a.z AS u, (b.x * {side} + b.y) * {side} + b.z AS w FROM {source} a JOIN {source} b ON a.study_id = b.study_id
  AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1),
 reach AS (SELECT study_id, u, w FROM e UNION SELECT r.study_id, r.u, e.w FROM reach r JOIN e ON e.study_id = r.study_id AND e.u = r.w),
 comp AS (SELECT study_id, u, min(w) AS root FROM reach GROUP BY 1, 2)"""
@@ -223,15 +236,14 @@ def _(t):
     return vo.plateau_peaks(marked, "score").drop("plateau")
 
 
-@query("h22_candidate_generator", uses="v_volume", doubles="candidate_score", sql=_PEAKS + _GATE + """
-, pk AS (SELECT p.* FROM peaks p JOIN gate USING (study_id, x, y, z))""" + _components("pk") + """
+@query("h22_candidate_generator", uses="v_tiled", doubles="candidate_score", sql=_PEAKS + _GATE + """
+, pk AS (SELECT p.* FROM peaks p JOIN gate USING (study_id, x, y, z))""" + _components("pk", "1000000::BIGINT") + """
 , best AS (SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY p.study_id, root ORDER BY s DESC, x, y, z) AS k FROM pk p
- JOIN comp c ON c.study_id = p.study_id AND c.u = x * 16 + y * 4 + z) WHERE k = 1)
-SELECT study_id, x AS candidate_x, y AS candidate_y, z AS candidate_z, s AS candidate_score,
- row_number() OVER (PARTITION BY study_id ORDER BY s DESC, x, y, z) AS candidate_rank FROM best""")
+ JOIN comp c ON c.study_id = p.study_id AND c.u = (x * 1000000::BIGINT + y) * 1000000 + z) WHERE k = 1)
+SELECT * FROM (SELECT study_id, x AS candidate_x, y AS candidate_y, z AS candidate_z, s AS candidate_score,
+ row_number() OVER (PARTITION BY study_id ORDER BY s DESC, x, y, z) AS candidate_rank FROM best) WHERE candidate_rank <= 256""")
 def _(t):
-    return vo.generate_candidates(v.v_volume(t), gate_probability=0.55, gate_margin=2.0, sigma_mm=SIGMA_MM,
-                                  radius_mm=1.25).drop("candidate_raw_probability")
+    return vo.generate_candidates(v.v_tiled(t), gate_probability=SEED).drop("candidate_raw_probability")
 
 
 @query("h23_candidate_truth_ledger", uses="v_points v_probe", doubles="reference_distance_mm", sql=f"""

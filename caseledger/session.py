@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +58,21 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a context: those that run its Python need not
+    have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_caseledger_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    name = f"{os.path.realpath(tempfile.mkdtemp(prefix='spark-ship-'))}/caseledger.zip"  # served as long as the context lives
+    with zipfile.ZipFile(name, "w") as bundle:
+        for source in sorted((top / "caseledger").rglob("*.py")):
+            bundle.write(source, source.relative_to(top))
+    context.addPyFile(name)
+    context._caseledger_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor."""
     shared_dir(df.sparkSession)

@@ -25,15 +25,52 @@ def test_draws_keep_stratum_sizes(cases):
     assert w.exceptAll(again).count() == 0
 
 
+def test_draws_are_multinomial(spark):
+    """Counts of a unit have the mean 1 and the variance 1 - 1/n, two units the covariance -1/n;
+    small strata are dealt out draw by draw, larger ones mostly beside the units."""
+    import numpy as np
+
+    n, small, reps = 200, 3, 1500
+    rows = [(f"u{i}", "big") for i in range(n)] + [(f"s{i}", None) for i in range(small)]
+    units = spark.createDataFrame(rows, "study_id string, g string").repartition(3)
+    w = rs.draw_weights(units, ["g"], "study_id", reps).groupBy("replicate", "study_id").agg(F.sum("weight").alias("w")).collect()
+    at = {u: i for i, (u, _) in enumerate(rows)}
+    table = np.zeros((reps, n + small))
+    for r in w:
+        table[r.replicate - 1, at[r.study_id]] = r.w
+    for part in (table[:, :n], table[:, n:]):
+        size = part.shape[1]
+        assert (part.sum(1) == size).all()
+        cov = np.cov(part.T)
+        assert abs(part.mean(0) - 1).max() < 0.15
+        assert np.diag(cov).mean() == pytest.approx(1 - 1 / size, abs=0.03)
+        assert (cov.sum() - np.trace(cov)) / (size * (size - 1)) == pytest.approx(-1 / size, abs=0.01)
+        # probabilities of 0, 1, 2 draws
+        for k, p in enumerate((1 - 1 / size) ** size * np.array([1, size / (size - 1)])):
+            assert (part == k).mean() == pytest.approx(p, abs=0.01)
+
+
+@pytest.mark.parametrize("level", [1, 3, 10])
+def test_limits_are_poisson(level):
+    import math
+
+    rate, limits = 1 - 0.5 ** level, [0, *rs.poisson_limits(level)]
+    for j, (a, b) in enumerate(zip(limits, limits[1:])):
+        assert (b - a) / 2 ** 32 == pytest.approx(math.exp(-rate) * rate ** j / math.factorial(j), abs=1e-9)
+    # so far below n that n is passed once in a billion replicates at most
+    n = rs.least_units(level)
+    assert (n - rate * n) / math.sqrt(rate * n) >= rs.SLACK
+
+
 def test_interval_covers_the_point(cases):
     row = rs.mean_interval(cases.withColumn("g", F.lit("all")), ["g"], "study_id", "score", 200).first()
     assert row.lower < row.mean < row.upper and row.upper - row.lower < 0.15
 
 
 def test_means_and_metrics_per_replicate(cases):
-    w = rs.draw_weights(cases, ["label_binary"], "study_id", 5)
-    got = rs.replicate_metrics(cases, w, "study_id", {"m": F.col("score")}, "label_binary", "score").collect()
-    drawn = w.select("replicate", "study_id", "weight").join(cases, "study_id").toPandas()
+    drawn = rs.draw_weights(cases, ["label_binary"], "study_id", 5).toPandas()
+    got = rs.replicate_metrics(cases, ["label_binary"], "study_id", {"m": F.col("score")}, "label_binary", "score", 5).collect()
+    assert len(got) == 5
     for r in got:
         part = drawn[drawn.replicate == r.replicate]
         assert r.m == pytest.approx((part.score * part.weight).sum() / part.weight.sum())

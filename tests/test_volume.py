@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from caseledger.operators import geometry as g, volume as vo
+from caseledger.operators import bricks as br, geometry as g, volume as vo
 
 
 def voxels(spark, fn, shape=(6, 5, 4), studies=("a", "b")):
@@ -16,13 +16,15 @@ def voxels(spark, fn, shape=(6, 5, 4), studies=("a", "b")):
     return {r[:4]: r[4] for r in rows}, spark.createDataFrame(rows, "study_id string, x int, y int, z int, v double")
 
 
-def test_gaussian_and_maximum(spark):
+@pytest.mark.parametrize("edge", [64, 2, 3])
+def test_gaussian_and_maximum(spark, edge):
+    """One brick, and bricks that are smaller than the margin they need."""
     rng = random.Random(5)
     shape = (6, 5, 4)
     data, df = voxels(spark, lambda *_: rng.random(), shape)
     sigma = (0.8, 0.6, 0.5)
-    w = [vo.gaussian_weights(s) for s in sigma]
-    got = {(r.study_id, r.x, r.y, r.z): r.g for r in vo.gaussian_smooth(df, "v", sigma, "g").collect()}
+    w = [br.gaussian_weights(s) for s in sigma]
+    got = {(r.study_id, r.x, r.y, r.z): r.g for r in br.gaussian_smooth(df, "v", sigma, "g", edge).collect()}
     clip = lambda i, n: min(max(i, 0), n - 1)
     for key in rng.sample(sorted(data), 25):
         s, x, y, z = key
@@ -31,12 +33,41 @@ def test_gaussian_and_maximum(spark):
             want += a * b * c * data[(s, clip(x + i - len(w[0]) // 2, shape[0]), clip(y + j - len(w[1]) // 2, shape[1]),
                                       clip(z + k - len(w[2]) // 2, shape[2]))]
         assert got[key] == pytest.approx(want)
-    top = {(r.study_id, r.x, r.y, r.z): r.m for r in vo.sliding_maximum(df, "v", (5, 3, 3), "m").collect()}
+    top = {(r.study_id, r.x, r.y, r.z): r.m for r in br.sliding_maximum(df, "v", (5, 3, 3), "m", edge).collect()}
     for (s, x, y, z), m in top.items():
         assert m == max(data[(s, i, j, k)] for i in range(max(0, x - 2), min(6, x + 3))
                         for j in range(max(0, y - 1), min(5, y + 2)) for k in range(max(0, z - 1), min(4, z + 2)))
 
 
+@pytest.mark.parametrize("edge", [3, 64])
+def test_peaks_do_not_depend_on_bricks(spark, edge):
+    """Peaks of several studies of different size, against both filters on the whole array."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows, want = [], set()
+    for study, shape in (("a", (11, 7, 8)), ("b", (3, 4, 9)), (None, (1, 1, 1))):
+        cube = rng.random(shape)
+        rows += [(study, x, y, z, float(cube[x, y, z])) for x, y, z in np.ndindex(shape)]
+        s = br.smooth(cube[None], (0.6, 0.5, 0.4))
+        top = br.box_maximum(s, (5, 3, 3))
+        want |= {(study, *(int(i) for i in p[1:])) for p in zip(*np.nonzero((s >= 0.1) & (abs(s - top) <= 1e-7)))}
+    df = spark.createDataFrame(rows, "study_id string, x int, y int, z int, v double").repartition(3)
+    got = br.detect_peaks(df, "v", (0.6, 0.5, 0.4), (5, 3, 3), 0.1, edge).collect()
+    assert {(r.study_id, r.x, r.y, r.z) for r in got} == want and len(got) == len(want) > 4
+    assert all(r.candidate_raw_probability == {x[:4]: x[4] for x in rows}[(r.study_id, r.x, r.y, r.z)] for r in got)
+    assert br.detect_peaks(df.limit(0), "v", (0.6, 0.5, 0.4), (5, 3, 3), 0.1, edge).count() == 0
+
+
+@pytest.mark.parametrize("edge", [2, 64])
+def test_bricks_refuse_gaps(spark, edge):
+    cube = [("s", x, y, z, 1.0) for x in range(4) for y in range(4) for z in range(4)]
+    frame = lambda rows: spark.createDataFrame(rows, "study_id string, x int, y int, z int, v double")
+    for rows in ([r for r in cube if r[1:4] != (1, 2, 1)], cube + cube[:1], [(*cube[0][:4], None), *cube[1:]], [r for r in cube if r[1] != 1]):
+        with pytest.raises(Exception, match="in study s"):
+            br.sliding_maximum(frame(rows), "v", (3, 3, 3), "m", edge).collect()
+
+
 def test_filter_sizes():
     assert vo.filter_sizes(10.0, (1.25, 1.25, 2.0)) == (17, 17, 11)
 
@@ -62,12 +93,16 @@ def test_nearest_distance_and_radius(spark, crowded):
     assert near == {i for i, d in want.items() if d is not None and d <= 12.0}
 
 
-def test_dilation_equals_distance(spark):
-    seeds = spark.createDataFrame([("a", 5, 5, 5), ("a", 9, 5, 6)], "study_id string, x int, y int, z int")
-    got = {(r.x, r.y, r.z) for r in vo.within_radius(seeds, 5.0, (1.25, 1.25, 2.0)).collect()}
-    want = {(x, y, z) for x in range(-5, 20) for y in range(-5, 16) for z in range(-5, 16)
-            if min(math.dist((x * 1.25, y * 1.25, z * 2.0), (a * 1.25, b * 1.25, c * 2.0)) for a, b, c in ((5, 5, 5), (9, 5, 6))) <= 5.0}
-    assert got == want
+@pytest.mark.parametrize("edge", [4, 64])
+def test_gate_equals_distance(spark, edge):
+    shape, seeds, sp = (17, 11, 9), ((5, 5, 5), (9, 5, 6), (16, 0, 0)), (1.25, 1.25, 2.0)
+    rows = [(s, x, y, z, float(s == "a" and (x, y, z) in seeds)) for s in "ab" for x in range(shape[0]) for y in range(shape[1]) for z in range(shape[2])]
+    df = spark.createDataFrame(rows, "study_id string, x int, y int, z int, v double")
+    far = {r[1:4]: min(math.dist([a * m for a, m in zip(r[1:4], sp)], [a * m for a, m in zip(q, sp)]) for q in seeds) for r in rows if r[0] == "a"}
+    got = {(r.study_id, r.x, r.y, r.z): r.distance_mm for r in br.within_gate(df, "v", 5.0, sp, edge).collect()}
+    assert set(got) == {("a", *p) for p, d in far.items() if d <= 5.0} and all(d == pytest.approx(far[p[1:]]) for p, d in got.items())
+    passed = {tuple(r) for r in vo.anatomical_gate(df, F.col("v") == 1, 5.0, sp).collect()}
+    assert passed == set(got) | {r[:4] for r in rows if r[0] == "b"}  # a study without seeds passes whole
 
 
 def test_components_of_a_long_snake_and_singletons(spark):
