@@ -18,8 +18,8 @@ INLINE |= MATH
 EMBEDDED = frozenset(("svg template noscript textarea select iframe object canvas audio video source track param "
                       "g defs symbol use path rect circle ellipse line polyline polygon text tspan textpath desc metadata lineargradient "
                       "radialgradient stop clippath mask pattern marker filter image view switch foreignobject").split())
-#: What these hold is no markup and no text of the page.
-RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in ("script", "style", "title")}
+#: What these hold is no markup and no text of the page, up to the end tag.
+RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style", "title")}
 
 TOKEN = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))"
@@ -28,60 +28,128 @@ NAMED = re.compile(r"(class|id|role|data-keep)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(
 PART = re.compile(r"[^\W\d_]+")
 
 
+class Node:
+    """An open element and, by its parents, a tag path. Pages share the nodes of equal paths.
+
+    ``fresh`` are the parts (name, class, id and role words) that no element around it has, so
+    that the parts of a path are those of its chain, each once, however deep it is nested."""
+
+    __slots__ = ("parent", "kids", "fresh", "tags", "length", "count", "total", "owner")
+
+    def __init__(self, parent: "Node | None", name: str, marks: tuple[str, ...], fresh: tuple[str, ...]):
+        self.parent, self.kids, self.fresh = parent, {}, fresh
+        self.tags = ((name,) + parent.tags)[:3] if parent else ()  # the last names, innermost first
+        self.length = parent.length + 1 + len(marks) if parent else 0
+        self.count, self.total, self.owner = 0, None, None  # what a labeller remembers of the path
+
+    def parts(self):
+        node = self
+        while node is not None:
+            yield from node.fresh
+            node = node.parent
+
+
+class Paths:
+    """The tree of all paths met so far; begun anew between pages when it has grown large."""
+
+    def __init__(self, most: int = 100_000):
+        self.most, self.size, self.root = most, 0, Node(None, "", (), ())
+
+    def start(self) -> Node:
+        if self.size > self.most:
+            self.size, self.root = 0, Node(None, "", (), ())
+        return self.root
+
+    def child(self, node: Node, name: str, marks: tuple[str, ...], seen: dict[str, int]) -> Node:
+        key = (name, marks)
+        kid = node.kids.get(key)
+        if kid is None:
+            fresh = tuple(p for p in dict.fromkeys((name, *("." + m for m in marks))) if not seen.get(p))
+            kid = node.kids[key] = Node(node, name, marks, fresh)
+            self.size += 1
+        return kid
+
+
+_paths = Paths()
+
+
 class Block:
     __slots__ = ("path", "text", "linked", "keep")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: float, keep: int):
+    def __init__(self, path: Node, text: str, linked: float, keep: int):
         self.path, self.text, self.linked, self.keep = path, text, linked, keep
 
 
-def _marks(attributes: str) -> tuple[tuple[str, ...], int | None]:
+def _marks(attributes: str, made: bool) -> tuple[tuple[str, ...], int | None]:
     marks, keep = [], None
     for m in NAMED.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
-        if m[1].lower() == "data-keep":
-            keep = int(value)
-        else:
+        if m[1].lower() != "data-keep":
             marks += PART.findall(value.lower())
+        elif made:
+            keep = int(value)
     return tuple(marks), keep
 
 
-def leaf_blocks(page: str) -> list[Block]:
+class _Open:
+    """An open element, with what must be known of all around it."""
+
+    __slots__ = ("name", "parts", "node", "keep", "embedded", "anchors", "base")
+
+    def __init__(self, name, parts, node, keep, embedded, anchors, base):
+        self.name, self.parts, self.node, self.keep = name, parts, node, keep
+        self.embedded, self.anchors, self.base = embedded, anchors, base
+
+
+def leaf_blocks(page: str, made: bool = False) -> list[Block]:
     """Texts between block boundaries, in page order, character references decoded and
     white space made one space. A path names the open elements and their class, id and role words.
-    Only comments and what script, style and title hold are no text."""
-    stack: list[tuple[str, tuple[str, ...], int | None]] = []
+    Only comments and what script, style and title hold are no text.
+
+    ``data-keep`` is read on ``made`` pages only; a given page may use it for anything.
+    Work grows with the page's length, however deep elements are nested and whether or not
+    tags and elements are closed.
+    """
+    bottom = _Open("", (), _paths.start(), -1, None, 0, 0)
+    stack = [bottom]
     out: list[Block] = []
     held: list[str] = []
     size = linked = 0
-    around = None  # the stack of the held text, once an embedded element followed it
+    around = None  # what was open around the held text, once an embedded element followed it
+    open_names: dict[str, int] = {}  # how many elements of a name are open
+    seen: dict[str, int] = {}  # and parts of paths
+    last = page.rfind(">")  # a tag that begins behind it never ends
 
     def flush():
         nonlocal size, linked, around
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                path, keep = [], -1
-                for name, marks, flag in stack if around is None else around:
-                    path.append(name)
-                    path += ["." + m for m in marks]
-                    keep = keep if flag is None else flag
-                out.append(Block(tuple(path), text, linked / max(size, 1), keep))
+                top = stack[-1] if around is None else around
+                out.append(Block(top.node, text, linked / max(size, 1), top.keep))
             held.clear()
         size, linked, around = 0, 0, None
 
+    def close(k: int):
+        for e in stack[k:]:
+            open_names[e.name] -= 1
+            for p in e.parts:
+                seen[p] -= 1
+        del stack[k:]
+
     at = 0
-    while m := TOKEN.match(page, at):
-        at = m.end()
-        text = m[7]
+    while at < len(page):
+        m = TOKEN.match(page, at) if at <= last or page[at] != "<" or page.startswith("<!--", at) else None
+        text = m[7] if m else "<"
+        at = m.end() if m else at + 1
         if text is not None:
             if around is not None and not text.isspace():
-                if [id(s) for s in around if s[0] in EMBEDDED] != [id(s) for s in stack if s[0] in EMBEDDED]:
+                if around.embedded is not stack[-1].embedded:
                     flush()
                 around = None
             held.append(text)
             size += len(text)
-            if any(s[0] == "a" for s in stack):
+            if stack[-1].anchors:
                 linked += len(text)
             continue
         name = m[2] or m[5]
@@ -93,30 +161,36 @@ def leaf_blocks(page: str) -> list[Block]:
                 held.append(" ")
                 continue
             if name in EMBEDDED:
-                around = list(stack) if held and around is None else around
+                around = stack[-1] if held and around is None else around
             elif name not in RAW:
                 flush()
         attributes = m[3] or m[6] or ""
         closed = attributes.rstrip().endswith("/")
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-        elif name in RAW and not (closed and any(s[0] in ("svg", "math") for s in stack)):
+            if open_names.get(name):
+                k = len(stack) - 1
+                while stack[k].name != name:
+                    k -= 1
+                close(k)
+        elif name in RAW and not (closed and (open_names.get("svg") or open_names.get("math"))):
             end = RAW[name].search(page, at)
-            at = end.end() if end else len(page)
+            end = page.find(">", end.end()) if end else -1
+            at = end + 1 if end >= 0 else len(page)
         elif name not in VOID:
             if name not in INLINE and name not in EMBEDDED:  # a block ends an open paragraph, and an item its like
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p" or stack[k][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                        del stack[k:]
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
-            marks, keep = _marks(attributes) if "=" in attributes else ((), None)
+                k = stack[-1].base  # the innermost element that isn't inline
+                if k and (stack[k].name == "p" or stack[k].name == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
+                    close(k)
+            marks, keep = _marks(attributes, made) if "=" in attributes else ((), None)
             if not closed or name in INLINE and name not in MATH:
-                stack.append((name, marks, keep))
+                top = stack[-1]
+                node = _paths.child(top.node, name, marks, seen)
+                parts = (name, *("." + p for p in marks))
+                for p in parts:
+                    seen[p] = seen.get(p, 0) + 1
+                open_names[name] = open_names.get(name, 0) + 1
+                stack.append(_Open(name, parts, node, top.keep if keep is None else keep, object() if name in EMBEDDED else top.embedded,
+                                   top.anchors + (name == "a"), top.base if name in INLINE else len(stack)))
     flush()
     return out
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .blocks import Block, leaf_blocks, made_page
+from .blocks import Block, Node, leaf_blocks, made_page
 from .common import query, table
 from .words import words
 
@@ -29,29 +29,30 @@ CELLS = 1 << 15
 # Elements whose meaning labels the sample.
 IS_TEXT, IS_NOT = frozenset(["article"]), frozenset("nav header footer aside form .ad .ads .advert .sidebar .comments .comment .menu".split())
 
-_path_ids: dict[tuple[str, ...], np.ndarray] = {}
+#: Of a given page in the training sample: words of a block and words in all that made pages
+#: borrow, and the longest path. A page with a longer one teaches nothing.
+BLOCK_WORDS, BORROWED, DEEPEST = 200, 20_000, 200
 
 
-def _ids_of(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed features of a path: its parts, its last parts in order, its tags in order."""
-    if path not in _path_ids:
-        if len(_path_ids) > 100_000:
-            _path_ids.clear()
-        tags = [p for p in path if p[0] != "."]
-        names = [*set(path), *(f"{k}<{t}" for k, t in enumerate(reversed(tags[-3:]))), ">".join(tags[-2:])]
-        _path_ids[path] = np.array([zlib.crc32(x.encode()) % PATHS for x in names], np.int64)
-    return _path_ids[path]
+def _ids(names) -> np.ndarray:
+    return np.array([zlib.crc32(x.encode()) % PATHS for x in names], np.int64)
+
+
+def _ordered(path: Node) -> list[str]:
+    """The last names of a path in order, as further features."""
+    return [*(f"{k}<{t}" for k, t in enumerate(path.tags)), ">".join(reversed(path.tags[:2]))]
 
 
 class Features:
-    """Blocks of several pages as flat arrays."""
+    """Blocks of several pages as flat arrays; hashed features of their paths only to learn from."""
 
-    def __init__(self, pages: list[list[Block]]):
+    def __init__(self, pages: list[list[Block]], learn: bool = True):
         flat = [b for page in pages for b in page]
         self.counts = np.array([len(p) for p in pages], np.int64)
-        ids = [_ids_of(b.path) for b in flat]
+        self.nodes = [b.path for b in flat]
+        ids = [_ids([*b.path.parts(), *_ordered(b.path)]) for b in flat] if learn else []
         self.path = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        self.path_of = np.repeat(np.arange(len(flat)), [len(i) for i in ids]) if ids else self.path
+        self.path_of = np.repeat(np.arange(len(ids)), [len(i) for i in ids]) if ids else self.path
         raw = [b.text.encode("utf-8") for b in flat]
         offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         data = np.frombuffer(b"".join(raw), np.uint8)
@@ -62,7 +63,7 @@ class Features:
         chars = np.diff(offs)
         ends = np.array([b.text[-1] in ".!?" for b in flat], float)
         self.numbers = np.column_stack([np.log1p(n_words) / 4, np.log1p(chars) / 6, [b.linked for b in flat], ends, chars / np.maximum(n_words, 1) / 10,
-                                        [min(len(b.path), 20) / 10 for b in flat]]) if flat else np.zeros((0, NUMBERS))
+                                        [min(b.path.length, 20) / 10 for b in flat]]) if flat else np.zeros((0, NUMBERS))
         self.size = len(flat)
 
 
@@ -91,8 +92,28 @@ class Labeller:
             self.p[f"w{d}"] = rng.normal(0, 1 / np.sqrt(x + HIDDEN), (x + HIDDEN, 4 * HIDDEN))
             self.p[f"c{d}"] = np.concatenate([np.ones(HIDDEN), np.zeros(3 * HIDDEN)])  # remember at first
 
+    def _path(self, node: Node) -> np.ndarray:
+        """Mean embedding of a path's features: sums go down the chain and stay with its nodes."""
+        table, chain = self.p["path"], []
+        at = node
+        while at is not None and at.owner is not self:
+            chain.append(at)
+            at = at.parent
+        for n in reversed(chain):
+            above = n.parent
+            n.count = len(n.fresh) + (above.count if above else 0)
+            n.total = table[_ids(n.fresh)].sum(0) + (above.total if above else 0.0)
+            n.owner = self
+        tail = _ids(_ordered(node))
+        return (node.total + table[tail].sum(0)) / (node.count + len(tail))
+
     def vectors(self, f: Features) -> np.ndarray:
-        path, self._np = _mean(self.p["path"], f.path, f.path_of, f.size)
+        if f.size and not len(f.path):
+            known = {id(n): n for n in f.nodes}
+            means = {i: self._path(n) for i, n in known.items()}
+            path = np.stack([means[id(n)] for n in f.nodes])
+        else:
+            path, self._np = _mean(self.p["path"], f.path, f.path_of, f.size)
         word, self._nw = _mean(self.p["word"], f.word, f.word_of, f.size)
         return np.concatenate([path, word, f.numbers], axis=1)
 
@@ -211,13 +232,14 @@ def training_pages(sample: list[str], made: int = MADE_PAGES, seed: int = 21) ->
     """Made pages with words of the sample, and the sample with labels where elements say them."""
     rng = np.random.default_rng(seed)
     given = [leaf_blocks(x) for x in sample]
-    vocabulary = sorted({w for page in given for b in page for w in b.text.split()[:200]})[:20_000] or [f"word{i}" for i in range(500)]
+    given = [page for page in given if all(b.path.length <= DEEPEST for b in page)]
+    vocabulary = sorted({w for page in given for b in page for w in b.text.split()[:BLOCK_WORDS]})[:BORROWED] or [f"word{i}" for i in range(500)]
     vocabulary = [w.replace("<", "").replace("&", "").replace("{", "").replace("}", "") or "x" for w in vocabulary]
     for page in given:
         for b in page:
-            tags = set(b.path)
+            tags = set(b.path.parts())
             b.keep = 0 if tags & IS_NOT else 1 if tags & IS_TEXT else -1
-    return [*(leaf_blocks(made_page(rng, vocabulary)) for _ in range(made)), *given]
+    return [*(leaf_blocks(made_page(rng, vocabulary), made=True) for _ in range(made)), *given]
 
 
 def train(pages: DataFrame, page_id: str = "page_id", html: str = "html", sample_pages: int = SAMPLE_PAGES) -> Labeller:
@@ -233,7 +255,7 @@ def _extract(model):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 pages = [leaf_blocks(x or "") for x in part.column(part.num_columns - 1).to_pylist()]
-                keep = (labeller.probabilities(Features(pages)) >= 0.5).tolist()
+                keep = (labeller.probabilities(Features(pages, learn=False)) >= 0.5).tolist()
                 texts, k = [], 0
                 for p in pages:
                     texts.append("\n".join(b.text for b, ok in zip(p, keep[k:k + len(p)]) if ok))
@@ -249,7 +271,7 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
 
     Kept blocks in page order, joined by newlines. Null html is empty; a page without
     main text has an empty text; unclosed and unknown markup is read as far as it
-    goes. Repeated rows get equal results, null ids and URLs stay null, no rows give
+    goes, in time that grows with the page. A page's own ``data-keep`` means nothing. Repeated rows get equal results, null ids and URLs stay null, no rows give
     no rows, other columns are not read. The model is sent to the executors; its size
     is that of its parameters.
     """

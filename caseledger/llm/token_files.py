@@ -23,7 +23,7 @@ from .files import mapped, new_name, opened
 from .words import text_buffers
 
 #: Distinct words whose ids a worker remembers before it starts anew, and bytes of text encoded at a time.
-REMEMBERED, STRIDE = 600_000, 4 << 20
+REMEMBERED, STRIDE = 500_000, 4 << 20
 NO_ID = -(1 << 63)
 #: Marks that end words often; none is part of a contraction, letter, digit or special token with letters.
 MARKS = ",.!?;:%$&*#|"
@@ -148,7 +148,8 @@ def _write(folder: str, vocabulary: str, end: int):
                 n_tokens += len(ids)
                 at = to
             n_docs += len(doc_ids)
-        model._forget()
+        if len(model.seen) > REMEMBERED // 2:  # else the worker's next task may use them
+            model._forget()
         tidy()
         if where is not None:
             for f in (ids_file, len_file, doc_file):
