@@ -5,17 +5,13 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..session import cut_lineage, fresh_path
+from ..session import cut_lineage, fresh_path, ship_package
 
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1000
@@ -39,18 +35,9 @@ def query(name: str, sql: str | None = None):
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once a context: they need not have it installed.
     Texts can be long, so Arrow batches are made short where the session has Spark's default."""
-    context = spark.sparkContext
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    if getattr(context, "_caseledger_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[2]
-    name = f"{os.path.realpath(tempfile.mkdtemp(prefix='spark-ship-'))}/caseledger.zip"  # served as long as the context lives
-    with zipfile.ZipFile(name, "w") as bundle:
-        for source in sorted((top / "caseledger").rglob("*.py")):
-            bundle.write(source, source.relative_to(top))
-    context.addPyFile(name)
-    context._caseledger_shipped = True
+    ship_package(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage, fresh_path
-from .common import components, forest, query, saved, table
+from .common import components, forest, query, saved, ship, table
 from .files import opened
 from .hnsw import Graph
 
@@ -260,6 +260,7 @@ def embedding_links(vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_i
     vectors link; repeated rows count as vectors of their own. kept marks the row
     whose vec_id is its component. No rows give no rows; other columns are not read.
     """
+    ship(vectors.sparkSession)
     slim = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
     low, high = F.lit(-1.7976931348623157e308), F.lit(1.7976931348623157e308)
     fine = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (x >= low) & (x <= high)) & F.exists("v", lambda x: x != 0), F.lit(False))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import cut_lineage
-from .common import few, filled, list_array, query, spare, table
+from .common import few, filled, list_array, query, ship, spare, table
 from .words import SLICE, text_buffers
 
 #: Bytes of the shortest and longest chunk (a text's last may be shorter), and the
@@ -100,6 +100,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", has
     same text are each counted and share one verdict. No rows give no rows; other
     columns are not read. ``hash_bits`` below 64 makes hashes collide, for tests.
     """
+    ship(docs.sparkSession)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     recipes = slim.mapInArrow(_recipes(hash_bits), f"doc_id {kind}, text_sha256 string, recipe array<bigint>")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .blocks import Block, Node, leaf_blocks, made_page
-from .common import query, table
+from .common import query, ship, table
 from .words import words
 
 #: Given pages read for training (those of least hash), made pages, passes over both.
@@ -275,6 +275,7 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     no rows, other columns are not read. The model is sent to the executors; its size
     is that of its parameters.
     """
+    ship(pages.sparkSession)
     model = pages.sparkSession.sparkContext.broadcast(train(pages, page_id, html))
     slim = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     return slim.mapInArrow(_extract(model), f"page_id {slim.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

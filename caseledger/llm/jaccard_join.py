@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage
-from .common import components, few, filled, forest, list_array, query, saved, spare, table
+from .common import components, few, filled, forest, list_array, query, saved, ship, spare, table
 from .words import mix, text_buffers, words
 
 #: Documents whose shingles say which are frequent (they only set the order), how many are
@@ -116,7 +116,8 @@ def _signatures(width: int, num: int, den: int, frequent: np.ndarray):
                 batch.column(0).take(pa.array(own, pa.int64())), pa.array([len(sets[i]) for i in own], pa.int64()),
                 pa.array([set_key(sets[i]) for i in own], pa.binary()),
                 list_array(pa.array(flat.astype(np.int64)), np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])),
-                pa.array([signature_bits(sets[i]) for i in own], pa.binary())], ["doc_id", "n", "set_key", "keys", "bits"])
+                pa.array([signature_bits(sets[i]) for i in own], pa.binary()), batch.column(2).take(pa.array(own, pa.int64()))],
+                ["doc_id", "n", "set_key", "keys", "bits", "tkey"])
 
     return run
 
@@ -254,7 +255,7 @@ def _link_unit_pair(width: int, num: int, den: int):
         data, offs = text_buffers(rows.column("text"))
         sets = shingle_sets(data, offs, width)
         no, side, want = (rows.column(c).to_pylist() for c in ("no", "side", "set_key"))
-        # rows that share the doc_id of a class but not its set are no part of it
+        # texts that share the hash of a class but not its set are no part of it
         use = {(side[i], no[i]): i for i in range(len(no)) if len(sets[i]) and set_key(sets[i]) == want[i]}
         left, right = ([i for (s, _), i in use.items() if s == k] for k in (0, 1))
         same = rows.column("same")[0].as_py()
@@ -265,8 +266,8 @@ def _link_unit_pair(width: int, num: int, den: int):
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits with those set that the ids' hashes name; its size doesn't grow with them."""
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    """FILTER_BITS bits with those set that the texts' hashes name; its size doesn't grow with them."""
+    at = F.pmod("tkey", F.lit(FILTER_BITS))
     pages = ids.select(at.alias("at")).select(F.expr("bitmap_bucket_number(at)").alias("page"), F.expr("bitmap_bit_position(at)").alias("bit")) \
         .groupBy("page").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).collect()
     out = np.zeros(FILTER_BITS // 8 + 8192, np.uint8)
@@ -281,14 +282,23 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
 
 
 def _passing(bits):
+    """Texts whose bit is set, each once a task: copies collapse before they move."""
     def run(batches):
-        mine = bits.value
+        mine, seen = bits.value, set()
         for batch in batches:
             at = np.array(batch.column(2))
             # position p > 0 is bit (p - 1) % 32768 of page (p - 1) // 32768 + 1
             hit = np.where(at > 0, mine[np.maximum(at - 1, 0) >> 3] >> ((at - 1) & 7) & 1, mine[-1] & 1).astype(bool)
-            if hit.any():
-                yield batch.filter(pa.array(hit))
+            where = []
+            for i in np.flatnonzero(hit).tolist():
+                key = batch.column(0)[i].as_py()
+                digest = hash((key, batch.column(1)[i].as_py()))  # two texts of one hash both pass
+                if digest not in seen:
+                    seen.add(digest)
+                    where.append(i)
+            if where:
+                out = batch.take(pa.array(where))
+                yield pa.RecordBatch.from_arrays(out.columns, ["text_key", "text", "at"])
 
     return run
 
@@ -305,17 +315,20 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     rows give no rows; other columns are not read.
     """
     spark = docs.sparkSession
+    ship(spark)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), filled(text).alias("text"))
+    # texts are told apart by a hash of their own: ids may be null or repeat
+    slim = slim.withColumn("tkey", F.xxhash64("text"))
     total = slim.count()
     part = max(1, total // ORDER_SAMPLE)
-    seen = slim.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0).select("text").mapInArrow(_sampled(part, width), "shingle long, n long") \
+    seen = slim.where(F.pmod("tkey", F.lit(part)) == 0).select("text").mapInArrow(_sampled(part, width), "shingle long, n long") \
         .groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_LEAST).orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
     frequent = np.sort(np.array([r["shingle"] for r in seen], np.int64).astype(np.uint64))
 
     # one class per distinct set; copies collapse before they are dealt
-    signed = slim.mapInArrow(_signatures(width, num, den, frequent), "doc_id long, n long, set_key binary, keys array<bigint>, bits binary")
+    signed = slim.mapInArrow(_signatures(width, num, den, frequent), "doc_id long, n long, set_key binary, keys array<bigint>, bits binary, tkey long")
     classes = signed.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"),
-                                            F.any_value("bits").alias("bits"))
+                                            F.any_value("bits").alias("bits"), F.min("tkey").alias("tkey"))
     classes = saved(classes.withColumn("no", F.monotonically_increasing_id()), "classes")
 
     # families: classes that share a prefix shingle and may link
@@ -330,13 +343,13 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     families = cut_lineage(components(cut_lineage(near.union(many).distinct())))
 
     # units of families, and pairs of units
-    members = classes.select("no", "n", "doc_id", "set_key").join(families.select(F.col("id").alias("no"), F.col("component").alias("family")), "no")
+    members = classes.select("no", "n", "tkey", "set_key").join(families.select(F.col("id").alias("no"), F.col("component").alias("family")), "no")
     members = cut_lineage(members)
     sizes = members.groupBy("family").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")) \
         .select(F.col("family").alias("f"), ((F.col("size") > UNIT_ROWS) | (F.col("shingles") > UNIT_SHINGLES)).alias("large"))
     band = F.when(F.col("large"), F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9)).otherwise(F.lit(0))
     placed = members.withColumn("fk", F.xxhash64("family")).join(sizes.withColumn("k", F.xxhash64("f")), (F.col("fk") == F.col("k")) & (F.col("family") == F.col("f"))) \
-        .select("no", "n", "doc_id", "set_key", "family", band.alias("band"))
+        .select("no", "n", "tkey", "set_key", "family", band.alias("band"))
     cuts = placed.groupBy("family", "band").agg(F.greatest(F.ceil(F.count("*") / UNIT_ROWS), F.ceil(F.sum("n") / UNIT_SHINGLES)).alias("units"))
     cuts = cut_lineage(cuts)
     nodes = cuts.select("family", "band", F.explode(F.sequence(F.lit(0), (F.col("units") - 1).cast("int"))).alias("unit"))
@@ -350,12 +363,12 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     mine = placed.join(cuts.select(F.col("family").alias("f3"), F.col("band").alias("b3"), "units", F.xxhash64("family", "band").alias("k3")),
                        (F.xxhash64("family", "band") == F.col("k3")) & (F.col("family") == F.col("f3")) & (F.col("band") == F.col("b3"))) \
         .withColumn("unit", F.pmod(F.xxhash64("no"), F.col("units"))) \
-        .select("no", "doc_id", "set_key", "family", "band", "unit")
+        .select("no", "tkey", "set_key", "family", "band", "unit")
 
     # only texts of families move
     bits = spark.sparkContext.broadcast(_filter_of(members))
-    texts = slim.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(_passing(bits), "doc_id long, text string, at long")
-    told = mine.join(texts.select(F.col("doc_id").alias("text_id"), "text"), F.col("doc_id").eqNullSafe(F.col("text_id"))) \
+    texts = slim.select("tkey", "text", F.pmod("tkey", F.lit(FILTER_BITS)).alias("at")).mapInArrow(_passing(bits), "text_key long, text string, at long")
+    told = mine.join(texts.select("text_key", "text"), F.col("tkey") == F.col("text_key")) \
         .select("no", "set_key", "family", "band", "unit", "text")
     dealt = told.join(tasks.withColumnsRenamed({"family": "f4", "band": "b4", "unit": "u4"}),
                       (F.col("family") == F.col("f4")) & (F.col("band") == F.col("b4")) & (F.col("unit") == F.col("u4"))).select("pair", "side", "same", "no", "set_key", "text")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import cut_lineage
-from .common import filled, numbered, query, saved, spare, table
+from .common import filled, numbered, query, saved, ship, spare, table
 
 MOST_COPIES = 3
 #: Weights of sources in code-point order, repeated.
@@ -125,6 +125,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     their sum is right, by an arbitrary but fixed order. No rows give no rows; other
     columns are not read.
     """
+    ship(docs.sparkSession)
     slim = saved(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size")), "sizes")
     slim = slim.withColumn("key", _key("source"))
     cells = saved(slim.groupBy("key", "size").agg(F.count("*").alias("n")), "cells")

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import filled, list_array, query, table, tidy
+from .common import filled, list_array, query, ship, table, tidy
 from .words import _power, mix, text_buffers
 
 #: Distinct words a worker remembers before it starts anew; texts encoded at a time; words of one length at a time.
@@ -345,6 +345,7 @@ def encode(docs: DataFrame, pieces, text: str = "text", keep: tuple[str, ...] =
     piece holds become byte pieces. Rows are encoded apart, repeated ones too; no rows
     give no rows; other columns are not read.
     """
+    ship(docs.sparkSession)
     slim = docs.select(*keep, filled(text).alias("_text"))
     shape = ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in keep)
     return slim.mapInArrow(_encode(pieces), f"{shape}, ids array<int>")

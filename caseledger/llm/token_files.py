@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage, fresh_path
-from .common import filled, query, table, tidy
+from .common import filled, query, ship, table, tidy
 from .files import mapped, new_name, opened
 from .words import text_buffers
 
@@ -186,6 +186,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end: int, doc_id
     by a hash of the text, then by the text. No rows give no files and an empty manifest.
     """
     spark = docs.sparkSession
+    ship(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), filled(text).alias("text")).withColumn("tie", F.xxhash64("text"))
     dealt = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     parts = cut_lineage(dealt.mapInArrow(_write(folder, vocabulary, end), MANIFEST)).collect()  # a row per partition

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import few, filled, query, table
+from .common import few, filled, query, ship, table
 
 #: Labelled training rows that are read for fitting, those of least hash; held-out remainder.
 #: Every sign that those rows support votes: its number is bounded by the words of the rows.
@@ -213,6 +213,7 @@ def one_of_each_family(signs: list[str], toxic: dict[str, int]) -> list[str]:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text") -> tuple[list[str], np.ndarray]:
     """(voters, weights). Reads labels of training rows only, at most ``sample_rows`` of
     them; without any, the stated insults get a weight of their own."""
+    ship(docs.sparkSession)
     seeds = [*INSULTS]
     base = np.concatenate([np.full(len(seeds), 5.0), np.full(len(PATTERNS), 0.1), [-4.0]])
     sample = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where("_id is not null and _toxic is not null") \

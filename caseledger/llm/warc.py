@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import fresh_path
-from .common import query, saved, table
+from .common import query, saved, ship, table
 from .files import mapped, opened
 
 #: Lines of an index block, and bytes of an archive read at a time.
@@ -93,6 +93,7 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0,
     larger than any, and null ids alone are all responses. Null html is an empty payload, a null URL has no
     target header. Rows that repeat the smallest page_id are responses too.
     """
+    ship(pages.sparkSession)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     slim = saved(rows.select("page_id", "html").mapInArrow(_digests, "page_id long, payload_bytes long, payload_digest string"), "digests")
     first = slim.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes") \
@@ -153,6 +154,7 @@ def _captures(batches):
 
 def index_captures(spark: SparkSession, folder: str) -> DataFrame:
     """One row per record of the archives: key, url, file, offset, length."""
+    ship(spark)
     files = spark.read.format("binaryFile").load(folder).where("length > 0").select("path")  # contents are not read
     spread = spark.sparkContext.defaultParallelism
     return files.repartition(spread).mapInArrow(_captures, "key string, url string, file string, offset long, length long")

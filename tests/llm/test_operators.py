@@ -335,6 +335,33 @@ def test_labeller_on_layouts_it_has_not_seen(monkeypatch):
     assert known >= 0.97 and unseen >= 0.85
 
 
+def test_jaccard_rows_without_or_with_one_id(spark, monkeypatch):
+    """Near copies that all lack an id, or share one: right, and no text moves for each pair of them."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(500)}" for _ in range(60)]
+    texts = [" ".join(base + [f"tail{i}"]) for i in range(120)] + [" ".join(f"x{i}{k}" for k in range(20)) for i in range(30)]
+    for ids in ([None] * 150, [7] * 150, [None if i % 2 else i for i in range(150)]):
+        docs = spark.createDataFrame(list(zip(ids, texts)) * 2, "doc_id long, text string").repartition(4)
+        moved = spark.sparkContext.accumulator(0)
+        pairs = jaccard_join._link_unit_pair
+
+        def counted(*a, pairs=pairs, moved=moved):
+            run = pairs(*a)
+
+            def count(rows):
+                moved.add(rows.num_rows)
+                return run(rows)
+
+            return count
+
+        monkeypatch.setattr(jaccard_join, "_link_unit_pair", counted)
+        got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect())
+        monkeypatch.undo()
+        least = min((i for i in ids[:120] if i is not None), default=None)
+        want = collections.Counter((i, len(t.split()) - 2, least if k < 120 else i) for k, (i, t) in enumerate(zip(ids, texts)) for _ in range(2))
+        assert got == want and moved.value <= 150 * 8
+
+
 @pytest.mark.parametrize("planted", [40, 300])
 def test_large_toxic_vocabularies_are_found(spark, planted):
     """Toxic texts that share no word but one of many, each learned from about ten of them."""
