@@ -4,7 +4,10 @@ Records are strings: Spark's text writer puts them to the shared folder, with th
 CRLF pair that ends a record as its line separator, so a file is a plain
 uncompressed WARC file, committed as Spark commits files. Readers open the files
 by range. The index sorts captures by reversed-host URL key into compressed
-blocks; a sparse directory holds the first key of each block.
+blocks, one behind the other in flat files; a sparse directory holds the first and
+last key of each block and where it lies. A look-up reads the part of the directory
+that its keys span, finds their blocks by binary search, reads just these by range,
+searches in them, and reads the records by range.
 """
 
 from __future__ import annotations
@@ -13,16 +16,18 @@ import base64
 import hashlib
 import json
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left
+from dataclasses import dataclass
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.dataset as ds
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import fresh_path
-from .common import query, saved, ship, table
-from .files import mapped, opened
+from .common import query, saved, ship, table, tasks
+from .files import mapped, new_name, opened
 
 #: Lines of an index block, and bytes of an archive read at a time.
 BLOCK_LINES, READ = 1024, 4 << 20
@@ -43,6 +48,13 @@ def url_key(url: str | None) -> str:
     return f"{','.join(reversed(host.split('.')))}){parts.path or '/'}{'?' + parts.query if parts.query else ''}"
 
 
+def _target(url: str | None) -> str | None:
+    """A URL as its header holds it: a line break would end the header, blanks around it don't count."""
+    if url and ("\r" in url or "\n" in url):
+        url = url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+    return url.strip() if url else url
+
+
 def _packed(batches):
     for batch in batches:
         html = [x.encode("utf-8") if x is not None else b"" for x in batch.column(2).to_pylist()]
@@ -63,12 +75,10 @@ def _digests(batches):
 
 def _record(page_id, url, n, digest, packed, first) -> str:
     revisit = first is not None and first != page_id
-    # a line break in a URL would end its header
-    target = (url or "").replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if url and ("\r" in url or "\n" in url) else url
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{URN}{'' if page_id is None else page_id}>",
             f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {n}"]
     if url is not None:
-        head.append(f"WARC-Target-URI: {target}")
+        head.append(f"WARC-Target-URI: {_target(url)}")
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{URN}{first}>"]
     body = "" if revisit else zstandard.ZstdDecompressor().decompress(packed).decode("utf-8")
@@ -160,74 +170,134 @@ def index_captures(spark: SparkSession, folder: str) -> DataFrame:
     return files.repartition(spread).mapInArrow(_captures, "key string, url string, file string, offset long, length long")
 
 
-def _blocks(batches):
-    def block(lines, number):
-        body = "".join(json.dumps(x) + "\n" for x in lines).encode()
-        return {"first": lines[0][0], "last": lines[-1][0], "number": number, "lines": len(lines), "body": zlib.compress(body, 1)}
+DIRECTORY = "first string, last string, lines int, file string, offset long, length long"
 
-    shape = pa.schema([("first", pa.string()), ("last", pa.string()), ("number", pa.int32()), ("lines", pa.int32()), ("body", pa.binary())])
-    held, number = [], 0
-    for batch in batches:
-        held += list(zip(*(c.to_pylist() for c in batch.columns)))
-        while len(held) >= BLOCK_LINES:
-            yield pa.RecordBatch.from_pylist([block(held[:BLOCK_LINES], number)], shape)
-            held, number = held[BLOCK_LINES:], number + 1
-    if held:
-        yield pa.RecordBatch.from_pylist([block(held, number)], shape)
+
+def _blocks(folder: str):
+    def run(batches):
+        held, out, file, at = [], None, None, 0
+
+        def block(lines):
+            nonlocal out, file, at
+            if out is None:
+                where, path = opened(folder)
+                where.create_dir(path, recursive=True)
+                name = new_name("blocks")
+                out, file = where.open_output_stream(f"{path}/{name}"), f"{folder}/{name}"
+            body = zlib.compress("".join(json.dumps(x) + "\n" for x in lines).encode(), 1)
+            out.write(body)
+            at += len(body)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(
+                (lines[0][0], lines[-1][0], len(lines), file, at - len(body), len(body)), (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()))],
+                ["first", "last", "lines", "file", "offset", "length"])
+
+        for batch in batches:
+            held += list(zip(*(c.to_pylist() for c in batch.columns)))
+            while len(held) >= BLOCK_LINES:
+                yield block(held[:BLOCK_LINES])
+                held = held[BLOCK_LINES:]
+        if held:
+            yield block(held)
+        if out is not None:
+            out.close()
+
+    return run
+
+
+@dataclass
+class Index:
+    """Level two, the directory: a table in key order, stored at ``path``."""
+
+    path: str
+    directory: DataFrame
 
 
-def build_index(captures: DataFrame) -> DataFrame:
-    """Level one: blocks of captures in key order, as a table in the shared folder
-    (first, last, number, lines, body). Its columns without ``body`` are level two."""
+def build_index(captures: DataFrame) -> Index:
+    """Level one, blocks of captures in key order, as flat files in the shared folder, and
+    the directory of them. A file that a failed task leaves behind is in no directory."""
+    spark = captures.sparkSession
     dealt = captures.repartitionByRange("key", "file", "offset").sortWithinPartitions("key", "file", "offset")
-    return saved(dealt.mapInArrow(_blocks, "first string, last string, number int, lines int, body binary"), "index")
-
-
-class Directory:
-    """Level two, held by the reader: the first keys of all blocks, in order. One key
-    stands for BLOCK_LINES captures."""
-
-    def __init__(self, index: DataFrame):
-        self.index = index
-        rows = index.select("first", "last").orderBy("first", "last").collect()
-        self.first, self.last = [r[0] for r in rows], [r[1] for r in rows]
-
-    def lookup(self, url: str) -> list[tuple[dict, bytes]]:
-        """(header, payload) of all captures of a URL: binary search in the directory,
-        then in the blocks, then a range read of each record."""
-        key = url_key(url)
-        at = bisect_right(self.first, key) - 1
-        while at > 0 and self.last[at - 1] >= key:
-            at -= 1
-        hits = []
-        if at >= 0:
-            rows = self.index.where((F.col("first") <= key) & (F.col("last") >= key)).select("body").collect()
-            for (body,) in rows:
-                lines = [json.loads(x) for x in zlib.decompress(bytes(body)).splitlines()]
-                to = bisect_right(lines, key, key=lambda x: x[0])
-                while to and lines[to - 1][0] == key:
-                    to -= 1
-                    hits.append(lines[to])
-        return [read_record(*x[2:]) for x in sorted(hits, key=lambda x: (x[2], x[3]))]
-
-
-def read_record(uri: str, offset: int, length: int) -> tuple[dict, bytes]:
-    with mapped(uri) as f:
-        f.seek(offset)
-        raw = f.read(length)
-    end = raw.index(b"\r\n\r\n")
-    return _header(raw[:end].split(b"\r\n")), raw[end + 4:-4]
-
-
-def _resolve(batches):
-    """Reads each block's records by range, file by file."""
+    path = fresh_path(spark, "directory")
+    dealt.mapInArrow(_blocks(fresh_path(spark, "index")), DIRECTORY).write.parquet(path)
+    return Index(path, spark.read.schema(DIRECTORY).parquet(path))
+
+
+def _keys(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([url_key(_target(x)) for x in batch.column(0).to_pylist()], pa.string())], ["key"])
+
+
+def _find(path: str):
+    """Sorted keys to the blocks that hold them."""
+    def run(batches):
+        where, at = opened(path)
+        directory = ds.dataset(at, filesystem=where, format="parquet")
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            if not keys:
+                continue
+            # only what the keys span is read: files and row groups outside are told by their statistics
+            part = directory.to_table(filter=(ds.field("last") >= keys[0]) & (ds.field("first") <= keys[-1])).sort_by([("first", "ascending"), ("last", "ascending")])
+            first, last = part.column("first").to_pylist(), part.column("last").to_pylist()
+            key_of, block = [], []
+            for key in keys:
+                i = bisect_left(last, key)
+                while i < len(first) and first[i] <= key:
+                    key_of.append(key)
+                    block.append(i)
+                    i += 1
+            rows = part.take(pa.array(block, pa.int64()))
+            yield from pa.table([pa.array(key_of, pa.string()), *(rows.column(c) for c in ("file", "offset", "length"))], ["key", "file", "offset", "length"]).combine_chunks().to_batches()
+
+    return run
+
+
+CAPTURE = "key string, url string, file string, offset long, length long"
+
+
+def _hits(batches):
+    """(key, block) to the captures of the key in the block; rows of a block follow each other."""
+    now, lines, names = None, [], []
+    for batch in batches:
+        out = []
+        for key, uri, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
+            if now != (uri, offset):
+                now = uri, offset
+                with mapped(uri) as f:
+                    f.seek(offset)
+                    lines = [json.loads(x) for x in zlib.decompress(f.read(length)).splitlines()]
+                names = [x[0] for x in lines]
+            i = bisect_left(names, key)
+            while i < len(names) and names[i] == key:
+                out.append(lines[i])
+                i += 1
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))],
+                                         ["key", "url", "file", "offset", "length"])
+
+
+def lookup(index: Index, urls: DataFrame, url: str = "url") -> DataFrame:
+    """All captures of the URLs in a column, each once: key, url, file, offset, length.
+
+    URLs of one key are one search; a null or empty URL finds the captures without one; URLs
+    that were never captured find nothing. The captures of a key that fills many blocks are
+    read by as many tasks.
+    """
+    spark = urls.sparkSession
+    ship(spark)
+    keys = urls.select(F.col(url).alias("url")).mapInArrow(_keys, "key string").distinct()
+    blocks = keys.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(_find(index.path), "key string, file string, offset long, length long")
+    return blocks.repartition(tasks(spark), "file", "offset").sortWithinPartitions("file", "offset", "key").mapInArrow(_hits, CAPTURE)
+
+
+def _resolve(payloads: bool):
+    """Reads records by range, file by file."""
     def number(text):
         text = text.strip("<>").removeprefix(URN)
         return int(text) if text else None
 
-    for batch in batches:
-        for body in batch.column(0).to_pylist():
-            lines = sorted((json.loads(x) for x in zlib.decompress(body).splitlines()), key=lambda x: (x[2], x[3]))
+    def run(batches):
+        for batch in batches:
+            lines = sorted(zip(*(c.to_pylist() for c in batch.columns)), key=lambda x: (x[2], x[3]))
             out, name, f = [], None, None
             for key, url, uri, offset, length in lines:
                 if uri != name:
@@ -241,16 +311,20 @@ def _resolve(batches):
                 if kind == "response" and (base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest or len(payload) != int(head["x-payload-length"])):
                     raise ValueError(f"{uri}: payload at {offset} does not match its digest")
                 out.append((number(head["warc-record-id"]), key, url, int(head["x-payload-length"]), digest, kind,
-                            number(head["warc-refers-to"]) if kind == "revisit" else None))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()))],
-                                             ["page_id", "url_key", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                            number(head["warc-refers-to"]) if kind == "revisit" else None, payload if payloads else None))
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 8, kinds)],
+                                             ["page_id", "url_key", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+
+    return run
 
 
-def read_captures(index: DataFrame) -> DataFrame:
-    """Every capture, found through the index and read by range: page_id, url_key,
-    url, payload_bytes, payload_digest (checked for responses), record_type, refers_to."""
-    blocks = index.select("body").repartition(index.sparkSession.sparkContext.defaultParallelism)
-    return blocks.mapInArrow(_resolve, "page_id long, url_key string, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+def read_captures(hits: DataFrame, payloads: bool = False) -> DataFrame:
+    """Captures that a look-up found, read by range: page_id, url_key, url, payload_bytes,
+    payload_digest (checked for responses), record_type, refers_to; on request the payload,
+    empty for revisits."""
+    return hits.mapInArrow(_resolve(payloads), "page_id long, url_key string, url string, payload_bytes long, payload_digest string, record_type string, "
+                                               "refers_to long, payload binary")
 
 
 _SHA = "sha1(coalesce(html, ''))"
@@ -267,4 +341,5 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), folder)
-    return read_captures(build_index(index_captures(spark, folder))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = lookup(build_index(index_captures(spark, folder)), table(spark, sf_dir, "pages"))
+    return read_captures(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
