@@ -16,11 +16,12 @@ def validated_done(ledger: DataFrame, locks: DataFrame, inventory: DataFrame,
     """Ids that may be skipped on resume: the stored hash, signature, threshold and
     payload count still agree with the locks and the file inventory.
 
-    ``locks`` is one row (``signature``, ``threshold``); ``inventory`` has
-    ``sha256`` and ``payload_rows`` per id.
+    ``locks`` is one row (``signature``, ``threshold``), else the query fails; ``inventory``
+    has ``sha256`` and ``payload_rows`` per id.
     """
     have = inventory.select(*key, F.col("sha256").alias("_sha"), F.col("payload_rows").alias("_rows"))
-    lock = locks.select(F.col("signature").alias("_sig"), F.col("threshold").alias("_thr"))
+    one = F.when(F.count(F.lit(1)) == 1, F.first(F.struct("signature", "threshold"))).otherwise(F.raise_error(F.lit("there must be one lock row")))
+    lock = F.broadcast(locks.agg(one.alias("_l")).select(F.col("_l.signature").alias("_sig"), F.col("_l.threshold").alias("_thr")))  # one row
     locked = (F.col("signature") == F.col("_sig")) & (F.abs(F.col("threshold") - F.col("_thr")) <= 1e-12)
     stored = (F.col("sha256") == F.col("_sha")) & (F.col("payload_rows") == F.col("_rows"))
     return ledger.join(have, list(key)).where(stored).join(lock, locked).select(*key).distinct()

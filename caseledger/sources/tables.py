@@ -72,36 +72,51 @@ def write_version(df: DataFrame, base: str, partition_by: Sequence[str] = ()) ->
 
     A version is complete when its ``_SUCCESS`` marker exists; readers take a
     path only from the caller or from :func:`latest_version`, so a half-written
-    table is never seen.
+    table is never seen. Versions are numbered upwards, half-written ones counted;
+    of two writers at once that take one number, the same one is the newer for all.
     """
-    path = f"{base.rstrip('/')}/v-{uuid.uuid4().hex}"
+    taken = [_number(p) for p in _versions(df.sparkSession, base, "")]
+    path = f"{base.rstrip('/')}/v-{max(taken, default=0) + 1:012d}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return path
 
 
-def write_volumes(voxels: DataFrame, base: str, buckets: int = 16) -> str:
-    """Volumes by hash bucket of the study, ready for bucket-pruned scans.
+#: Voxels of a bucket of volumes.
+BUCKET_VOXELS = 1 << 26
+
+
+def write_volumes(voxels: DataFrame, base: str, buckets: int | None = None) -> str:
+    """Volumes by hash bucket of the study, ready for bucket-pruned scans. Without a number
+    of ``buckets`` there is one per ``BUCKET_VOXELS`` rows, which are counted first.
 
     Ranges over (bucket, study, slice) keep each task inside few buckets, so
     there are about as many files as tasks, and they cut a very large bucket or
     study into as many tasks as it needs.
     """
+    buckets = buckets or max(1, -(-voxels.count() // BUCKET_VOXELS))
     bucket = F.pmod(F.xxhash64("study_id"), F.lit(buckets)).cast("int")
     placed = voxels.withColumn("bucket", bucket).repartitionByRange("bucket", "study_id", "z")
     return write_version(placed.sortWithinPartitions("bucket", "study_id", "z", "y", "x"), base, ["bucket"])
 
 
-def latest_version(spark: SparkSession, base: str) -> str | None:
-    """Newest complete version below ``base``, by its success marker."""
+def _versions(spark: SparkSession, base: str, marker: str) -> list[str]:
+    """Paths below ``base`` of all versions, or of those that hold ``marker``."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(base)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/v-*/_SUCCESS"))
-    if not found:
-        return None
-    newest = max(found, key=lambda s: s.getModificationTime())
-    return newest.getPath().getParent().toString()
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/v-*{marker}"))
+    paths = [s.getPath() for s in found or []]
+    return [(p.getParent() if marker else p).toString() for p in paths]
+
+
+def _number(path: str) -> int:
+    return int(path.rsplit("/v-", 1)[1].split("-")[0])
+
+
+def latest_version(spark: SparkSession, base: str) -> str | None:
+    """Complete version of the highest number below ``base``."""
+    return max(_versions(spark, base, "/_SUCCESS"), key=lambda p: (_number(p), p), default=None)
 
 
 def record_json(columns: dict[str, Column], numbers: Sequence[str] = ()) -> Column:

@@ -83,6 +83,14 @@ def test_half_written_version_is_never_read(spark):
     assert tb.latest_version(spark, base) is None
     first = tb.write_version(spark.range(3), base)
     assert tb.latest_version(spark, base).endswith(first.rsplit("/", 1)[1])
+    import os
+
+    later = [tb.write_version(spark.range(n), base) for n in (4, 5)]
+    os.utime(f"{first.removeprefix('file:')}/_SUCCESS")  # times of files don't matter
+    assert tb.latest_version(spark, base).endswith(later[1].rsplit("/", 1)[1])
+    os.remove(f"{later[1].removeprefix('file:')}/_SUCCESS")
+    assert tb.latest_version(spark, base).endswith(later[0].rsplit("/", 1)[1])
+    assert tb.write_version(spark.range(1), base).rsplit("/v-", 1)[1].startswith("000000000004-")
 
 
 def test_one_changed_byte_breaks_integrity_and_chain(spark):
