@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import few, filled, query, ship, table
+from .common import few, filled, query, saved, ship, table
 
 #: Labelled training rows that are read for fitting, those of least hash; held-out remainder.
 #: Every sign that those rows support votes: its number is bounded by the words of the rows.
@@ -109,10 +109,13 @@ class Votes:
         self.n, self.voters, self.copies = len(fired), voters, copies
         self.text = np.repeat(np.arange(self.n), [len(f) for f in fired])
         self.voter = np.array([v for f in fired for v in f], np.int64)
-        pairs = [(t, x, y) for t, f in enumerate(fired) for i, x in enumerate(f) for y in f[i + 1:]]
-        t, x, y = np.array(pairs, np.int64).reshape(-1, 3).T
-        self.pair, self.pair_of = np.unique(x * voters + y, return_inverse=True)
-        self.pair_text = t
+        least = [np.array(f, np.int32) for f in fired]
+        both = [np.triu_indices(len(f), 1) for f in fired]
+        x = np.concatenate([f[i] for f, (i, _) in zip(least, both)] or [np.zeros(0, np.int32)])
+        y = np.concatenate([f[j] for f, (_, j) in zip(least, both)] or [np.zeros(0, np.int32)])
+        t = np.repeat(np.arange(self.n, dtype=np.int32), [len(i) for i, _ in both])
+        self.pair, self.pair_of = np.unique(x.astype(np.int64) * voters + y, return_inverse=True)
+        self.pair_of, self.pair_text = self.pair_of.astype(np.int32), t
 
     def over_texts(self, weights: np.ndarray) -> np.ndarray:
         """For each voter the sum of text weights where it fires."""
@@ -147,8 +150,8 @@ def label_model(votes: Votes, gold: np.ndarray, rounds: int = 50) -> np.ndarray:
         rate = (total + 0.5) / (n + 1)
         alpha = np.clip((votes.over_texts(ones) + rate) / (ones.sum() + 1), 1e-6, 1 - 1e-6)
         beta = np.clip((votes.over_texts(zeros) + rate * 0.1) / (zeros.sum() + 1), 1e-6, 1 - 1e-6)
-        joint = np.clip(pi * votes.correlations(ones, alpha) + (1 - pi) * votes.correlations(zeros, beta), 0, 1)
-        joint = np.maximum(joint, np.clip(votes.correlations(ones, alpha), 0, 1))
+        given1, given0 = votes.correlations(ones, alpha), votes.correlations(zeros, beta)
+        joint = np.clip(np.maximum(given1, pi * given1 + (1 - pi) * given0), 0, 1)
         share = 1 / (1 + np.bincount(x, joint, votes.voters) + np.bincount(y, joint, votes.voters))
         on, off = np.log(alpha / beta) * share, np.log((1 - alpha) / (1 - beta)) * share
         right1 = np.clip((ones @ gold + 9) / (ones.sum() + 10), 0.6, 0.99)  # the annotator
@@ -195,6 +198,19 @@ def fit_classifier(votes: Votes, target: np.ndarray, penalty: float = 0.3, round
     return w
 
 
+def beyond_chance(hits: list[int], tries: list[int], base: float, share: float = 0.05) -> np.ndarray:
+    """Which of many hit rates lie above ``base`` by more than chance: at most about ``share``
+    of those named do so by luck. Step-up procedure on bounds of binomial tails."""
+    k, n = np.array(hits, float), np.array(tries, float)
+    p = np.clip(k / n, 1e-12, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = p * np.log(p / base) + np.where(p < 1, (1 - p) * np.log((1 - p) / (1 - base)), 0.0)
+    tail = np.where(p > base, np.exp(-n * far), 1.0)
+    order = np.sort(tail)
+    below = np.flatnonzero(order <= share * np.arange(1, len(order) + 1) / max(len(order), 1))
+    return tail <= (order[below[-1]] if len(below) else -1.0)
+
+
 def one_of_each_family(signs: list[str], toxic: dict[str, int]) -> list[str]:
     """Signs, best first, without those that a better one of the same family (a word, its
     stems, words of the stem) makes idle: the two fire together nine times in ten."""
@@ -220,6 +236,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, do
         .where(~held_out("_id")).groupBy("_id").agg(F.max("_toxic").alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     rows = docs.select(F.col(doc_id).alias("id"), filled(text).alias("text")) \
         .join(F.broadcast(sample), F.col("id") == F.col("_id")).select("text", F.col("_toxic").alias("toxic"))  # at most sample_rows ids
+    # a text teaches once, however many copies of it are labelled: else each of its words would seem proven
+    rows = saved(rows.groupBy(F.sha2("text", 256).alias("sha"), "toxic").agg(F.first("text").alias("text")).select("text", "toxic"), "labelled")
     counts = rows.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     t, n = counts["t"] or 0, counts["n"]
     if not t or t == n:
@@ -235,8 +253,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, do
         p, z2 = k / of, 2.33 ** 2
         return (p + z2 / (2 * of) - 2.33 * np.sqrt(p * (1 - p) / of + z2 / (4 * of * of))) / (1 + z2 / of)
 
-    # a sign must beat the base rate clearly
-    good = sorted((s for s in toxic if lower(s) > max(1.5 * t / n, 0.25)), key=lambda s: (-toxic[s] * lower(s), s))
+    # a sign must beat the base rate clearly, and not by the luck of one among all that are tried
+    proven = beyond_chance([toxic[s] for s in toxic], [toxic[s] + clean.get(s, 0) for s in toxic], t / n)
+    good = sorted((s for s, ok in zip(toxic, proven) if ok and lower(s) > max(1.5 * t / n, 0.25)), key=lambda s: (-toxic[s] * lower(s), s))
     voters = [*dict.fromkeys([*one_of_each_family(good, toxic), *seeds])]
     words, stems = _places(voters)
     # texts that vote alike count once, with their number: at most sample_rows short lists
