@@ -267,18 +267,19 @@ _CANVAS = (6, 6, 8)
 
 
 @query("h12_regrid_to_canvas", uses="v_volume", doubles="ct", sql="""
-, h AS (SELECT study_id, 1.0::DOUBLE AS sx, 1.0::DOUBLE + CAST(study_id AS INT) % 3 * 0.5::DOUBLE AS sy, 2.0::DOUBLE AS sz FROM v_volume GROUP BY 1),
+, vv AS MATERIALIZED (SELECT study_id, x, y, z, ct FROM v_volume),
+h AS MATERIALIZED (SELECT study_id, 1.0::DOUBLE AS sx, 1.0::DOUBLE + CAST(study_id AS INT) % 3 * 0.5::DOUBLE AS sy, 2.0::DOUBLE AS sz FROM vv GROUP BY 1),
 i AS (SELECT *, greatest(4 * sx / 4, 4 * sy / 4, 4 * sz / 6) AS iso FROM h),
 c AS (SELECT *, CAST(ceil(4 * sx / iso - 1e-6::DOUBLE) AS INT) AS kx, CAST(ceil(4 * sy / iso - 1e-6::DOUBLE) AS INT) AS ky, CAST(ceil(4 * sz / iso - 1e-6::DOUBLE) AS INT) AS kz FROM i),
 g AS (SELECT c.*, x, y, z, x - (6 - kx) // 2 AS ox, y - (6 - ky) // 2 AS oy, z - (8 - kz) // 2 AS oz
  FROM c, (SELECT unnest(range(6)) AS x), (SELECT unnest(range(6)) AS y), (SELECT unnest(range(8)) AS z)),
 p AS (SELECT *, iso / sx * ox + (1.5::DOUBLE - iso / sx * ((kx - 1) / 2.0::DOUBLE)) AS px, iso / sy * oy + (1.5::DOUBLE - iso / sy * ((ky - 1) / 2.0::DOUBLE)) AS py,
  iso / sz * oz + (1.5::DOUBLE - iso / sz * ((kz - 1) / 2.0::DOUBLE)) AS pz FROM g),
-q AS (SELECT *, ox >= 0 AND ox < kx AND oy >= 0 AND oy < ky AND oz >= 0 AND oz < kz AND px BETWEEN 0 AND 3 AND py BETWEEN 0 AND 3 AND pz BETWEEN 0 AND 3 AS inside FROM p),
-e AS (SELECT study_id, x, y, z, px, py, pz, CAST(floor(px) AS INT) + i AS nx, CAST(floor(py) AS INT) + j AS ny, CAST(floor(pz) AS INT) + k AS nz
+q AS MATERIALIZED (SELECT *, ox >= 0 AND ox < kx AND oy >= 0 AND oy < ky AND oz >= 0 AND oz < kz AND px BETWEEN 0 AND 3 AND py BETWEEN 0 AND 3 AND pz BETWEEN 0 AND 3 AS inside FROM p),
+e AS MATERIALIZED (SELECT study_id, x, y, z, px, py, pz, CAST(floor(px) AS INT) + i AS nx, CAST(floor(py) AS INT) + j AS ny, CAST(floor(pz) AS INT) + k AS nz
  FROM q, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j), (SELECT unnest([0, 1]) AS k) WHERE inside),
-n AS (SELECT e.study_id, e.x, e.y, e.z, sum(s.ct * (1 - abs(px - nx)) * (1 - abs(py - ny)) * (1 - abs(pz - nz))) AS v
- FROM e JOIN v_volume s ON s.study_id = e.study_id AND s.x = nx AND s.y = ny AND s.z = nz GROUP BY 1, 2, 3, 4)
+n AS MATERIALIZED (SELECT e.study_id, e.x, e.y, e.z, sum(s.ct * (1 - abs(px - nx)) * (1 - abs(py - ny)) * (1 - abs(pz - nz))) AS v
+ FROM e JOIN vv s ON s.study_id = e.study_id AND s.x = nx AND s.y = ny AND s.z = nz GROUP BY 1, 2, 3, 4)
 SELECT q.study_id, CAST(q.x AS INT) AS x, CAST(q.y AS INT) AS y, CAST(q.z AS INT) AS z, coalesce(v, -200) AS ct FROM q LEFT JOIN n USING (study_id, x, y, z)""")
 def _(t):
     sizes = v.v_volume(t).select("study_id").distinct()
