@@ -517,7 +517,8 @@ def volume_quality(voxels: DataFrame, ledger: DataFrame, shape: Sequence[int], s
             ("recount_lesion", c("lesion_now") == c("crop_lesion")), ("recount_organ", c("organ_now") == c("crop_organ")),
             ("inside_is_part", (c("inside_organ") > 0) & (c("inside_organ") <= c("full_organ")) & (c("inside_lesion") <= c("full_lesion")) & adds_up[0] & adds_up[1]),
             ("coverage", (F.abs(ratio_or(c("inside_organ"), c("full_organ"), 0.0) - c("organ_coverage")) <= 1e-12)
-             & (F.abs(ratio_or(c("inside_lesion"), c("full_lesion"), 1.0) - c("lesion_coverage")) <= 1e-12))]}
+             & (F.abs(ratio_or(c("inside_lesion"), c("full_lesion"), 1.0) - c("lesion_coverage")) <= 1e-12)
+             & (F.abs(ratio_or(c("inside_union"), c("full_union"), 0.0) - c("union_coverage")) <= 1e-12))]}
     rows = [F.struct(F.lit(area).alias("area"), F.lit(name).alias("check"), F.coalesce(test, F.lit(False)).alias("passed"))
             for area, tests in areas.items() for name, test in tests]
     both = ledger.join(voxel_facts(voxels, hu), "study_id", "left")

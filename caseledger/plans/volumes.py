@@ -377,34 +377,55 @@ def _(t):
 
 # ---- quality --------------------------------------------------------------------------------------
 
-# Checks whose stored side is disturbed for every n-th study; the others depend on the voxels or always hold here.
+# Every check is disturbed for each n-th study (study 0 is disturbed in all ways at once).
 _BAD = {"bytes": 3, "digest": 5, "axes_lps": 7, "centre": 11, "partition_and_diagnosis": 13, "members": 17, "recorded_edges": 19,
-        "coverage": 23, "recount_lesion": 29, "recount_organ": 31, "world_centre": 37}
+        "coverage": 23, "recount_lesion": 29, "recount_organ": 31, "world_centre": 37, "voxel_edges": 41, "four_by_four": 43, "finite": 47,
+        "invertible": 53, "recount_both": 59, "ct_finite": 61, "ct_whole_numbers": 67, "label_whole_numbers": 71, "label_finite": 73}
+# Of these, the ones that fail by what happens to others as well.
+_JOINT = ("voxel_edges", "finite", "ct_finite", "ct_whole_numbers", "label_whole_numbers", "label_finite")
 _AREAS = {
     "payload": "ct_fills_grid label_fills_grid ct_finite label_finite ct_whole_numbers ct_in_window label_whole_numbers label_known_codes",
     "header": "members digest bytes centre partition_and_diagnosis",
     "geometry": "axes_lps voxel_edges recorded_edges four_by_four finite invertible world_centre",
     "counts": "organ_present lesion_as_diagnosed recount_both recount_lesion recount_organ inside_is_part coverage"}
-_NAMES = ", ".join(f"('{area}', '{name}', {_BAD.get(name, 0)})" for area, names in _AREAS.items() for name in names.split())
+_NAMES = ", ".join(f"('{area}', '{name}', {0 if name in _JOINT else _BAD.get(name, 0)})" for area, names in _AREAS.items() for name in names.split())
+
+
+def _is_bad(name: str) -> str:
+    return f"n % {_BAD[name]} = 0"
 
 
 @query("h24_volume_quality", uses="v_volume", sql=f"""
-, c AS (SELECT study_id, CAST(study_id AS INT) AS n, count(*) FILTER (WHERE label = 1) AS le, count(*) FILTER (WHERE label = 4) AS org, min(ct) AS lo, max(ct) AS hi,
-  count(ct) = 64 AS full_ct, count(label) = 64 AS full_label, bool_and(label IN (0, 1, 2, 3, 4, 5, 6)) AS codes FROM v_volume GROUP BY 1),
+, vv AS (SELECT study_id, CAST(study_id AS INT) AS n, label, CASE WHEN x + y + z = 0 AND {_is_bad('ct_whole_numbers')} THEN 0.5::DOUBLE ELSE ct END AS ct
+  FROM (SELECT *, CAST(study_id AS INT) AS n FROM v_volume)),
+c AS (SELECT study_id, n, count(*) FILTER (WHERE label = 1) AS le, count(*) FILTER (WHERE label = 4) AS org, min(ct) AS lo, max(ct) AS hi,
+  count(ct) = 64 AS full_ct, count(label) = 64 AS full_label, bool_and(label IN (0, 1, 2, 3, 4, 5, 6)) AS codes, count(*) FILTER (WHERE label = 0) > 0 AS zeros FROM vv GROUP BY 1, 2),
 names AS (SELECT * FROM (VALUES {_NAMES}) AS t(area, "check", every))
 SELECT study_id, area, "check", CASE WHEN every > 0 THEN n % every <> 0 ELSE TRUE END AND CASE "check"
-  WHEN 'ct_fills_grid' THEN full_ct WHEN 'label_fills_grid' THEN full_label WHEN 'ct_in_window' THEN lo >= -200 AND hi <= 300
-  WHEN 'label_known_codes' THEN codes WHEN 'lesion_as_diagnosed' THEN le > 0 WHEN 'organ_present' THEN org > 0 WHEN 'inside_is_part' THEN org > 0
+  WHEN 'ct_fills_grid' THEN full_ct WHEN 'label_fills_grid' THEN full_label
+  WHEN 'ct_finite' THEN NOT ({_is_bad('ct_finite')}) WHEN 'ct_in_window' THEN lo >= -200 AND hi <= 300 AND NOT ({_is_bad('ct_finite')})
+  WHEN 'ct_whole_numbers' THEN NOT ({_is_bad('ct_whole_numbers')}) OR {_is_bad('ct_finite')}
+  WHEN 'label_finite' THEN NOT (zeros AND {_is_bad('label_finite')})
+  WHEN 'label_whole_numbers' THEN NOT (zeros AND ({_is_bad('label_finite')} OR {_is_bad('label_whole_numbers')}))
+  WHEN 'label_known_codes' THEN codes AND NOT (zeros AND ({_is_bad('label_finite')} OR {_is_bad('label_whole_numbers')}))
+  WHEN 'voxel_edges' THEN NOT ({_is_bad('voxel_edges')} OR {_is_bad('invertible')}) WHEN 'finite' THEN NOT ({_is_bad('finite')} OR {_is_bad('four_by_four')})
+  WHEN 'lesion_as_diagnosed' THEN le > 0 WHEN 'organ_present' THEN org > 0 WHEN 'inside_is_part' THEN org > 0
   ELSE TRUE END AS passed FROM c, names""")
 def _(t):
     """Stored records are built from the volumes and disturbed for some studies, one check each."""
-    vol = v.v_volume(t).withColumn("ct", F.rint("ct"))
     n = F.col("study_id").cast("int")
     bad = lambda name: n % _BAD[name] == 0
-    counts = vol.groupBy("study_id").agg(F.count_if(lesion()).alias("lesion"), F.count_if(organ()).alias("organ"))
+    stored = v.v_volume(t).withColumn("ct", F.rint("ct"))
+    corner, nan, zero = F.col("x") + F.col("y") + F.col("z") == 0, F.lit(float("nan")), F.col("label") == 0
+    vol = stored.withColumns({
+        "ct": F.when(corner & bad("ct_finite"), nan).when(corner & bad("ct_whole_numbers"), 0.5).otherwise(F.col("ct")),
+        "label": F.when(zero & bad("label_finite"), nan).when(zero & bad("label_whole_numbers"), 0.5).otherwise(F.col("label").cast("double"))})
+    counts = stored.groupBy("study_id").agg(F.count_if(lesion()).alias("lesion"), F.count_if(organ()).alias("organ"))
     z = F.lit(0.0)
     turn = F.when(bad("axes_lps"), 1.0).otherwise(-1.0)
-    affine = g.as_matrix([[turn * 1.25, z, z, z], [z, F.lit(-1.25), z, z], [z, z, F.lit(2.0), z], g.lits((0, 0, 0, 1))])
+    affine = g.as_matrix([[turn * 1.25, z, z, z], [z, F.lit(-1.25), z, z],
+                         [z, z, F.when(bad("invertible"), 1e-9).when(bad("voxel_edges"), 2.1).otherwise(2.0), z], [F.when(bad("finite"), nan).otherwise(0.0), z, z, F.lit(1.0)]])
+    affine = F.when(bad("four_by_four"), F.slice(affine, 1, 3)).otherwise(affine)
     names = lambda *x: F.array(*[F.lit(i) for i in x])
     ledger = counts.select(
         "study_id", F.lit(1).alias("label_binary"), F.lit("train").alias("locked_partition"), F.lit("lesion").alias("diagnostic_label"),
@@ -418,9 +439,11 @@ def _(t):
         F.array(F.when(bad("recorded_edges"), 1.0).otherwise(1.25), F.lit(1.25), F.lit(2.0)).alias("crop_spacing"),
         F.array(F.when(bad("centre"), 1.001).otherwise(1.0), F.lit(1.0), F.lit(1.0)).alias("stored_center"),
         g.as_array(g.lits((1, 1, 1))).alias("expected_center"), F.array(F.lit(5.0), F.lit(6.0), F.when(bad("world_centre"), float("nan")).otherwise(7.0)).alias("world_center"),
-        (F.col("lesion") + bad("recount_lesion").cast("int")).alias("crop_lesion"), (F.col("organ") + bad("recount_organ").cast("int")).alias("crop_organ"), (F.col("lesion") + F.col("organ")).alias("crop_union"),
+        (F.col("lesion") + bad("recount_lesion").cast("int")).alias("crop_lesion"), (F.col("organ") + bad("recount_organ").cast("int")).alias("crop_organ"), (F.col("lesion") + F.col("organ") + bad("recount_both").cast("int")).alias("crop_union"),
         *[c.alias(f"{kind}_{what}") for kind in ("full", "inside") for what, c in
           (("lesion", F.col("lesion")), ("organ", F.col("organ")), ("union", F.col("lesion") + F.col("organ")))],
         F.lit(1.0).alias("lesion_coverage"),
-        F.when(bad("coverage"), 0.5).otherwise(F.when(F.col("organ") > 0, 1.0).otherwise(0.0)).alias("organ_coverage"))
+        # one of two ratios is disturbed
+        *[F.when(bad("coverage") & ((n % 2 == 0) == first), 0.5).otherwise(F.when(F.col("organ") + more > 0, 1.0).otherwise(0.0)).alias(f"{what}_coverage")
+          for what, more, first in (("organ", F.lit(0), True), ("union", F.col("lesion"), False))])
     return vo.volume_quality(vol, ledger, SHAPE, k.SPACING_MM)
