@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import few, filled, query, saved, ship, table
+from .common import few, filled, query, saved, ship, table, tidy
 
 #: Labelled training rows that are read for fitting, those of least hash; held-out remainder.
 #: Every sign that those rows support votes: its number is bounded by the words of the rows.
@@ -267,6 +267,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, do
     unseen = fires.over_texts(fires.copies) == 0
     stated = max(5.0, 2.0 - weights[-1])  # an insult that the sample doesn't hold still speaks
     weights[:-1][unseen] = np.concatenate([np.full(len(voters), stated), np.full(len(PATTERNS), 0.0)])[unseen]
+    del fires, alike, toxic, clean, posterior
+    tidy()  # what fitting took goes back, as the driver lives on
     return voters, weights
 
 
