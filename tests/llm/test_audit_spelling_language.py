@@ -32,7 +32,7 @@ def audit_rows():
 
 
 def audit_brute(rows, labels):
-    good, toxic = {i for i, q, _ in labels if q == 1}, {i for i, _, t in labels if t == 1}
+    good, toxic = {i for i, q, _ in labels if q == 1 and i is not None}, {i for i, _, t in labels if t == 1 and i is not None}
     first = {}
     for i, t, _ in rows:
         if i is not None:
