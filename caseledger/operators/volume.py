@@ -72,11 +72,12 @@ def near_reference(probes: DataFrame, references: DataFrame, identity: str, radi
 
 
 def anatomical_gate(voxels: DataFrame, seed: Column, radius: float = k.GATE_MARGIN_MM,
-                    spacing: Sequence[float] = k.SPACING_MM) -> DataFrame:
+                    spacing: Sequence[float] = k.SPACING_MM, gaps: bool = False) -> DataFrame:
     """Voxels (study_id, x, y, z) of dense volumes within the radius of a seed voxel; a study
-    without seeds passes whole. By distance transform on bricks: a pass writes a row per voxel."""
+    without seeds passes whole. By distance transform on bricks: a pass writes a row per voxel.
+    With ``gaps``, voxels may be absent; a distance then does not lead through them."""
     marked = voxels.select(*VOXEL, F.coalesce(seed, F.lit(False)).cast("double").alias("_seed"))
-    near = within_gate(marked, "_seed", radius, spacing).select(*VOXEL)
+    near = within_gate(marked, "_seed", radius, spacing, gaps=gaps).select(*VOXEL)
     seeded = marked.where("_seed <> 0").select("study_id").distinct()
     return near.unionByName(voxels.select(*VOXEL).join(seeded, "study_id", "left_anti"))
 
@@ -295,17 +296,18 @@ def generate_candidates(voxels: DataFrame, lesion: str = "p_lesion", organ: str
                         spacing: Sequence[float] = k.SPACING_MM, gate_probability: float = k.GATE_PROBABILITY,
                         gate_margin: float = k.GATE_MARGIN_MM, sigma_mm: float = k.SMOOTHING_SIGMA_MM,
                         radius_mm: float = k.PEAK_RADIUS_MM, minimum: float = k.MINIMUM_SCORE,
-                        most: int = k.MAXIMUM_CANDIDATES) -> DataFrame:
+                        most: int = k.MAXIMUM_CANDIDATES, gaps: bool = False) -> DataFrame:
     """Probability volumes to ranked candidates: peaks, gate, plateaus, best voxel, top-k.
 
-    The gate is applied to the few peak voxels rather than to the whole volume.
+    The gate is a distance transform in the bricks that find the peaks; a study without
+    seeds passes whole. With ``gaps``, voxels may be absent.
     """
-    peaks = detect_peaks(voxels, lesion, [sigma_mm / s for s in spacing], filter_sizes(radius_mm, spacing), minimum)
-    seeds = voxels.where(F.col(organ) >= gate_probability).select(*VOXEL)
-    peaks = cut_lineage(peaks.withColumn("_id", F.concat_ws("/", *VOXEL)))
-    near = near_reference(peaks, seeds, "_id", gate_margin, spacing)
-    free = peaks.join(seeds.select("study_id").distinct(), "study_id", "left_anti")
-    gated = cut_lineage(near.unionByName(free).drop("_id"))
+    seed = F.coalesce(F.col(organ) >= gate_probability, F.lit(False))
+    marked = voxels.select(*VOXEL, lesion, seed.cast("double").alias("_seed"))
+    peaks = cut_lineage(detect_peaks(marked, lesion, [sigma_mm / s for s in spacing], filter_sizes(radius_mm, spacing), minimum,
+                                     gaps=gaps, seed="_seed", radius=gate_margin, spacing=spacing))
+    free = peaks.join(marked.where("_seed <> 0").select("study_id").distinct(), "study_id", "left_anti")
+    gated = cut_lineage(peaks.where("near_seed <> 0").unionByName(free).drop("near_seed"))
     marked = gated.join(connected_plateaus(gated), VOXEL)
     best = plateau_peaks(marked, "candidate_score").select(
         "study_id", *[F.col(a).alias(f"candidate_{a}") for a in AXES], "candidate_score", "candidate_raw_probability")

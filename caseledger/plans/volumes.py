@@ -52,7 +52,7 @@ _GATE = _passes("far", "v_tiled", f"CASE WHEN p_organ >= {SEED}::DOUBLE THEN 0::
 
 @query("c12_radius_gate", uses="v_tiled", sql=_GATE + " SELECT * FROM gate")
 def _(t):
-    return vo.anatomical_gate(v.v_tiled(t), F.col("p_organ") >= SEED)
+    return vo.anatomical_gate(v.v_tiled(t), F.col("p_organ") >= SEED, gaps=True)
 
 
 @query("c12_radius_gate_large_volume", uses="v_points v_probe", sql=f"""
@@ -164,7 +164,7 @@ _SIZES = dict(zip("xyz", vo.filter_sizes(k.PEAK_RADIUS_MM, k.SPACING_MM)))
 @query("e8_sliding_maximum", uses="v_tiled", doubles="local_maximum", sql=_passes("mx", "v_tiled", "p_lesion", "max(b.v)", {a: n // 2 for a, n in _SIZES.items()}) + """
 SELECT study_id, x, y, z, v AS local_maximum FROM mx_z""")
 def _(t):
-    return br.sliding_maximum(v.v_tiled(t), "p_lesion", tuple(_SIZES.values()), "local_maximum").drop("p_lesion")
+    return br.sliding_maximum(v.v_tiled(t), "p_lesion", tuple(_SIZES.values()), "local_maximum", gaps=True).drop("p_lesion")
 
 
 _SIGMA = [k.SMOOTHING_SIGMA_MM / s for s in k.SPACING_MM]
@@ -188,7 +188,7 @@ _SMOOTH = _smooth_sql()
 
 @query("h19_gaussian_smoothing", uses="v_tiled", doubles="smooth", sql=_SMOOTH + " SELECT study_id, x, y, z, v AS smooth FROM sm_z")
 def _(t):
-    return br.gaussian_smooth(v.v_tiled(t), "p_lesion", _SIGMA, "smooth")
+    return br.gaussian_smooth(v.v_tiled(t), "p_lesion", _SIGMA, "smooth", gaps=True)
 
 
 _PEAKS = _SMOOTH + _passes("mx", "sm_z", "v", "max(b.v)", {a: n // 2 for a, n in _SIZES.items()}) + """, peaks AS (
@@ -198,7 +198,7 @@ _PEAKS = _SMOOTH + _passes("mx", "sm_z", "v", "max(b.v)", {a: n // 2 for a, n in
 @query("h20_peak_detection", uses="v_tiled", doubles="candidate_score", sql=_PEAKS + """
 SELECT study_id, x, y, z, s AS candidate_score FROM peaks""")
 def _(t):
-    return br.detect_peaks(v.v_tiled(t), "p_lesion", _SIGMA, tuple(_SIZES.values()), k.MINIMUM_SCORE).drop("candidate_raw_probability")
+    return br.detect_peaks(v.v_tiled(t), "p_lesion", _SIGMA, tuple(_SIZES.values()), k.MINIMUM_SCORE, gaps=True).drop("candidate_raw_probability")
 
 
 def _components(source: str, side: str = "4") -> str:
@@ -243,7 +243,7 @@ def _(t):
 SELECT * FROM (SELECT study_id, x AS candidate_x, y AS candidate_y, z AS candidate_z, s AS candidate_score,
  row_number() OVER (PARTITION BY study_id ORDER BY s DESC, x, y, z) AS candidate_rank FROM best) WHERE candidate_rank <= 256""")
 def _(t):
-    return vo.generate_candidates(v.v_tiled(t), gate_probability=SEED).drop("candidate_raw_probability")
+    return vo.generate_candidates(v.v_tiled(t), gate_probability=SEED, gaps=True).drop("candidate_raw_probability")
 
 
 @query("h23_candidate_truth_ledger", uses="v_points v_probe", doubles="reference_distance_mm", sql=f"""
