@@ -1,13 +1,14 @@
-"""Bootstrap without rows of unit x replicate in a shuffle.
+"""Bootstrap without rows of unit x replicate outside a task.
 
 A replicate draws, in each stratum of n units, n units with replacement. How often
 each is drawn is decided where the unit lies: first every unit takes a Poisson number
 of draws, from a hash of itself and the replicate, at a rate a little below one.
 Given their sum, such numbers are distributed as that many draws with replacement;
 the draws that are still missing, some sqrt(n) of n, are dealt out one by one to hashed
-places. Units carry the columns that a metric needs, so a metric is one aggregation of
-rows that are made in the same task, combined before the shuffle. Only the missing draws
-are joined to units.
+places. They travel as packed lists, one per block of places, and every unit gets the
+replicates that draw it once more. Units carry the columns that a metric needs, so a
+metric is one pass: a task makes the numbers of a few units for all replicates at a time,
+as an array, and multiplies them with the units' values. Only sums leave it.
 
 Should a replicate's Poisson numbers exceed n (six standard deviations), all of its
 draws are dealt out instead, which leaves the distribution what it is.
@@ -18,11 +19,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.constants import BOOTSTRAP_REPLICATES, SEED
-from ..functions.scalars import BILLION, billionths, hash_halves, mix32
-from ..session import cut_lineage, spread
+from ..functions.scalars import BILLION, billionths, hash_halves
+from ..session import cut_lineage, ship_package, spread
 from .detection import ranked_sums
 from .ordering import KEY, hash_index, keyed
 
@@ -33,6 +36,8 @@ SLACK, LEVELS = 6, 14
 #: Most Poisson draws of a unit that 32 bits can tell.
 MOST = 12
 _STEP, _MASK = 2654435769, 0xFFFFFFFF
+#: Places of a block of dealt draws, units of one array, draws that are packed at a time, groups that a task holds.
+BLOCK, UNITS, PACK, HELD = 1 << 14, 64, 1 << 20, 128
 
 
 def least_units(level: int) -> int:
@@ -53,64 +58,300 @@ def poisson_limits(level: int) -> list[int]:
     return out
 
 
-def _replicates(df: DataFrame, replicates: int, seed: int, *kept: str) -> DataFrame:
-    """Each row once per replicate, with the replicate's hash ``__k``."""
-    each = df.select(*kept, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"))).alias(REPLICATE))
-    return mix32(each, (F.col(REPLICATE) * F.lit(_STEP) + F.lit(seed & _MASK)).bitwiseAND(F.lit(_MASK)), "__k")
+# ---- inside a task ------------------------------------------------------------------------------
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """``mix32`` of an array of 32-bit numbers, which it overwrites."""
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x45D9F3B)):
+        x ^= x >> np.uint32(shift)
+        x *= np.uint32(factor)
+    x ^= x >> np.uint32(16)
+    return x
+
+
+def _replicate_hashes(replicates: int, seed: int) -> np.ndarray:
+    return _mixed(((np.arange(1, replicates + 1) * _STEP + (seed & _MASK)) & _MASK).astype(np.uint32))
+
+
+def _poisson(a: np.ndarray, b: np.ndarray, limits: list[int], ks: np.ndarray) -> np.ndarray:
+    """Poisson draws, (units, replicates), of units of one level."""
+    u = _mixed(a[:, None] + ks[None, :])
+    u ^= b[:, None]
+    u = _mixed(u)
+    some = [np.uint32(x) for x in limits if x < 1 << 32]
+    count = np.zeros(u.shape, np.uint8)
+    for x in some[:3]:
+        count += u >= x
+    if len(some) > 3:  # few are drawn more often
+        high = np.flatnonzero(u >= some[3])
+        count.reshape(-1)[high] += np.searchsorted(np.array(some[3:]), u.reshape(-1)[high], "right").astype(np.uint8)
+    return count
+
+
+def _blocks(batch: pa.RecordBatch, groups: np.ndarray, ks: np.ndarray, tables: list[list[int]]):
+    """Rows (positions in the batch) and their weights (rows, replicates), level by level and,
+    within a level, group by group."""
+    level = np.asarray(batch.column("__level"))
+    a, b = (np.asarray(batch.column(c)).astype(np.uint32) for c in ("__a", "__b"))
+    extra = batch.column("__extra") if "__extra" in batch.schema.names else None
+    over = batch.column("__over") if "__over" in batch.schema.names else None
+    order = np.lexsort((groups, level))
+    edges = [0, *(np.flatnonzero(np.diff(level[order])) + 1).tolist(), len(order)]
+    for start, stop in zip(edges, edges[1:]):
+        limits = tables[level[order[start]]]
+        for at in range(start, stop, UNITS):
+            rows = order[at:min(at + UNITS, stop)]
+            w = _poisson(a[rows], b[rows], limits, ks).astype(float)
+            for column, add in ((over, False), (extra, True)):
+                if column is None:
+                    continue
+                lists = [np.frombuffer(column[int(r)].as_buffer() or b"", np.int32) for r in rows]
+                where = np.repeat(np.arange(len(rows)), [len(x) for x in lists]) * len(ks) + np.concatenate(lists) - 1
+                if add:
+                    np.add.at(w.reshape(-1), where, 1.0)
+                else:
+                    w.reshape(-1)[where] = 0.0
+            yield rows, w
+
+
+def _coded(batch: pa.RecordBatch, keys: Sequence[str]) -> tuple[np.ndarray, list[tuple]]:
+    """Each row's group, and the groups' keys."""
+    code = np.zeros(batch.num_rows, np.int64)
+    first = np.zeros(1, np.int64)
+    for c in keys:
+        column = batch.column(c).dictionary_encode()
+        own = np.asarray(column.indices.fill_null(len(column.dictionary)))
+        _, first, code = np.unique(code * (len(column.dictionary) + 1) + own, return_index=True, return_inverse=True)
+    columns = [batch.column(c).take(pa.array(first)).to_pylist() for c in keys]
+    return code, list(zip(*columns)) if keys else [()]
+
+
+def _exact_product(values: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Whole values (columns, rows) times weights, without rounding."""
+    if np.abs(values).max(initial=0) < 1 << 40:
+        return (values.astype(float) @ w).astype(np.int64)
+    return ((values >> 24).astype(float) @ w).astype(np.int64) * (1 << 24) + ((values & 0xFFFFFF).astype(float) @ w).astype(np.int64)
+
+
+def _summing(keys: Sequence[str], whole: Sequence[str], real: Sequence[str], replicates: int, seed: int, schema: pa.Schema):
+    """Sums of weight x value per group and replicate. ``schema`` names keys, replicate, sums."""
+    ks, tables = _replicate_hashes(replicates, seed), [poisson_limits(k) for k in range(LEVELS + 1)]
+
+    def run(batches):
+        held: dict[tuple, list[np.ndarray]] = {}
+
+        def rows():
+            for key, (a, b, seen) in held.items():
+                there = np.flatnonzero(seen)
+                columns = [pa.array([x] * len(there), schema.field(i).type) for i, x in enumerate(key)]
+                yield pa.record_batch([*columns, pa.array(there + 1, pa.int64()), *[pa.array(x[there]) for x in (*a, *b)]], schema=schema)
+            held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups, names = _coded(batch, keys)
+            a = np.array([np.asarray(batch.column(c)) for c in whole], np.int64).reshape(len(whole), batch.num_rows)
+            b = np.array([np.asarray(batch.column(c)) for c in real], float).reshape(len(real), batch.num_rows)
+            for at, w in _blocks(batch, groups, ks, tables):
+                g = groups[at]
+                edges = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+                for i, j in zip(edges, edges[1:]):
+                    key = names[g[i]]
+                    if key not in held:
+                        if len(held) >= HELD:
+                            yield from rows()
+                        held[key] = [np.zeros((len(whole), replicates), np.int64), np.zeros((len(real), replicates)), np.zeros(replicates, bool)]
+                    sums = held[key]
+                    if whole:
+                        sums[0] += _exact_product(a[:, at[i:j]], w[i:j])
+                    if real:
+                        sums[1] += b[:, at[i:j]] @ w[i:j]
+                    sums[2] |= w[i:j].any(0)
+        yield from rows()
+
+    return run
+
+
+def _weighing(columns: Sequence[str], replicates: int, seed: int):
+    """One row per unit and replicate that draws it."""
+    ks, tables = _replicate_hashes(replicates, seed), [poisson_limits(k) for k in range(LEVELS + 1)]
+
+    def run(batches):
+        for batch in batches:
+            for at, w in _blocks(batch, np.zeros(batch.num_rows, np.int64), ks, tables) if batch.num_rows else ():
+                row, r = np.nonzero(w)
+                take = pa.array(at[row])
+                yield pa.record_batch([pa.array(r + 1, pa.int64()), pa.array(w[row, r].astype(np.int64)), *[batch.column(c).take(take) for c in columns]],
+                                      names=[REPLICATE, WEIGHT, *columns])
+
+    return run
+
+
+def _dealing(strata: Sequence[str], seed: int, schema: pa.Schema):
+    """The missing draws of a (stratum, replicate) as packed lists, one per block of places."""
+    def run(batches):
+        def packed(key, places, of):
+            p, r = np.concatenate(places), np.concatenate(of)
+            block = p // BLOCK
+            order = np.argsort(block, kind="stable")
+            p, r, block = (p % BLOCK).astype(np.int32)[order], r[order], block[order]
+            edges = np.array([0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)])
+            n = len(edges) - 1
+            lists = [pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((edges * 4).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())]) for x in (p, r)]
+            columns = [pa.array([x] * n, schema.field(i).type) for i, x in enumerate(key)]
+            return pa.record_batch([*columns, pa.array(block[edges[:-1]]), *lists], schema=schema)
+
+        now, places, of, size = None, [], [], 0
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*strata, REPLICATE, "__n", "__m")]
+            for *key, r, n, m in sorted(zip(*columns), key=lambda x: str(x[:-3])):
+                k = _mixed(np.array([(r * _STEP + (seed & _MASK)) & _MASK], np.uint32))[0]
+                for low in range(1, m + 1, PACK):
+                    if size and (key != now or size >= PACK):
+                        yield packed(now, places, of)
+                        places, of, size = [], [], 0
+                    j = np.arange(low, min(low + PACK, m + 1))
+                    h = _mixed(((j * _STEP + int(k)) & _MASK).astype(np.uint32))
+                    v = _mixed(_mixed(h ^ k) + np.uint32(1))
+                    # 62 bits, so that places are even for any number of units
+                    places.append((((h & np.uint32(0x3FFFFFFF)).astype(np.int64) << 32) | v) % n)
+                    of.append(np.full(len(j), r, np.int32))
+                    now, size = key, size + len(j)
+        if size:
+            yield packed(now, places, of)
+
+    return run
+
+
+def _attach(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Units of a block, each with the replicates that its dealt draws belong to."""
+    n = left.num_rows
+    place = np.full(BLOCK, n)
+    place[np.asarray(left.column("__i")) % BLOCK] = np.arange(n)
+    lists = [[np.frombuffer(x.as_buffer(), np.int32) for x in right.column(c)] for c in ("__at", "__of")]
+    at, of = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in lists)
+    rows = place[at]
+    order = np.argsort(rows, kind="stable")
+    edges = np.searchsorted(rows[order], np.arange(n + 1))
+    extra = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((edges * 4).astype(np.int32).tobytes()), pa.py_buffer(of[order].tobytes())])
+    return left.append_column("__extra", extra)
+
+
+# ---- draws --------------------------------------------------------------------------------------
+
+def _arrow(fields: Sequence[T.StructField]) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(T.StructType(list(fields)))
+
+
+def _sums(rows: DataFrame, keys: Sequence[str], values: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """Sums of weight x value per group and replicate of units that carry their draws."""
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    real = [c for c in values if isinstance(kinds[c], (T.DoubleType, T.FloatType))]
+    whole = [c for c in values if c not in real]
+    carried = [c for c in ("__extra", "__over") if c in kinds]
+    slim = rows.select(*keys, "__a", "__b", "__level", *carried,
+                       *[F.coalesce(F.col(c).cast("double" if c in real else "long"), F.lit(0.0 if c in real else 0)).alias(c) for c in values])
+    out = [*[T.StructField(c, kinds[c]) for c in keys], T.StructField(REPLICATE, T.LongType()),
+           *[T.StructField(c, T.LongType()) for c in whole], *[T.StructField(c, T.DoubleType()) for c in real]]
+    parts = slim.mapInArrow(_summing(list(keys), whole, real, replicates, seed, _arrow(out)), T.StructType(out))
+    return parts.groupBy(*keys, REPLICATE).agg(*[F.sum(c).alias(c) for c in values])
+
+
+def placed_draws(units: DataFrame, strata: Sequence[str], identity: str, replicates: int, seed: int, kept: bool = False) -> DataFrame:
+    """Units, each with all that decides how often a replicate draws it. They are read twice:
+    ``kept`` says that they are no plan any more."""
+    ship_package(units.sparkSession)
+    strata, columns = list(strata), units.columns
+    label = F.concat_ws("|", *[F.col(c).cast("string") for c in strata]) if strata else F.lit("all")
+    first, second = hash_halves(F.lit(seed), label, F.col(identity))
+    level = sum((F.when(F.col("__n") >= least_units(k), 1).otherwise(0) for k in range(1, LEVELS + 1)), F.lit(0))
+    numbered = cut_lineage(hash_index(units if kept else cut_lineage(units), strata, [identity], "__i", size="__n").select(
+        *columns, "__i", "__n", first.alias("__a"), second.alias("__b"), level.alias("__level")))
+
+    def stratum(df: DataFrame) -> DataFrame:
+        return keyed(df, strata) if strata else df.withColumn(KEY, F.struct(F.lit(0)))
+
+    sizes = stratum(numbered).groupBy(KEY).agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in strata])
+    each = sizes.select(KEY, *strata, "__n", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"))).alias(REPLICATE))
+    taken = _sums(numbered.where("__level > 0").withColumn("__t", F.lit(1)), strata, ["__t"], replicates, seed)
+    missing = each.join(stratum(taken).select(KEY, REPLICATE, "__t"), [KEY, REPLICATE], "left").withColumn("__t", F.coalesce("__t", F.lit(0).cast("long")))
+    over = F.col("__t") > F.col("__n")
+    missing = cut_lineage(missing.select(KEY, *strata, REPLICATE, "__n", over.alias("__gone"), F.when(over, F.col("__n")).otherwise(F.col("__n") - F.col("__t")).alias("__m")))
+
+    # dealt out by replicate: adaptive execution can't see how many draws a row stands for
+    kinds = {f.name: f.dataType for f in numbered.schema.fields}
+    fields = [*[T.StructField(c, kinds[c]) for c in strata], T.StructField("__block", T.LongType()),
+              T.StructField("__at", T.BinaryType()), T.StructField("__of", T.BinaryType())]
+    wanted = spread(missing.where("__m > 0").select(*strata, REPLICATE, "__n", "__m"), *strata, REPLICATE)
+    dealt = wanted.mapInArrow(_dealing(strata, seed, _arrow(fields)), T.StructType(fields))
+
+    left = stratum(numbered.withColumn("__block", F.floor(F.col("__i") / F.lit(BLOCK)).cast("long")))
+    gone = missing.where("__gone")
+    if not gone.isEmpty():  # next to never
+        listed = gone.groupBy(KEY).agg(F.collect_list(REPLICATE).alias("__r"))
+        listed = listed.mapInArrow(_packed_lists, T.StructType([listed.schema[KEY], T.StructField("__over", T.BinaryType())]))
+        left = left.join(listed, KEY, "left")
+    right = stratum(dealt)
+    out = T.StructType([*left.schema.fields, T.StructField("__extra", T.BinaryType())])
+    return (left.groupBy(KEY, "__block").cogroup(right.groupBy(KEY, "__block")).applyInArrow(_attach, out)
+            .drop(KEY, "__block", "__i", "__n"))
+
+
+def _packed_lists(batches):
+    for batch in batches:
+        lists = [np.array(x, np.int32).tobytes() for x in batch.column("__r").to_pylist()]
+        yield pa.record_batch([batch.column(KEY), pa.array(lists, pa.binary())], names=[KEY, "__over"])
+
+
+def drawn_sums(placed: DataFrame, keys: Sequence[str], values: Sequence[str], replicates: int = BOOTSTRAP_REPLICATES,
+               seed: int = SEED, spread_keys: bool = False) -> DataFrame:
+    """``(keys, replicate, values)``: sums of the values of ``placed_draws`` over the draws of a
+    replicate, null counted as 0. With ``spread_keys`` rows are first sorted by the keys, so that
+    many keys make no more partial sums than keys and tasks."""
+    if spread_keys:
+        n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        carried = [c for c in ("__a", "__b", "__level", "__extra", "__over") if c in placed.columns]
+        placed = cut_lineage(placed.select(*dict.fromkeys([*keys, *values, *carried])))
+        placed = placed.repartitionByRange(n, *keys, "__a").sortWithinPartitions(*keys)
+    return _sums(placed, keys, values, replicates, seed)
 
 
 def draw_weights(units: DataFrame, strata: Sequence[str], identity: str,
                  replicates: int = BOOTSTRAP_REPLICATES, seed: int = SEED) -> DataFrame:
-    """How often each unit is drawn: ``(replicate, weight)`` and all columns of ``units``.
+    """How often each unit is drawn: ``(replicate, weight)`` and all columns of ``units``,
+    a row per unit and replicate that draws it. Metrics use ``drawn_sums``, which makes no such rows.
 
     Sampling with replacement inside each stratum, as many draws as units. Without
-    strata the whole table is one stratum; a null stratum is a stratum. A unit may
-    have two rows of one replicate, whose weights add up, and rows of weight 0.
+    strata the whole table is one stratum; a null stratum is a stratum.
     """
-    strata, columns = list(strata), units.columns
-    label = F.concat_ws("|", *[F.col(c).cast("string") for c in strata]) if strata else F.lit("all")
-    first, second = hash_halves(F.lit(seed), label, F.col(identity))
-    level = sum((F.when(F.col("__n") >= least_units(k), 1).otherwise(0) for k in range(1, LEVELS + 1)), F.lit(0))
-    limits = [f"__l{j}" for j in range(MOST)]
-    slots = hash_index(units, strata, [identity], "__i", size="__n").withColumn("__level", level + 1).select(
-        *columns, "__i", "__n", first.alias("__a"), second.alias("__b"),
-        *[F.element_at(F.array(*[F.lit(poisson_limits(k)[j]).cast("long") for k in range(LEVELS + 1)]), F.col("__level")).alias(c) for j, c in enumerate(limits)])
-    slots = cut_lineage(slots)
-    numbered = keyed(slots, strata) if strata else slots.withColumn(KEY, F.lit(0))
-
-    def local(*kept: str) -> DataFrame:
-        """Units with their Poisson draws, made beside them."""
-        some = spread(numbered.where(F.col(limits[0]) < F.lit(1 << 32)), "__i")
-        rows = _replicates(some, replicates, seed, *kept, KEY, "__a", "__b", *limits)
-        rows = mix32(rows, (F.col("__a") + F.col("__k")).bitwiseAND(F.lit(_MASK)), "__h")
-        rows = mix32(rows, F.col("__h").bitwiseXOR(F.col("__b")), "__u")
-        count = sum((F.when(F.col("__u") >= F.col(c), 1).otherwise(0) for c in limits), F.lit(0)).cast("long")
-        # no filter on the weight: pushed down, it would unfold all steps of the hash
-        return rows.select(*kept, KEY, REPLICATE, count.alias(WEIGHT))
-
-    sizes = numbered.groupBy(KEY).agg(F.count(F.lit(1)).alias("__n"))
-    taken = local().groupBy(KEY, REPLICATE).agg(F.sum(WEIGHT).alias("__t"))
-    missing = cut_lineage(_replicates(sizes, replicates, seed, KEY, "__n").join(taken, [KEY, REPLICATE], "left")
-                          .withColumn("__t", F.coalesce("__t", F.lit(0).cast("long"))))
-    over = F.col("__t") > F.col("__n")
-    drawn = local(*columns).join(missing.where(over).select(KEY, REPLICATE), [KEY, REPLICATE], "left_anti")
-    # what is missing, one row a draw
-    left = missing.withColumn("__m", F.when(over, F.col("__n")).otherwise(F.col("__n") - F.col("__t"))).where("__m > 0").select(
-        KEY, REPLICATE, "__n", "__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__m"))).alias("__j"))
-    left = mix32(left, (F.col("__j") * F.lit(_STEP) + F.col("__k")).bitwiseAND(F.lit(_MASK)), "__h")
-    left = mix32(left, F.col("__h").bitwiseXOR(F.col("__k")), "__u")
-    left = mix32(left, (F.col("__u") + F.lit(1)).bitwiseAND(F.lit(_MASK)), "__v")
-    # 62 bits, so that places are even for any number of units
-    place = (F.col("__h").bitwiseAND(F.lit(0x3FFFFFFF)) * F.lit(1 << 32) + F.col("__v")) % F.col("__n")
-    dealt = cut_lineage(left.select(KEY, REPLICATE, place.alias("__i")).groupBy(KEY, "__i", REPLICATE).agg(F.count(F.lit(1)).alias(WEIGHT)))
-    added = dealt.join(numbered.select(KEY, "__i", *columns), [KEY, "__i"])
-    return drawn.select(REPLICATE, WEIGHT, *columns).unionByName(added.select(REPLICATE, WEIGHT, *columns))
-
-
-def weighted_mean(value: Column, weight: Column) -> Column:
-    """Mean of the non-null values; null when there are none."""
-    total = F.sum(F.when(value.isNotNull(), weight))
-    return F.when(total > 0, F.sum(value * weight) / total)
+    placed = placed_draws(units, strata, identity, replicates, seed)
+    out = T.StructType([T.StructField(REPLICATE, T.LongType()), T.StructField(WEIGHT, T.LongType()), *units.schema.fields])
+    return placed.mapInArrow(_weighing(units.columns, replicates, seed), out)
+
+
+def _mean_parts(values: dict[str, Column]) -> list[Column]:
+    """Columns whose sums over the draws make the mean of each named value."""
+    return [c for n, v in values.items() for c in (v.alias(f"_s_{n}"), v.isNotNull().cast("long").alias(f"_n_{n}"))]
+
+
+def _mean_names(values: dict[str, Column]) -> list[str]:
+    return [f"_{part}_{n}" for n in values for part in "sn"]
+
+
+def _weighted(values: dict[str, Column]) -> list[Column]:
+    return [F.when(F.col(f"_n_{n}") > 0, F.col(f"_s_{n}") / F.col(f"_n_{n}")).alias(n) for n in values]
+
+
+def drawn_means(units: DataFrame, strata: Sequence[str], identity: str, values: dict[str, Column],
+                replicates: int = BOOTSTRAP_REPLICATES, seed: int = SEED) -> DataFrame:
+    """``(strata, replicate, values)``: means over the draws of a replicate, of the non-null
+    values; null when there are none."""
+    needed = units.select(*dict.fromkeys([*strata, identity]), *_mean_parts(values))
+    sums = drawn_sums(placed_draws(needed, strata, identity, replicates, seed), strata, _mean_names(values), replicates, seed)
+    return sums.select(*strata, REPLICATE, *_weighted(values))
 
 
 def replicate_metrics(cases: DataFrame, strata: Sequence[str], identity: str, means: dict[str, Column],
@@ -122,24 +363,17 @@ def replicate_metrics(cases: DataFrame, strata: Sequence[str], identity: str, me
     Everything comes from one grouping of the draws by (replicate, score): the
     ranking metrics accumulate over the scores, the means just add up.
     """
-    needed = cases.select(*dict.fromkeys([*strata, identity]), *[c.alias(f"_v_{n}") for n, c in means.items()],
-                          *([F.col(label).alias("_y"), F.col(score).alias("_s")] if label else []))
-    drawn = draw_weights(needed, strata, identity, replicates, seed)
-    w = F.col(WEIGHT)
-    sums = {}
-    for n in means:
-        sums[f"_n_{n}"] = F.coalesce(F.sum(F.when(F.col(f"_v_{n}").isNotNull(), w)), F.lit(0).cast("long"))
-        sums[f"_s_{n}"] = F.coalesce(F.sum(F.col(f"_v_{n}") * w), F.lit(0))
-    named = [c.alias(n) for n, c in sums.items()]
-    ratios = [F.when(F.col(f"_n_{n}") > 0, F.col(f"_s_{n}") / F.col(f"_n_{n}")).alias(n) for n in means]
+    ranks = [F.col(score).alias("_s"), (F.col(label) == 1).cast("long").alias("_pos"), (F.col(label) == 0).cast("long").alias("_neg")] if label else []
+    needed = cases.select(*dict.fromkeys([*strata, identity]), *_mean_parts(means), *ranks)
+    placed = placed_draws(needed, strata, identity, replicates, seed)
+    sums = _mean_names(means)
     if not label:
-        return drawn.groupBy(REPLICATE).agg(*named).select(REPLICATE, *ratios)
-    grouped = drawn.groupBy(REPLICATE, "_s").agg(
-        F.sum(F.when(F.col("_y") == 1, w).otherwise(0)).alias("_pos"),
-        F.sum(F.when(F.col("_y") == 0, w).otherwise(0)).alias("_neg"), *named)
+        return drawn_sums(placed, [], sums, replicates, seed).select(REPLICATE, *_weighted(means))
+    placed = cut_lineage(placed)
+    grouped = drawn_sums(placed, ["_s"], ["_pos", "_neg", *sums], replicates, seed, spread_keys=True)
     # a replicate has at most as many score groups as the undrawn table has scores
-    return ranked_sums(grouped, None, [REPLICATE], list(sums), rows_per_key=needed.select("_s").distinct().count()).select(
-        REPLICATE, *ratios, "auc", "average_precision")
+    return ranked_sums(grouped, None, [REPLICATE], sums, rows_per_key=placed.select("_s").distinct().count()).select(
+        REPLICATE, *_weighted(means), "auc", "average_precision")
 
 
 def percentile_intervals(replicates: DataFrame, metrics: Sequence[str], keys: Sequence[str] = (),
@@ -184,11 +418,11 @@ def mean_intervals(rows: DataFrame, keys: Sequence[str], identity: str, values:
     """
     keys = list(keys)
     strata = [*keys, *within]
-    usable = rows.select(*dict.fromkeys([*strata, identity]), *[billionths(c).alias(f"_v{i}") for i, c in enumerate(values.values())])
-    point = usable.groupBy(*keys).agg(*[_ratio(F.sum(f"_v{i}"), F.count(f"_v{i}")).alias(f"_p{i}") for i in range(len(values))])
-    w = F.col(WEIGHT)
-    per = draw_weights(usable, strata, identity, replicates, seed).groupBy(*keys, REPLICATE).agg(
-        *[_ratio(F.sum(F.col(f"_v{i}") * w), F.sum(F.when(F.col(f"_v{i}").isNotNull(), w))).alias(f"_m{i}") for i in range(len(values))])
+    parts = {str(i): billionths(c) for i, c in enumerate(values.values())}
+    usable = cut_lineage(rows.select(*dict.fromkeys([*strata, identity]), *_mean_parts(parts)))
+    point = usable.groupBy(*keys).agg(*[_ratio(F.sum(f"_s_{i}"), F.sum(f"_n_{i}")).alias(f"_p{i}") for i in parts])
+    per = drawn_sums(placed_draws(usable, strata, identity, replicates, seed, kept=True), keys, _mean_names(parts), replicates, seed).select(
+        *keys, REPLICATE, *[_ratio(F.col(f"_s_{i}"), F.col(f"_n_{i}")).alias(f"_m{i}") for i in parts])
     bands = per.groupBy(*keys).agg(*[F.percentile(f"_m{i}", F.array(F.lit(0.025), F.lit(0.975))).alias(f"_q{i}") for i in range(len(values))])
     joined = keyed(point, keys).join(keyed(bands, keys).drop(*keys), KEY, "left") if keys else point.join(F.broadcast(bands))  # one row
     named = []
@@ -212,28 +446,26 @@ def cluster_differences(paired: DataFrame, cluster: str, first: str, second: str
     has rows. An AUC undefined on either side gives a null difference, which the interval
     leaves out.
     """
-    pos = F.col(label) == 1
+    pos, long = F.col(label) == 1, F.lit(0).cast("long")
     cols = {}
     for arm in (first, second):
-        cols[f"_l_{arm}"] = F.sum(F.when(pos, billionths(F.col(f"{lesion}_{arm}"))))
-        cols[f"_o_{arm}"] = F.sum(billionths(F.col(f"{organ}_{arm}")))
+        cols[f"_l_{arm}"] = F.coalesce(F.sum(F.when(pos, billionths(F.col(f"{lesion}_{arm}")))), long)
+        cols[f"_o_{arm}"] = F.coalesce(F.sum(billionths(F.col(f"{organ}_{arm}"))), long)
     arms = F.array(*[F.struct(F.lit(a).alias("arm"), F.col(label).alias("y"), F.col(f"{score}_{a}").alias("s")) for a in (first, second)])
     patients = paired.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"), F.sum(pos.cast("long")).alias("_p"),
                                            F.flatten(F.collect_list(arms)).alias("_scores"), *[c.alias(n) for n, c in cols.items()])
-    drawn = draw_weights(patients, [], cluster, replicates, seed)
-    w = F.col(WEIGHT)
-    sums = drawn.groupBy(REPLICATE).agg(
-        *[F.sum(F.coalesce(F.col(c), F.lit(0).cast("long")) * w).alias(c) for c in cols],
-        F.sum(F.col("_n") * w).alias("_n"), F.sum(F.col("_p") * w).alias("_p"))
+    placed = cut_lineage(placed_draws(patients, [], cluster, replicates, seed))
+    sums = drawn_sums(placed, [], [*cols, "_n", "_p"], replicates, seed)
 
     def selection(arm: str) -> Column:
         return (_ratio(F.col(f"_l_{arm}"), F.col("_p")) * weights_of[0] + _ratio(F.col(f"_o_{arm}"), F.col("_n")) * weights_of[1])
 
-    rows = drawn.select(REPLICATE, WEIGHT, F.explode("_scores").alias("_x"))
-    grouped = rows.groupBy(REPLICATE, F.col("_x.arm").alias("arm"), F.col("_x.s").alias("_s")).agg(
-        F.sum(F.when(F.col("_x.y") == 1, w).otherwise(0)).alias("_pos"), F.sum(F.when(F.col("_x.y") == 0, w).otherwise(0)).alias("_neg"))
-    scores = paired.select(F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(f"{score}_{a}").alias("s")) for a in (first, second)])).alias("x"))
-    most = scores.select("x.arm", "x.s").distinct().groupBy("arm").count().agg(F.max("count")).first()[0] or 0
+    carried = [c for c in ("__a", "__b", "__level", "__extra", "__over") if c in placed.columns]
+    rows = placed.select(*carried, F.explode("_scores").alias("_x")).select(
+        *carried, F.col("_x.arm").alias("arm"), F.col("_x.s").alias("_s"),
+        (F.col("_x.y") == 1).cast("long").alias("_pos"), (F.col("_x.y") == 0).cast("long").alias("_neg"))
+    grouped = drawn_sums(rows, ["arm", "_s"], ["_pos", "_neg"], replicates, seed, spread_keys=True)
+    most = rows.select("arm", "_s").distinct().groupBy("arm").count().agg(F.max("count")).first()[0] or 0
     auc = ranked_sums(grouped, None, [REPLICATE, "arm"], rows_per_key=most).groupBy(REPLICATE).agg(
         (F.max(F.when(F.col("arm") == first, F.col("auc")))
          - F.max(F.when(F.col("arm") == second, F.col("auc")))).alias("auc_difference"))

@@ -8,7 +8,7 @@ from ..functions import constants as k, parsing as p, scalars as s
 from ..functions.scalars import hash32
 from ..operators import contracts as ct, detection as det, joins as j, ledger as lg, lineage as ln, resample as rs, sampling as sa
 from ..operators import summary as sm
-from ..session import fresh_path
+from ..session import cut_lineage, fresh_path
 from ..sources import files as fl, tables as tb
 from ..streaming import ledgers as st
 from . import views as v
@@ -510,15 +510,15 @@ SELECT cohort, metric, quantile_cont(x, 0.025) AS lower, quantile_cont(x, 0.975)
 def _(t):
     """The interval tables of the internal cohort, of all external sources together (both
     stratified by diagnosis) and of each external source, one below the other."""
-    cases, bn = v.v_case(t), s.billionths
+    cases, bn = cut_lineage(v.v_case(t).select("study_id", "source_group", "label_binary", "organ_dice", "lesion_dice")), s.billionths
     metrics = {"mean_organ_dice": bn(F.col("organ_dice")), "mean_lesion_dice": bn(F.col("lesion_dice"))}
     tables = {}
     for cohort, sources in _COHORTS.items():
         own = rs.replicate_metrics(cases.where(F.col("source_group").isin(sources)), ["label_binary"], "study_id", metrics, replicates=REPLICATES)
         tables[cohort] = rs.percentile_intervals(own.withColumns({m: F.col(m) / s.BILLION for m in metrics}), list(metrics))
     each = cases.where("source_group IN ('O', 'P')").select("study_id", "source_group", bn(F.col("organ_dice")).alias("od"))
-    per = rs.draw_weights(each, ["source_group"], "study_id", REPLICATES).groupBy("source_group", "replicate").agg(
-        (rs.weighted_mean(F.col("od"), F.col("weight")) / s.BILLION).alias("mean_organ_dice"))
+    per = rs.drawn_means(each, ["source_group"], "study_id", {"mean_organ_dice": F.col("od")}, REPLICATES)
+    per = per.withColumn("mean_organ_dice", F.col("mean_organ_dice") / s.BILLION)
     own = rs.percentile_intervals(per, ["mean_organ_dice"], ["source_group"]).withColumnRenamed("source_group", "cohort")
     return ln.stacked(tables).unionByName(own)
 

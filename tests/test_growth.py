@@ -47,3 +47,37 @@ def test_absent_voxels_do_not_depend_on_bricks(spark, edge):
     assert of(br.sliding_maximum(df, "v", (5, 3, 3), "m", edge, True), "m") == {p: top[p] for p in at}
     near = of(br.within_gate(df, "s", 2.5, spacing, edge, True), "distance_mm")
     assert near == pytest.approx({p: gate[p] ** 0.5 for p in at if gate[p] <= 6.25 + 1e-9})
+
+
+def written(spark):
+    """Rows that shuffles have written so far."""
+    store, total, i = spark.sparkContext._jsc.sc().statusStore(), 0, 0
+    while True:
+        try:
+            total += store.lastStageAttempt(i).shuffleWriteRecords()
+        except Exception:  # noqa: BLE001 - no such stage
+            return total
+        i += 1
+
+
+def test_draws_do_not_travel_one_by_one(spark):
+    """375,000 draws are dealt out here, and 6,000,000 made beside the units."""
+    from caseledger.operators import resample as rs
+
+    rows = spark.range(20000).select(F.lit("all").alias("g"), F.col("id").alias("i"), (F.col("id") % 7).cast("double").alias("v"))
+    before = written(spark)
+    assert rs.mean_interval(rows, ["g"], "i", "v", 300).first().lower < 3.0
+    assert written(spark) - before < 200000
+    sums = rs.drawn_sums(rs.placed_draws(rows.withColumn("one", F.lit(1)), ["g"], "i", 300, rs.SEED), ["g"], ["one"], 300).collect()
+    assert len(sums) == 300 and all(r.one == 20000 for r in sums)  # two blocks of places
+
+
+def test_replicates_with_too_many_draws_are_dealt_anew(spark, monkeypatch):
+    from caseledger.operators import resample as rs
+
+    monkeypatch.setattr(rs, "SLACK", 0)  # all strata at the highest rate: half of the replicates exceed n
+    units = spark.range(200).select((F.col("id") % 2).alias("g"), F.col("id").alias("i"), F.lit(1).alias("one"), (F.col("id") * 10 ** 12).alias("big"))
+    got = rs.draw_weights(units, ["g"], "i", 40).groupBy("replicate", "g").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("big")).alias("s")).collect()
+    assert len(got) == 80 and all(r.n == 100 for r in got)
+    sums = rs.drawn_sums(rs.placed_draws(units, ["g"], "i", 40, rs.SEED), ["g"], ["one", "big"], 40).collect()
+    assert {(r.replicate, r.g, r.one, r.big) for r in sums} == {(r.replicate, r.g, r.n, r.s) for r in got}
