@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.constants import MASK_BLOCK, MASK_RATIO, PATCH_SHAPE, SEED
 from ..functions.scalars import clamp, hash32, hash_between, hash_uniform, stable_rank
+from ..session import spread_join
 from .ordering import hash_index
 
 AXES = ("x", "y", "z")
@@ -78,7 +79,7 @@ def cut_patch(voxels: DataFrame, origins: DataFrame, patch: Sequence[int] = PATC
     inside = F.lit(True)
     for i, a in enumerate(AXES):
         inside = inside & (F.col(a) >= F.col(f"start_{a}")) & (F.col(a) < F.col(f"start_{a}") + patch[i])
-    return voxels.join(origins, "study_id").where(inside).select(
+    return voxels.join(spread_join(origins), "study_id").where(inside).select(
         *voxels.columns, *[(F.col(a) - F.col(f"start_{a}")).alias(f"p_{a}") for a in AXES])
 
 
@@ -123,5 +124,5 @@ def apply_block_mask(voxels: DataFrame, mask: DataFrame, block: Sequence[int] =
     for a, size in zip(AXES, block):
         keyed = keyed.withColumn(f"block_{a}", F.floor(F.col(f"p_{a}") / size).cast("int"))
     keys = ["study_id", "block_x", "block_y", "block_z"]
-    return (keyed.join(mask.withColumn("hidden", F.lit(True)), keys, "left")
+    return (keyed.join(spread_join(mask.withColumn("hidden", F.lit(True))), keys, "left")
             .withColumn("hidden", F.coalesce("hidden", F.lit(False))).drop(*keys[1:]))

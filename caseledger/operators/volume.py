@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import constants as k
 from ..functions.scalars import clamp
-from ..session import cut_lineage, spread
+from ..session import cut_lineage, spread, spread_join
 from .bricks import detect_peaks, within_gate
 from .detection import match_candidates, top_candidates
 
@@ -250,11 +250,11 @@ def connected_plateaus(peaks: DataFrame) -> DataFrame:
     ahead = spread.select("study_id", (F.col("x") + F.col("_o.i")).alias("x"), (F.col("y") + F.col("_o.j")).alias("y"),
                           (F.col("z") + F.col("_o.m")).alias("z"), F.col("_u").alias("_w"))
     # edges point from the larger code to the smaller
-    edges = cut_lineage(nodes.join(ahead, VOXEL).select("study_id", F.col("_u").alias("u"), F.col("_w").alias("v")))
+    edges = cut_lineage(nodes.join(spread_join(ahead), VOXEL).select("study_id", F.col("_u").alias("u"), F.col("_w").alias("v")))
     while not _settled(edges):
         edges = cut_lineage(_small_star(_large_star(edges)))
     roots = edges.select("study_id", F.col("u").alias("_u"), F.col("v").alias("plateau"))
-    return (nodes.join(roots, ["study_id", "_u"], "left")
+    return (nodes.join(spread_join(roots), ["study_id", "_u"], "left")
             .withColumn("plateau", F.coalesce("plateau", "_u")).drop("_u"))
 
 
@@ -308,7 +308,7 @@ def generate_candidates(voxels: DataFrame, lesion: str = "p_lesion", organ: str
                                      gaps=gaps, seed="_seed", radius=gate_margin, spacing=spacing))
     free = peaks.join(marked.where("_seed <> 0").select("study_id").distinct(), "study_id", "left_anti")
     gated = cut_lineage(peaks.where("near_seed <> 0").unionByName(free).drop("near_seed"))
-    marked = gated.join(connected_plateaus(gated), VOXEL)
+    marked = gated.join(spread_join(connected_plateaus(gated)), VOXEL)
     best = plateau_peaks(marked, "candidate_score").select(
         "study_id", *[F.col(a).alias(f"candidate_{a}") for a in AXES], "candidate_score", "candidate_raw_probability")
     return top_candidates(best, most)
@@ -365,9 +365,9 @@ def require_covered(merged: DataFrame, volumes: DataFrame, shape: Sequence[int])
     want = shape[0] * shape[1] * shape[2]
     have = merged.groupBy("study_id").agg(F.count(F.lit(1)).alias("_have"))
     bad = F.coalesce(F.col("_have"), F.lit(0)) != want
-    checked = volumes.select("study_id").distinct().join(have, "study_id", "left").where(
+    checked = volumes.select("study_id").distinct().join(spread_join(have), "study_id", "left").where(
         F.when(bad, F.raise_error(F.concat(F.lit("uncovered voxels in "), F.col("study_id")))).otherwise(F.lit(True)))
-    return merged.join(checked.select("study_id"), "study_id")
+    return merged.join(spread_join(checked.select("study_id")), "study_id")
 
 
 def regrid_to_canvas(voxels: DataFrame, geometry: DataFrame, value: str, out: str, canvas: Sequence[int],
@@ -378,7 +378,7 @@ def regrid_to_canvas(voxels: DataFrame, geometry: DataFrame, value: str, out: st
     position outside [0, n-1] on any axis, and all padding, gets ``outside``.
     """
     fit = [f"{n}_{a}" for a in AXES for n in ("scale", "offset", "core", "pad")]
-    df = voxels.select(*VOXEL, F.col(value).cast("double").alias(out)).join(geometry.select("study_id", *fit), "study_id")
+    df = voxels.select(*VOXEL, F.col(value).cast("double").alias(out)).join(spread_join(geometry.select("study_id", *fit)), "study_id")
     keys = ["study_id", *fit]
     for axis, n in zip(AXES, canvas):
         def line(arrays: dict[str, Column], a: str = axis, n: int = n) -> Column:
@@ -434,7 +434,7 @@ def regrid_to_crop(voxels: DataFrame, crops: DataFrame, matrix: str, source_shap
         near = near & (F.floor(f"_c{a}") + F.col(f"_k.{s}") == F.floor(F.col(f"_c{a}") + 0.5))
     wanted = asked.select("study_id", "o_x", "o_y", "o_z", weight.alias("_w"), near.alias("_near"),
                           *[(F.floor(f"_c{a}") + F.col(f"_k.{s}")).cast("int").alias(a) for a, s in zip(AXES, "ijm")])
-    got = wanted.where((F.col("_w") > 0) | F.col("_near")).join(voxels.select(*VOXEL, linear, nearest), VOXEL)
+    got = wanted.where((F.col("_w") > 0) | F.col("_near")).join(spread_join(voxels.select(*VOXEL, linear, nearest)), VOXEL)
     sums = got.groupBy("study_id", "o_x", "o_y", "o_z").agg(
         F.sum(F.col("_w") * F.col(linear)).alias(linear), F.max(F.when(F.col("_near"), F.col(nearest))).alias(nearest),
         F.count(F.lit(1)).alias("_found"))
@@ -442,7 +442,7 @@ def regrid_to_crop(voxels: DataFrame, crops: DataFrame, matrix: str, source_shap
     complete = (F.col("_found") == F.col("_asked"))
     asked_for = wanted.where((F.col("_w") > 0) | F.col("_near")).groupBy("study_id", "o_x", "o_y", "o_z").agg(F.count(F.lit(1)).alias("_asked"))
     lacking = F.raise_error(F.concat(F.lit("the source lacks a voxel that a crop needs in study "), F.col("study_id").cast("string")))
-    sums = (asked_for.join(sums, ["study_id", "o_x", "o_y", "o_z"], "left")
+    sums = (asked_for.join(spread_join(sums), ["study_id", "o_x", "o_y", "o_z"], "left")
             .withColumn(linear, F.when(complete, F.col(linear)).otherwise(lacking.cast("double")))
             .select("study_id", "o_x", "o_y", "o_z", linear, nearest))
     # voxels outside the source never enter the join

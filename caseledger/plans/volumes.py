@@ -8,6 +8,7 @@ from ..functions import constants as k
 from ..operators import bricks as br, contracts as ct, geometry as g, sampling as sa, volume as vo
 from ..operators.detection import rank_candidates
 from ..operators.ordering import exact_percentiles
+from ..session import spread_join
 from . import views as v
 from .drawsql import hash_sql
 from .registry import query
@@ -232,7 +233,7 @@ def _(t):
  JOIN comp c ON c.study_id = m.study_id AND c.u = x * 16 + y * 4 + z) SELECT study_id, x, y, z, s AS score FROM r WHERE k = 1""")
 def _(t):
     peaks = _mask(t)
-    marked = peaks.join(vo.connected_plateaus(peaks), vo.VOXEL)
+    marked = peaks.join(spread_join(vo.connected_plateaus(peaks)), vo.VOXEL)
     return vo.plateau_peaks(marked, "score").drop("plateau")
 
 

@@ -81,3 +81,10 @@ def test_replicates_with_too_many_draws_are_dealt_anew(spark, monkeypatch):
     assert len(got) == 80 and all(r.n == 100 for r in got)
     sums = rs.drawn_sums(rs.placed_draws(units, ["g"], "i", 40, rs.SEED), ["g"], ["one", "big"], 40).collect()
     assert {(r.replicate, r.g, r.one, r.big) for r in sums} == {(r.replicate, r.g, r.n, r.s) for r in got}
+
+
+@pytest.mark.parametrize("name", ["h12_regrid_to_canvas", "h13_regrid_to_crop", "h15_tile_merge", "h16_anchor_patch", "h17_augmented_patch", "h18_block_mask"])
+def test_voxels_are_not_broadcast(spark, sf, name):
+    """By the size of a small file of arrays, their voxels look small enough for a broadcast."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
