@@ -11,11 +11,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import constants as k
 from ..functions.scalars import clamp
-from ..session import cut_lineage, spread, spread_join
+from ..session import cut_lineage, ship_package, spread, spread_join
 from .bricks import detect_peaks, within_gate
 from .detection import match_candidates, top_candidates
 
@@ -87,50 +89,105 @@ def nearest_distance(probes: DataFrame, references: DataFrame, identity: str,
                      factor: int = 4) -> DataFrame:
     """Exact distance in mm from each probe to the nearest reference voxel of its study.
 
-    A pyramid of occupied cells (edges 4, 16, 64, 256 voxels) is searched from
-    the top: per probe, cells whose nearest possible point is farther than
-    another cell's farthest possible point are dropped, and only the rest are
-    opened. Each step is an equi-join on (study, cell), so probes and voxels of
-    a crowded study spread over cells and no probe meets all voxels. Studies
-    without references give null, and so do distances above ``limit`` if one is
-    given: such probes leave the search as soon as their bounds show it.
+    A pyramid of occupied cells (edges 4, 16, 64, 256 voxels) is searched from the top, not
+    by probes but by the cells of edge 4 that hold any: cells whose nearest possible point
+    is farther than another cell's farthest possible point are dropped, and only the rest
+    are opened. Each step is an equi-join on (study, cell), so a crowded study spreads over
+    cells. A task then measures the distinct places of a block of 4 x 4 x 4 such cells
+    against the voxels of the reference cells that are left. So the search grows with the
+    occupied cells, and a probe is shuffled for its distinct place and for its answer only.
+    Studies without references give null, and so do distances above ``limit`` if one is
+    given: such cells leave the search as soon as their bounds show it.
     """
-    refs = references.select(*VOXEL)
+    ship_package(probes.sparkSession)
+    refs = references.select(*VOXEL).where("study_id IS NOT NULL")
+    spot, block = [f"p_{a}" for a in AXES], [f"b_{a}" for a in AXES]
+    own = [f"q_{a}" for a in AXES]
 
     def cell(c: Column, level: int) -> Column:
         return F.floor(c / factor ** level).cast("int")
 
-    # level 0: voxels; level i: occupied cells with the tight box of their content.
-    # Each level is one map-side aggregate over the voxels; repeats do no harm.
-    pyramid = [refs.select("study_id", *[F.col(a).alias(f"c_{a}") for a in AXES],
-                           *[F.col(a).alias(f"lo_{a}") for a in AXES], *[F.col(a).alias(f"hi_{a}") for a in AXES])]
-    for level in range(1, levels + 1):
-        pyramid.append(refs.groupBy("study_id", *[cell(F.col(a), level).alias(f"c_{a}") for a in AXES]).agg(
-            *[F.min(a).alias(f"lo_{a}") for a in AXES], *[F.max(a).alias(f"hi_{a}") for a in AXES]))
-
-    base = probes.select(identity, "study_id", *[F.col(a).cast("double").alias(f"p_{a}") for a in AXES])
-    point = [f"p_{a}" for a in AXES]
+    # level 1: cells with their voxels; level i: occupied cells with the tight box of their content.
+    leaves = cut_lineage(refs.groupBy("study_id", *[cell(F.col(a), 1).alias(f"c_{a}") for a in AXES]).agg(
+        *[F.min(a).alias(f"lo_{a}") for a in AXES], *[F.max(a).alias(f"hi_{a}") for a in AXES],
+        F.collect_set(F.array(*[F.col(a).cast("int") for a in AXES])).alias("_voxels")))
+    pyramid = [leaves.drop("_voxels")]
+    for _ in range(1, levels):
+        below = pyramid[-1]
+        pyramid.append(below.groupBy("study_id", *[cell(F.col(f"c_{a}"), 1).alias(f"c_{a}") for a in AXES]).agg(
+            *[F.min(f"lo_{a}").alias(f"lo_{a}") for a in AXES], *[F.max(f"hi_{a}").alias(f"hi_{a}") for a in AXES]))
+
+    located = probes.select("*", *[F.col(a).cast("double").alias(p) for a, p in zip(AXES, spot)])
+    whole = F.lit(True)
+    for c in ("study_id", *spot):
+        whole = whole & F.col(c).isNotNull()
+    places = cut_lineage(located.where(whole).select("study_id", *spot).distinct().select(
+        "*", *[cell(F.col(p), 1).alias(q) for p, q in zip(spot, own)]))
+    asked = places.groupBy("study_id", *own).agg(*[f(p).alias(f"{n}_{p}") for p in spot for n, f in (("from", F.min), ("to", F.max))])
 
     def bounded(df: DataFrame) -> DataFrame:
         nearest, farthest = F.lit(0.0), F.lit(0.0)
         for a, s in zip(AXES, spacing):
-            p, lo, hi = F.col(f"p_{a}"), F.col(f"lo_{a}"), F.col(f"hi_{a}")
-            gap = F.greatest(lo - p, p - hi, F.lit(0.0)) * s
-            span = F.greatest(F.abs(p - lo), F.abs(hi - p)) * s
+            low, high, lo, hi = (F.col(f"{c}_{a}") for c in ("from_p", "to_p", "lo", "hi"))
+            gap = F.greatest(lo - high, low - hi, F.lit(0.0)) * s
+            span = F.greatest(high - lo, hi - low) * s
             nearest, farthest = nearest + gap * gap, farthest + span * span
         out = df.withColumn("_near", nearest).withColumn("_far", farthest)
         return out if limit is None else out.where(F.col("_near") <= limit * limit + 1e-9)
 
-    frontier = bounded(base.join(pyramid[levels], "study_id"))
-    for level in range(levels - 1, -1, -1):
-        # a probe's frontier is a handful of cells: those its own bounds cannot tell apart
-        reach = F.min("_far").over(Window.partitionBy(identity))
-        kept = frontier.withColumn("_reach", reach).where(F.col("_near") <= F.col("_reach") + 1e-9)
-        opened = kept.select(identity, "study_id", *point, *[F.col(f"c_{a}").alias(f"up_{a}") for a in AXES])
-        children = pyramid[level].select("*", *[cell(F.col(f"c_{a}"), 1).alias(f"up_{a}") for a in AXES])
+    carried = ["study_id", *own, *[f"{n}_{p}" for p in spot for n in ("from", "to")]]
+
+    def closest(frontier: DataFrame) -> DataFrame:
+        reach = F.min("_far").over(Window.partitionBy("study_id", *own))
+        return frontier.withColumn("_reach", reach).where(F.col("_near") <= F.col("_reach") + 1e-9)
+
+    frontier = bounded(asked.join(pyramid[-1], "study_id"))
+    for below in pyramid[-2::-1]:
+        opened = closest(frontier).select(*carried, *[F.col(f"c_{a}").alias(f"up_{a}") for a in AXES])
+        children = below.select("*", *[cell(F.col(f"c_{a}"), 1).alias(f"up_{a}") for a in AXES])
         frontier = bounded(opened.join(children, ["study_id", *[f"up_{a}" for a in AXES]]))
-    best = frontier.groupBy(identity).agg(F.sqrt(F.min("_near")).alias("reference_distance_mm"))
-    return probes.join(best, identity, "left")
+    pairs = closest(frontier).select("study_id", *own, *[f"c_{a}" for a in AXES])
+
+    def blocked(df: DataFrame) -> DataFrame:
+        return df.select("*", *[cell(F.col(q), 1).alias(c) for q, c in zip(own, block)])
+
+    near = blocked(pairs.join(leaves.select("study_id", *[f"c_{a}" for a in AXES], "_voxels"), ["study_id", *[f"c_{a}" for a in AXES]])
+                   .select(*[F.col(c).alias(c) for c in ("study_id", *own, "_voxels")]))  # columns of their own for the cogroup
+    kind = places.schema["study_id"].dataType.simpleString()
+    best = blocked(places).groupBy("study_id", *block).cogroup(near.groupBy("study_id", *block)).applyInArrow(
+        _measuring(tuple(spacing), None if limit is None else limit * limit + 1e-9),
+        f"study_id {kind}, " + ", ".join(f"{p} double" for p in spot) + ", reference_distance_mm double")
+    return located.join(best, ["study_id", *spot], "left").select(*[F.col(c) for c in probes.columns], "reference_distance_mm")
+
+
+def _measuring(spacing: tuple[float, ...], most: float | None):
+    """Places of a block against the voxels that their cells are left with."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        place, at, cells = (np.stack([np.asarray(t.column(f"{c}_{a}")) for a in AXES], 1)
+                            for t, c in ((left, "p"), (left, "q"), (right, "q")))
+        voxels = right.column("_voxels").combine_chunks()
+        ends = np.cumsum([0, *(len(x) for x in voxels)])
+        flat = np.asarray(voxels.flatten().flatten()).reshape(-1, 3).astype(float)
+        of: dict[tuple, list[int]] = {}
+        for i, c in enumerate(map(tuple, cells.tolist())):
+            of.setdefault(c, []).append(i)
+        rows: dict[tuple, list[int]] = {}
+        for i, c in enumerate(map(tuple, at.tolist())):
+            rows.setdefault(c, []).append(i)
+        best = np.full(len(place), np.inf)
+        for c, mine in rows.items():
+            for part in np.array_split(np.array(mine), -(-len(mine) // 64)):
+                for i in of.get(c, ()):
+                    own = flat[ends[i]:ends[i + 1]]
+                    d = 0.0
+                    for axis, s in enumerate(spacing):
+                        d = d + ((place[part, axis][:, None] - own[:, axis][None, :]) * s) ** 2
+                    best[part] = np.minimum(best[part], d.min(1))
+        found = np.isfinite(best) if most is None else best <= most
+        return pa.table({"study_id": left.column("study_id"), **{f"p_{a}": left.column(f"p_{a}") for a in AXES},
+                         "reference_distance_mm": pa.array(np.sqrt(best), mask=~found)})
+
+    return run
 
 
 # ---- overlap, counts, intensities ---------------------------------------------------------------

@@ -88,3 +88,16 @@ def test_voxels_are_not_broadcast(spark, sf, name):
     """By the size of a small file of arrays, their voxels look small enough for a broadcast."""
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_the_search_grows_with_cells_not_with_probes(spark):
+    """Forty probes a place: the search for the nearest voxel sees a place once."""
+    refs = spark.range(300).select(F.lit("s").alias("study_id"), *[(F.col("id") * p % m).cast("int").alias(a) for a, p, m in zip("xyz", (7, 11, 5), (60, 48, 31))])
+    places = spark.range(1000).select(*[(F.col("id") * p % m).cast("int").alias(a) for a, p, m in zip("xyz", (13, 17, 19), (60, 48, 31))])
+    counts = []
+    for copies in (1, 40):
+        probes = places.crossJoin(spark.range(copies)).withColumn("i", F.monotonically_increasing_id()).withColumn("study_id", F.lit("s"))
+        before = written(spark)
+        assert vo.nearest_distance(probes, refs, "i").where("reference_distance_mm IS NULL").count() == 0
+        counts.append(written(spark) - before)
+    assert counts[1] - counts[0] < 2 * 40000
