@@ -539,7 +539,8 @@ def _(t):
     """A curve per cohort, read at the standard targets, in long form."""
     key = ["cohort"]
     cohort = v.v_cohort(t).withColumnRenamed("source_group", "cohort")
-    tagged = v.v_candidate(t).join(cohort.select("study_id", "cohort"), "study_id")
+    tagged = v.v_candidate(t).select("study_id", "candidate_score", "reference_distance_mm").join(cohort.select("study_id", "cohort"), "study_id")
+    tagged = cut_lineage(tagged)  # read many times, built once
     return det.operating_points(det.froc_from_distances(tagged, det.cohort_sizes(cohort, key), keys=key), keys=key)
 
 
