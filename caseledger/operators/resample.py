@@ -6,9 +6,10 @@ of draws, from a hash of itself and the replicate, at a rate a little below one.
 Given their sum, such numbers are distributed as that many draws with replacement;
 the draws that are still missing, some sqrt(n) of n, are dealt out one by one to hashed
 places. They travel as packed lists, one per block of places, and every unit gets the
-replicates that draw it once more. Units carry the columns that a metric needs, so a
-metric is one pass: a task makes the numbers of a few units for all replicates at a time,
-as an array, and multiplies them with the units' values. Only sums leave it.
+replicates that draw it once more. Units carry the columns that a metric needs: a task
+makes the numbers of a few units for all replicates at a time, as an array, and multiplies
+them with the units' values. Only sums leave it. Poisson numbers are made once: the same
+pass counts them and sums the metric, and dealt draws are added to its sums (``unit_sums``).
 
 Should a replicate's Poisson numbers exceed n (six standard deviations), all of its
 draws are dealt out instead, which leaves the distribution what it is.
@@ -133,8 +134,16 @@ def _exact_product(values: np.ndarray, w: np.ndarray) -> np.ndarray:
     return ((values >> 24).astype(float) @ w).astype(np.int64) * (1 << 24) + ((values & 0xFFFFFF).astype(float) @ w).astype(np.int64)
 
 
-def _summing(keys: Sequence[str], whole: Sequence[str], real: Sequence[str], replicates: int, seed: int, schema: pa.Schema):
-    """Sums of weight x value per group and replicate. ``schema`` names keys, replicate, sums."""
+def _dealt(batch: pa.RecordBatch, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Dealt draws, group by group: the row of each in the batch and its replicate, from 0."""
+    lists = [np.frombuffer(x.as_buffer() or b"", np.int32) for x in batch.column("__extra")]
+    order = np.argsort(groups, kind="stable")
+    return np.repeat(order, [len(lists[r]) for r in order]), np.concatenate([lists[r] for r in order]) - 1
+
+
+def _summing(keys: Sequence[str], whole: Sequence[str], real: Sequence[str], replicates: int, seed: int, schema: pa.Schema, dealt: bool = False):
+    """Sums of weight x value per group and replicate, or of value over the ``dealt`` draws
+    alone. ``schema`` names keys, replicate, sums."""
     ks, tables = _replicate_hashes(replicates, seed), [poisson_limits(k) for k in range(LEVELS + 1)]
 
     def run(batches):
@@ -153,9 +162,9 @@ def _summing(keys: Sequence[str], whole: Sequence[str], real: Sequence[str], rep
             groups, names = _coded(batch, keys)
             a = np.array([np.asarray(batch.column(c)) for c in whole], np.int64).reshape(len(whole), batch.num_rows)
             b = np.array([np.asarray(batch.column(c)) for c in real], float).reshape(len(real), batch.num_rows)
-            for at, w in _blocks(batch, groups, ks, tables):
+            for at, w in [_dealt(batch, groups)] if dealt else _blocks(batch, groups, ks, tables):
                 g = groups[at]
-                edges = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+                edges = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)] if len(g) else []
                 for i, j in zip(edges, edges[1:]):
                     key = names[g[i]]
                     if key not in held:
@@ -163,6 +172,11 @@ def _summing(keys: Sequence[str], whole: Sequence[str], real: Sequence[str], rep
                             yield from rows()
                         held[key] = [np.zeros((len(whole), replicates), np.int64), np.zeros((len(real), replicates)), np.zeros(replicates, bool)]
                     sums = held[key]
+                    if dealt:
+                        for total, column in zip((*sums[0], *sums[1]), (*a, *b)):
+                            np.add.at(total, w[i:j], column[at[i:j]])
+                        sums[2][w[i:j]] = True
+                        continue
                     if whole:
                         sums[0] += _exact_product(a[:, at[i:j]], w[i:j])
                     if real:
@@ -246,8 +260,9 @@ def _arrow(fields: Sequence[T.StructField]) -> pa.Schema:
     return to_arrow_schema(T.StructType(list(fields)))
 
 
-def _sums(rows: DataFrame, keys: Sequence[str], values: Sequence[str], replicates: int, seed: int) -> DataFrame:
-    """Sums of weight x value per group and replicate of units that carry their draws."""
+def _sums(rows: DataFrame, keys: Sequence[str], values: Sequence[str], replicates: int, seed: int, dealt: bool = False) -> DataFrame:
+    """Sums of weight x value per group and replicate of units that carry their draws, or of
+    value over their ``dealt`` draws alone."""
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     real = [c for c in values if isinstance(kinds[c], (T.DoubleType, T.FloatType))]
     whole = [c for c in values if c not in real]
@@ -256,48 +271,90 @@ def _sums(rows: DataFrame, keys: Sequence[str], values: Sequence[str], replicate
                        *[F.coalesce(F.col(c).cast("double" if c in real else "long"), F.lit(0.0 if c in real else 0)).alias(c) for c in values])
     out = [*[T.StructField(c, kinds[c]) for c in keys], T.StructField(REPLICATE, T.LongType()),
            *[T.StructField(c, T.LongType()) for c in whole], *[T.StructField(c, T.DoubleType()) for c in real]]
-    parts = slim.mapInArrow(_summing(list(keys), whole, real, replicates, seed, _arrow(out)), T.StructType(out))
+    parts = slim.mapInArrow(_summing(list(keys), whole, real, replicates, seed, _arrow(out), dealt), T.StructType(out))
     return parts.groupBy(*keys, REPLICATE).agg(*[F.sum(c).alias(c) for c in values])
 
 
-def placed_draws(units: DataFrame, strata: Sequence[str], identity: str, replicates: int, seed: int, kept: bool = False) -> DataFrame:
-    """Units, each with all that decides how often a replicate draws it. They are read twice:
-    ``kept`` says that they are no plan any more."""
+def _stratum(df: DataFrame, strata: Sequence[str]) -> DataFrame:
+    return keyed(df, strata) if strata else df.withColumn(KEY, F.struct(F.lit(0)))
+
+
+def _numbered(units: DataFrame, strata: Sequence[str], identity: str, seed: int, kept: bool) -> DataFrame:
+    """Units with their place and stratum size and with the hashes and the level of their
+    Poisson numbers. Units are read twice: ``kept`` says that they are no plan any more."""
     ship_package(units.sparkSession)
-    strata, columns = list(strata), units.columns
     label = F.concat_ws("|", *[F.col(c).cast("string") for c in strata]) if strata else F.lit("all")
     first, second = hash_halves(F.lit(seed), label, F.col(identity))
     level = sum((F.when(F.col("__n") >= least_units(k), 1).otherwise(0) for k in range(1, LEVELS + 1)), F.lit(0))
-    numbered = cut_lineage(hash_index(units if kept else cut_lineage(units), strata, [identity], "__i", size="__n").select(
-        *columns, "__i", "__n", first.alias("__a"), second.alias("__b"), level.alias("__level")))
+    return cut_lineage(hash_index(units if kept else cut_lineage(units), strata, [identity], "__i", size="__n").select(
+        *units.columns, "__i", "__n", first.alias("__a"), second.alias("__b"), level.alias("__level")))
 
-    def stratum(df: DataFrame) -> DataFrame:
-        return keyed(df, strata) if strata else df.withColumn(KEY, F.struct(F.lit(0)))
 
-    sizes = stratum(numbered).groupBy(KEY).agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in strata])
+def _missing(numbered: DataFrame, strata: Sequence[str], taken: DataFrame, replicates: int) -> DataFrame:
+    """Draws ``__m`` that each (stratum, replicate) still misses; ``__gone`` where the Poisson
+    numbers, whose sums ``__t`` are ``taken``, exceed the stratum and are given up."""
+    sizes = _stratum(numbered, strata).groupBy(KEY).agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in strata])
     each = sizes.select(KEY, *strata, "__n", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"))).alias(REPLICATE))
-    taken = _sums(numbered.where("__level > 0").withColumn("__t", F.lit(1)), strata, ["__t"], replicates, seed)
-    missing = each.join(stratum(taken).select(KEY, REPLICATE, "__t"), [KEY, REPLICATE], "left").withColumn("__t", F.coalesce("__t", F.lit(0).cast("long")))
+    missing = each.join(_stratum(taken, strata).select(KEY, REPLICATE, "__t"), [KEY, REPLICATE], "left").withColumn("__t", F.coalesce("__t", F.lit(0).cast("long")))
     over = F.col("__t") > F.col("__n")
-    missing = cut_lineage(missing.select(KEY, *strata, REPLICATE, "__n", over.alias("__gone"), F.when(over, F.col("__n")).otherwise(F.col("__n") - F.col("__t")).alias("__m")))
+    return cut_lineage(missing.select(KEY, *strata, REPLICATE, "__n", over.alias("__gone"), F.when(over, F.col("__n")).otherwise(F.col("__n") - F.col("__t")).alias("__m")))
+
 
+def _with_dealt(numbered: DataFrame, strata: Sequence[str], missing: DataFrame, seed: int) -> DataFrame:
+    """Units with the dealt draws that fall to them, ``__extra``, under their stratum's key."""
     # dealt out by replicate: adaptive execution can't see how many draws a row stands for
     kinds = {f.name: f.dataType for f in numbered.schema.fields}
     fields = [*[T.StructField(c, kinds[c]) for c in strata], T.StructField("__block", T.LongType()),
               T.StructField("__at", T.BinaryType()), T.StructField("__of", T.BinaryType())]
     wanted = spread(missing.where("__m > 0").select(*strata, REPLICATE, "__n", "__m"), *strata, REPLICATE)
     dealt = wanted.mapInArrow(_dealing(strata, seed, _arrow(fields)), T.StructType(fields))
+    left = numbered.withColumn("__block", F.floor(F.col("__i") / F.lit(BLOCK)).cast("long"))
+    left = left if KEY in left.columns else _stratum(left, strata)
+    right = _stratum(dealt, strata)
+    out = T.StructType([*left.schema.fields, T.StructField("__extra", T.BinaryType())])
+    return (left.groupBy(KEY, "__block").cogroup(right.groupBy(KEY, "__block")).applyInArrow(_attach, out)
+            .drop(KEY, "__block", "__i", "__n"))
 
-    left = stratum(numbered.withColumn("__block", F.floor(F.col("__i") / F.lit(BLOCK)).cast("long")))
+
+def placed_draws(units: DataFrame, strata: Sequence[str], identity: str, replicates: int, seed: int, kept: bool = False) -> DataFrame:
+    """Units, each with all that decides how often a replicate draws it. They are read twice:
+    ``kept`` says that they are no plan any more."""
+    strata = list(strata)
+    numbered = _numbered(units, strata, identity, seed, kept)
+    taken = _sums(numbered.where("__level > 0").withColumn("__t", F.lit(1)), strata, ["__t"], replicates, seed)
+    missing = _missing(numbered, strata, taken, replicates)
     gone = missing.where("__gone")
     if not gone.isEmpty():  # next to never
         listed = gone.groupBy(KEY).agg(F.collect_list(REPLICATE).alias("__r"))
         listed = listed.mapInArrow(_packed_lists, T.StructType([listed.schema[KEY], T.StructField("__over", T.BinaryType())]))
-        left = left.join(listed, KEY, "left")
-    right = stratum(dealt)
-    out = T.StructType([*left.schema.fields, T.StructField("__extra", T.BinaryType())])
-    return (left.groupBy(KEY, "__block").cogroup(right.groupBy(KEY, "__block")).applyInArrow(_attach, out)
-            .drop(KEY, "__block", "__i", "__n"))
+        numbered = _stratum(numbered, strata).join(listed, KEY, "left")
+    return _with_dealt(numbered, strata, missing, seed)
+
+
+def unit_sums(units: DataFrame, strata: Sequence[str], identity: str, keys: Sequence[str], values: Sequence[str],
+              replicates: int = BOOTSTRAP_REPLICATES, seed: int = SEED, kept: bool = False, spread_keys: bool = False) -> DataFrame:
+    """``drawn_sums`` of ``placed_draws``, whose Poisson numbers are made once and not twice:
+    one pass counts them and sums the values, and the sums over the dealt draws are added."""
+    strata, keys = list(strata), list(keys)
+    own = list(dict.fromkeys([*keys, *strata]))
+    numbered = _numbered(units, strata, identity, seed, kept)
+    beside = numbered.where("__level > 0").withColumn("__t", F.lit(1).cast("long"))
+    beside = cut_lineage(_sums(_by_key(beside, keys, own) if spread_keys else beside, own, ["__t", *values], replicates, seed))
+    missing = _missing(numbered, strata, beside.groupBy(*strata, REPLICATE).agg(F.sum("__t").alias("__t")), replicates)
+    gone = missing.where("__gone")
+    if not gone.isEmpty():  # next to never
+        beside = _stratum(beside, strata).join(gone.select(KEY, REPLICATE), [KEY, REPLICATE], "left_anti")
+    extra = _with_dealt(numbered, strata, missing, seed).where(F.octet_length("__extra") > 0).select(
+        *dict.fromkeys([*own, *values]), "__a", "__b", "__level", "__extra")
+    dealt = _sums(_by_key(cut_lineage(extra), keys, own) if spread_keys else extra, own, values, replicates, seed, dealt=True)
+    wanted = [*own, REPLICATE, *values]
+    return beside.select(*wanted).unionByName(dealt.select(*wanted)).groupBy(*keys, REPLICATE).agg(*[F.sum(c).alias(c) for c in values])
+
+
+def _by_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows in slices of the keys' order, so that many keys make no more partial sums than keys and tasks."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(n, *keys, "__a").sortWithinPartitions(*order)
 
 
 def _packed_lists(batches):
@@ -312,10 +369,9 @@ def drawn_sums(placed: DataFrame, keys: Sequence[str], values: Sequence[str], re
     replicate, null counted as 0. With ``spread_keys`` rows are first sorted by the keys, so that
     many keys make no more partial sums than keys and tasks."""
     if spread_keys:
-        n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         carried = [c for c in ("__a", "__b", "__level", "__extra", "__over") if c in placed.columns]
         placed = cut_lineage(placed.select(*dict.fromkeys([*keys, *values, *carried])))
-        placed = placed.repartitionByRange(n, *keys, "__a").sortWithinPartitions(*keys)
+        placed = _by_key(placed, keys, keys)
     return _sums(placed, keys, values, replicates, seed)
 
 
@@ -350,7 +406,7 @@ def drawn_means(units: DataFrame, strata: Sequence[str], identity: str, values:
     """``(strata, replicate, values)``: means over the draws of a replicate, of the non-null
     values; null when there are none."""
     needed = units.select(*dict.fromkeys([*strata, identity]), *_mean_parts(values))
-    sums = drawn_sums(placed_draws(needed, strata, identity, replicates, seed), strata, _mean_names(values), replicates, seed)
+    sums = unit_sums(needed, strata, identity, strata, _mean_names(values), replicates, seed)
     return sums.select(*strata, REPLICATE, *_weighted(values))
 
 
@@ -365,14 +421,13 @@ def replicate_metrics(cases: DataFrame, strata: Sequence[str], identity: str, me
     """
     ranks = [F.col(score).alias("_s"), (F.col(label) == 1).cast("long").alias("_pos"), (F.col(label) == 0).cast("long").alias("_neg")] if label else []
     needed = cases.select(*dict.fromkeys([*strata, identity]), *_mean_parts(means), *ranks)
-    placed = placed_draws(needed, strata, identity, replicates, seed)
     sums = _mean_names(means)
     if not label:
-        return drawn_sums(placed, [], sums, replicates, seed).select(REPLICATE, *_weighted(means))
-    placed = cut_lineage(placed)
-    grouped = drawn_sums(placed, ["_s"], ["_pos", "_neg", *sums], replicates, seed, spread_keys=True)
+        return unit_sums(needed, strata, identity, [], sums, replicates, seed).select(REPLICATE, *_weighted(means))
+    needed = cut_lineage(needed)
+    grouped = unit_sums(needed, strata, identity, ["_s"], ["_pos", "_neg", *sums], replicates, seed, kept=True, spread_keys=True)
     # a replicate has at most as many score groups as the undrawn table has scores
-    return ranked_sums(grouped, None, [REPLICATE], sums, rows_per_key=placed.select("_s").distinct().count()).select(
+    return ranked_sums(grouped, None, [REPLICATE], sums, rows_per_key=needed.select("_s").distinct().count()).select(
         REPLICATE, *_weighted(means), "auc", "average_precision")
 
 
@@ -421,7 +476,7 @@ def mean_intervals(rows: DataFrame, keys: Sequence[str], identity: str, values:
     parts = {str(i): billionths(c) for i, c in enumerate(values.values())}
     usable = cut_lineage(rows.select(*dict.fromkeys([*strata, identity]), *_mean_parts(parts)))
     point = usable.groupBy(*keys).agg(*[_ratio(F.sum(f"_s_{i}"), F.sum(f"_n_{i}")).alias(f"_p{i}") for i in parts])
-    per = drawn_sums(placed_draws(usable, strata, identity, replicates, seed, kept=True), keys, _mean_names(parts), replicates, seed).select(
+    per = unit_sums(usable, strata, identity, keys, _mean_names(parts), replicates, seed, kept=True).select(
         *keys, REPLICATE, *[_ratio(F.col(f"_s_{i}"), F.col(f"_n_{i}")).alias(f"_m{i}") for i in parts])
     bands = per.groupBy(*keys).agg(*[F.percentile(f"_m{i}", F.array(F.lit(0.025), F.lit(0.975))).alias(f"_q{i}") for i in range(len(values))])
     joined = keyed(point, keys).join(keyed(bands, keys).drop(*keys), KEY, "left") if keys else point.join(F.broadcast(bands))  # one row

@@ -101,3 +101,27 @@ def test_the_search_grows_with_cells_not_with_probes(spark):
         assert vo.nearest_distance(probes, refs, "i").where("reference_distance_mm IS NULL").count() == 0
         counts.append(written(spark) - before)
     assert counts[1] - counts[0] < 2 * 40000
+
+
+def test_poisson_numbers_are_made_once(spark, monkeypatch):
+    """Means and the counts of the draws come from one pass; sums are those of the draws themselves."""
+    from caseledger.operators import resample as rs
+
+    units = spark.range(1500).select(
+        F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), F.col("id").alias("i"), (F.col("id") % 50).cast("double").alias("s"),
+        F.lit(1).alias("one"), (F.col("id") * 10 ** 12).alias("big"), F.when(F.col("id") % 5 > 0, F.col("id") / 7).alias("part"))
+    values, passes, real = ["one", "big", "part"], [], rs._summing
+    monkeypatch.setattr(rs, "_summing", lambda *a: passes.append(not a[-1]) or real(*a))
+    for slack in (rs.SLACK, 0):  # 0: half of the replicates exceed their stratum and are dealt anew
+        monkeypatch.setattr(rs, "SLACK", slack)
+        drawn = rs.draw_weights(units, ["g"], "i", 30)
+        for keys, sort in (["g"], False), ([], False), (["s"], True):
+            passes.clear()
+            got = rs.unit_sums(units, ["g"], "i", keys, values, 30, spread_keys=sort)
+            assert sum(passes) == 1
+            want = drawn.groupBy(*keys, "replicate").agg(*[F.sum(F.col("weight") * F.coalesce(F.col(c), F.lit(0))).alias(c) for c in values])
+            a, b = ({(*(r[k] for k in keys), r.replicate): (r.one, r.big, round(r.part, 6)) for r in df.collect()} for df in (got, want))
+            assert a == b and len(a) >= 30
+    passes.clear()
+    rs.mean_interval(units, ["g"], "i", "part", 30).collect()
+    assert sum(passes) == 1
