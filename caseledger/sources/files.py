@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import crc32_hex
+from ..session import ship_package
+
+#: Bytes of the largest file that is held as one row (Spark holds 2 GB at most), and of a piece of larger ones.
+WHOLE, PIECE = 1 << 30, 4 << 20
 
 
 def list_files(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
@@ -16,10 +25,28 @@ def list_files(spark: SparkSession, directory: str, pattern: str = "*") -> DataF
                                        F.col("length").alias("size_bytes"))
 
 
-def hashed_files(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
-    """Size and SHA-256 of every file; one file is one row, so at most 2 GB each."""
-    scan = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
-    return hashed_payloads(scan.load(directory).select("path", "content"))
+def hashed_files(spark: SparkSession, directory: str, pattern: str = "*", whole: int = WHOLE) -> DataFrame:
+    """Size, SHA-256 and CRC-32 of every file. A file of at most ``whole`` bytes is one row of
+    Spark's reader; a larger one is read piece by piece in one task, as SHA-256 must be, and its
+    URI has to be one that pyarrow opens. Spark's reader lists no empty files."""
+    ship_package(spark)
+    scan = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(directory)
+    small = hashed_payloads(scan.where(F.col("length") <= whole).select("path", "content"))
+    large = scan.where(F.col("length") > whole).select("path")  # no content: nothing is read yet
+    return small.unionByName(large.mapInArrow(_hashed_streams, "path string, size_bytes long, sha256 string, crc32_hex string"))
+
+
+def _hashed_streams(batches):
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            scheme, _, rest = path.partition(":")
+            source, name = fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+            digest, crc, size = hashlib.sha256(), 0, 0
+            with source.open_input_stream(name, compression=None) as stream:
+                while piece := stream.read(PIECE):
+                    digest.update(piece)
+                    crc, size = zlib.crc32(piece, crc), size + len(piece)
+            yield pa.RecordBatch.from_pydict({"path": [path], "size_bytes": [size], "sha256": [digest.hexdigest()], "crc32_hex": [f"{crc:08x}"]})
 
 
 def hashed_payloads(payloads: DataFrame) -> DataFrame:

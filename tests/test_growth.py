@@ -125,3 +125,25 @@ def test_poisson_numbers_are_made_once(spark, monkeypatch):
     passes.clear()
     rs.mean_interval(units, ["g"], "i", "part", 30).collect()
     assert sum(passes) == 1
+
+
+def test_large_files_are_hashed_piece_by_piece(spark, tmp_path):
+    """Files that are larger than a row may be: no byte of them is held as a row."""
+    import hashlib
+    import random
+    import zlib
+
+    from caseledger.sources import files as fl
+
+    rng = random.Random(3)
+    want = {}
+    for name, size in (("small", 1000), ("a b%20c#ä.gz", 1001), ("large.parquet", 9_000_000)):
+        content = rng.randbytes(size)
+        (tmp_path / name).write_bytes(content)
+        want[name] = (size, hashlib.sha256(content).hexdigest(), f"{zlib.crc32(content):08x}")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)  # as 2 GB and a larger file
+    try:
+        got = {r.path.rsplit("/", 1)[1]: (r.size_bytes, r.sha256, r.crc32_hex) for r in fl.hashed_files(spark, str(tmp_path), whole=1000).collect()}
+        assert got == want
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
