@@ -37,6 +37,8 @@ SLACK, LEVELS = 6, 14
 #: Most Poisson draws of a unit that 32 bits can tell.
 MOST = 12
 _STEP, _MASK = 2654435769, 0xFFFFFFFF
+#: What decides a unit's Poisson numbers.
+_DRAWN = ("__a", "__b", "__level")
 #: Places of a block of dealt draws, units of one array, draws that are packed at a time, groups that a task holds.
 BLOCK, UNITS, PACK, HELD = 1 << 14, 64, 1 << 20, 128
 
@@ -136,9 +138,15 @@ def _exact_product(values: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def _dealt(batch: pa.RecordBatch, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Dealt draws, group by group: the row of each in the batch and its replicate, from 0."""
-    lists = [np.frombuffer(x.as_buffer() or b"", np.int32) for x in batch.column("__extra")]
+    lists = batch.column("__extra")
+    _, edges, packed = lists.buffers()
+    kind = np.int64 if pa.types.is_large_binary(lists.type) else np.int32
+    edges = np.frombuffer(edges, kind)[lists.offset:lists.offset + len(lists) + 1].astype(np.int64) // 4
     order = np.argsort(groups, kind="stable")
-    return np.repeat(order, [len(lists[r]) for r in order]), np.concatenate([lists[r] for r in order]) - 1
+    sizes = np.diff(edges)[order]
+    ends = np.cumsum(sizes)
+    at = np.arange(ends[-1]) + np.repeat(edges[:-1][order] - ends + sizes, sizes)
+    return np.repeat(order, sizes), np.frombuffer(packed or b"", np.int32, edges[-1])[at] - 1
 
 
 def _summing(keys: Sequence[str], whole: Sequence[str], real: Sequence[str], replicates: int, seed: int, schema: pa.Schema, dealt: bool = False):
@@ -266,8 +274,8 @@ def _sums(rows: DataFrame, keys: Sequence[str], values: Sequence[str], replicate
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     real = [c for c in values if isinstance(kinds[c], (T.DoubleType, T.FloatType))]
     whole = [c for c in values if c not in real]
-    carried = [c for c in ("__extra", "__over") if c in kinds]
-    slim = rows.select(*keys, "__a", "__b", "__level", *carried,
+    carried = ["__extra"] if dealt else ["__a", "__b", "__level", *[c for c in ("__extra", "__over") if c in kinds]]
+    slim = rows.select(*keys, *carried,
                        *[F.coalesce(F.col(c).cast("double" if c in real else "long"), F.lit(0.0 if c in real else 0)).alias(c) for c in values])
     out = [*[T.StructField(c, kinds[c]) for c in keys], T.StructField(REPLICATE, T.LongType()),
            *[T.StructField(c, T.LongType()) for c in whole], *[T.StructField(c, T.DoubleType()) for c in real]]
@@ -338,14 +346,14 @@ def unit_sums(units: DataFrame, strata: Sequence[str], identity: str, keys: Sequ
     strata, keys = list(strata), list(keys)
     own = list(dict.fromkeys([*keys, *strata]))
     numbered = _numbered(units, strata, identity, seed, kept)
-    beside = numbered.where("__level > 0").withColumn("__t", F.lit(1).cast("long"))
+    needed = list(dict.fromkeys([*own, *values]))
+    beside = numbered.where("__level > 0").select(*needed, *_DRAWN, F.lit(1).cast("long").alias("__t"))
     beside = cut_lineage(_sums(_by_key(beside, keys, own) if spread_keys else beside, own, ["__t", *values], replicates, seed))
     missing = _missing(numbered, strata, beside.groupBy(*strata, REPLICATE).agg(F.sum("__t").alias("__t")), replicates)
     gone = missing.where("__gone")
     if not gone.isEmpty():  # next to never
         beside = _stratum(beside, strata).join(gone.select(KEY, REPLICATE), [KEY, REPLICATE], "left_anti")
-    extra = _with_dealt(numbered, strata, missing, seed).where(F.octet_length("__extra") > 0).select(
-        *dict.fromkeys([*own, *values]), "__a", "__b", "__level", "__extra")
+    extra = _with_dealt(numbered.select(*needed, "__a", "__i"), strata, missing, seed).where(F.octet_length("__extra") > 0)
     dealt = _sums(_by_key(cut_lineage(extra), keys, own) if spread_keys else extra, own, values, replicates, seed, dealt=True)
     wanted = [*own, REPLICATE, *values]
     return beside.select(*wanted).unionByName(dealt.select(*wanted)).groupBy(*keys, REPLICATE).agg(*[F.sum(c).alias(c) for c in values])

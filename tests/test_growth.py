@@ -147,3 +147,13 @@ def test_large_files_are_hashed_piece_by_piece(spark, tmp_path):
         assert got == want
     finally:
         spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_only_needed_columns_meet_their_dealt_draws(spark, monkeypatch):
+    from caseledger.operators import resample as rs
+
+    seen, real = [], rs._with_dealt
+    monkeypatch.setattr(rs, "_with_dealt", lambda numbered, *a: seen.append(numbered.columns) or real(numbered, *a))
+    units = spark.range(3000).select((F.col("id") % 2).alias("g"), F.col("id").alias("i"), F.lit(1).alias("one"), F.lit("text").alias("name"))
+    sums = rs.unit_sums(units, ["g"], "i", ["g"], ["one"], 20).collect()
+    assert not {"i", "name", "__b", "__n", "__level"} & set(seen[0]) and {r.one for r in sums} == {1500}
