@@ -317,7 +317,7 @@ def _with_dealt(numbered: DataFrame, strata: Sequence[str], missing: DataFrame,
     wanted = spread(missing.where("__m > 0").select(*strata, REPLICATE, "__n", "__m"), *strata, REPLICATE)
     dealt = wanted.mapInArrow(_dealing(strata, seed, _arrow(fields)), T.StructType(fields))
     left = numbered.withColumn("__block", F.floor(F.col("__i") / F.lit(BLOCK)).cast("long"))
-    left = left if KEY in left.columns else _stratum(left, strata)
+    left = spread(left if KEY in left.columns else _stratum(left, strata), KEY, "__block")
     right = _stratum(dealt, strata)
     out = T.StructType([*left.schema.fields, T.StructField("__extra", T.BinaryType())])
     return (left.groupBy(KEY, "__block").cogroup(right.groupBy(KEY, "__block")).applyInArrow(_attach, out)
@@ -329,7 +329,7 @@ def placed_draws(units: DataFrame, strata: Sequence[str], identity: str, replica
     ``kept`` says that they are no plan any more."""
     strata = list(strata)
     numbered = _numbered(units, strata, identity, seed, kept)
-    taken = _sums(numbered.where("__level > 0").withColumn("__t", F.lit(1)), strata, ["__t"], replicates, seed)
+    taken = _sums(_evenly(numbered.where("__level > 0").select(*strata, *_DRAWN, F.lit(1).alias("__t"))), strata, ["__t"], replicates, seed)
     missing = _missing(numbered, strata, taken, replicates)
     gone = missing.where("__gone")
     if not gone.isEmpty():  # next to never
@@ -348,7 +348,7 @@ def unit_sums(units: DataFrame, strata: Sequence[str], identity: str, keys: Sequ
     numbered = _numbered(units, strata, identity, seed, kept)
     needed = list(dict.fromkeys([*own, *values]))
     beside = numbered.where("__level > 0").select(*needed, *_DRAWN, F.lit(1).cast("long").alias("__t"))
-    beside = cut_lineage(_sums(_by_key(beside, keys, own) if spread_keys else beside, own, ["__t", *values], replicates, seed))
+    beside = cut_lineage(_sums(_by_key(beside, keys, own) if spread_keys else _evenly(beside), own, ["__t", *values], replicates, seed))
     missing = _missing(numbered, strata, beside.groupBy(*strata, REPLICATE).agg(F.sum("__t").alias("__t")), replicates)
     gone = missing.where("__gone")
     if not gone.isEmpty():  # next to never
@@ -359,6 +359,12 @@ def unit_sums(units: DataFrame, strata: Sequence[str], identity: str, keys: Sequ
     return beside.select(*wanted).unionByName(dealt.select(*wanted)).groupBy(*keys, REPLICATE).agg(*[F.sum(c).alias(c) for c in values])
 
 
+def _evenly(rows: DataFrame) -> DataFrame:
+    """Units in even shares, as many as there are shuffle partitions: adaptive execution merges
+    partitions by their bytes and can't see the replicates that a unit stands for."""
+    return spread(rows, "__a")
+
+
 def _by_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows in slices of the keys' order, so that many keys make no more partial sums than keys and tasks."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

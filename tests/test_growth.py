@@ -149,6 +149,22 @@ def test_large_files_are_hashed_piece_by_piece(spark, tmp_path):
         spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
 
 
+def test_the_passes_over_replicates_are_dealt_evenly(spark, monkeypatch):
+    """Units are few bytes and much work: their passes keep all shuffle partitions, with even shares."""
+    from caseledger.operators import resample as rs
+
+    units = spark.range(4000).select(F.when(F.col("id") > 40, "large").otherwise("small").alias("g"), F.col("id").alias("i"), F.lit(1).alias("one"))
+    shares, real = [], rs._sums
+    monkeypatch.setattr(rs, "_sums", lambda rows, *a, **k: shares.append(
+        [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]) or real(rows, *a, **k))
+    want = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for run in (lambda: rs.unit_sums(units, ["g"], "i", ["g"], ["one"], 20), lambda: rs.placed_draws(units, ["g"], "i", 20, rs.SEED)):
+        shares.clear()
+        run()
+        assert len(shares[0]) == want and max(shares[0]) < 1.3 * sum(shares[0]) / want
+    assert {r.one for r in rs.unit_sums(units, ["g"], "i", ["g"], ["one"], 20).collect()} == {41, 3959}
+
+
 def test_only_needed_columns_meet_their_dealt_draws(spark, monkeypatch):
     from caseledger.operators import resample as rs
 
