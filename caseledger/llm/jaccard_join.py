@@ -1,15 +1,17 @@
 """Operator 3, n-gram Jaccard join by signature trees.
 
-Equal shingle sets are one class. A set's *prefix*, its first shingles in a fixed
-order, meets the prefix of every set that may link with it, so the forest's top
-level fans out by prefix shingle; OR-ed bitmaps of unrelated texts would be full
-there. Classes under one shingle are joined to families where the bitmaps of their
-signatures allow the overlap a link needs. Inside a family the texts meet: leaves
-of few sets, nodes that hold the OR of their bitmaps and the range of their sizes.
-Two trees are walked at once, and a pair of nodes is left out when the largest
-overlap its bitmaps and sizes allow is too small, or when all below it is linked
-already. What is left is compared exactly. A large family is cut into units by
-size band and hash, and pairs of units are the tasks.
+Equal shingle sets are one class. The shingles of a set are dealt by hash into
+parts, as many for all sets of a range of sizes and more than two linked sets can
+differ in: such sets agree in some parts wholly, and share one of the first parts
+of each, the fullest first. Those are a set's *tokens*. Unlike a single shingle, a
+full part is hardly ever shared by unrelated texts, however many there are. Classes
+that share a token are one family. Inside a family the texts meet: leaves of few
+sets, nodes that hold the OR of their bitmaps and the range of their sizes. Two
+trees are walked at once, and a pair of nodes is left out when the largest overlap
+its bitmaps and sizes allow is too small, or when all below it is linked already.
+What is left is compared exactly. A large family is cut into units by size band and
+hash, and pairs of units are the tasks: first each with one unit of its band, then
+those that are not yet linked to one component.
 """
 
 from __future__ import annotations
@@ -23,18 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut_lineage
-from .common import components, few, filled, forest, list_array, query, saved, ship, spare, table
+from .common import components, few, filled, forest, query, saved, ship, spare, table
 from .words import mix, text_buffers, words
 
-#: Documents whose shingles say which are frequent (they only set the order), how many are
-#: told, and the least number of these documents that hold one.
-ORDER_SAMPLE, FREQUENT, FREQUENT_LEAST = 4096, 4096, 8
-#: Classes under one shingle above which all count as one family, without their bitmaps.
+#: Members of a component whose units need not meet each other: they are linked.
 COMPARED = 1024
 #: Members and shingles of a unit; sets of a leaf; children of a node; bits of a tree's bitmaps.
 UNIT_ROWS, UNIT_SHINGLES, LEAF, FAN, TREE_BITS = 256, 1 << 20, 16, 4, 4096
-#: Bits of the filter that keeps texts of no family from moving (4 MB whatever the input).
+#: Bits of the filter that keeps rows that no join needs from moving (4 MB whatever the input).
 FILTER_BITS = 1 << 25
+#: Bits of a token, and of a set's number where tokens meet: what they share by chance meets once more.
+SHORT = np.uint64((1 << 48) - 1)
 
 _W = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
@@ -67,119 +68,112 @@ def set_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def signature_bits(s: np.ndarray) -> bytes:
-    """Bitmap of the quarter of a set whose hashes end in 00: two bits and more a shingle."""
-    m = max(128, 1 << max(0, len(s) // 2 - 1).bit_length())
-    bits = np.zeros(m, np.uint8)
-    mine = s[s & np.uint64(3) == 0]
-    bits[(mine >> np.uint64(8)) & np.uint64(m - 1)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+def short_key(key: bytes) -> int:
+    return int.from_bytes(key[:6], "little")
 
 
-def _sampled(modulo: int, width: int):
-    def run(batches):
-        for batch in few(batches):
-            data, offs = text_buffers(batch.column(0))
-            sets = shingle_sets(data, offs, width)
-            u, c = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(c.astype(np.int64))], ["shingle", "n"])
+def size_ranges(largest: int, num: int, den: int) -> np.ndarray:
+    """First sizes of ranges; a set links with sets of its own range and the next ones to it."""
+    out, wide = [1], max(2, -(-den // num))
+    while out[-1] <= largest:
+        out.append(out[-1] * wide)
+    return np.array(out, np.int64)
 
-    return run
 
+def tokens(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the set, token), at least one of them common to any two different sets that link.
 
-def _slim(width: int):
+    Linked sets of sizes a and b differ in (a + b) * (den - num) / (den + num) shingles
+    at most, d say, and so in d of k parts: of either's parts in one order, the first
+    d + 1 have one in common. Their order, by number of shingles from the largest and
+    by hash, depends on nothing but the part. A set is dealt once for sets of its range
+    of sizes and once more, if it can link with larger ones, for those of the next.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    first = size_ranges(int(sizes.max(initial=1)), num, den)
+    own = np.searchsorted(first, sizes, "right") - 1
+    reach = sizes * den // num
+    places, found = [], []
+    for step in (0, 1):
+        at = own + step
+        first = size_ranges(int(first[-1]), num, den) if at.max(initial=0) + 1 >= len(first) else first
+        low, top = first[at], first[at + 1] - 1
+        partner = np.minimum(reach, top)
+        differ = (sizes + partner) * (den - num) // (den + num)
+        use = np.flatnonzero((sizes > 0) & (differ > 0) & ((step == 0) | (reach >= low)))
+        if not len(use):
+            continue
+        most = 2 * top[use] * (den - num) // (den + num)
+        parts = most + most // 10 + 2
+        start = np.concatenate([[0], np.cumsum(parts)])
+        flat = np.concatenate([sets[i] for i in use.tolist()])
+        of = np.repeat(np.arange(len(use)), sizes[use])
+        dealt = mix(flat ^ mix(at[use].astype(np.uint64) + _W[0])[of])
+        part = start[of] + (dealt % parts[of].astype(np.uint64)).astype(np.int64)
+        n = start[-1]
+        full = np.bincount(part, minlength=n)
+        # sums of halves are exact as floats
+        sums = np.bincount(part, (dealt & np.uint64(0xFFFFFFFF)).astype(np.float64), n).astype(np.uint64) \
+            + (np.bincount(part, (dealt >> np.uint64(32)).astype(np.float64), n).astype(np.uint64) << np.uint64(32))
+        of = np.repeat(np.arange(len(use)), parts)
+        which = (np.arange(n) - start[of]).astype(np.uint64)
+        token = mix(sums + mix(which + _W[1] * (at[use].astype(np.uint64) + np.uint64(1))[of]))
+        order = np.lexsort((token, -full, of))
+        kept = order[np.arange(n) - start[of] <= differ[use][of]]
+        places.append(use[of[kept]])
+        found.append(token[kept])
+    if not places:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(places), np.concatenate(found)
+
+
+def _sets(width: int):
+    """A row per text: its id, set and hashes."""
     def run(batches):
         for batch in few(batches):
             data, offs = text_buffers(batch.column(1))
             sets = shingle_sets(data, offs, width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                                              pa.array([set_key(s) for s in sets], pa.binary())], ["doc_id", "n", "set_key"])
+            keys = [set_key(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
+                                              pa.array([short_key(k) for k in keys], pa.int64()), batch.column(2)], ["doc_id", "n", "set_key", "no", "tkey"])
 
     return run
 
 
-def _signatures(width: int, num: int, den: int, frequent: np.ndarray):
+def _tokens(width: int, num: int, den: int):
+    """Rows (token, set number). A token that several sets of a part of a batch have is sent
+    for the first; the others are tied to that one by a token of their own, once."""
     def run(batches):
         for batch in few(batches):
-            data, offs = text_buffers(batch.column(1))
+            data, offs = text_buffers(batch.column(0))
             sets = shingle_sets(data, offs, width)
-            own = [i for i, s in enumerate(sets) if len(s)]
-            prefixes = []
-            for i in own:
-                s = sets[i]
-                size = len(s) - -(-num * len(s) // den) + 1
-                at = np.minimum(np.searchsorted(frequent, s), max(len(frequent) - 1, 0))
-                late = frequent[at] == s if len(frequent) else np.zeros(len(s), bool)
-                prefixes.append(np.concatenate([s[~late], s[late]])[:size] if late.any() else s[:size])
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(own, pa.int64())), pa.array([len(sets[i]) for i in own], pa.int64()),
-                pa.array([set_key(sets[i]) for i in own], pa.binary()),
-                list_array(pa.array(flat.astype(np.int64)), np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])),
-                pa.array([signature_bits(sets[i]) for i in own], pa.binary()), batch.column(2).take(pa.array(own, pa.int64()))],
-                ["doc_id", "n", "set_key", "keys", "bits", "tkey"])
+            distinct = {set_key(s): s for s in sets}
+            sets, no = list(distinct.values()), np.array([short_key(k) for k in distinct], np.int64)
+            place, token = tokens(sets, num, den)
+            order = np.lexsort((place, token))
+            place, token = place[order], (token[order] & SHORT).astype(np.int64)
+            again = np.flatnonzero(token[1:] == token[:-1]) + 1
+            a, b = forest(no[place[again - 1]], no[place[again]])
+            tie = (mix(a.astype(np.uint64) * _W[0] + b.astype(np.uint64)) & SHORT).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.delete(token, again), tie, tie])),
+                                              pa.array(np.concatenate([np.delete(no[place], again), a, b]))], ["token", "no"])
 
     return run
 
 
-def _possible(n: np.ndarray, bits: list[bytes], i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which pairs (i, j) of signatures may link, by sizes and bitmaps."""
-    need = least_overlap(n[i], n[j], num, den)
-    ok = need <= np.minimum(n[i], n[j])
-    sizes = np.array([len(b) for b in bits])
-    common = np.minimum(sizes[i], sizes[j])
-    for m in np.unique(common[ok]):
-        which = np.flatnonzero(ok & (common == m))
-        rows = np.unique(np.concatenate([i[which], j[which]]))
-        folded = np.zeros((len(rows), m // 8), np.uint64)
-        for k, r in enumerate(rows.tolist()):  # a longer bitmap folds onto a shorter
-            folded[k] = np.bitwise_or.reduce(np.frombuffer(bits[r], np.uint64).reshape(-1, m // 8), axis=0)
-        for lo in range(0, len(which), 1 << 16):
-            w = which[lo:lo + (1 << 16)]
-            a, b = folded[np.searchsorted(rows, i[w])], folded[np.searchsorted(rows, j[w])]
-            miss_a = np.bitwise_count(a & ~b).sum(1, dtype=np.int64)
-            miss_b = np.bitwise_count(b & ~a).sum(1, dtype=np.int64)
-            ok[w] = (miss_a <= n[i[w]] - need[w]) & (miss_b <= n[j[w]] - need[w])
-    return ok
-
-
-def _family_edges(num: int, den: int):
-    """From rows sorted by key (key, no, n, bits): edges of the classes that may link."""
-    def run(batches):
-        held = None
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                part = pa.Table.from_batches([batch])
-                held = part if held is None else pa.concat_tables([held, part])
-                if held.num_rows < 2:
-                    continue
-            if held is None or not held.num_rows:
-                return
-            key = held.column(0).to_numpy()
-            upto = len(key) if batch is None else int(np.searchsorted(key, key[-1]))  # the last group may go on
-            if upto:
-                yield _edges_of(held.slice(0, upto), num, den)
-                held = held.slice(upto).combine_chunks()
-
-    return run
-
-
-def _edges_of(rows: pa.Table, num: int, den: int) -> pa.RecordBatch:
-    key, no, n = (rows.column(i).to_numpy() for i in range(3))
-    bits = rows.column(3).to_pylist()
-    a, b, lag = [], [], 1
-    live = np.arange(len(key))
-    while True:
-        live = live[live + lag < len(key)]
-        live = live[key[live] == key[live + lag]]
-        if not len(live):
-            break
-        ok = _possible(n, bits, live, live + lag, num, den)
-        a.append(no[live[ok]])
-        b.append(no[live[ok] + lag])
-        lag += 1
-    x, y = forest(np.concatenate(a), np.concatenate(b)) if a else (no[:0], no[:0])
-    return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+def _ties(batches):
+    """From rows sorted by token (token, set number): edges that join the sets of each token."""
+    last = None
+    for batch in batches:
+        token, no = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(token):
+            continue
+        if last is not None:
+            token, no = np.concatenate([last[0], token]), np.concatenate([last[1], no])
+        last = token[-1:], no[-1:]
+        same = np.flatnonzero(token[1:] == token[:-1])
+        a, b = forest(no[same], no[same + 1])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 class Tree:
@@ -265,9 +259,9 @@ def _link_unit_pair(width: int, num: int, den: int):
     return run
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits with those set that the texts' hashes name; its size doesn't grow with them."""
-    at = F.pmod("tkey", F.lit(FILTER_BITS))
+def _filter_of(ids: DataFrame, key: str) -> np.ndarray:
+    """FILTER_BITS bits with those set that the hashes name; its size doesn't grow with them."""
+    at = F.pmod(key, F.lit(FILTER_BITS))
     pages = ids.select(at.alias("at")).select(F.expr("bitmap_bucket_number(at)").alias("page"), F.expr("bitmap_bit_position(at)").alias("bit")) \
         .groupBy("page").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).collect()
     out = np.zeros(FILTER_BITS // 8 + 8192, np.uint8)
@@ -281,16 +275,18 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _hits(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bits are set: position p > 0 is bit (p - 1) % 32768 of page (p - 1) // 32768 + 1."""
+    return np.where(at > 0, bits[np.maximum(at - 1, 0) >> 3] >> ((at - 1) & 7) & 1, bits[-1] & 1).astype(bool)
+
+
 def _passing(bits):
     """Texts whose bit is set, each once a task: copies collapse before they move."""
     def run(batches):
         mine, seen = bits.value, set()
         for batch in batches:
-            at = np.array(batch.column(2))
-            # position p > 0 is bit (p - 1) % 32768 of page (p - 1) // 32768 + 1
-            hit = np.where(at > 0, mine[np.maximum(at - 1, 0) >> 3] >> ((at - 1) & 7) & 1, mine[-1] & 1).astype(bool)
             where = []
-            for i in np.flatnonzero(hit).tolist():
+            for i in np.flatnonzero(_hits(mine, np.array(batch.column(2)))).tolist():
                 key = batch.column(0)[i].as_py()
                 digest = hash((key, batch.column(1)[i].as_py()))  # two texts of one hash both pass
                 if digest not in seen:
@@ -303,6 +299,36 @@ def _passing(bits):
     return run
 
 
+def _linked(slim: DataFrame, placed: DataFrame, which: str, width: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) found in the pairs of units that ``which`` names. ``placed``: classes
+    (no, n, tkey, set_key, family, band, group), cut into units by family, band and group."""
+    cell = ["family", "band", "group"]
+    cuts = placed.groupBy(*cell).agg(F.greatest(F.ceil(F.count("*") / UNIT_ROWS), F.ceil(F.sum("n") / UNIT_SHINGLES)).alias("units"))
+    cuts = cut_lineage(cuts)
+    nodes = cuts.select(*cell, F.explode(F.sequence(F.lit(0), (F.col("units") - 1).cast("int"))).alias("unit"))
+    # a size and those it can link with lie in one band or in neighbours (one more for rounding)
+    to = nodes.select(F.col("family").alias("f2"), F.col("band").alias("b2"), F.col("group").alias("g2"), F.col("unit").alias("u2"))
+    reach = nodes.withColumn("b", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") + 2)))
+    pairs = reach.join(to, (F.col("family") == F.col("f2")) & (F.col("b") == F.col("b2"))).where("b2 > band or g2 > group or (g2 = group and u2 >= unit)").where(which) \
+        .withColumn("pair", F.concat_ws(":", *cell, "unit", "b2", "g2", "u2")).withColumn("same", F.expr("band = b2 and group = g2 and unit = u2"))
+    tasks = pairs.select(*cell, "unit", "pair", F.lit(0).alias("side"), "same") \
+        .union(pairs.where("not same").select("family", "b2", "g2", "u2", "pair", F.lit(1), "same"))
+    tasks = tasks.withColumnsRenamed({"family": "f4", "band": "b4", "group": "g4", "unit": "u4"})
+    mine = placed.join(cuts.withColumnsRenamed({"family": "f3", "band": "b3", "group": "g3"}), (F.xxhash64(*cell) == F.xxhash64("f3", "b3", "g3"))
+                       & (F.col("family") == F.col("f3")) & (F.col("band") == F.col("b3")) & (F.col("group") == F.col("g3"))) \
+        .withColumn("unit", F.pmod(F.xxhash64("no"), F.col("units")))
+    mine = cut_lineage(mine.join(tasks, (F.col("family") == F.col("f4")) & (F.col("band") == F.col("b4")) & (F.col("group") == F.col("g4")) & (F.col("unit") == F.col("u4")))
+                       .select("pair", "side", "same", "no", "tkey", "set_key"))
+
+    if mine.isEmpty():
+        return mine.select(F.col("no").alias("a"), F.col("no").alias("b"))
+    # only texts that are compared move
+    bits = slim.sparkSession.sparkContext.broadcast(_filter_of(mine, "tkey"))
+    texts = slim.select("tkey", "text", F.pmod("tkey", F.lit(FILTER_BITS)).alias("at")).mapInArrow(_passing(bits), "text_key long, text string, at long")
+    dealt = mine.join(texts.select("text_key", "text"), F.col("tkey") == F.col("text_key")).select("pair", "side", "same", "no", "set_key", "text")
+    return cut_lineage(dealt.groupBy("pair").applyInArrow(_link_unit_pair(width, num, den), "a long, b long"))
+
+
 def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -319,61 +345,33 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), filled(text).alias("text"))
     # texts are told apart by a hash of their own: ids may be null or repeat
     slim = slim.withColumn("tkey", F.xxhash64("text"))
-    total = slim.count()
-    part = max(1, total // ORDER_SAMPLE)
-    seen = slim.where(F.pmod("tkey", F.lit(part)) == 0).select("text").mapInArrow(_sampled(part, width), "shingle long, n long") \
-        .groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_LEAST).orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
-    frequent = np.sort(np.array([r["shingle"] for r in seen], np.int64).astype(np.uint64))
-
-    # one class per distinct set; copies collapse before they are dealt
-    signed = slim.mapInArrow(_signatures(width, num, den, frequent), "doc_id long, n long, set_key binary, keys array<bigint>, bits binary, tkey long")
-    classes = signed.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"),
-                                            F.any_value("bits").alias("bits"), F.min("tkey").alias("tkey"))
-    classes = saved(classes.withColumn("no", F.monotonically_increasing_id()), "classes")
-
-    # families: classes that share a prefix shingle and may link
-    keys = classes.select(F.explode("keys").alias("key"), "no")
-    shared = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("no").alias("first")).where("members > 1") \
-        .select(F.xxhash64("key").alias("k"), F.col("key").alias("key2"), "members", "first")
-    meet = saved(keys.withColumn("kk", F.xxhash64("key")).join(shared, (F.col("kk") == F.col("k")) & (F.col("key") == F.col("key2")))
-                 .select("key", "no", "members", "first"), "meet")
-    few = meet.where(F.col("members") <= COMPARED).select("key", "no").join(classes.select("no", "n", "bits"), "no").select("key", "no", "n", "bits")
-    near = few.repartition("key").sortWithinPartitions("key", "n", "no").mapInArrow(_family_edges(num, den), "a long, b long")
-    many = meet.where((F.col("members") > COMPARED) & (F.col("no") > F.col("first"))).select(F.col("no").alias("a"), F.col("first").alias("b"))
-    families = cut_lineage(components(cut_lineage(near.union(many).distinct())))
-
-    # units of families, and pairs of units
-    members = classes.select("no", "n", "tkey", "set_key").join(families.select(F.col("id").alias("no"), F.col("component").alias("family")), "no")
-    members = cut_lineage(members)
+    signed = saved(slim.select("doc_id", "text", "tkey").mapInArrow(_sets(width), "doc_id long, n long, set_key binary, no long, tkey long"), "signed")
+
+    # one class per distinct set; "no" is part of the set's hash, so that two sets may have one
+    classes = saved(signed.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("no").alias("short"),
+                                                                F.min("tkey").alias("tkey")).withColumn("no", F.monotonically_increasing_id()), "classes")
+
+    # families: classes that share a token
+    met = slim.select("text").mapInArrow(_tokens(width, num, den), "token long, no long").repartition("token").sortWithinPartitions("token")
+    families = cut_lineage(components(cut_lineage(met.mapInArrow(_ties, "a long, b long").distinct())))
+
+    # units of families; the first of a band meets all others of it, and those of the next bands meet each other
+    members = classes.join(families.select(F.col("id").alias("short"), F.col("component").alias("family")), "short").select("no", "n", "tkey", "set_key", "family")
     sizes = members.groupBy("family").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")) \
         .select(F.col("family").alias("f"), ((F.col("size") > UNIT_ROWS) | (F.col("shingles") > UNIT_SHINGLES)).alias("large"))
     band = F.when(F.col("large"), F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9)).otherwise(F.lit(0))
     placed = members.withColumn("fk", F.xxhash64("family")).join(sizes.withColumn("k", F.xxhash64("f")), (F.col("fk") == F.col("k")) & (F.col("family") == F.col("f"))) \
-        .select("no", "n", "tkey", "set_key", "family", band.alias("band"))
-    cuts = placed.groupBy("family", "band").agg(F.greatest(F.ceil(F.count("*") / UNIT_ROWS), F.ceil(F.sum("n") / UNIT_SHINGLES)).alias("units"))
-    cuts = cut_lineage(cuts)
-    nodes = cuts.select("family", "band", F.explode(F.sequence(F.lit(0), (F.col("units") - 1).cast("int"))).alias("unit"))
-    # a size and those it can link with lie in one band or in neighbours (one more for rounding)
-    to = nodes.select(F.col("family").alias("f2"), F.col("band").alias("b2"), F.col("unit").alias("u2"))
-    reach = nodes.withColumn("b", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") + 2)))
-    pairs = reach.join(to, (F.col("family") == F.col("f2")) & (F.col("b") == F.col("b2"))).where("b2 > band or u2 >= unit") \
-        .withColumn("pair", F.concat_ws(":", "family", "band", "unit", "b2", "u2")).withColumn("same", (F.col("band") == F.col("b2")) & (F.col("unit") == F.col("u2")))
-    tasks = pairs.select("family", "band", "unit", "pair", F.lit(0).alias("side"), "same") \
-        .union(pairs.where("not same").select("family", "b2", "u2", "pair", F.lit(1), "same"))
-    mine = placed.join(cuts.select(F.col("family").alias("f3"), F.col("band").alias("b3"), "units", F.xxhash64("family", "band").alias("k3")),
-                       (F.xxhash64("family", "band") == F.col("k3")) & (F.col("family") == F.col("f3")) & (F.col("band") == F.col("b3"))) \
-        .withColumn("unit", F.pmod(F.xxhash64("no"), F.col("units"))) \
-        .select("no", "tkey", "set_key", "family", "band", "unit")
-
-    # only texts of families move
-    bits = spark.sparkContext.broadcast(_filter_of(members))
-    texts = slim.select("tkey", "text", F.pmod("tkey", F.lit(FILTER_BITS)).alias("at")).mapInArrow(_passing(bits), "text_key long, text string, at long")
-    told = mine.join(texts.select("text_key", "text"), F.col("tkey") == F.col("text_key")) \
-        .select("no", "set_key", "family", "band", "unit", "text")
-    dealt = told.join(tasks.withColumnsRenamed({"family": "f4", "band": "b4", "unit": "u4"}),
-                      (F.col("family") == F.col("f4")) & (F.col("band") == F.col("b4")) & (F.col("unit") == F.col("u4"))).select("pair", "side", "same", "no", "set_key", "text")
-    links = dealt.groupBy("pair").applyInArrow(_link_unit_pair(width, num, den), "a long, b long")
-    joined = components(cut_lineage(links))
+        .select("no", "n", "tkey", "set_key", "family", "large", band.alias("band"), F.lit(-1).cast("long").alias("group"))
+    placed = cut_lineage(placed)
+    links = _linked(slim, placed, "(band = b2 and unit = 0) or (unit = 0 and u2 = 0)", width, num, den)
+
+    # members of a large family by component: those of a large one are linked, all others meet
+    part = cut_lineage(components(links)).select(F.col("id").alias("no"), "component")
+    part = placed.where("large").join(part, "no", "left").withColumn("component", F.coalesce("component", "no"))
+    held = part.groupBy("component").agg(F.count("*").alias("held")).where(F.col("held") > COMPARED).select(F.col("component").alias("group"))
+    rest = part.drop("group").join(held, F.col("component") == F.col("group"), "left").withColumn("group", F.coalesce("group", F.lit(-1)))
+    rest = cut_lineage(rest.select(placed.columns))
+    joined = components(links.union(_linked(slim, rest, "group <> g2 or group = -1", width, num, den)))
 
     # components named by their smallest doc_id
     named = classes.select("no", "set_key", "doc_id").join(joined.select(F.col("id").alias("no"), "component"), "no", "left") \
@@ -381,7 +379,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id")).select(F.xxhash64("component").alias("ck"), F.col("component").alias("c"), "component_id")
     verdict = named.withColumn("nk", F.xxhash64("component")).join(least, (F.col("nk") == F.col("ck")) & (F.col("component") == F.col("c"))) \
         .select(F.xxhash64("set_key").alias("vk"), F.col("set_key").alias("vs"), "component_id")
-    rows = slim.mapInArrow(_slim(width), "doc_id long, n long, set_key binary").withColumn("sk", F.xxhash64("set_key"))
+    rows = signed.select("doc_id", "n", "set_key").withColumn("sk", F.xxhash64("set_key"))
     return rows.join(verdict, (F.col("sk") == F.col("vk")) & (F.col("set_key") == F.col("vs")), "left") \
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

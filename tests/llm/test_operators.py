@@ -576,3 +576,68 @@ def test_sharding(spark, docs, none):
 def test_plans_of_the_native_operator(docs):
     plan = sharding.shard_by_bytes(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("num", [50, 80, 90, 97])
+def test_linked_sets_share_a_token(num):
+    """Sets of any size at the edge of what links have a token in common, whatever batch they come in."""
+    rng = np.random.default_rng(num)
+    made = lambda n: np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+    linked = 0
+    for n in [*range(1, 60), *rng.integers(60, 2000, 100).tolist()]:
+        for _ in range(4):
+            a = made(n)
+            lost, added = int(rng.integers(0, n * (100 - num) // 100 + 2)), int(rng.integers(0, n * (100 - num) // num + 2))
+            b = np.union1d(rng.permutation(a)[lost:], made(added))
+            both = len(np.intersect1d(a, b))
+            if len(b) and both < max(len(a), len(b)) and 100 * both >= num * (len(a) + len(b) - both):
+                place, token = jaccard_join.tokens([a, made(5000), b], num, 100)
+                assert set(token[place == 0].tolist()) & set(token[place == 2].tolist())
+                assert sorted(jaccard_join.tokens([b], num, 100)[1].tolist()) == sorted(token[place == 2].tolist())
+                linked += 1
+    assert linked > 150
+
+
+@pytest.fixture
+def moved(spark, monkeypatch):
+    """Rows of text that were dealt to pairs of units."""
+    rows, pairs = spark.sparkContext.accumulator(0), jaccard_join._link_unit_pair
+
+    def counted(*a):
+        run = pairs(*a)
+
+        def count(table):
+            rows.add(table.num_rows)
+            return run(table)
+
+        return count
+
+    monkeypatch.setattr(jaccard_join, "_link_unit_pair", counted)
+    return rows
+
+
+def test_texts_of_common_shingles_do_not_move(spark, monkeypatch, moved):
+    """Unrelated texts whose every shingle is in many others are no family."""
+    monkeypatch.setattr(jaccard_join, "UNIT_ROWS", 16)
+    monkeypatch.setattr(jaccard_join, "COMPARED", 3)
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(12)}" for _ in range(200))) for i in range(600)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(i, i) for i in range(600)]
+    assert moved.value <= 600
+
+
+def test_texts_of_a_large_group_move_a_few_times(spark, monkeypatch, moved):
+    """Near copies of one text meet a few of them, not all; those that link with few of them are found too."""
+    monkeypatch.setattr(jaccard_join, "UNIT_ROWS", 16)
+    monkeypatch.setattr(jaccard_join, "COMPARED", 64)
+    rng = random.Random(9)
+    base = [f"v{i}" for i in range(300)]
+    rows = [(i, " ".join([*base[:(k := rng.randrange(300))], f"x{i}", *base[k:]])) for i in range(600)]
+    chain = [" ".join([*base, *(f"y{k}" for k in range(30 * step))]) for step in range(3, 11)]  # each links with the next only
+    rows += [(600 + i, t) for i, t in enumerate(chain)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = brute_components([(i, t) for i, t in rows if i < 20 or i >= 600])
+    assert {r["component_id"] for r in got if r["doc_id"] < 600} == {0}
+    assert collections.Counter(tuple(r) for r in got if r["doc_id"] < 20 or r["doc_id"] >= 600) == want
+    assert moved.value <= 600 * 8
