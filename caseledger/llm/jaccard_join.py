@@ -389,13 +389,20 @@ def drop_near_copies(docs: DataFrame, width: int = 3, num: int = 90, den: int =
     as they were. A null doc_id counts as larger than any other; among rows that share
     one, that whose text has the smallest SHA-256 stays. Texts without words all stay."""
     own = spare(docs)
-    order = [own + "null", "doc_id", own + "sha"]
-    # numbers of rows rise with these
-    rows = saved(docs.withColumn(order[0], F.col("doc_id").isNull()).withColumn(order[2], F.sha2(filled(), 256))
-                 .repartitionByRange(*order).sortWithinPartitions(*order).withColumn(own, F.monotonically_increasing_id()).drop(order[0], order[2]), "rows")
-    verdict = jaccard_components(rows.select(F.col(own).alias("doc_id"), "text"), width, num, den)
-    gone = verdict.where("doc_id <> component_id").select(F.col("doc_id").alias(own + "gone"))
-    return rows.join(gone, rows[own] == gone[own + "gone"], "left_anti").drop(own)
+    spark = docs.sparkSession
+    rows = saved(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    verdict = cut_lineage(jaccard_components(rows.select(F.col(own).alias("doc_id"), "text"), width, num, den).select(F.col("doc_id").alias("row"), F.col("component_id").alias("c")))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.sha2(filled(), 256), F.col(own).alias("row"))
+    first = verdict.join(rows.select(F.col(own).alias("row"), order.alias("order")), "row").groupBy("c").agg(F.min("order")["row"].alias("first"), F.count("*").alias("held"))
+    first = first.where("held > 1").select(F.xxhash64("c").alias("ck"), F.col("c").alias("c2"), "first")
+    gone = cut_lineage(verdict.join(first, (F.xxhash64("c") == F.col("ck")) & (F.col("c") == F.col("c2"))).where("row <> first").select(F.col("row").alias(own + "gone")))
+
+    # only rows that the filter doesn't clear move
+    bits = spark.sparkContext.broadcast(_filter_of(gone.select(F.xxhash64(own + "gone").alias("at")), "at"))
+    hit = F.arrow_udf(lambda at: pa.array(_hits(bits.value, np.array(at))), "boolean")(F.pmod(F.xxhash64(own), F.lit(FILTER_BITS)))
+    told = rows.withColumn(own + "hit", hit)
+    stay = told.where(~F.col(own + "hit"))
+    return stay.union(told.where(own + "hit").join(gone, F.col(own) == F.col(own + "gone"), "left_anti")).drop(own, own + "hit")
 
 
 @query("op3_jaccard_join")

@@ -641,3 +641,27 @@ def test_texts_of_a_large_group_move_a_few_times(spark, monkeypatch, moved):
     assert {r["component_id"] for r in got if r["doc_id"] < 600} == {0}
     assert collections.Counter(tuple(r) for r in got if r["doc_id"] < 20 or r["doc_id"] >= 600) == want
     assert moved.value <= 600 * 8
+
+
+def test_drop_near_copies_moves_no_text_that_stays(spark, monkeypatch):
+    def exchanged(plan):
+        plan = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+        while plan.getClass().getSimpleName().endswith("QueryStageExec"):
+            plan = plan.plan()
+        own = plan.metrics().apply("dataSize").value() if plan.getClass().getSimpleName() == "ShuffleExchangeExec" else 0
+        return own + sum(exchanged(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    rng = random.Random(10)
+    texts = [" ".join(f"w{rng.randrange(9999)}" for _ in range(400)) for _ in range(200)]
+    rows = [(i, t, -i) for i, t in enumerate(texts)] + [(500 + i, t + " more", i) for i, t in enumerate(texts[:5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long").repartition(4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for bits in (jaccard_join.FILTER_BITS, 64):  # with few bits most rows go the long way
+            monkeypatch.setattr(jaccard_join, "FILTER_BITS", bits)
+            got = jaccard_join.drop_near_copies(docs, 5, 80)
+            assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == rows[:200]
+            if bits > 64:
+                assert 0 < exchanged(got._jdf.queryExecution().executedPlan()) < 0.2 * sum(len(t) for t in texts)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
